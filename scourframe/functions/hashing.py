@@ -17,9 +17,10 @@ SALT_STEP = 40503
 
 def keyed_hash(key: Column, salt: int) -> Column:
     """Uniform integer in [0, 2^32) for a BIGINT key. The products stay below 2^63, as ANSI mode demands."""
-    h = F.pmod(F.pmod(key.cast("bigint"), F.lit(SPACE)) * F.lit(MULTIPLIER) + F.lit(salt * SALT_STEP), F.lit(SPACE))
+    mask = F.lit(SPACE - 1)
+    h = (key.cast("bigint").bitwiseAND(mask) * F.lit(MULTIPLIER) + F.lit(salt * SALT_STEP)).bitwiseAND(mask)
     h = h.bitwiseXOR(F.shiftright(h, 15))
-    h = F.pmod(h * F.lit(MULTIPLIER), F.lit(SPACE))
+    h = (h * F.lit(MULTIPLIER)).bitwiseAND(mask)
     return h.bitwiseXOR(F.shiftright(h, 13))
 
 
@@ -50,12 +51,16 @@ def hash_normal(key: Column, salt: int, mean: float, sd: float) -> Column:
     return F.lit(mean) + F.lit(sd) * radius * F.cos(F.lit(6.283185307179586) * hash_unit(key, salt + 1))
 
 
-def selected(key: Column, salt: int, rate: float, start: float = 0.0) -> Column:
-    """True for a share of the keys; slices with one salt and touching [start, start + rate) are disjoint."""
-    h = keyed_hash(key, salt)
+def in_slice(h: Column, rate: float, start: float = 0.0) -> Column:
+    """True where a hash falls in the slice [start, start + rate) of its range."""
     return (h >= F.lit(int(start * SPACE))) & (h < F.lit(int((start + rate) * SPACE)))
 
 
+def selected(key: Column, salt: int, rate: float, start: float = 0.0) -> Column:
+    """True for a share of the keys; touching slices of one salt are disjoint."""
+    return in_slice(keyed_hash(key, salt), rate, start)
+
+
 def random_date(key: Column, salt: int, start: str, end: str) -> Column:
     """Date in [start, end)."""
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")

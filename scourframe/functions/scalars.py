@@ -24,43 +24,39 @@ BAD_DATE_MARK = "__BAD_DATE__"
 INVALID_DATE_MARK = "__INVALID_DATE__"
 MISSING_ROW_MARK = "__MISSING__"
 MISSING_COLUMN_MARK = "__MISSING_COL__"
-# The range of dates that a nanosecond timestamp can hold, and the range of years taken as plausible.
-FIRST_DATE, LAST_DATE = "1677-09-22", "2262-04-11"
+# Plausible years, and years whose every day a nanosecond timestamp can hold, also as patterns.
 FIRST_YEAR, LAST_YEAR = 2000, 2030
-
-_D = "[0-9]{1,2}"
-_Y = "[0-9]{4}"
-# Fixed values: (guard, format) pairs in order of priority. The guards keep out what only one date parser accepts.
-STRICT_DATE_FORMATS: tuple[tuple[str, str], ...] = (
-    (f"^{_Y}-{_D}-{_D}$", "y-M-d"),
-    (f"^{_D}/{_D}/{_Y}$", "M/d/y"),
-    (f"^{_D}[.]{_D}[.]{_Y}$", "d.M.y"),
-    (f"^{_D}/{_D}/{_Y}$", "d/M/y"),
-    (f"^{_Y}/{_D}/{_D}$", "y/M/d"),
+PLAUSIBLE_YEARS = "20[0-2][0-9]|2030"
+HELD_YEARS = "167[89]|16[89][0-9]|1[7-9][0-9]{2}|2[01][0-9]{2}|22[0-5][0-9]|226[01]"
+
+# Rewriting of date forms to y-m-d, tried in order. US order wins over European order for slashes: a first
+# part above 12 cannot be a month, and one up to 12 leaves no second reading that is a valid date.
+STRICT_DATE_FORMS: tuple[tuple[str, str], ...] = (
+    (r"^([0-9]{4})([-/])([0-9]{1,2})\2([0-9]{1,2})$", "$1-$3-$4"),
+    (r"^(0?[1-9]|1[0-2])/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2"),
+    (r"^([0-9]{1,2})([./])([0-9]{1,2})\2([0-9]{4})$", "$4-$3-$1"),
+)
+# The same for a free guess, month first wherever that is possible.
+GUESSED_DATE_FORMS: tuple[tuple[str, str], ...] = (
+    (r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$", "$1"),
+    (r"^([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})$", "$1-$3-$4"),
+    (r"^(0?[1-9]|1[0-2])([-/.])([0-9]{1,2})\2([0-9]{4})$", "$4-$1-$3"),
+    (r"^([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})$", "$4-$3-$1"),
+    (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", "$1-$2-$3"),
+    (r"^([0-9]{1,2})/([0-9]{4})$", "$2-$1-01"),
+    (r"^([0-9]{4})$", "$1-01-01"),
+    (r"^([0-9]{4}-[0-9]{1,2})$", "$1-01"),
+)
+_MONTH = (
+    "(?=(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?"
+    "|Nov(?:ember)?|Dec(?:ember)?)[^a-z])([a-z]{3})[a-z]*"
 )
-# Forms accepted as a free guess, month before day.
-GUESSED_DATE_FORMATS: tuple[tuple[str, str], ...] = (
-    (f"^{_Y}-{_D}-{_D}$", "y-M-d"),
-    (f"^{_Y}/{_D}/{_D}$", "y/M/d"),
-    (f"^{_Y}[.]{_D}[.]{_D}$", "y.M.d"),
-    (f"^{_D}/{_D}/{_Y}$", "M/d/y"),
-    (f"^{_D}/{_D}/{_Y}$", "d/M/y"),
-    (f"^{_D}[.]{_D}[.]{_Y}$", "M.d.y"),
-    (f"^{_D}[.]{_D}[.]{_Y}$", "d.M.y"),
-    (f"^{_D}-{_D}-{_Y}$", "M-d-y"),
-    (f"^{_D}-{_D}-{_Y}$", "d-M-y"),
-    ("^[0-9]{8}$", "yyyyMMdd"),
-    (f"^{_Y}-{_D}$", "y-M"),
-    (f"^{_D}/{_Y}$", "M/y"),
-    (f"^{_Y}$", "y"),
-    (f"^[A-Z][a-z]{{2}} {_D},? {_Y}$", "MMM d[,] y"),
-    (f"^[A-Z][a-z]+ {_D},? {_Y}$", "MMMM d[,] y"),
-    (f"^{_D}[ -][A-Z][a-z]{{2}}[ -]{_Y}$", "d[ ][-]MMM[ ][-]y"),
-    (f"^{_D}[ -][A-Z][a-z]+[ -]{_Y}$", "d[ ][-]MMMM[ ][-]y"),
-    (f"^[A-Z][a-z]{{2}} {_Y}$", "MMM y"),
-    (f"^[A-Z][a-z]+ {_Y}$", "MMMM y"),
+# Forms with a month name, rewritten to "day month year".
+MONTH_NAME_FORMS: tuple[tuple[str, str], ...] = (
+    (rf"(?i)^{_MONTH} ([0-9]{{1,2}}),? ([0-9]{{4}})$", "$2 $1 $3"),
+    (rf"(?i)^([0-9]{{1,2}})[ -]{_MONTH}[ -]([0-9]{{4}})$", "$1 $2 $3"),
+    (rf"(?i)^{_MONTH} ([0-9]{{4}})$", "1 $1 $2"),
 )
-_TIME_TAIL = r"^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 
 
 # -- text ------------------------------------------------------------------------------------------------------
@@ -106,7 +102,8 @@ def nan_to_null(c: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    """The guard empties whatever is no plain number, so that the cast sees one copy of the text."""
+    return F.regexp_extract(text, NUMBER_PATTERN, 0).try_cast("double")
 
 
 def to_numeric(c: Column) -> Column:
@@ -120,8 +117,7 @@ def safe_float(c: Column) -> Column:
 
 
 def try_int(c: Column) -> Column:
-    t = strip(as_text(c))
-    return F.when(t.rlike(INTEGER_PATTERN), t.try_cast("bigint"))
+    return F.regexp_extract(strip(as_text(c)), INTEGER_PATTERN, 0).try_cast("bigint")
 
 
 def round2(c: Column) -> Column:
@@ -156,48 +152,50 @@ def in_range(c: Column, low: float, high: float) -> Column:
 
 # -- dates -------------------------------------------------------------------------------------------------------
 
-def parse_date(c: Column, fmt: str, guard: str | None = None) -> Column:
-    parsed = F.try_to_date(c, fmt)
-    return parsed if guard is None else F.when(c.rlike(guard), parsed)
+def parse_date(c: Column, fmt: str) -> Column:
+    return F.try_to_date(c, fmt)
 
 
-def _first_date(text: Column, formats: Sequence[tuple[str, str]]) -> Column:
-    day = F.coalesce(*[parse_date(text, fmt, guard) for guard, fmt in formats])
-    return F.when(day.between(F.lit(FIRST_DATE).cast("date"), F.lit(LAST_DATE).cast("date")), day)
+def iso(day: Column) -> Column:
+    return F.date_format(day, "yyyy-MM-dd")
 
 
-def strict_date(c: Column) -> Column:
-    """Date in one of the five listed forms; US order wins over European order for slashes."""
-    return _first_date(c, STRICT_DATE_FORMATS)
+def _rewritten(text: Column, forms: Sequence[tuple[str, str]]) -> Column:
+    for pattern, form in forms:
+        text = F.regexp_replace(text, pattern, form)
+    return text
 
 
-def guessed_date(c: Column) -> Column:
-    """Date in one of the freer forms, month first where both orders are possible."""
-    text = F.initcap(F.regexp_replace(c, _TIME_TAIL, "$1"))
-    return _first_date(text, GUESSED_DATE_FORMATS)
+def _ymd(text: Column, years: str) -> Column:
+    """Date of a y-m-d text whose year matches the pattern; an empty text is no date."""
+    return F.regexp_extract(text, f"^(?:{years})-[0-9]{{1,2}}-[0-9]{{1,2}}$", 0).try_cast("date")
 
 
-def iso(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+def strict_date(c: Column, years: str = HELD_YEARS) -> Column:
+    """Date in one of the forms y-m-d, m/d/y, d.m.y, d/m/y, y/m/d."""
+    return _ymd(_rewritten(c, STRICT_DATE_FORMS), years)
+
+
+def guessed_date(c: Column, years: str = HELD_YEARS) -> Column:
+    """Date in one of the freer forms, month first where both orders are possible."""
+    named = F.regexp_extract(_rewritten(c, MONTH_NAME_FORMS), f"(?i)^[0-9]{{1,2}} [a-z]{{3}} (?:{years})$", 0)
+    return F.coalesce(_ymd(_rewritten(c, GUESSED_DATE_FORMS), years), F.try_to_date(named, "d MMM y"))
 
 
 def normalise_dates(c: Column) -> Column:
     """ISO text of a date cell; a guess must fall in the plausible years, anything else stays as it is."""
     text = strip(as_text(c))
-    guess = guessed_date(text)
-    plausible = F.when(F.year(guess).between(FIRST_YEAR, LAST_YEAR), guess)
-    already = text.rlike(ISO_DATE_PATTERN) & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
-    return F.when(already, text).otherwise(F.coalesce(iso(strict_date(text)), iso(plausible), c))
+    return F.coalesce(as_text(strict_date(text)), as_text(guessed_date(text, PLAUSIBLE_YEARS)), c)
 
 
 def date_text(c: Column) -> Column:
     """Comparable text of a date cell."""
-    day = guessed_date(strip(as_text(c)))
-    return (
-        F.when(c.isNull(), F.lit(NAN_MARK))
-        .when(day.isNull(), F.lit(INVALID_DATE_MARK))
-        .when(~F.year(day).between(FIRST_YEAR, LAST_YEAR), F.lit(BAD_DATE_MARK))
-        .otherwise(iso(day))
+    text = strip(as_text(c))
+    return F.coalesce(
+        F.when(c.isNull(), F.lit(NAN_MARK)),
+        as_text(guessed_date(text, PLAUSIBLE_YEARS)),
+        F.when(guessed_date(text).isNotNull(), F.lit(BAD_DATE_MARK)),
+        F.lit(INVALID_DATE_MARK),
     )
 
 
@@ -211,7 +209,8 @@ def year_prefix(c: Column) -> Column:
 
 
 def valid_iso(c: Column) -> Column:
-    return F.coalesce(is_iso(c) & year_prefix(c).between(FIRST_YEAR, LAST_YEAR), F.lit(False))
+    """ISO form and a plausible year; false for a missing cell."""
+    return F.coalesce(strip(c).rlike(f"^(?:{PLAUSIBLE_YEARS})-[0-9]{{2}}-[0-9]{{2}}$"), F.lit(False))
 
 
 def days_between(start: Column, end: Column) -> Column:

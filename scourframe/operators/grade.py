@@ -29,8 +29,9 @@ EMPTY_DETAIL = "Empty DataFrame — no score."
 # -- shared pieces --------------------------------------------------------------------------------------------------
 
 def _fixed(c: Column, places: int) -> Column:
-    """Text with a fixed number of decimals."""
-    return F.format_string(f"%.{places}f", c)
+    """Text with a fixed number of decimals, ties to even."""
+    scale = float(10**places)
+    return F.format_string(f"%.{places}f", F.rint(c * scale) / scale)
 
 
 def result(df: DataFrame, score: Column, issues: Column, detail: Column, breakdown: Mapping[str, Column]) -> DataFrame:

@@ -17,6 +17,7 @@ from scourframe.functions import scalars as X
 from scourframe.operators import clean as C
 from scourframe.operators import ordering as O
 from scourframe.operators import profile as P
+from scourframe.session import cut_lineage
 
 # What injected errors look like.
 BAD_WORDS = ("N/A", "unknown", "missing", "null", "TBD", "??", "-", "n/a", "none", "—")
@@ -94,35 +95,38 @@ def inject_errors(
     truth: row_id, column, kind, dirty_value, clean_value - one row per injected cell.
     """
     key = F.col(row_id)
-    new, kinds = {}, {}
-    for i, name in enumerate(P.data_columns(df, row_id)):
-        start, cell, kind = 0.0, None, None
-        for e in [e for e in errors if e.column == name]:
-            hit = H.selected(key, seed + 10 * i, e.rate, start)
+    names = P.data_columns(df, row_id)
+    hit_columns = [n for n in names if any(e.column == n for e in errors)]
+    salts = {n: seed + 10 * names.index(n) for n in hit_columns}
+    hashed = df.withColumns({f"_h_{n}": H.keyed_hash(key, salts[n]) for n in hit_columns})
+    marks = {}
+    for n in hit_columns:
+        start, kind = 0.0, None
+        for e in [e for e in errors if e.column == n]:
+            hit = H.in_slice(F.col(f"_h_{n}"), e.rate, start)
             if e.kind in (TYPO, WHITESPACE):
-                hit = hit & F.col(name).isNotNull()
-            value = dirty_value(e.kind, F.col(name), key, seed + 10 * i + 1, typo_map)
-            cell = F.when(hit, value) if cell is None else cell.when(hit, value)
+                hit = hit & F.col(n).isNotNull()
             kind = F.when(hit, F.lit(e.kind)) if kind is None else kind.when(hit, F.lit(e.kind))
             start += e.rate
-        if cell is not None:
-            new[name], kinds[name] = cell.otherwise(F.col(name)), kind
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    kinds[n].isNotNull(),
-                    F.struct(
-                        F.lit(n).alias("column"), kinds[n].alias("kind"), new[n].alias("dirty_value"),
-                        F.col(n).alias("clean_value"),
-                    ),
-                )
-                for n in new
-            ]
+        marks[f"_k_{n}"] = kind
+    marked = hashed.withColumns(marks)
+    new = {}
+    for n in hit_columns:
+        cell = None
+        for kind in dict.fromkeys(e.kind for e in errors if e.column == n):
+            hit, value = F.col(f"_k_{n}") == kind, dirty_value(kind, F.col(n), key, salts[n] + 1, typo_map)
+            cell = F.when(hit, value) if cell is None else cell.when(hit, value)
+        new[n] = cell.otherwise(F.col(n))
+    dirty = marked.select(row_id, *[new.get(n, F.col(n)).alias(n) for n in names])
+    cells = [
+        F.when(
+            F.col(f"_k_{n}").isNotNull(),
+            F.struct(F.lit(n).alias("column"), F.col(f"_k_{n}").alias("kind"), new[n].alias("dirty_value"), F.col(n).alias("clean_value")),
         )
-    )
-    truth = df.select(row_id, F.explode(hits).alias("e")).select(row_id, "e.*")
-    return df.withColumns(new), truth
+        for n in hit_columns
+    ]
+    truth = marked.select(row_id, F.explode(F.array_compact(F.array(*cells))).alias("e")).select(row_id, "e.*")
+    return dirty, truth
 
 
 def inject_copies(
@@ -176,63 +180,92 @@ def shuffle_rows(df: DataFrame, seed: int, row_id: str = "row_id") -> DataFrame:
 
 
 def pick_cells(
-    df: DataFrame, columns: Sequence[str], k: int, seed: int, row_id: str = "row_id", exclude: DataFrame | None = None
+    df: DataFrame, columns: Sequence[str], k: int, seed: int, row_id: str = "row_id",
+    exclude: DataFrame | None = None, filled: bool = False,
 ) -> DataFrame:
-    """(row_id, column, pick): k distinct cells, none of them in `exclude`."""
-    index = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("column")) for i, c in enumerate(columns)]))
-    cells = df.select(row_id, index.alias("_c")).select(row_id, "_c.column", "_c.i")
+    """(row_id, column, pick, clean_value): k distinct cells, none of them in `exclude`; `filled` asks for cells that
+    hold a value. `pick` is the hash the choice went by."""
+    each = [
+        F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), X.as_text(F.col(c)).alias("v"))
+        for i, c in enumerate(columns)
+    ]
+    cells = df.select(row_id, F.explode(F.array(*each)).alias("c")).select(row_id, "c.*")
+    if filled:
+        cells = cells.filter(F.col("v").isNotNull())
     if exclude is not None:
         cells = cells.join(exclude.select(row_id, "column"), [row_id, "column"], "left_anti")
-    h = H.keyed_hash(F.col(row_id) * len(columns) + F.col("i"), seed)
-    top = cells.withColumn("_h", h).orderBy("_h", row_id, "column").limit(k)
-    return top.select(row_id, "column", F.col("_h").alias("pick"))
+    pick = H.keyed_hash(F.col(row_id) * len(columns) + F.col("i"), seed)
+    top = cells.withColumn("pick", pick).orderBy("pick", row_id, "column").limit(k)
+    return top.select(row_id, "column", "pick", F.col("v").alias("clean_value"))
 
 
-def cell_values(df: DataFrame, cells: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> DataFrame:
-    """Adds `clean_value` to (row_id, column) cells."""
-    rows = df.join(cells, row_id)
-    value = F.coalesce(*[F.when(F.col("column") == c, X.as_text(F.col(c))) for c in columns])
-    return rows.select(*[F.col(c) for c in cells.columns], value.alias("clean_value"))
+@dataclass(frozen=True)
+class CountError:
+    kind: str
+    columns: tuple[str, ...]
+    k: int
 
 
-def inject_cells(df: DataFrame, cells: DataFrame, kind: str, seed: int, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """Write one kind of error into picked cells of a raw table: (dirty, truth)."""
-    columns = P.data_columns(df, row_id)
-    known = cell_values(df, cells, columns, row_id)
+def _truth_of(cells: DataFrame, kind: str, seed: int, row_id: str) -> DataFrame:
     value = dirty_value(kind, F.col("clean_value"), F.col("pick"), seed)
-    truth = known.select(
-        row_id, "column", F.lit(kind).alias("kind"), value.alias("dirty_value"), "clean_value"
-    )
-    patches = truth.select(row_id, "column", F.col("dirty_value").alias("value"))
-    return C.write_cells(df, patches, row_id), truth
+    return cells.select(row_id, "column", F.lit(kind).alias("kind"), value.alias("dirty_value"), "clean_value")
+
+
+def _written(df: DataFrame, truth: DataFrame, row_id: str) -> DataFrame:
+    return C.write_cells(df, truth.select(row_id, "column", F.col("dirty_value").alias("value")), row_id)
+
+
+def inject_counts(
+    df: DataFrame, errors: Sequence[CountError], seed: int, row_id: str = "row_id", exclude: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(dirty, truth): the listed numbers of errors in a raw table, no cell hit twice.
+
+    All cells are picked from the same table and written in one join. The picks depend on each other, so each one
+    (k rows) is checkpointed before the next.
+    """
+    parts, taken = [], exclude.select(row_id, "column") if exclude is not None else None
+    for n, e in enumerate(errors):
+        cells = pick_cells(df, e.columns, e.k, seed + n, row_id, taken, filled=e.kind in (WHITESPACE, TYPO))
+        part = cut_lineage(_truth_of(cells, e.kind, seed + n, row_id))
+        parts.append(part)
+        hit = part.select(row_id, "column")
+        taken = hit if taken is None else taken.unionByName(hit)
+    truth = truth_table(parts)
+    return _written(df, truth, row_id), truth
 
 
 def inject_words(df: DataFrame, columns: Sequence[str], k: int, seed: int, row_id: str = "row_id", exclude: DataFrame | None = None):
-    return inject_cells(df, pick_cells(df, columns, k, seed, row_id, exclude), WORD, seed, row_id)
+    return inject_counts(df, [CountError(WORD, tuple(columns), k)], seed, row_id, exclude)
 
 
 def inject_nulls(df: DataFrame, columns: Sequence[str], k: int, seed: int, row_id: str = "row_id", exclude: DataFrame | None = None):
-    return inject_cells(df, pick_cells(df, columns, k, seed, row_id, exclude), NULL, seed, row_id)
+    return inject_counts(df, [CountError(NULL, tuple(columns), k)], seed, row_id, exclude)
 
 
 def inject_future_dates(df: DataFrame, column: str, k: int, seed: int, row_id: str = "row_id", exclude: DataFrame | None = None):
-    return inject_cells(df, pick_cells(df, [column], k, seed, row_id, exclude), FUTURE_DATE, seed, row_id)
+    return inject_counts(df, [CountError(FUTURE_DATE, (column,), k)], seed, row_id, exclude)
 
 
 def inject_whitespace(df: DataFrame, columns: Sequence[str], k: int, seed: int, row_id: str = "row_id", exclude: DataFrame | None = None):
-    """Cells must hold a value, since the padding surrounds it."""
-    return inject_cells(df, pick_cells(df, columns, k, seed, row_id, exclude), WHITESPACE, seed, row_id)
+    """Only cells that hold a value are padded."""
+    return inject_counts(df, [CountError(WHITESPACE, tuple(columns), k)], seed, row_id, exclude)
+
+
+def inject_rows(df: DataFrame, column: str, rows: DataFrame, kind: str, seed: int, row_id: str = "row_id"):
+    """One kind of error in one column of the given rows: (dirty, truth)."""
+    known = df.select(row_id, X.as_text(F.col(column)).alias("clean_value")).join(rows.select(row_id), row_id, "left_semi")
+    cells = known.withColumn("column", F.lit(column)).withColumn("pick", F.col(row_id))
+    truth = _truth_of(cells, kind, seed, row_id)
+    return _written(df, truth, row_id), truth
 
 
 def inject_outliers(df: DataFrame, column: str, rows: DataFrame, seed: int, row_id: str = "row_id"):
     """Impossible amounts in the given rows."""
-    cells = rows.select(row_id, F.lit(column).alias("column"), F.col(row_id).alias("pick"))
-    return inject_cells(df, cells, OUTLIER, seed, row_id)
+    return inject_rows(df, column, rows, OUTLIER, seed, row_id)
 
 
 def inject_typos(df: DataFrame, column: str, rows: DataFrame, seed: int, row_id: str = "row_id"):
-    cells = rows.select(row_id, F.lit(column).alias("column"), F.col(row_id).alias("pick"))
-    return inject_cells(df, cells, TYPO, seed, row_id)
+    return inject_rows(df, column, rows, TYPO, seed, row_id)
 
 
 def plant_valid_extremes(frames: Sequence[DataFrame], column: str, rows: DataFrame, seed: int, row_id: str = "row_id") -> list[DataFrame]:

@@ -13,6 +13,7 @@ from scourframe.operators import grade as Q
 from scourframe.operators import inject as I
 from scourframe.operators import merge as M
 from scourframe.operators import rules as V
+from scourframe.session import cut_lineage
 
 # Seeds, sizes and counts of the tasks.
 SEEDS = {"easy": 42, "medium": 137, "hard": 999}
@@ -79,27 +80,25 @@ def merge_rules() -> list[V.Rule]:
 def make_easy(spark: SparkSession) -> TaskDataset:
     seed = SEEDS["easy"]
     clean = G.gen_orders(G.sequential_ids(spark, 0, EASY_ROWS), "id", seed)
-    dirty, words = I.inject_words(I.as_raw(clean), ["price", "quantity"], EASY_WORDS, seed + 101)
-    dirty, nulls = I.inject_nulls(
-        dirty, ["customer", "product", "price", "quantity", "region"], EASY_NULLS, seed + 102, exclude=words
-    )
-    taken = I.truth_table([words, nulls])
-    dirty, dates = I.inject_future_dates(dirty, "order_date", EASY_DATES, seed + 103, exclude=taken)
-    taken = I.truth_table([taken, dates])
-    dirty, padded = I.inject_whitespace(
-        dirty, ["customer", "product", "category", "region"], EASY_PADDED, seed + 104, exclude=taken
-    )
-    return TaskDataset(
-        "easy", dirty, clean, EASY_HINT, {"injected_cells": I.truth_table([taken, padded])}, order_rules()
+    dirty, truth = I.inject_counts(
+        I.as_raw(clean),
+        [
+            I.CountError(I.WORD, ("price", "quantity"), EASY_WORDS),
+            I.CountError(I.NULL, ("customer", "product", "price", "quantity", "region"), EASY_NULLS),
+            I.CountError(I.FUTURE_DATE, ("order_date",), EASY_DATES),
+            I.CountError(I.WHITESPACE, ("customer", "product", "category", "region"), EASY_PADDED),
+        ],
+        seed + 101,
     )
+    return TaskDataset("easy", dirty, clean, EASY_HINT, {"injected_cells": truth}, order_rules())
 
 
 def make_medium(spark: SparkSession) -> TaskDataset:
     seed = SEEDS["medium"]
     clean = G.gen_transactions(G.sequential_ids(spark, 0, MEDIUM_ROWS), "id", seed)
-    outliers = I.sample_rows(clean, MEDIUM_OUTLIERS, seed + 101).select("row_id")
-    extremes = I.sample_rows(clean, MEDIUM_EXTREMES, seed + 102, exclude=outliers).select("row_id")
-    typo_rows = I.sample_rows(clean, MEDIUM_TYPOS, seed + 103, exclude=outliers).select("row_id")
+    outliers = cut_lineage(I.sample_rows(clean, MEDIUM_OUTLIERS, seed + 101).select("row_id"))
+    extremes = cut_lineage(I.sample_rows(clean, MEDIUM_EXTREMES, seed + 102, exclude=outliers).select("row_id"))
+    typo_rows = cut_lineage(I.sample_rows(clean, MEDIUM_TYPOS, seed + 103, exclude=outliers).select("row_id"))
     (clean,) = I.plant_valid_extremes([clean], "amount", extremes, seed + 104)
     dirty, outlier_truth = I.inject_outliers(I.as_raw(clean), "amount", outliers, seed + 105)
     dirty, typo_truth = I.inject_typos(dirty, "category", typo_rows, seed + 106)
