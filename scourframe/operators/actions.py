@@ -124,7 +124,13 @@ def parse_response(raw: Column, columns: Sequence[str]) -> Column:
         return F.when(kind == "STRING", X.try_int(text)).otherwise(F.coalesce(flag, X.try_int(text), number))
 
     row_index = F.when(text_or_null("row").isNotNull(), as_row("row")).otherwise(as_row("row_index"))
-    value = F.when(field_type("value") == "BOOLEAN", F.initcap(text_or_null("value"))).otherwise(text_or_null("value"))
+    shown, kind = text_or_null("value"), field_type("value")
+    fraction = (kind != "STRING") & shown.rlike("^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$") & shown.rlike("[.eE]")
+    value = (
+        F.when(kind == "BOOLEAN", F.initcap(shown))
+        .when(fraction, X.as_text(shown.try_cast("double")))  # 29.50 -> 29.5
+        .otherwise(shown)
+    )
 
     done = F.lit(None).cast(ACTION_TYPE)
     error = action_error(command, row_index, column, value, strategy)

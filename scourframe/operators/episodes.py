@@ -54,12 +54,17 @@ def score_delta(log: DataFrame, keep_chunk: bool = False) -> DataFrame:
 
 # -- terms: column expressions over a log with prev_score and limits -----------------------------------------------
 
+def score_after() -> Column:
+    """DONE changes no table, so the score stays."""
+    return F.when(F.col("command") == "DONE", F.col("prev_score")).otherwise(F.col("score"))
+
+
 def progress() -> Column:
-    return F.col("score") - F.col("prev_score")
+    return score_after() - F.col("prev_score")
 
 
 def just_solved() -> Column:
-    return (F.col("prev_score") < F.col("threshold")) & (F.col("score") >= F.col("threshold"))
+    return (F.col("prev_score") < F.col("threshold")) & (score_after() >= F.col("threshold"))
 
 
 def efficiency() -> Column:
@@ -73,7 +78,7 @@ def protected_penalty() -> Column:
 
 def early_done_penalty() -> Column:
     """Cannot occur next to the DONE gate, since every threshold is above 0.60; kept as part of the formula."""
-    early = (F.col("command") == "DONE") & (F.col("score") < EARLY_DONE_SCORE)
+    early = (F.col("command") == "DONE") & (F.col("prev_score") < EARLY_DONE_SCORE)
     return F.when(early, EARLY_DONE_PENALTY).otherwise(0.0)
 
 

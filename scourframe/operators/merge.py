@@ -13,9 +13,7 @@ from scourframe.functions import scalars as X
 from scourframe.operators import profile as P
 
 CASE_CONF = "spark.sql.caseSensitive"
-# Fixed value: slack for amounts that were rounded to two places. Half of a ten-thousandth is added so that a pair
-# lying exactly on the bound is inside it whatever the floating-point rounding.
-ROUNDING_SLACK = 0.005 + 0.00005
+ROUNDING = 0.005  # fixed value: half a unit of the second decimal
 
 
 # -- conform and union ----------------------------------------------------------------------------------------------
@@ -127,13 +125,16 @@ def near_duplicates(
     size is spread over its cells, and equal amounts fold to one row first.
     """
     keys = list(keys)
+    # Amounts with two decimals are rounded, hence half a unit of slack. Half of the smallest step of `pct * a` on
+    # top keeps pairs that lie exactly on the bound inside it whatever the floating-point rounding.
+    slack = ROUNDING + pct * ROUNDING
     below, above = F.log(F.lit(1.0 + pct)), -F.log(F.lit(1.0 - pct))
     reach = below + above
     base = df.withColumn("_a", X.safe_float(P.present(df, amount))).filter(F.col("_a") >= 0)
     points = (
         base.groupBy(*keys, "_a")
         .agg(F.min(row_id).alias("_first"))
-        .withColumn("_u", F.log(F.col("_a") + F.lit(ROUNDING_SLACK / pct)))
+        .withColumn("_u", F.log(F.col("_a") + F.lit(slack / pct)))
     )
     # kind 1 carries a row id; kind 0 asks for the minimum from here to the end of the cell; kind 2 for the minimum
     # from the start of the next cell to here. At equal places, rows come after the start and before the end of a reach.

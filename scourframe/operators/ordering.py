@@ -57,8 +57,8 @@ def rows_at_positions(df: DataFrame, positions: DataFrame, key: str = "row_id")
     Only the chunks that hold a wanted position are numbered, so no more than `len(positions)` chunks are shuffled.
     """
     wanted = positions.agg(F.collect_set("position").alias("p")).scalar()
-    chunks = chunk_counts(df, F.col(key))
-    inside = F.filter(wanted, lambda p: (p >= F.col("_offset")) & (p < F.col("_offset") + F.col("_n")))
+    chunks = chunk_counts(df, F.col(key)).withColumn("_wanted", wanted)
+    inside = F.filter(F.col("_wanted"), lambda p: (p >= F.col("_offset")) & (p < F.col("_offset") + F.col("_n")))
     targets = chunks.select("_chunk", "_offset", F.explode(inside).alias("position"))
     rows = df.select(key, F.shiftright(key, CHUNK_BITS).alias("_chunk"))
     rows = rows.join(F.broadcast(targets.select("_chunk").distinct()), "_chunk", "left_semi")
@@ -125,7 +125,7 @@ class ChunkedWindow:
 
 
 def recent_items(df: DataFrame, group: Sequence[str], order: str, item: str, k: int, name: str, width: int = LOG_CHUNK) -> DataFrame:
-    """List of the last k items before each row, oldest first."""
+    """List of the items of the last k rows before each row, oldest first; rows without an item add nothing."""
     group = list(group)
     keys = [*group, "_chunk"]
     rows = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
@@ -133,19 +133,20 @@ def recent_items(df: DataFrame, group: Sequence[str], order: str, item: str, k:
     outer = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(-k, -1)
     newest = Window.partitionBy(*keys).orderBy(F.desc(order))
     tails = (
-        rows.select(*keys, order, item)
+        rows.select(*keys, order, F.struct(F.col(item).alias("i")).alias("_s"))
         .withColumn("_rank", F.row_number().over(newest))
         .filter(F.col("_rank") <= k)
         .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda s: s[item]).alias("_tail"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "_s"))), lambda t: t["_s"]).alias("_tail"))
         .select(*keys, F.flatten(F.collect_list("_tail").over(outer)).alias("_before"))
     )
-    local = F.collect_list(item).over(inner.rowsBetween(-k, -1))
-    both = F.concat(F.coalesce(F.col("_before"), F.array().cast("array<string>")), F.col("_near"))
-    start = F.greatest(F.size(both) - k, F.lit(0)) + 1
+    near = F.collect_list(F.struct(F.col(item).alias("i"))).over(inner.rowsBetween(-k, -1))
+    both = F.concat(F.coalesce(F.col("_before"), F.filter(F.col("_near"), lambda s: F.lit(False))), F.col("_near"))
+    recent = F.slice(F.col("_both"), F.greatest(F.size("_both") - k, F.lit(0)) + 1, F.lit(k))
     return (
-        rows.withColumn("_near", local)
+        rows.withColumn("_near", near)
         .join(tails, keys, "left")
-        .withColumn(name, F.slice(both, start, F.lit(k)))
-        .drop("_chunk", "_near", "_before")
+        .withColumn("_both", both)
+        .withColumn(name, F.array_compact(F.transform(recent, lambda s: s["i"])))
+        .drop("_chunk", "_near", "_before", "_both")
     )
