@@ -32,7 +32,6 @@ SEGMENTS_PER_CHECKPOINT = 10
 LOG_SCHEMA = (
     "episode_id string, step int, command string, row_index bigint, `column` string, value string, fill_strategy string"
 )
-ACTION_TYPE = "struct<command:string,row_index:bigint,column:string,value:string,fill_strategy:string>"
 
 
 # -- validation -----------------------------------------------------------------------------------------------------
@@ -71,7 +70,8 @@ def validate_actions(log: DataFrame) -> DataFrame:
 # -- raw responses --------------------------------------------------------------------------------------------------
 
 _FENCE = "```"
-_FIELDS = "action string, column string, strategy string, fill_strategy string, row string, row_index string, value string"
+_FIELD_NAMES = ("action", "column", "strategy", "fill_strategy", "row", "row_index", "value")
+_FIELDS = ", ".join(f"`{n}` string" for n in _FIELD_NAMES)
 
 
 def unfence(text: Column) -> Column:
@@ -97,61 +97,58 @@ def match_column(name: Column, columns: Sequence[str]) -> Column:
     return F.when(name.isin(*columns), name).otherwise(X.lookup(by_lower, F.lower(name)))
 
 
-def parse_response(raw: Column, columns: Sequence[str]) -> Column:
-    """Action struct in a raw text response; anything unusable becomes DONE."""
-    obj = json_object(unfence(X.strip(raw)))
-    variant = F.try_parse_json(obj)
-    data = F.from_json(F.when(variant.isNotNull(), obj), _FIELDS)
-
-    def field_type(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(variant, f"$.{name}", "variant"))
-
-    def text_or_null(name: str) -> Column:
-        return F.when(field_type(name) != "VOID", data[name])
+def parse_responses(raw: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
+    """Adds the five action columns to a table of raw responses; anything unusable becomes DONE.
 
-    spoken = F.upper(X.strip(F.coalesce(text_or_null("action"), F.lit("DONE"))))
+    Each stage is a projection of its own, so a text is searched and parsed once however often its fields are used.
+    """
+    found = raw.withColumn("_text", X.strip(F.col(text))).withColumn("_object", json_object(unfence(F.col("_text"))))
+    opened = found.withColumn("_json", F.try_parse_json("_object"))
+    kinds = [F.schema_of_variant(F.try_variant_get("_json", f"$.{n}", "variant")).alias(n) for n in _FIELD_NAMES]
+    typed = opened.withColumns({
+        "_kind": F.struct(*kinds), "_data": F.from_json(F.when(F.col("_json").isNotNull(), F.col("_object")), _FIELDS),
+    })
+    kind, data = F.col("_kind"), F.col("_data")
+    given = typed.withColumns({f"_{n}": F.when(kind[n] != "VOID", data[n]) for n in _FIELD_NAMES})
+
+    spoken = F.upper(X.strip(F.coalesce(F.col("_action"), F.lit("DONE"))))
     command = X.lookup(COMMAND_SYNONYMS, F.replace(spoken, F.lit(" "), F.lit("_")), F.lit("DONE"))
-
-    column = match_column(text_or_null("column"), columns)
-    strategy = F.coalesce(F.nullif(text_or_null("strategy"), F.lit("")), text_or_null("fill_strategy"))
-    unknown = (strategy != "") & ~F.lower(strategy).isin(*FILL_STRATEGIES)
-    strategy = F.when(unknown, F.lit(DEFAULT_STRATEGY)).otherwise(strategy)
-
-    def as_row(name: str) -> Column:
-        text, kind = text_or_null(name), field_type(name)
-        number = F.when(text.rlike(X.NUMBER_PATTERN), text.try_cast("double").try_cast("bigint"))  # 7.9 -> 7
-        flag = F.when(kind == "BOOLEAN", (text == "true").cast("bigint"))
-        return F.when(kind == "STRING", X.try_int(text)).otherwise(F.coalesce(flag, X.try_int(text), number))
-
-    row_index = F.when(text_or_null("row").isNotNull(), as_row("row")).otherwise(as_row("row_index"))
-    shown, kind = text_or_null("value"), field_type("value")
-    fraction = (kind != "STRING") & shown.rlike("^-?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?$") & shown.rlike("[.eE]")
+    strategy = F.coalesce(F.nullif(F.col("_strategy"), F.lit("")), F.col("_fill_strategy"))
+    row = F.coalesce("_row", "_row_index")
+    row_kind = F.when(F.col("_row").isNotNull(), kind["row"]).otherwise(kind["row_index"])
+    read = given.withColumns({
+        "_command": command, "_column": match_column(F.col("_column"), columns), "_strategy": strategy, "_row": row,
+        "_row_kind": row_kind,
+    })
+
+    unknown = (F.col("_strategy") != "") & ~F.lower("_strategy").isin(*FILL_STRATEGIES)
+    whole = F.coalesce(X.try_int(F.col("_row")), X.to_numeric(F.col("_row")).try_cast("bigint"))  # the number 7.9 -> 7
+    row_index = (
+        F.when(F.col("_row_kind") == "STRING", X.try_int(F.col("_row")))
+        .when(F.col("_row_kind") == "BOOLEAN", (F.col("_row") == "true").cast("bigint"))
+        .otherwise(whole)
+    )
+    shown = F.col("_value")
+    fraction = kind["value"].rlike("^(DECIMAL|DOUBLE|FLOAT)") | (~kind["value"].isin("STRING", "BOOLEAN") & shown.rlike("^-?[0-9.]*[.eE][-+0-9]*$"))
     value = (
-        F.when(kind == "BOOLEAN", F.initcap(shown))
-        .when(fraction, X.as_text(shown.try_cast("double")))  # 29.50 -> 29.5
+        F.when(kind["value"] == "BOOLEAN", F.initcap(shown))
+        .when(fraction, F.coalesce(X.as_text(shown.try_cast("double")), shown))  # the number 29.50 -> 29.5
         .otherwise(shown)
     )
-
-    done = F.lit(None).cast(ACTION_TYPE)
-    error = action_error(command, row_index, column, value, strategy)
-    action = F.struct(
-        command.alias("command"), row_index.alias("row_index"), column.alias("column"), value.alias("value"),
-        strategy.alias("fill_strategy"),
-    )
-    usable = F.when((command != "DONE") & error.isNull(), action).otherwise(done)
-    return usable
-
-
-def parse_responses(raw: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
-    """Adds the five action columns to a table of raw responses."""
-    parsed = raw.withColumn("_a", parse_response(F.col(text), columns))
-    return parsed.select(
+    actions = read.withColumns({
+        "_strategy": F.when(unknown, F.lit(DEFAULT_STRATEGY)).otherwise(F.col("_strategy")),
+        "_row_index": row_index, "_value": value,
+    })
+    parts = ("_command", "_row_index", "_column", "_value", "_strategy")
+    usable = (F.col("_command") != "DONE") & action_error(*[F.col(c) for c in parts]).isNull()
+    judged = actions.withColumn("_usable", usable)
+    return judged.select(
         *raw.columns,
-        F.coalesce("_a.command", F.lit("DONE")).alias("command"),
-        F.col("_a.row_index").alias("row_index"),
-        F.col("_a.column").alias("column"),
-        F.col("_a.value").alias("value"),
-        F.col("_a.fill_strategy").alias("fill_strategy"),
+        F.when(F.col("_usable"), F.col("_command")).otherwise(F.lit("DONE")).alias("command"),
+        *[
+            F.when(F.col("_usable"), F.col(c)).alias(n)
+            for c, n in zip(parts[1:], ("row_index", "column", "value", "fill_strategy"))
+        ],
     )
 
 
