@@ -171,15 +171,21 @@ def _ymd(text: Column, years: str) -> Column:
     return F.regexp_extract(text, f"^(?:{years})-[0-9]{{1,2}}-[0-9]{{1,2}}$", 0).try_cast("date")
 
 
+def _in_forms(text: Column, forms: Sequence[tuple[str, str]], years: str) -> Column:
+    """ISO texts, by far the most common form, skip the rewriting."""
+    return _ymd(F.when(text.rlike(ISO_DATE_PATTERN), text).otherwise(_rewritten(text, forms)), years)
+
+
 def strict_date(c: Column, years: str = HELD_YEARS) -> Column:
     """Date in one of the forms y-m-d, m/d/y, d.m.y, d/m/y, y/m/d."""
-    return _ymd(_rewritten(c, STRICT_DATE_FORMS), years)
+    return _in_forms(c, STRICT_DATE_FORMS, years)
 
 
 def guessed_date(c: Column, years: str = HELD_YEARS) -> Column:
     """Date in one of the freer forms, month first where both orders are possible."""
     named = F.regexp_extract(_rewritten(c, MONTH_NAME_FORMS), f"(?i)^[0-9]{{1,2}} [a-z]{{3}} (?:{years})$", 0)
-    return F.coalesce(_ymd(_rewritten(c, GUESSED_DATE_FORMS), years), F.try_to_date(named, "d MMM y"))
+    spelt = F.when(c.rlike("(?i)[a-z]{3}.*[0-9]{4}$"), F.try_to_date(named, "d MMM y"))
+    return F.coalesce(_in_forms(c, GUESSED_DATE_FORMS, years), spelt)
 
 
 def normalise_dates(c: Column) -> Column:

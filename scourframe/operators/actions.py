@@ -314,10 +314,14 @@ def _apply_run(
             flagged = {r["step"] for r in marked.select("step").collect()}
         if sets:
             rows = [(a["step"], found[place[a["step"]]], a["column"], a["value"]) for a in sets]
-            patches = spark.createDataFrame(rows, f"step int, {row_id} bigint, `column` string, value string")
-            table, checked = C.set_values(table, patches, row_id)  # the majority type is taken once per run
-            failed = checked.filter(~F.col("success")).select("step", "error").collect()
-            errors.update({r["step"]: r["error"] for r in failed})
+            schema = f"step int, {row_id} bigint, `column` string, value string"
+            hit = sorted({a["column"] for a in sets})
+            # the majority type of a column is taken once per run
+            checked = C.check_patches(df, spark.createDataFrame(rows, schema), row_id, hit, bounded=True).collect()
+            errors.update({r["step"]: r["error"] for r in checked if not r["success"]})
+            good = [(r["step"], r[row_id], r["column"], r["cast_value"]) for r in checked if r["success"]]
+            if good:
+                table = C.write_cells(table, spark.createDataFrame(good, schema), row_id, "step", hit, bounded=True)
         if drops:
             gone = spark.createDataFrame([(found[place[s]],) for s in sorted(drops)], f"{row_id} bigint")
             table = C.drop_rows(table, F.broadcast(gone), row_id)

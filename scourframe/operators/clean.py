@@ -15,6 +15,7 @@ from scourframe.operators import profile as P
 FILL_STRATEGIES = ("mean", "median", "mode", "drop")
 MEDIAN_DIRECT_ROWS = 2_000_000
 MEDIAN_BUCKETS = 4096
+INLINE_DOMAIN = 40
 
 
 @dataclass(frozen=True)
@@ -30,22 +31,31 @@ def last_write_wins(patches: DataFrame, row_id: str = "row_id", step: str = "ste
     return patches.groupBy(row_id, "column").agg(F.max_by("value", step).alias("value"))
 
 
-def write_cells(df: DataFrame, patches: DataFrame, row_id: str = "row_id", step: str | None = None) -> DataFrame:
+def write_cells(
+    df: DataFrame,
+    patches: DataFrame,
+    row_id: str = "row_id",
+    step: str | None = None,
+    columns: Sequence[str] | None = None,
+    bounded: bool = False,
+) -> DataFrame:
     """Overwrite cells named by (row_id, column, value); a NULL value writes NULL.
 
-    The patches are folded to one row per table row first, so the table meets them in a single equi-join.
+    The patches are folded to one row per table row first, so the table meets them in a single equi-join. `columns`
+    names the columns that can be patched; `bounded` says that the patches are few (an action log), so that the table
+    need not be shuffled for them.
     """
-    columns = P.data_columns(df, row_id)
+    patched = list(columns) if columns is not None else P.data_columns(df, row_id)
     order = F.col(step) if step else F.lit(1)
-    written = {c: F.max_by(F.struct("value"), F.when(F.col("column") == c, order)) for c in columns}
-    wide = patches.groupBy(row_id).agg(*[w.alias(f"_p_{i}") for i, w in enumerate(written.values())])
+    written = [F.max_by(F.struct("value"), F.when(F.col("column") == c, order)) for c in patched]
+    wide = patches.groupBy(row_id).agg(*[w.alias(f"_p_{i}") for i, w in enumerate(written)])
     types = dict(df.dtypes)
-    out = df.join(wide, row_id, "left")
     new = {
         c: F.when(F.col(f"_p_{i}").isNotNull(), F.col(f"_p_{i}")["value"].try_cast(types[c])).otherwise(F.col(c))
-        for i, c in enumerate(columns)
+        for i, c in enumerate(patched)
     }
-    return out.select(row_id, *[new[c].alias(c) for c in columns])
+    out = df.join(F.broadcast(wide) if bounded else wide, row_id, "left")
+    return out.select(row_id, *[new.get(c, F.col(c)).alias(c) for c in P.data_columns(df, row_id)])
 
 
 def cast_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -72,14 +82,15 @@ def cast_error(value: Column, column: Column) -> Column:
     )
 
 
-def set_values(df: DataFrame, patches: DataFrame, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """Patches (row_id, column, value, step) -> (new table, report with success and error per patch).
-
-    A bad column, an unknown row or a value that does not fit its column leaves the table as it was.
-    """
-    columns = P.data_columns(df, row_id)
-    stats = F.broadcast(cast_statistics(df, columns))  # one row per column of the table
-    known = df.select(row_id).join(patches.select(row_id), row_id, "left_semi").withColumn("_known", F.lit(True))
+def check_patches(
+    df: DataFrame, patches: DataFrame, row_id: str = "row_id", columns: Sequence[str] | None = None, bounded: bool = False
+) -> DataFrame:
+    """Adds cast_value, success and error to patches (row_id, column, value, step). `columns` names the columns that
+    the patches can hit, so that no other one is read for its majority type."""
+    available = P.data_columns(df, row_id)
+    stats = F.broadcast(cast_statistics(df, [c for c in available if columns is None or c in columns]))  # a row per column
+    ids = patches.select(row_id)
+    known = df.select(row_id).join(F.broadcast(ids) if bounded else ids, row_id, "left_semi").withColumn("_known", F.lit(True))
     checked = (
         patches.join(stats, "column", "left")
         .join(known, row_id, "left")
@@ -87,13 +98,21 @@ def set_values(df: DataFrame, patches: DataFrame, row_id: str = "row_id") -> tup
     )
     error = (
         F.when(F.col("majority_numeric").isNull(),
-               F.concat(F.lit("Column '"), F.col("column"), F.lit(f"' not found. Available: {columns}")))
+               F.concat(F.lit("Column '"), F.col("column"), F.lit(f"' not found. Available: {available}")))
         .when(F.col("_known").isNull(), F.concat(F.lit("Row "), X.as_text(F.col(row_id)), F.lit(" not found.")))
         .when(~F.col("_cast.ok"), cast_error(F.col("value"), F.col("column")))
     )
-    report = checked.select(
+    return checked.select(
         *patches.columns, F.col("_cast.value").alias("cast_value"), error.alias("error")
     ).withColumn("success", F.col("error").isNull())
+
+
+def set_values(df: DataFrame, patches: DataFrame, row_id: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """Patches (row_id, column, value, step) -> (new table, report with success and error per patch).
+
+    A bad column, an unknown row or a value that does not fit its column leaves the table as it was.
+    """
+    report = check_patches(df, patches, row_id)
     good = report.filter("success").select(row_id, "column", F.col("cast_value").alias("value"), "step")
     return write_cells(df, good, row_id, "step"), report.drop("cast_value")
 
@@ -214,26 +233,57 @@ def fill_drop(df: DataFrame, column: str) -> DataFrame:
     return drop_missing(df, column)
 
 
-def check_fill(df: DataFrame, column: str | None, strategy: str | None) -> ActionResult:
+def fill_center(df: DataFrame, column: str, strategy: str) -> float | str | None:
+    """The value to fill with, NULL where the column offers none."""
+    if strategy == "mean":
+        return df.agg(X.round2(F.avg(X.to_numeric(P.present(df, column))))).first()[0]
+    if strategy == "median":
+        center = exact_median(df, X.to_numeric(P.present(df, column)))
+        return center if center is None else df.sparkSession.range(1).select(X.round2(F.lit(center))).first()[0]
+    row = most_frequent(df, column).first()
+    return row[0] if row else None
+
+
+def _fill_error(column: str, strategy: str) -> ActionResult:
+    if strategy == "mode":
+        return ActionResult(False, f"No mode found for column {column!r} (all values missing?).")
+    return ActionResult(False, f"Cannot compute {strategy} for non-numeric column {column!r}.")
+
+
+def _fill_names(df: DataFrame, column: str | None, strategy: str | None) -> ActionResult:
     if column not in df.columns:
         return ActionResult(False, N.column_error(column, P.data_columns(df)))
     if strategy not in FILL_STRATEGIES:
         return ActionResult(False, f"Unknown fill_strategy: {strategy!r}")
-    c = P.present(df, column)
-    if strategy in ("mean", "median") and df.filter(X.to_numeric(c).isNotNull()).isEmpty():
-        return ActionResult(False, f"Cannot compute {strategy} for non-numeric column {column!r}.")
-    if strategy == "mode" and df.filter(c.isNotNull()).isEmpty():
-        return ActionResult(False, f"No mode found for column {column!r} (all values missing?).")
     return ActionResult(True)
 
 
+def check_fill(df: DataFrame, column: str | None, strategy: str | None) -> ActionResult:
+    """Whether a fill can be done; stops at the first usable cell."""
+    named = _fill_names(df, column, strategy)
+    if not named.success or strategy == "drop":
+        return named
+    c = P.present(df, column)
+    usable = c if strategy == "mode" else X.to_numeric(c)
+    return _fill_error(column, strategy) if df.filter(usable.isNotNull()).isEmpty() else named
+
+
 def fill_missing(df: DataFrame, column: str, strategy: str) -> tuple[DataFrame, ActionResult]:
-    """Fill by strategy; an error leaves the table as it was."""
-    result = check_fill(df, column, strategy)
-    if not result.success:
-        return df, result
-    fill = {"mean": fill_mean, "median": fill_median, "mode": fill_mode, "drop": fill_drop}[strategy]
-    return fill(df, column), result
+    """Fill by strategy; an error leaves the table as it was.
+
+    The center is computed here, once: later jobs on the result carry it as a literal and do not scan for it again.
+    """
+    named = _fill_names(df, column, strategy)
+    if not named.success:
+        return df, named
+    if strategy == "drop":
+        return fill_drop(df, column), named
+    center = fill_center(df, column, strategy)
+    if center is None:
+        return df, _fill_error(column, strategy)
+    c = P.present(df, column)
+    cell = c if strategy == "mode" else X.to_numeric(c)
+    return df.withColumn(column, F.coalesce(cell, F.lit(center))), named
 
 
 # -- categories and outliers ---------------------------------------------------------------------------------------
@@ -244,6 +294,12 @@ def nearest_category(c: Column, domain: Sequence[str], max_dist: int = 2) -> Col
     The domain is a short list known to the caller, so this is a projection: no join, no shuffle, and the bounded
     edit distance stops early.
     """
+    if len(domain) > INLINE_DOMAIN:  # same result in a plan that does not grow with the list
+        near = F.transform(
+            F.array(*[F.lit(v) for v in sorted(domain)]),
+            lambda v: F.when(F.levenshtein(c, v) <= max_dist, F.struct(F.levenshtein(c, v).alias("d"), v.alias("v"))),
+        )
+        return F.array_min(near)["v"]
     candidates = []
     for value in sorted(domain):
         dist = F.levenshtein(c, F.lit(value), max_dist)

@@ -133,7 +133,7 @@ def near_duplicates(
     base = df.withColumn("_a", X.safe_float(P.present(df, amount))).filter(F.col("_a") >= 0)
     points = (
         base.groupBy(*keys, "_a")
-        .agg(F.min(row_id).alias("_first"))
+        .agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_u", F.log(F.col("_a") + F.lit(slack / pct)))
     )
     # kind 1 carries a row id; kind 0 asks for the minimum from here to the end of the cell; kind 2 for the minimum
@@ -147,8 +147,8 @@ def near_duplicates(
     places = F.array(
         mark(0, start, first_cell), mark(1, F.col("_u"), F.floor(F.col("_u") / reach)), mark(2, end, first_cell + 1)
     )
-    marked = points.select(*keys, "_a", "_first", F.explode(places).alias("_m")).select(
-        *keys, "_a", "_first", F.col("_m.kind").alias("_kind"), F.col("_m.at").alias("_at"), F.col("_m.cell").alias("_cell")
+    marked = points.select(*keys, "_a", "_first", "_n", F.explode(places).alias("_m")).select(
+        *keys, "_a", "_first", "_n", F.col("_m.kind").alias("_kind"), F.col("_m.at").alias("_at"), F.col("_m.cell").alias("_cell")
     )
     cell = Window.partitionBy(*keys, "_cell")
     row_here = F.when(F.col("_kind") == 1, F.col("_first"))
@@ -158,7 +158,12 @@ def near_duplicates(
         F.col("_kind") == 2, F.min(row_here).over(upward)
     )
     answers = marked.withColumn("_answer", answer).filter(F.col("_answer").isNotNull())
-    earliest = answers.groupBy(*keys, "_a").agg(F.min("_answer").alias("original_id"))
+    earliest = (
+        answers.groupBy(*keys, "_a")
+        .agg(F.min("_answer").alias("original_id"), F.first("_first").alias("_first"), F.first("_n").alias("_n"))
+        .filter((F.col("original_id") < F.col("_first")) | (F.col("_n") > 1))  # the rest holds no copy
+        .drop("_first", "_n")
+    )
     ids = base.select(*keys, "_a", F.col(row_id).alias("duplicate_id"))
     same = [ids[k].eqNullSafe(earliest[k]) for k in [*keys, "_a"]]
     return (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BITS = 20
 LOG_CHUNK = 1 << 16
+LOOKUP_ROWS = 10_000
 
 
 def _chunk_offsets(counts: DataFrame) -> DataFrame:
@@ -52,10 +53,13 @@ def with_position(
 
 
 def rows_at_positions(df: DataFrame, positions: DataFrame, key: str = "row_id") -> DataFrame:
-    """(position, key) for a short list of positions (an action log is bounded by its step budget).
+    """(position, key) for a list of positions.
 
-    Only the chunks that hold a wanted position are numbered, so no more than `len(positions)` chunks are shuffled.
+    A short list (an action log is bounded by its step budget) is looked up without numbering the table: only the chunks that hold a wanted position are shuffled. A longer list is joined to the numbered table.
     """
+    positions = positions.select(F.col("position").cast("bigint").alias("position")).distinct()
+    if positions.limit(LOOKUP_ROWS + 1).count() > LOOKUP_ROWS:
+        return with_position(df.select(key), key).join(positions, "position").select("position", key)
     wanted = positions.agg(F.collect_set("position").alias("p")).scalar()
     chunks = chunk_counts(df, F.col(key)).withColumn("_wanted", wanted)
     inside = F.filter(F.col("_wanted"), lambda p: (p >= F.col("_offset")) & (p < F.col("_offset") + F.col("_n")))

@@ -19,16 +19,18 @@ def raw_schema(columns: Sequence[str], key: str) -> str:
 
 
 def read_raw(
-    spark: SparkSession, path: str, key: str = "row_id", fmt: str = "parquet", columns: Sequence[str] | None = None
+    spark: SparkSession, path: str, key: str = "row_id", fmt: str = "parquet", columns: Sequence[str] | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A raw table: `row_id` and text columns, NaN folded into NULL.
 
     CSV files have a header; `columns` names them in order (no inference pass). In CSV an empty field is missing.
+    `multi_line` allows line breaks inside cells, at the price of one task per file.
     """
     if fmt == "csv":
         if columns is None:
             raise ValueError("reading CSV needs the list of columns")
-        reader = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True)
+        reader = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multi_line)
         reader = reader.option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         return reader.schema(raw_schema(columns, key)).csv(path).withColumnRenamed(key, "row_id")
     if fmt != "parquet":
