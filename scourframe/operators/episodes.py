@@ -1,7 +1,8 @@
 """Analytics over logs of cleaning episodes.
 
 Step log: episode_id, task_id, step, command, score, dropped_protected; `score` is the score after the step, step 0
-is the reset. Rows are distributed by (episode, chunk of steps), see `ordering`.
+is the reset. `hot` says whether an episode is too long for one task, in which case rows are distributed by
+(episode, chunk of steps), see `ordering`; by default this is checked with one count.
 """
 
 from __future__ import annotations
@@ -47,9 +48,12 @@ def with_limits(log: DataFrame) -> DataFrame:
     })
 
 
-def score_delta(log: DataFrame, keep_chunk: bool = False) -> DataFrame:
+EPISODE = ["episode_id"]
+
+
+def score_delta(log: DataFrame, hot: bool | None = None, keep_chunk: bool = False) -> DataFrame:
     """Adds prev_score: the score before the step, NULL at reset."""
-    return O.ChunkedWindow(log, ["episode_id"], "step").lag("prev_score", "score").result(keep_chunk)
+    return O.GroupWindow(log, EPISODE, "step", hot).lag("prev_score", "score").result(keep_chunk)
 
 
 # -- terms: column expressions over a log with prev_score and limits -----------------------------------------------
@@ -105,15 +109,15 @@ def is_done() -> Column:
 
 # -- jobs -----------------------------------------------------------------------------------------------------------
 
-def step_rewards(log: DataFrame, keep_chunk: bool = False) -> DataFrame:
+def step_rewards(log: DataFrame, hot: bool | None = None, keep_chunk: bool = False) -> DataFrame:
     """Adds prev_score, reward, done to every step."""
-    return with_limits(score_delta(log, keep_chunk)).withColumns({"reward": reward(), "done": is_done()})
+    return with_limits(score_delta(log, hot, keep_chunk)).withColumns({"reward": reward(), "done": is_done()})
 
 
-def done_gate(log: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+def done_gate(log: DataFrame, broken: DataFrame | None = None, hot: bool | None = None) -> DataFrame:
     """One row per DONE: accepted, reward, error, issues_remaining. `broken` (episode_id, column, ordinal) lists the
     columns that were still broken; the message shows the first five. `initial_dirty` is read from the log."""
-    dones = step_rewards(log).filter((F.col("command") == "DONE") & F.col("prev_score").isNotNull())
+    dones = step_rewards(log, hot).filter((F.col("command") == "DONE") & F.col("prev_score").isNotNull())
     if broken is not None:
         listed = (
             broken.filter(F.col("ordinal") < SHOWN_BROKEN)
@@ -139,17 +143,18 @@ def done_gate(log: DataFrame, broken: DataFrame | None = None) -> DataFrame:
     )
 
 
-def cut_at_terminal(log: DataFrame) -> DataFrame:
+def cut_at_terminal(log: DataFrame, hot: bool | None = None) -> DataFrame:
     """Steps up to and including the first terminal one of each episode."""
-    flagged = step_rewards(log, keep_chunk=True)
-    ends = O.ChunkedWindow(flagged, ["episode_id"], "step").first_where("end_step", F.col("done")).result()
+    hot = O.has_hot_group(log, EPISODE) if hot is None else hot
+    flagged = step_rewards(log, hot, keep_chunk=True)
+    ends = O.GroupWindow(flagged, EPISODE, "step", hot).first_where("end_step", F.col("done")).result()
     return ends.filter(F.col("end_step").isNull() | (F.col("step") <= F.col("end_step"))).drop("end_step")
 
 
-def termination(log: DataFrame) -> DataFrame:
+def termination(log: DataFrame, hot: bool | None = None) -> DataFrame:
     """One row per episode that ended: episode_id, end_step, solved."""
     return (
-        step_rewards(log)
+        step_rewards(log, hot)
         .filter("done")
         .groupBy("episode_id")
         .agg(F.min("step").alias("end_step"), F.min_by(F.col("score") >= F.col("threshold"), "step").alias("solved"))
@@ -165,13 +170,13 @@ def episode_totals(log: DataFrame) -> DataFrame:
     )
 
 
-def episode_summary(log: DataFrame) -> DataFrame:
+def episode_summary(log: DataFrame, hot: bool | None = None) -> DataFrame:
     """Per episode, as a runner sees it: success, steps, score, total_reward, rewards.
 
     The runner stops at its own step limit (at most 80), so an episode's list of rewards is short; later rows are cut
     before the grouping.
     """
-    rows = cut_at_terminal(log).filter(F.col("step") <= F.col("runner_steps"))
+    rows = cut_at_terminal(log, hot).filter(F.col("step") <= F.col("runner_steps"))
     steps = F.array_sort(F.collect_list(F.when(F.col("reward").isNotNull(), F.struct("step", "reward"))))
     return (
         rows.groupBy("episode_id", "task_id")
@@ -185,9 +190,9 @@ def episode_summary(log: DataFrame) -> DataFrame:
     )
 
 
-def step_position(log: DataFrame) -> DataFrame:
+def step_position(log: DataFrame, hot: bool | None = None) -> DataFrame:
     """Adds step_number (rank of the row in its episode) and remaining (steps left in the budget)."""
-    numbered = O.ChunkedWindow(log, ["episode_id"], "step").row_number("step_number").result()
+    numbered = O.GroupWindow(log, EPISODE, "step", hot).row_number("step_number").result()
     return with_limits(numbered).withColumn("remaining", steps_remaining())
 
 
@@ -208,6 +213,6 @@ def current_state(log: DataFrame) -> DataFrame:
     )
 
 
-def recent_actions(log: DataFrame, k: int = RECENT_ACTIONS) -> DataFrame:
+def recent_actions(log: DataFrame, k: int = RECENT_ACTIONS, hot: bool | None = None) -> DataFrame:
     """Adds `recent`: the last k commands before each step, oldest first."""
-    return O.recent_items(log, ["episode_id"], "step", "command", k, "recent")
+    return O.recent_items(log, EPISODE, "step", "command", k, "recent", hot)

@@ -174,16 +174,11 @@ def outlier_outcomes(work: DataFrame, clean: DataFrame, outliers: DataFrame, ext
 
     The three truth tables are joined to the work table together: one pass over it, one lookup join.
     """
-    parts = truth_to_key(outliers.select(row_id), clean, key, row_id).select(
-        key, F.lit("outlier").alias("kind"), F.lit(None).cast("double").alias("amount"), F.lit(None).cast("string").alias("want")
-    ).unionByName(
-        truth_to_key(extremes.select(row_id), clean, key, row_id, [amount]).select(
-            key, F.lit("extreme").alias("kind"), F.col(amount).cast("double").alias("amount"), F.lit(None).cast("string").alias("want")
-        )
-    ).unionByName(
-        truth_to_key(typos.select(row_id, "clean_value"), clean, key, row_id).select(
-            key, F.lit("typo").alias("kind"), F.lit(None).cast("double").alias("amount"), F.col("clean_value").alias("want")
-        )
+    listed = outliers.select(row_id, F.lit("outlier").alias("kind"), F.lit(None).cast("string").alias("want"))
+    listed = listed.unionByName(extremes.select(row_id, F.lit("extreme").alias("kind"), F.lit(None).cast("string").alias("want")))
+    listed = listed.unionByName(typos.select(row_id, F.lit("typo").alias("kind"), F.col("clean_value").alias("want")))
+    parts = truth_to_key(listed, clean, key, row_id, [amount]).select(
+        key, "kind", F.col(amount).cast("double").alias("amount"), "want"
     )
     live = live_rows(work, parts, key, [amount, category], row_id)
     joined = join_truth(parts, live, key)
@@ -252,11 +247,10 @@ def schema_score(columns: Sequence[str], canonical: Sequence[str]) -> dict[str,
     }
 
 
-def dedup_score(rows: Column, n_clean: Column, copies: int | Column = INJECTED_COPIES) -> dict[str, Column]:
+def dedup_score(rows: Column, n_clean: int, copies: int = INJECTED_COPIES) -> dict[str, Column]:
     """From row counts alone: how many copies must have gone, and how many good rows went with them."""
-    n = F.lit(copies) if isinstance(copies, int) else copies
-    zero = F.lit(0)
-    removed = F.greatest(zero, n_clean + n - rows)
+    n, zero = F.lit(copies), F.lit(0)
+    removed = F.greatest(zero, F.lit(n_clean + copies) - rows)
     true = F.least(removed, n)
     over = F.greatest(zero, removed - n)
     precision = F.greatest(zero, true - over) / (removed + EPS)
@@ -283,10 +277,8 @@ def dedup_identity_score(work: DataFrame, clean: DataFrame, pairs: DataFrame, ro
     others = clean.select(row_id).join(alive, row_id, "left_anti").join(
         ids.select(F.col("original_id").alias(row_id)), row_id, "left_anti"
     )
-    lost = others.agg(F.count(F.lit(1)))
-    tp = F.col("copies_removed")
-    fp = F.col("both_lost") + F.col("others_lost")
-    return copied.withColumn("others_lost", lost.scalar()).select(
+    tp, fp = F.col("copies_removed"), F.col("both_lost") + F.lit(others.count())
+    return copied.select(
         "copies", "copies_removed", fp.alias("originals_lost"),
         X.round4(tp / (tp + fp + EPS)).alias("precision"),
         X.round4(tp / (F.col("copies") + EPS)).alias("recall"),
@@ -299,8 +291,8 @@ def date_column(columns: Sequence[str], aliases: Sequence[str] = DATE_ALIASES) -
 
 
 def score_hard(
-    work: DataFrame, n_clean: int | Column, canonical: Sequence[str], row_id: str = "row_id",
-    copies: int | Column = INJECTED_COPIES, date_aliases: Sequence[str] = DATE_ALIASES,
+    work: DataFrame, n_clean: int, canonical: Sequence[str], row_id: str = "row_id",
+    copies: int = INJECTED_COPIES, date_aliases: Sequence[str] = DATE_ALIASES,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Schema, copies and date format in one pass that reads a single column. `names` stands in for the column names
@@ -308,16 +300,15 @@ def score_hard(
     columns = P.data_columns(work, row_id)
     schema = schema_score(names or columns, canonical)
     date = date_column(columns, date_aliases)
-    n_clean = F.lit(n_clean) if isinstance(n_clean, int) else n_clean
     text = X.as_text(P.present(work, date)) if date else F.lit(None).cast("string")
     counts = work.agg(
         F.count(F.lit(1)).alias("rows"), F.count(text).alias("n_total"), F.count_if(X.valid_iso(text)).alias("n_valid")
-    ).withColumn("n_clean", n_clean)
+    )
     rows, n_total, n_valid = F.col("rows"), F.col("n_total"), F.col("n_valid")
-    dup = dedup_score(rows, F.col("n_clean"), copies)
+    dup = dedup_score(rows, n_clean, copies)
     fmt = n_valid / F.greatest(n_total, F.lit(1))
     score = weighted([(SCHEMA_WEIGHT, F.lit(schema["score"])), (DEDUP_WEIGHT, dup["f1"]), (FORMAT_WEIGHT, fmt)])
-    issues = F.lit(len(canonical) - schema["canonical_found"]) + F.greatest(F.lit(0), rows - F.col("n_clean"))
+    issues = F.lit(len(canonical) - schema["canonical_found"]) + F.greatest(F.lit(0), rows - n_clean)
     detail = F.concat(
         F.lit("Schema="), _fixed(F.lit(schema["score"]), 3), F.lit(" | Dedup="), _fixed(dup["f1"], 3),
         F.lit(" | DateFmt="), _fixed(fmt, 3), F.lit(" → score="), _fixed(score, 3),

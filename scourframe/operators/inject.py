@@ -135,7 +135,7 @@ def inject_copies(
 ) -> tuple[DataFrame, DataFrame]:
     """(table with copies appended, pairs). A share of the copies gets its amount changed by up to `pct`; `amount`
     lists the columns of which the first non-missing one is the amount. Copies get ids above the highest row id."""
-    stride = df.agg(F.max(row_id) + 1).scalar()
+    stride = F.lit((df.agg(F.max(row_id)).first()[0] or 0) + 1)
     picked = df.filter(H.selected(F.col(row_id), seed, rate))
     copies = _copies(picked, stride + F.col(row_id), seed, amount, row_id, near_share, pct)
     pairs = copies.select(F.col("_orig").alias("original_id"), F.col(row_id).alias("duplicate_id"), "near")
@@ -280,7 +280,7 @@ def inject_duplicates(
     near_share: float = NEAR_COPY_SHARE, pct: float = NEAR_COPY_PCT,
 ) -> tuple[DataFrame, DataFrame]:
     """Exactly k copied rows: (table, pairs)."""
-    stride = df.agg(F.max(row_id) + 1).scalar()
+    stride = F.lit((df.agg(F.max(row_id)).first()[0] or 0) + 1)
     copies = _copies(sample_rows(df, k, seed, row_id), stride + F.col(row_id), seed, amount, row_id, near_share, pct)
     pairs = copies.select(F.col("_orig").alias("original_id"), F.col(row_id).alias("duplicate_id"), "near")
     return df.unionByName(copies.drop("_orig", "near")), pairs

@@ -558,9 +558,7 @@ def grade_schema_dedup_dates(spark, sf):
     copies, pairs = T.orders_with_copies(spark, sf)
     work = C.drop_missing(copies.withColumn("purchase_date", F.when(F.col("row_id") % 7 == 0, F.date_format(F.to_date("order_date"), "MM/dd/yyyy")).otherwise(F.col("order_date"))), "amount")
     work = work.filter(~(H.selected(F.col("row_id"), 120, 0.03))).drop("order_date").withColumnRenamed("custkey", "customer_id")
-    n_clean = T.table(spark, sf, "orders").agg(F.count(F.lit(1))).scalar()
-    n_copies = pairs.agg(F.count(F.lit(1))).scalar()
-    return _flat(Q.score_hard(work, n_clean, G.CANONICAL, copies=n_copies))
+    return _flat(Q.score_hard(work, T.table(spark, sf, "orders").count(), G.CANONICAL, copies=pairs.count()))
 
 
 @query

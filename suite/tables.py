@@ -144,7 +144,7 @@ def merged_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a step log: a user is an episode, its first event the reset, later ones the steps."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    numbered = O.ChunkedWindow(e, ["user_id"], "event_id").row_number("rn").result()
+    numbered = O.GroupWindow(e, ["user_id"], "event_id").row_number("rn").result()
     step = (F.col("rn") - 1).cast("int")
     command = F.when(step > 0, X.lookup(COMMAND_OF_EVENT, F.col("event_type")))
     task = F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("user_id") % 3 + 1).cast("int"))
@@ -160,7 +160,7 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an action log; some fields are absent or wrong."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    numbered = O.ChunkedWindow(e, ["user_id"], "event_id").row_number("rn").result()
+    numbered = O.GroupWindow(e, ["user_id"], "event_id").row_number("rn").result()
     k = F.col("event_id")
     return numbered.select(
         F.col("user_id").cast("string").alias("episode_id"), F.col("rn").cast("int").alias("step"),

@@ -46,7 +46,9 @@ def test_done_gate(spark):
     assert E.done_gate(log).orderBy("step").first().error.endswith("[]")
 
 
-def test_termination_and_summary(spark):
+@pytest.mark.parametrize("hot_rows", [1, 10**6])
+def test_termination_and_summary(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr(E.O, "HOT_ROWS", hot_rows)
     slow = [(None, 0.5)] + [("SET_VALUE", 0.5)] * 39 + [("DONE", 0.5), ("SET_VALUE", 0.5)]  # a refused DONE at step 40
     log = log_of(spark, [
         ("slow", "easy", slow),

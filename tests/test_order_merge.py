@@ -11,19 +11,20 @@ from scourframe.operators import ordering as O
 def test_positions_with_sparse_ids(spark):
     ids = sorted(random.Random(3).sample(range(1 << 45), 200))
     df = spark.createDataFrame([(i,) for i in ids], "row_id bigint")
-    for bits in (4, 20, 40):
+    for bits in (4, 20, 40, 50):
         got = O.with_position(df, bits=bits).orderBy("position").collect()
         assert [(r.row_id, r.position) for r in got] == [(v, i) for i, v in enumerate(ids)]
 
 
-def test_rows_at_positions(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [5, 20])
+def test_rows_at_positions(spark, monkeypatch, bits):
     ids = list(range(0, 3000, 7))
     df = spark.createDataFrame([(i,) for i in ids], "row_id bigint")
     wanted = spark.createDataFrame([(0,), (5,), (428,), (99999,), (5,)], "position bigint")
     want = {(0, 0), (5, 35), (428, 2996)}
-    assert {tuple(r) for r in O.rows_at_positions(df, wanted).collect()} == want
+    assert {tuple(r) for r in O.rows_at_positions(df, wanted, bits=bits).collect()} == want
     monkeypatch.setattr(O, "LOOKUP_ROWS", 2)
-    assert {tuple(r) for r in O.rows_at_positions(df, wanted).collect()} == want
+    assert {tuple(r) for r in O.rows_at_positions(df, wanted, bits=bits).collect()} == want
 
 
 def hot_log(n=60):
@@ -36,13 +37,13 @@ def hot_log(n=60):
     return rows
 
 
-@pytest.mark.parametrize("width", [1, 3, 1000])
-def test_chunked_windows_equal_whole_windows(spark, width):
+@pytest.mark.parametrize("hot,width", [(True, 1), (True, 3), (True, 1000), (False, 1)])
+def test_windows_over_hot_and_small_groups(spark, hot, width):
     rows = hot_log()
     df = spark.createDataFrame(rows, "g string, step int, v double, c string")
-    w = (O.ChunkedWindow(df, ["g"], "step", width).lag("prev", "v").row_number("rn").first_where("hit", F.col("v") > 0.8))
+    w = (O.GroupWindow(df, ["g"], "step", hot, width).lag("prev", "v").row_number("rn").first_where("hit", F.col("v") > 0.8))
     got = {(r.g, r.step): (r.prev, r.rn, r.hit) for r in w.result().collect()}
-    recent = {(r.g, r.step): r.recent for r in O.recent_items(df, ["g"], "step", "c", 3, "recent", width).collect()}
+    recent = {(r.g, r.step): r.recent for r in O.recent_items(df, ["g"], "step", "c", 3, "recent", hot, width).collect()}
     for g in {r[0] for r in rows}:
         mine = sorted(r for r in rows if r[0] == g)
         for i, r in enumerate(mine):
@@ -51,6 +52,11 @@ def test_chunked_windows_equal_whole_windows(spark, width):
             assert recent[(g, r[1])] == [x[3] for x in mine[max(0, i - 3): i] if x[3] is not None]
 
 
+def test_hot_groups_are_found(spark):
+    df = spark.createDataFrame([("a",)] * 5 + [("b",)], "g string")
+    assert O.has_hot_group(df, ["g"], 4) and not O.has_hot_group(df, ["g"], 5) and not O.has_hot_group(df.limit(0), ["g"])
+
+
 def brute_near(rows, pct):
     out = {}
     for i, k, a in rows:
@@ -101,7 +107,7 @@ def test_schema_and_dedup_scores(spark):
     assert Q.schema_score(["a", "b", "c"], canonical)["score"] == 1.0
     assert Q.schema_score(["a", "b", "c", "x"], canonical)["score"] == 1.0
     assert Q.schema_score(["a", "x"], canonical)["score"] == pytest.approx(1 / 3)
-    score = lambda rows: spark.range(1).select(Q.dedup_score(F.lit(rows), F.lit(400))["f1"].alias("f")).first().f
+    score = lambda rows: spark.range(1).select(Q.dedup_score(F.lit(rows), 400)["f1"].alias("f")).first().f
     assert score(430) == 0 and score(400) == pytest.approx(1, abs=1e-6) and score(415) == pytest.approx(2 / 3, abs=1e-6)
     assert score(395) == pytest.approx(2 * (25 / 35) / (25 / 35 + 1), abs=1e-6) and score(300) == 0
     assert Q.date_column(["x", "PurchaseDate"]) == "PurchaseDate" and Q.date_column(["x"]) is None
