@@ -196,11 +196,10 @@ def normalise_dates(c: Column) -> Column:
 
 def date_text(c: Column) -> Column:
     """Comparable text of a date cell."""
-    text = strip(as_text(c))
+    day = as_text(guessed_date(strip(as_text(c))))
     return F.coalesce(
         F.when(c.isNull(), F.lit(NAN_MARK)),
-        as_text(guessed_date(text, PLAUSIBLE_YEARS)),
-        F.when(guessed_date(text).isNotNull(), F.lit(BAD_DATE_MARK)),
+        F.regexp_replace(day, f"^(?!(?:{PLAUSIBLE_YEARS})-).*$", BAD_DATE_MARK),
         F.lit(INVALID_DATE_MARK),
     )
 

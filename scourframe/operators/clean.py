@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -181,7 +181,7 @@ def exact_median(df: DataFrame, value: Column, direct_rows: int = MEDIAN_DIRECT_
     bucket that holds the middle ranks becomes the new range, and so on; each pass returns at most a few rows and
     shuffles at most `MEDIAN_BUCKETS` rows per task, however skewed the values are.
     """
-    x = df.select(value.cast("double").alias("x")).filter(F.col("x").isNotNull())
+    x = df.select(value.cast("double").alias("x"))
     n, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if n == 0:
         return None
@@ -316,6 +316,12 @@ def fix_categories(df: DataFrame, column: str, domain: Sequence[str], max_dist:
     return df.withColumn(column, fixed)
 
 
+def typo_lookup(df: DataFrame, column: str, typo_map: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Restore known misspellings (right value -> wrong ones); the map is a fixed list and rides along as a literal."""
+    right = {wrong: value for value, wrongs in typo_map.items() for wrong in wrongs}
+    return df.withColumn(column, X.lookup(right, X.strip(F.col(column)), F.col(column)))
+
+
 def handle_outliers(df: DataFrame, column: str, low: float, high: float, mode: str = "drop") -> DataFrame:
     """Amounts outside [low, high] are errors: drop their rows or move them to the bound."""
     x = X.safe_float(P.present(df, column))

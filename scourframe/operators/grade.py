@@ -228,7 +228,7 @@ def score_medium(
 def row_loss(work: DataFrame, clean: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """One row: clean rows, and those lost although the truth does not allow dropping them (which the scores above
     do not look at)."""
-    alive = work.select(X.safe_float(F.col(key)).cast("bigint").alias(key))
+    alive = live_ids(work, key)
     lost = clean.select(F.col(key).cast("bigint").alias(key)).join(alive, key, "left_anti")
     lost = lost.join(allowed.select(F.col(key).cast("bigint").alias(key)), key, "left_anti")
     return lost.agg(F.count(F.lit(1)).alias("rows_lost"))
@@ -261,6 +261,17 @@ def dedup_score(rows: Column, n_clean: int, copies: int = INJECTED_COPIES) -> di
     }
 
 
+def row_excess(df: DataFrame, n_clean: int) -> DataFrame:
+    """One row: rows, excess (rows beyond the clean count)."""
+    return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("excess", F.greatest(F.lit(0), F.col("rows") - n_clean))
+
+
+def live_ids(work: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that are still in the table; keys that are no number are left out."""
+    ids = work.select(X.safe_float(F.col(key)).cast("bigint").alias(key))
+    return ids.filter(F.col(key).isNotNull()).distinct()
+
+
 def dedup_identity_score(work: DataFrame, clean: DataFrame, pairs: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Which rows went, not only how many: one row with copies, copies_removed, originals_lost, precision, recall, f1.
     A pair counts as resolved when one of its two rows is left."""

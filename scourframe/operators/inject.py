@@ -101,13 +101,12 @@ def inject_errors(
     hashed = df.withColumns({f"_h_{n}": H.keyed_hash(key, salts[n]) for n in hit_columns})
     marks = {}
     for n in hit_columns:
-        start, kind = 0.0, None
+        end, kind = 0.0, None
         for e in [e for e in errors if e.column == n]:
-            hit = H.in_slice(F.col(f"_h_{n}"), e.rate, start)
-            if e.kind in (TYPO, WHITESPACE):
-                hit = hit & F.col(n).isNotNull()
-            kind = F.when(hit, F.lit(e.kind)) if kind is None else kind.when(hit, F.lit(e.kind))
-            start += e.rate
+            end += e.rate  # the slices touch, and the first bound not reached decides
+            name = F.lit(e.kind) if e.kind not in (TYPO, WHITESPACE) else F.when(F.col(n).isNotNull(), F.lit(e.kind))
+            below = F.col(f"_h_{n}") < F.lit(int(end * H.SPACE))
+            kind = F.when(below, name) if kind is None else kind.when(below, name)
         marks[f"_k_{n}"] = kind
     marked = hashed.withColumns(marks)
     new = {}

@@ -462,6 +462,10 @@ def _nearest(x: str, max_dist: int) -> str:
 
 
 oracle("fix_categories", BAD_ACCOUNTS, f"SELECT row_id, {_nearest('segment', 2)} AS segment FROM bad")
+_KNOWN = " ".join(f"WHEN segment = {q(w)} THEN {q(v)}" for v, ws in T.SEGMENT_TYPOS.items() for w in ws)
+oracle("typo_lookup", BAD_ACCOUNTS, f"SELECT row_id, CASE {_KNOWN} ELSE segment END AS segment FROM bad")
+oracle("row_excess", COPIES, 'SELECT count(*) AS "rows", (SELECT count(*) FROM made) AS excess FROM copies')
+oracle("live_ids", DIRTY, f"SELECT DISTINCT {num('custkey')}::BIGINT AS custkey FROM dirty WHERE {num('custkey')} IS NOT NULL")
 oracle("outlier_range", BAD_ACCOUNTS, "SELECT row_id, amount FROM bad WHERE amount::DOUBLE BETWEEN 0 AND 2000")
 oracle("outlier_cap", BAD_ACCOUNTS, "SELECT row_id, greatest(5.0::DOUBLE, least(800.0::DOUBLE, amount::DOUBLE)) AS amount FROM bad")
 oracle("outlier_zscore", "z AS (SELECT event_id, value, (value - avg(value) OVER ()) / stddev_samp(value) OVER () AS z FROM events)",

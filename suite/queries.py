@@ -405,6 +405,12 @@ def fix_categories(spark, sf):
     return C.fix_categories(dirty, "segment", T.SEGMENTS).select("row_id", "segment")
 
 
+@query
+def typo_lookup(spark, sf):
+    dirty, _ = T.accounts_dirty(spark, sf)
+    return C.typo_lookup(dirty, "segment", T.SEGMENT_TYPOS).select("row_id", "segment")
+
+
 @query
 def outlier_range(spark, sf):
     dirty, _ = T.accounts_dirty(spark, sf)
@@ -561,6 +567,18 @@ def grade_schema_dedup_dates(spark, sf):
     return _flat(Q.score_hard(work, T.table(spark, sf, "orders").count(), G.CANONICAL, copies=pairs.count()))
 
 
+@query
+def row_excess(spark, sf):
+    copies, _ = T.orders_with_copies(spark, sf)
+    return Q.row_excess(copies, T.table(spark, sf, "orders").count())
+
+
+@query
+def live_ids(spark, sf):
+    dirty, _ = T.orders_dirty(spark, sf)
+    return Q.live_ids(dirty, "custkey")
+
+
 @query
 def grade_dedup_identity(spark, sf):
     copies, pairs = T.orders_with_copies(spark, sf)
