@@ -155,10 +155,15 @@ def truth_to_key(truth: DataFrame, clean: DataFrame, key: str, row_id: str = "ro
     return truth.join(clean.select(row_id, key, *extra), row_id)
 
 
+def key_of(c: Column) -> Column:
+    """Integer key in a raw cell, also where it was written as a decimal; NULL where it is none."""
+    return F.coalesce(X.try_int(c), X.safe_float(c).try_cast("bigint"))
+
+
 def live_rows(work: DataFrame, keys: DataFrame, key: str, columns: Sequence[str], row_id: str = "row_id") -> DataFrame:
     """The first row, by row id, of each wanted key that is still in the table."""
     wanted = keys.select(F.col(key).cast("bigint").alias(key)).distinct()
-    rows = work.select(X.safe_float(F.col(key)).cast("bigint").alias(key), row_id, *columns)
+    rows = work.select(key_of(F.col(key)).alias(key), row_id, *columns)
     first = rows.join(wanted, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*columns), row_id).alias("_row"))
     return first.select(key, F.lit(True).alias("_alive"), *[F.col(f"_row.{c}").alias(f"w_{c}") for c in columns])
 
@@ -268,7 +273,7 @@ def row_excess(df: DataFrame, n_clean: int) -> DataFrame:
 
 def live_ids(work: DataFrame, key: str) -> DataFrame:
     """Distinct keys that are still in the table; keys that are no number are left out."""
-    ids = work.select(X.safe_float(F.col(key)).cast("bigint").alias(key))
+    ids = work.select(key_of(F.col(key)).alias(key))
     return ids.filter(F.col(key).isNotNull()).distinct()
 
 

@@ -117,20 +117,21 @@ def near_duplicates(
     df: DataFrame, keys: Sequence[str], amount: str, pct: float = 0.01, row_id: str = "row_id"
 ) -> DataFrame:
     """(original_id, duplicate_id): rows with the same keys and an amount within `pct` of that of an earlier row,
-    with the lowest such earlier row id. Amounts are non-negative.
+    with the lowest such earlier row id. Rows without an amount are never copies.
 
     "Within pct of a" is a fixed distance on the scale u = ln(amount + slack / pct), so the earliest row in reach of
     each row is a sliding minimum. Cutting u into cells as wide as the reach splits every reach into the end of one
     cell and the start of the next; running minima inside cells then answer it. No pair is formed, a block of any
     size is spread over its cells, and equal amounts fold to one row first.
     """
-    keys = list(keys)
+    keys = [*keys, "_negative"]  # amounts of differing sign are never close
     # Amounts with two decimals are rounded, hence half a unit of slack. Half of the smallest step of `pct * a` on
     # top keeps pairs that lie exactly on the bound inside it whatever the floating-point rounding.
     slack = ROUNDING + pct * ROUNDING
     below, above = F.log(F.lit(1.0 + pct)), -F.log(F.lit(1.0 - pct))
     reach = below + above
-    base = df.withColumn("_a", X.safe_float(P.present(df, amount))).filter(F.col("_a") >= 0)
+    x = X.safe_float(P.present(df, amount))
+    base = df.withColumns({"_a": F.abs(x), "_negative": x < 0}).filter(F.col("_a").isNotNull())
     points = (
         base.groupBy(*keys, "_a")
         .agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_n"))

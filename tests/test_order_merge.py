@@ -61,7 +61,7 @@ def brute_near(rows, pct):
     out = {}
     for i, k, a in rows:
         for j, k2, b in rows:
-            if j < i and k == k2 and abs(round(a * 100) - round(b * 100)) <= pct * round(b * 100) + 0.5 + 1e-9:
+            if j < i and k == k2 and a is not None and b is not None and abs(round(a * 100) - round(b * 100)) <= pct * abs(round(b * 100)) + 0.5 + 1e-9:
                 out[i] = min(out.get(i, j), j)
     return {(j, i) for i, j in out.items()}
 
@@ -70,8 +70,8 @@ def brute_near(rows, pct):
 def test_near_duplicates_equal_brute_force(spark, pct, spread):
     rng = random.Random(int(pct * 1e4 + spread))
     rows = [(i, rng.choice(["hot", "hot", "k", None]), round(100 + rng.random() * spread, 2)) for i in range(150)]
-    rows += [(150 + i, "hot", 100.5 * 1.01 + 0.005) for i in range(2)] + [(152, "hot", 100.5), (153, "hot", 0.0), (154, "hot", 0.0)]
-    rows = [(i, k, round(a, 2)) for i, k, a in rows]
+    rows += [(150 + i, "hot", 100.5 * 1.01 + 0.005) for i in range(2)] + [(152, "hot", 100.5), (153, "hot", 0.0), (154, "hot", 0.0), (155, "k", -50.0), (156, "k", -50.2), (157, "k", 50.0), (158, "k", None), (159, "k", None)]
+    rows = [(i, k, None if a is None else round(a, 2)) for i, k, a in rows]
     df = spark.createDataFrame(rows, "row_id bigint, k string, amount double")
     got = {tuple(r) for r in M.near_duplicates(df, ["k"], "amount", pct).collect()}
     assert got == brute_near(rows, pct)
