@@ -177,11 +177,11 @@ def all_clean(status: DataFrame) -> DataFrame:
 
 def parse_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: column, present, numeric, ratio (0 for an empty column), all_whole."""
-    aggs = []
+    cells, aggs = [], []
     for i, name in enumerate(columns):
         c = present(df, name)
-        x = X.to_numeric(c)
-        aggs += [F.count(c).alias(f"p{i}"), F.count(x).alias(f"k{i}"), F.bool_and(x % 1 == 0).alias(f"w{i}")]
+        cells += [c.alias(f"c{i}"), X.to_numeric(c).alias(f"x{i}")]  # parsed once, in a projection of their own
+        aggs += [F.count(f"c{i}").alias(f"p{i}"), F.count(f"x{i}").alias(f"k{i}"), F.bool_and(F.col(f"x{i}") % 1 == 0).alias(f"w{i}")]
     rows = [
         F.struct(
             F.lit(name).alias("column"),
@@ -192,7 +192,7 @@ def parse_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         for i, name in enumerate(columns)
     ]
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
+    return df.select(*cells).agg(*aggs).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
 
 
 def column_center(df: DataFrame, column: str) -> DataFrame:
