@@ -25,9 +25,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "sco
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the cluster; a temporary one only where none is set."""
+    """The folder named by the cluster; a temporary one only in a local session, where one machine does all work."""
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="scourframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path
