@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 import zlib
+from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import scourframe
 from scourframe.session import shared_dir
 
 #: Folds of the labelled rows: crc32 of the id's text, modulo 3; this remainder is held out from learning.
 FOLDS, HELD_OUT = 3, 1
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context, wherever it was imported from."""
+    context = spark.sparkContext
+    if getattr(context, "_scourframe_shipped", False):
+        return
+    root = Path(scourframe.__file__).parent
+    archive = f"{tempfile.mkdtemp(prefix='scourframe-code-')}/scourframe.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._scourframe_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -98,3 +118,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
 def crc32_of(array) -> int:
     """CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(array.astype("<u4").tobytes())
+
+
+def blocks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+    """The texts in runs of at most `most` characters, or one text."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield at, texts[at:i]
+            at, size = i, 0
+        size += len(text)
+    if at < len(texts):
+        yield at, texts[at:]

@@ -77,18 +77,6 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def blocks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
-    """The texts in runs of at most `most` characters, or one text."""
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > most:
-            yield at, texts[at:i]
-            at, size = i, 0
-        size += len(text)
-    if at < len(texts):
-        yield at, texts[at:]
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode each whole text, append `end_id`, and cut what is longer than `capacity` into pieces.
 
@@ -101,7 +89,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         vocabulary = word_ids(tokenizer)
         for batch in batches:
             names, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            for at, block in blocks(texts):
+            for at, block in common.blocks(texts):
                 rows = []
                 for i, ids in enumerate(vocabulary.encode(block), at):
                     ids = np.append(ids, end_id).astype(np.int32)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scourframe.llm import packing, sharding
+from scourframe.llm import language, packing, sharding
 
 REGISTRY = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_lpt_sharding": sharding.op7_lpt_sharding,
+    "op9_language_id": language.op9_language_id,
 }
 
 ORACLES: dict[str, str] = {}
