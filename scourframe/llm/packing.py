@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from scourframe.llm import common
 
 #: Words whose ids a Python worker keeps; the table is emptied beyond that.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 #: White space to Python that is none to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space: each distinct word is encoded once, in blocks."""
+    """Ids of texts by a tokenizer that drops white space: each distinct word is normalised and split once, in blocks, and each
+    distinct piece of a word is encoded once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -33,17 +34,23 @@ class WordIds:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.starts, self.lengths, self.ids, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0
 
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 2000):
             block = words[at: at + 2000]
-            found = self.tokenizer.encode(" ".join(block), add_special_tokens=False)
-            ids = np.array(found.ids, np.int32)
-            sizes = np.fromiter(map(len, block), np.int64, len(block)) + 1
-            begins = np.array([x[0] for x in found.offsets], np.int64)
-            of = np.searchsorted(np.cumsum(sizes) - sizes, begins, side="right") - 1
-            counts = np.bincount(of, minlength=len(block))[: len(block)]
+            text = self.tokenizer.normalizer.normalize_str(" ".join(block))
+            spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+            if len(spaces) != len(block) - 1:
+                own = [self.tokenizer.encode(word, add_special_tokens=False).ids for word in block]
+                of = range(len(block))
+            else:
+                found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+                own = [self.piece(piece) for piece, _ in found]
+                of = np.searchsorted(spaces, np.fromiter((span[0] for _, span in found), np.int64, len(found)))
+            ids = np.fromiter(itertools.chain.from_iterable(own), np.int32)
+            counts = np.bincount(of, weights=np.fromiter(map(len, own), float, len(own)), minlength=len(block)).astype(np.int64)
             n = len(self.number)
             while n + len(block) > len(self.starts):
                 self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
@@ -55,6 +62,12 @@ class WordIds:
             self.filled += len(ids)
             self.number.update(zip(block, range(n, n + len(block))))
 
+    def piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
+        return ids
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.number) > CACHED_WORDS:
             self.clear()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from scourframe.llm import language, packing, sharding
+from scourframe.llm import language, packing, sharding, toxicity
 
 REGISTRY = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_lpt_sharding": sharding.op7_lpt_sharding,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": language.op9_language_id,
 }
 
