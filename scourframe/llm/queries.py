@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from scourframe.llm import language, packing, sharding, toxicity
+import corpus_pipeline
+from scourframe.llm import language, minhash, packing, sharding, toxicity
 
 REGISTRY = {
+    "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_lpt_sharding": sharding.op7_lpt_sharding,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": language.op9_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
