@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from scourframe.llm import language, minhash, packing, sharding, toxicity
+from scourframe.llm import bytebpe, language, minhash, packing, sharding, toxicity
 
 REGISTRY = {
+    "op3_byte_bpe": bytebpe.op3_byte_bpe,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_lpt_sharding": sharding.op7_lpt_sharding,
