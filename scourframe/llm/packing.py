@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = {"": 0}
         self.pieces: dict[str, list[int]] = {}
         self.starts, self.lengths, self.ids, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0
 
@@ -47,8 +48,11 @@ class WordIds:
                 of = range(len(block))
             else:
                 found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
-                own = [self.piece(piece) for piece, _ in found]
-                of = np.searchsorted(spaces, np.fromiter((span[0] for _, span in found), np.int64, len(found)))
+                names = [piece for piece, _ in found]
+                for piece in set(names).difference(self.pieces):
+                    self.pieces[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
+                own = [self.pieces[name] for name in names]
+                of = np.searchsorted(spaces, np.array([span[0] for _, span in found], np.int64))
             ids = np.fromiter(itertools.chain.from_iterable(own), np.int32)
             counts = np.bincount(of, weights=np.fromiter(map(len, own), float, len(own)), minlength=len(block)).astype(np.int64)
             n = len(self.number)
@@ -62,27 +66,25 @@ class WordIds:
             self.filled += len(ids)
             self.number.update(zip(block, range(n, n + len(block))))
 
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
-        return ids
-
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.number) > CACHED_WORDS:
             self.clear()
         odd = {i for i, text in enumerate(texts) if any(c in text for c in SEPARATORS)}
-        words = [[] if i in odd else text.split() for i, text in enumerate(texts)]
-        new = dict.fromkeys(itertools.chain.from_iterable(words))
-        self.learn([w for w in new if w not in self.number])
-        for i, own in enumerate(words):
+        words = pc.utf8_split_whitespace(pa.array([None if i in odd else text for i, text in enumerate(texts)], pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn([w for w in distinct if w not in self.number])
+        at = np.array([self.number[w] for w in distinct], np.int64)[coded.indices.to_numpy()]
+        sizes = np.diff(words.offsets.to_numpy())
+        begin = 0
+        for i, size in enumerate(sizes):
             if i in odd:
                 yield np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int32)
                 continue
-            at = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
-            counts = self.lengths[at]
+            own, begin = at[begin: begin + size], begin + size
+            counts = self.lengths[own]
             ends = np.cumsum(counts)
-            yield self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(own) else 0)]
+            yield self.ids[np.repeat(self.starts[own] - (ends - counts), counts) + np.arange(ends[-1] if size else 0)]
 
 
 @lru_cache(maxsize=2)
