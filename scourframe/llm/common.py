@@ -130,3 +130,27 @@ def blocks(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, list[
         size += len(text)
     if at < len(texts):
         yield at, texts[at:]
+
+
+def runs(batches: Iterator, key: int = 0) -> Iterator:
+    """Tables of consecutive rows of equal `key`, of batches that are sorted by it; a run may reach over several batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+        begin = 0
+        if held and held[-1].column(key)[-1].as_py() != values[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for cut in cuts.tolist():
+            held.append(batch.slice(begin, cut - begin))
+            yield pa.Table.from_batches(held)
+            held, begin = [], cut
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
