@@ -95,7 +95,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     for _ in range(most):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(low, "u")
@@ -154,3 +154,18 @@ def runs(batches: Iterator, key: int = 0) -> Iterator:
         held.append(batch.slice(begin))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def rooted(linked, names) -> list[tuple[int, int]]:
+    """For a square matrix of links between sorted names: each linked row with the smallest name it reaches, unless it is that."""
+    import numpy as np
+
+    n = len(names)
+    root = np.arange(n)
+    while n:
+        low = np.minimum(root, np.where(linked, root[None, :], n).min(axis=1))
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return [(int(names[i]), int(names[root[i]])) for i in np.flatnonzero(root != np.arange(n))]

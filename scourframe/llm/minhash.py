@@ -14,8 +14,8 @@ from scourframe.llm import common
 
 #: Minima of a signature, rows of a band, low bits kept of each minimum.
 MINIMA, ROWS, BITS = 128, 4, 4
-#: Rounds in which every member of a bucket is compared with one leader, before the rest is compared pair by pair.
-ROUNDS = 2
+#: Rows of a block; blocks are compared with each other in one task.
+BLOCK = 256
 LOW = int("1" * 16, 16)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -142,6 +142,71 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return joined.mapInArrow(compare, pairs.select("a", "b").schema)
 
 
+def numbered_bits(rows: list) -> np.ndarray:
+    return np.array(rows, np.int64).reshape(len(rows), -1).view(np.uint64)
+
+
+def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`alike` of every row of one matrix of packed bits with every row of another."""
+    different = np.zeros((len(a), len(b)), np.int64)
+    for word in range(a.shape[1]):
+        x = a[:, word, None] ^ b[None, :, word]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        different += np.bitwise_count(x & np.uint64(LOW))
+    chance = 1 / (1 << BITS)
+    return (1 - different / MINIMA - chance) / (1 - chance)
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sets of hashes: products of slices of their incidence matrix."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    hashes, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    to = np.cumsum(n > 1) - 1
+    keep = n[at] > 1
+    of, at = of[keep], to[at[keep]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    result = np.zeros((len(sets), len(sets)), np.float32)
+    for begin in range(0, int(to[-1]) + 1 if len(to) else 0, 4096):
+        a, b = np.searchsorted(at, [begin, begin + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[of[a:b], at[a:b] - begin] = 1
+        result += part @ part.T
+    return result
+
+
+def blocked(members: DataFrame, group: str) -> DataFrame:
+    """Rows (group, rep, component, ...) dealt to pairs of blocks of their group, column `key`: every two rows of a group that belong
+    to different components meet in one pair of blocks, at least. A component that fills blocks of its own does not meet itself."""
+    sizes = members.groupBy(group, "component").agg(F.count("*").alias("n"))
+    large = sizes.filter(F.col("n") > BLOCK).select(group, "component", F.ceil(F.col("n") / BLOCK).alias("own"))
+    rest = sizes.filter(F.col("n") <= BLOCK).groupBy(group).agg(F.ceil(F.sum("n") / BLOCK).alias("mixed"))
+    placed = members.join(large, [group, "component"], "left").join(rest, group, "left")
+    alone = F.col("own").isNotNull()
+    placed = placed.select(
+        *members.columns, F.when(alone, F.col("component")).alias("pure"),
+        F.when(alone, F.xxhash64("component", F.pmod(F.xxhash64("rep"), F.col("own")))).otherwise(F.pmod(F.xxhash64("component"), F.col("mixed"))).alias("block"))
+    blocks = placed.select(group, "block", "pure").distinct()
+    pairs = blocks.toDF(group, "block", "pure").join(blocks.toDF(group, "other", "pure_other"), group)
+    pairs = pairs.filter(F.col("pure").isNull() | F.col("pure_other").isNull() | (F.col("pure") != F.col("pure_other")))
+    met = pairs.select(group, "block", F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other")).alias("key"))
+    return placed.drop("pure").join(met, [group, "block"]).drop("block")
+
+
+def spanning(rows: DataFrame, names: list[str], linked) -> DataFrame:
+    """What `linked` (a matrix for the rows of a `key`) joins, as links (a, b) that span it: fewer than rows."""
+    def work(batches):
+        for table in common.runs(batches):
+            table = table.sort_by("rep")
+            reps = table.column("rep").to_numpy()
+            found = common.rooted(linked(table), reps) if len(reps) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+    return rows.select("key", *names).repartition("key").sortWithinPartitions("key").mapInArrow(work, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of their word shingles of at least `percent` hundredths.
 
@@ -150,12 +215,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     Documents of equal sets form one class, which its smallest id stands for. Classes that share a band of minima are candidates;
     the packed low bits estimate their similarity, and what may reach the bound is confirmed on the full sets. First every
-    candidate is compared with a leader of its bucket, one of its smallest members, then again with another leader: that joins
-    most of a large group with one comparison a member. After this only buckets that still hold several components are compared
-    pair by pair, within the join and without emitting what the estimate rules out, so no link between components is passed over.
+    candidate is compared with the first member of each of its buckets, which joins most of a large group at a comparison
+    or a few a member. Then only buckets that still hold several components are compared in blocks of bounded size: by the bits
+    first, which part them into families, and within a family on the full sets. Pairs never leave a task, only links that
+    span what they join, and rows of one component are not compared again; so no link between components is passed over.
 
     Null and empty texts, and texts of white space, have no shingles and link with nothing. A null id has a null component and is
-    not kept. Repeated rows share their component, and are all kept if their id is. An id is expected to have one text. An empty
+    not kept. Ids are integers. Repeated rows share their component, and are all kept if their id is. An id is expected to have one text. An empty
     table gives no rows. Other columns are not read.
     """
     sketch = common.settled(sketches(docs, size, id_col, text_col), "sketches")
@@ -165,8 +231,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     reps = usable.join(classes.withColumnRenamed("rep", "doc"), ["set_key", "doc"]).dropDuplicates(["set_key"]).select(F.col("doc").alias("rep"), "bands", "bits")
     reps = common.settled(reps, "classes")
     members = reps.select("rep", F.explode("bands").alias("code"))
-    shared = members.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
-    members = common.settled(members.join(shared, "code"), "buckets")
+    several = members.groupBy("code").agg(F.count("*").alias("n")).filter("n > 1").select("code")
+    members = common.settled(members.join(several, "code"), "buckets")
     candidates = members.select("rep").distinct()
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(candidates, "rep", "left_semi").dropDuplicates(["rep"])
     texts = common.settled(texts, "candidate-texts")
@@ -174,32 +240,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     bits = common.settled(bits, "candidate-bits")
     bound = least_estimate(percent / 100)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        with_bits = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
-        return confirmed(with_bits.filter(alike(F.col("bits_a"), F.col("bits_b")) >= bound).select("a", "b"), texts, size, percent)
-
-    links, component = None, None
-    for turn in range(ROUNDS + 1):
-        if component is None:
-            placed = members.withColumn("component", F.col("rep"))
-        else:
-            placed = members.join(component, members.rep == component.node, "left").select("rep", "code", F.coalesce("component", "rep").alias("component"))
-            mixed_codes = placed.groupBy("code").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("code")
-            placed = common.settled(placed.join(mixed_codes, "code"), "open-buckets")
-        if turn < ROUNDS:
-            order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            leader = placed.groupBy("code").agg(F.min_by(F.struct("rep", "component"), order).alias("l")) if turn else placed.groupBy("code").agg(F.struct(F.min("rep").alias("rep"), F.min("rep").alias("component")).alias("l"))
-            pairs = placed.join(leader, "code").filter("component <> l.component").select(F.col("rep").alias("a"), F.col("l.rep").alias("b")).distinct()
-            found = confirm(pairs)
-        else:
-            own = placed.join(bits, "rep")
-            left, right = (own.select("code", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "component", "bits"))) for side in "ab")
-            close = left.join(right, "code").filter("rep_a > rep_b and component_a <> component_b").filter(alike(F.col("bits_a"), F.col("bits_b")) >= bound)
-            found = confirmed(close.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), texts, size, percent)
-        found = common.settled(found, "confirmed")
-        links = found if links is None else links.unionByName(found)
-        if turn == 0 or not found.isEmpty():
-            component = common.components(links)
+    first = members.groupBy("code").agg(F.min("rep").alias("b"))
+    pairs = members.join(first, "code").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    pairs = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+    pairs = pairs.filter(alike(F.col("bits_a"), F.col("bits_b")) >= bound).select("a", "b")
+    links = common.settled(confirmed(pairs, texts, size, percent), "confirmed")
+    component = common.components(links)
+
+    placed = members.join(component, members.rep == component.node, "left").select("rep", "code", F.coalesce("component", "rep").alias("component"))
+    several = placed.groupBy("code").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("code")
+    placed = common.settled(placed.join(several, "code").join(bits, "rep"), "open-buckets")
+
+    def close(table: pa.Table) -> np.ndarray:
+        own, of = numbered_bits(table.column("bits").to_pylist()), table.column("component").to_numpy()
+        return (estimates(own, own) >= bound) & (of[:, None] != of[None, :])
+
+    def equal(table: pa.Table) -> np.ndarray:
+        sets = [shingles(text.as_py(), size) for text in table.column("text")]
+        n, both = np.array([len(x) for x in sets]), shared(sets)
+        return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+
+    near = common.settled(spanning(blocked(placed, "code"), ["rep", "component", "bits"], close), "close")
+    if not near.isEmpty():
+        family = common.components(near)
+        rows = placed.select("rep", "component").distinct().join(family.toDF("rep", "family"), "rep")
+        rows = common.settled(rows, "families")
+        found = common.settled(spanning(blocked(rows, "family").join(texts, "rep"), ["rep", "component", "text"], equal), "confirmed")
+        if not found.isEmpty():
+            component = common.components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     of_class = classes.join(component, classes.rep == component.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     joined = sketch.select("doc", "n_shingles", "set_key").join(of_class, "set_key", "left")
