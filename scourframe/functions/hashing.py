@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 SPACE = 4294967296  # 2^32
 MULTIPLIER = 1540483477
 SALT_STEP = 40503
+FOLD = 1779033703
 
 
 def keyed_hash(key: Column, salt: int) -> Column:
-    """Uniform integer in [0, 2^32) for a BIGINT key. The products stay below 2^63, as ANSI mode demands."""
+    """Uniform integer in [0, 2^32) for a BIGINT key. The products stay below 2^63, as ANSI mode demands.
+
+    The upper half of the key is folded into the lower one, so that keys 2^32 apart differ; keys below 2^32 are unchanged by it.
+    """
     mask = F.lit(SPACE - 1)
-    h = (key.cast("bigint").bitwiseAND(mask) * F.lit(MULTIPLIER) + F.lit(salt * SALT_STEP)).bitwiseAND(mask)
+    k = key.cast("bigint")
+    upper = (F.shiftright(k, 32).bitwiseAND(mask) * F.lit(FOLD)).bitwiseAND(mask)
+    h = (k.bitwiseAND(mask).bitwiseXOR(upper) * F.lit(MULTIPLIER) + F.lit(salt * SALT_STEP)).bitwiseAND(mask)
     h = h.bitwiseXOR(F.shiftright(h, 15))
     h = (h * F.lit(MULTIPLIER)).bitwiseAND(mask)
     return h.bitwiseXOR(F.shiftright(h, 13))

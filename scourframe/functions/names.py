@@ -40,14 +40,6 @@ def column_error(name: str | None, available: Sequence[str]) -> str:
     return f"Column {name!r} not found. Available: {list(available)}"
 
 
-def resolve_column(name: str | None, names: Sequence[str]) -> str | None:
-    """The exact name if present, else the one that differs by case only (the last one on a tie)."""
-    if name is None or name in names:
-        return name
-    matches = [n for n in names if n.lower() == name.lower()]
-    return matches[-1] if matches else None
-
-
 def leftover_columns(names: Sequence[str], canonical: Sequence[str]) -> list[str]:
     return [n for n in names if n not in canonical]
 

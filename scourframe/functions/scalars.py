@@ -102,8 +102,9 @@ def nan_to_null(c: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    """The guard keeps words away from the cast, which is slow to refuse them."""
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    """The guard keeps words away from the cast, which is slow to refuse them; what overflows to infinity is no number."""
+    x = text.try_cast("double")
+    return F.when(text.rlike(NUMBER_PATTERN) & (F.abs(x) < float("inf")), x)
 
 
 def to_numeric(c: Column) -> Column:
@@ -146,16 +147,8 @@ def numeric_text(c: Column) -> Column:
     )
 
 
-def in_range(c: Column, low: float, high: float) -> Column:
-    return c.between(low, high)
-
-
 # -- dates -------------------------------------------------------------------------------------------------------
 
-def parse_date(c: Column, fmt: str) -> Column:
-    return F.try_to_date(c, fmt)
-
-
 def iso(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM-dd")
 

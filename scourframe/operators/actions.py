@@ -5,6 +5,7 @@ Action log: episode_id, step, command, row_index, column, value, fill_strategy.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,8 +27,8 @@ COMMAND_SYNONYMS = {
 }
 FILL_STRATEGIES = C.FILL_STRATEGIES
 DEFAULT_STRATEGY = "median"
-STEP_BUDGET = 150
-SEGMENTS_PER_CHECKPOINT = 10
+#: A longer log of one episode is refused: its plan is laid out on the driver.
+MOST_ACTIONS = 100_000
 
 LOG_SCHEMA = (
     "episode_id string, step int, command string, row_index bigint, `column` string, value string, fill_strategy string"
@@ -159,15 +160,15 @@ def original_position(position: Column, dropped: Column) -> Column:
     return F.aggregate(dropped, position, lambda p, d: F.when(d <= p, p + 1).otherwise(p))
 
 
-def resolve_positions(log: DataFrame, n_rows: Column, budget: int = STEP_BUDGET) -> DataFrame:
+def resolve_positions(log: DataFrame, n_rows: Column, budget: int | Column | None = None) -> DataFrame:
     """Adds `position` (place before any drop of the episode, NULL when out of range) and `in_range` to SET_VALUE and
     DROP_ROW actions; (episode_id, step) is unique and n_rows is a column of the log or a scalar.
 
-    An episode ends at its step budget, so the actions folded per episode are few; actions beyond the budget are
-    never executed and come back with `executed` = false. They are cut before the grouping.
+    Every action is resolved, in step order. Where a task has a step budget it is given as `budget`; actions beyond it are
+    not executed and come back with `executed` = false.
     """
     positional = F.col("command").isin("SET_VALUE", "DROP_ROW") & (F.col("row_index") >= 0)
-    rows = log.withColumn("_n", n_rows.cast("bigint")).withColumn("executed", F.col("step") <= budget)
+    rows = log.withColumn("_n", n_rows.cast("bigint")).withColumn("executed", F.lit(True) if budget is None else F.col("step") <= budget)
     ordered = F.array_sort(
         F.collect_list(F.struct("step", "row_index", (F.col("command") == "DROP_ROW").alias("drop"), "_n"))
     )
@@ -224,17 +225,29 @@ def apply_actions(
     row_id: str = "row_id",
     protected: DataFrame | None = None,
     protected_key: str | None = None,
-    budget: int = STEP_BUDGET,
+    budget: int | None = None,
+    episode_id: str | None = None,
 ) -> Outcome:
-    """Apply the log of one episode in step order.
+    """Apply all actions of one episode in step order; step 0 is the reset.
 
-    An episode has at most `budget` steps, so its log (not the table) is read to the driver to lay out the plan: runs
-    of SET_VALUE and DROP_ROW become one join each, column commands one projection each. Errors never stop the run.
+    A log of several episodes is refused unless `episode_id` names one. Its log (not the table) is read to the driver to lay
+    out the plan, so one of more than MOST_ACTIONS is refused, as is one that repeats a step. Runs of SET_VALUE and DROP_ROW become
+    one join each, after which the table is written; column commands become one projection each. Errors never stop the run.
+    Actions beyond a `budget` are reported as failed and change nothing.
     """
     spark = df.sparkSession
-    steps = validate_actions(log).filter(F.col("step").between(1, budget)).orderBy("step").limit(budget).collect()
-    report: list[tuple] = []
-    segments = 0
+    own = log if episode_id is None else log.filter(F.col("episode_id") == episode_id)
+    steps = validate_actions(own).filter(F.col("step") >= 1).limit(MOST_ACTIONS + 1).collect()
+    if len(steps) > MOST_ACTIONS:
+        raise ValueError(f"more than {MOST_ACTIONS} actions in one episode")
+    if len({a["episode_id"] for a in steps}) > 1:
+        raise ValueError("the log holds several episodes: name one with episode_id")
+    steps.sort(key=lambda a: a["step"])
+    if any(a["step"] == b["step"] for a, b in zip(steps, steps[1:])):
+        raise ValueError("the log repeats a step")
+    spent = [a for a in steps if budget is not None and a["step"] > budget]
+    steps = steps[: len(steps) - len(spent)]
+    report: list[tuple] = [(a["step"], a["command"], False, f"Step budget of {budget} is used up.", False) for a in spent]
     i = 0
     while i < len(steps):
         a = steps[i]
@@ -256,9 +269,7 @@ def apply_actions(
             df, lines = _apply_run(df, run, row_id, protected, protected_key)
             report.extend(lines)
             i = j
-            segments += 1
-            if segments % SEGMENTS_PER_CHECKPOINT == 0:
-                df = cut_lineage(df)
+            df = cut_lineage(df)
     schema = "step int, command string, success boolean, error string, dropped_protected boolean"
     return Outcome(df, spark.createDataFrame(report, schema))
 
@@ -295,11 +306,10 @@ def _apply_run(
             tail = f" (0–{live - 1})." if a["command"] == "SET_VALUE" else "."
             errors[a["step"]] = f"Row index {p} out of range. DataFrame has {live} rows{tail}"
             continue
-        for d in dropped:
-            p += d <= p
+        p += bisect.bisect_right(range(len(dropped)), p, key=lambda i: dropped[i] - i)
         place[a["step"]] = p
         if a["command"] == "DROP_ROW":
-            dropped = sorted([*dropped, p])
+            bisect.insort(dropped, p)
 
     drops = {a["step"] for a in run if a["command"] == "DROP_ROW" and a["step"] in place}
     sets = [a for a in run if a["command"] == "SET_VALUE" and a["step"] in place]

@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from scourframe.functions import names as N
 from scourframe.functions import scalars as X
 from scourframe.operators import profile as P
+from scourframe.session import cut_lineage
 
 FILL_STRATEGIES = ("mean", "median", "mode", "drop")
-MEDIAN_DIRECT_ROWS = 2_000_000
 MEDIAN_BUCKETS = 4096
-INLINE_DOMAIN = 40
 
 
 @dataclass(frozen=True)
@@ -27,8 +26,10 @@ class ActionResult:
 # -- cells and rows -------------------------------------------------------------------------------------------------
 
 def last_write_wins(patches: DataFrame, row_id: str = "row_id", step: str = "step") -> DataFrame:
-    """The latest value per (row, column)."""
-    return patches.groupBy(row_id, "column").agg(F.max_by("value", step).alias("value"))
+    """The latest value per (row, column); steps are unique. The step is aggregated alone, so rows are hashed and not sorted."""
+    cell = [row_id, "column"]
+    last = patches.groupBy(*cell).agg(F.max(step).alias(step))
+    return patches.join(last, [*cell, step]).select(*cell, "value")
 
 
 def write_cells(
@@ -41,18 +42,17 @@ def write_cells(
 ) -> DataFrame:
     """Overwrite cells named by (row_id, column, value); a NULL value writes NULL.
 
-    The patches are folded to one row per table row first, so the table meets them in a single equi-join. `columns`
-    names the columns that can be patched; `bounded` says that the patches are few (an action log), so that the table
-    need not be shuffled for them.
+    The patches are folded to one row per table row first, so the table meets them in a single equi-join. With `step` the
+    latest patch of a cell counts; without it a cell that is patched twice is an error. `columns` names the columns that can
+    be patched; `bounded` says that the patches are few (an action log), so that the table need not be shuffled for them.
     """
     patched = list(columns) if columns is not None else P.data_columns(df, row_id)
-    order = F.col(step) if step else F.lit(1)
-    written = [F.max_by(F.struct("value"), F.when(F.col("column") == c, order)) for c in patched]
-    wide = patches.groupBy(row_id).agg(*[w.alias(f"_p_{i}") for i, w in enumerate(written)])
+    cells = last_write_wins(patches, row_id, step) if step else patches
+    wide = cells.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("_p"))
     types = dict(df.dtypes)
     new = {
-        c: F.when(F.col(f"_p_{i}").isNotNull(), F.col(f"_p_{i}")["value"].try_cast(types[c])).otherwise(F.col(c))
-        for i, c in enumerate(patched)
+        c: F.when(F.coalesce(F.map_contains_key("_p", F.lit(c)), F.lit(False)), F.col("_p")[c].try_cast(types[c])).otherwise(F.col(c))
+        for c in patched
     }
     out = df.join(F.broadcast(wide) if bounded else wide, row_id, "left")
     return out.select(row_id, *[new.get(c, F.col(c)).alias(c) for c in P.data_columns(df, row_id)])
@@ -112,7 +112,7 @@ def set_values(df: DataFrame, patches: DataFrame, row_id: str = "row_id") -> tup
 
     A bad column, an unknown row or a value that does not fit its column leaves the table as it was.
     """
-    report = check_patches(df, patches, row_id)
+    report = cut_lineage(check_patches(df, patches, row_id))  # read twice: by the table and by the report
     good = report.filter("success").select(row_id, "column", F.col("cast_value").alias("value"), "step")
     return write_cells(df, good, row_id, "step"), report.drop("cast_value")
 
@@ -169,29 +169,26 @@ def standardize_col(df: DataFrame, column: str, row_id: str = "row_id") -> DataF
 
 def fill_mean(df: DataFrame, column: str) -> DataFrame:
     """The whole column becomes numeric; words count as missing and are filled too."""
-    x = X.to_numeric(P.present(df, column))
-    center = df.agg(X.round2(F.avg(x))).scalar()
-    return df.withColumn(column, F.coalesce(x, center))
+    return fill_missing(df, column, "mean")[0]
 
 
-def exact_median(df: DataFrame, value: Column, direct_rows: int = MEDIAN_DIRECT_ROWS) -> float | None:
-    """Interpolated median of a numeric expression, exact at any size.
+def exact_median(df: DataFrame, value: Column) -> float | None:
+    """Interpolated median of a numeric expression, exact at any size; NULL and infinite values do not count.
 
-    Up to `direct_rows` values the built-in aggregate does it. Beyond, the value range is cut into buckets, the
-    bucket that holds the middle ranks becomes the new range, and so on; each pass returns at most a few rows and
-    shuffles at most `MEDIAN_BUCKETS` rows per task, however skewed the values are.
+    Values are parsed once and written. The range is cut into buckets, the bucket that holds the middle ranks becomes the new
+    range, and so on, until it holds no more than `MEDIAN_BUCKETS` values or one distinct value. The lowest and the highest
+    value of a range never share a bucket, so it shrinks in each pass; a pass shuffles at most `MEDIAN_BUCKETS` rows per task.
     """
-    x = df.select(value.cast("double").alias("x"))
+    x = cut_lineage(df.select(value.cast("double").alias("x")).filter(F.abs("x") < float("inf")))
     n, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if n == 0:
         return None
-    if n <= direct_rows:
-        return x.agg(F.median("x")).first()[0]
     ranks = [(n - 1) // 2, n // 2]
     before, inside = 0, n
-    while low != high and inside > direct_rows:
+    while low != high and inside > MEDIAN_BUCKETS:
         share = (F.col("x") / 2 - low / 2) / (high / 2 - low / 2)
-        bucket = F.least(F.floor(share * MEDIAN_BUCKETS), F.lit(MEDIAN_BUCKETS - 1))
+        bucket = F.when(F.col("x") == low, 0).when(F.col("x") == high, MEDIAN_BUCKETS - 1).otherwise(
+            F.greatest(F.least(F.floor(share * MEDIAN_BUCKETS), F.lit(MEDIAN_BUCKETS - 1)), F.lit(0)))
         found = _holding(x.filter(F.col("x").between(low, high)).withColumn("b", bucket), "b", ranks, before)
         if len(found) == 2:  # the ranks fall on two sides of a bucket border
             return 0.5 * found[0]["hi"] + 0.5 * found[1]["lo"]
@@ -206,16 +203,14 @@ def exact_median(df: DataFrame, value: Column, direct_rows: int = MEDIAN_DIRECT_
 def _holding(x: DataFrame, bucket: str, ranks: list[int], before: int) -> list:
     """The (one or two) buckets in which the ranks fall."""
     counts = x.groupBy(bucket).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    running = F.sum("n").over(Window.orderBy(bucket))  # at most MEDIAN_BUCKETS or `direct_rows` rows
+    running = F.sum("n").over(Window.orderBy(bucket))  # at most MEDIAN_BUCKETS rows
     spans = counts.withColumn("start", running - F.col("n") + before)
     inside = [(F.col("start") <= r) & (F.col("start") + F.col("n") > r) for r in ranks]
     return spans.filter(inside[0] | inside[1]).orderBy(bucket).collect()
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
-    x = X.to_numeric(P.present(df, column))
-    center = exact_median(df, x)
-    return df.withColumn(column, F.coalesce(x, X.round2(F.lit(center).cast("double"))))
+    return fill_missing(df, column, "median")[0]
 
 
 def most_frequent(df: DataFrame, column: str) -> DataFrame:
@@ -226,7 +221,7 @@ def most_frequent(df: DataFrame, column: str) -> DataFrame:
 
 
 def fill_mode(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.coalesce(P.present(df, column), most_frequent(df, column).scalar()))
+    return fill_missing(df, column, "mode")[0]
 
 
 def fill_drop(df: DataFrame, column: str) -> DataFrame:
@@ -239,7 +234,7 @@ def fill_center(df: DataFrame, column: str, strategy: str) -> float | str | None
         return df.agg(X.round2(F.avg(X.to_numeric(P.present(df, column))))).first()[0]
     if strategy == "median":
         center = exact_median(df, X.to_numeric(P.present(df, column)))
-        return center if center is None else df.sparkSession.range(1).select(X.round2(F.lit(center))).first()[0]
+        return center if center is None else round(center * 100.0) / 100.0 + 0.0  # ties to even, like X.round2
     row = most_frequent(df, column).first()
     return row[0] if row else None
 
@@ -291,21 +286,12 @@ def fill_missing(df: DataFrame, column: str, strategy: str) -> tuple[DataFrame,
 def nearest_category(c: Column, domain: Sequence[str], max_dist: int = 2) -> Column:
     """The closest domain value within `max_dist` edits (first by name on a tie), NULL if there is none.
 
-    The domain is a short list known to the caller, so this is a projection: no join, no shuffle, and the bounded
-    edit distance stops early.
+    The domain is a list known to the caller, so this is a projection: no join, no shuffle. The plan does not grow with the
+    list, and the bounded edit distance stops early.
     """
-    if len(domain) > INLINE_DOMAIN:  # same result in a plan that does not grow with the list
-        near = F.transform(
-            F.array(*[F.lit(v) for v in sorted(domain)]),
-            lambda v: F.when(F.levenshtein(c, v) <= max_dist, F.struct(F.levenshtein(c, v).alias("d"), v.alias("v"))),
-        )
-        return F.array_min(near)["v"]
-    candidates = []
-    for value in sorted(domain):
-        dist = F.levenshtein(c, F.lit(value), max_dist)
-        candidates.append(F.when(dist >= 0, F.struct(dist.alias("d"), F.lit(value).alias("v"))))
-    best = candidates[0] if len(candidates) == 1 else F.least(*candidates)
-    return best["v"]
+    domain_values = F.array(*[F.lit(v) for v in sorted(domain)])
+    distances = F.transform(domain_values, lambda v: F.struct(F.levenshtein(c, v, max_dist).alias("d"), v.alias("v")))
+    return F.array_min(F.filter(distances, lambda s: s["d"] >= 0))["v"]
 
 
 def fix_categories(df: DataFrame, column: str, domain: Sequence[str], max_dist: int = 2) -> DataFrame:

@@ -1,13 +1,12 @@
 """Analytics over logs of cleaning episodes.
 
 Step log: episode_id, task_id, step, command, score, dropped_protected; `score` is the score after the step, step 0
-is the reset. `hot` says whether an episode is too long for one task, in which case rows are distributed by
-(episode, chunk of steps), see `ordering`; by default this is checked with one count.
+is the reset. Rows are distributed by (episode, chunk of steps), see `ordering`, so an episode may be of any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scourframe.functions import scalars as X
@@ -29,11 +28,6 @@ RECENT_ACTIONS = 6
 SHOWN_BROKEN = 5
 
 
-def task_limits(spark: SparkSession) -> DataFrame:
-    rows = [(t, *limits) for t, limits in TASK_LIMITS.items()]
-    return spark.createDataFrame(rows, "task_id string, threshold double, max_steps int, runner_steps int")
-
-
 def with_limits(log: DataFrame) -> DataFrame:
     """Adds threshold, max_steps, runner_steps; three tasks, so they ride along as literals."""
     def pick(i: int, kind: str) -> Column:
@@ -51,9 +45,9 @@ def with_limits(log: DataFrame) -> DataFrame:
 EPISODE = ["episode_id"]
 
 
-def score_delta(log: DataFrame, hot: bool | None = None, keep_chunk: bool = False) -> DataFrame:
+def score_delta(log: DataFrame, keep_chunk: bool = False) -> DataFrame:
     """Adds prev_score: the score before the step, NULL at reset."""
-    return O.GroupWindow(log, EPISODE, "step", hot).lag("prev_score", "score").result(keep_chunk)
+    return O.GroupWindow(log, EPISODE, "step").lag("prev_score", "score").result(keep_chunk)
 
 
 # -- terms: column expressions over a log with prev_score and limits -----------------------------------------------
@@ -109,27 +103,27 @@ def is_done() -> Column:
 
 # -- jobs -----------------------------------------------------------------------------------------------------------
 
-def step_rewards(log: DataFrame, hot: bool | None = None, keep_chunk: bool = False) -> DataFrame:
+def step_rewards(log: DataFrame, keep_chunk: bool = False) -> DataFrame:
     """Adds prev_score, reward, done to every step."""
-    return with_limits(score_delta(log, hot, keep_chunk)).withColumns({"reward": reward(), "done": is_done()})
+    return with_limits(score_delta(log, keep_chunk)).withColumns({"reward": reward(), "done": is_done()})
 
 
-def done_gate(log: DataFrame, broken: DataFrame | None = None, hot: bool | None = None) -> DataFrame:
-    """One row per DONE: accepted, reward, error, issues_remaining. `broken` (episode_id, column, ordinal) lists the
-    columns that were still broken; the message shows the first five. `initial_dirty` is read from the log."""
-    dones = step_rewards(log, hot).filter((F.col("command") == "DONE") & F.col("prev_score").isNotNull())
+def done_gate(log: DataFrame, broken: DataFrame | None = None, shown: int = SHOWN_BROKEN) -> DataFrame:
+    """One row per DONE: accepted, reward, error, issues_remaining, still_broken. `broken` (episode_id, column, ordinal)
+    lists the columns that were still broken; the message shows the first `shown`, still_broken has all of them.
+    `initial_dirty` is read from the log."""
+    dones = step_rewards(log).filter((F.col("command") == "DONE") & F.col("prev_score").isNotNull())
     if broken is not None:
         listed = (
-            broken.filter(F.col("ordinal") < SHOWN_BROKEN)
-            .groupBy("episode_id")
+            broken.groupBy("episode_id")
             .agg(F.array_sort(F.collect_list(F.struct("ordinal", "column"))).alias("_b"))
             .select("episode_id", F.transform("_b", lambda s: s["column"]).alias("_names"))
         )
         dones = dones.join(listed, "episode_id", "left")
-        quoted = F.transform(F.coalesce("_names", F.array().cast("array<string>")), lambda n: F.concat(F.lit("'"), n, F.lit("'")))
-        names = F.array_join(quoted, ", ")
+        every = F.coalesce("_names", F.array().cast("array<string>"))
     else:
-        names = F.lit("")
+        every = F.array().cast("array<string>")
+    names = F.array_join(F.transform(F.slice(every, 1, shown), lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
     message = F.concat(
         F.lit("DONE rejected: score "), F.format_string("%.4f", "prev_score"), F.lit(" < required "),
         F.format_string("%.2f", "threshold"), F.lit(". Still broken: ["), names, F.lit("]"),
@@ -139,22 +133,21 @@ def done_gate(log: DataFrame, broken: DataFrame | None = None, hot: bool | None
     return dones.select(
         "episode_id", "step", (~refused).alias("accepted"), "reward", "done",
         F.when(refused, message).alias("error"),
-        F.when(refused, remaining).otherwise(0).cast("bigint").alias("issues_remaining"),
+        F.when(refused, remaining).otherwise(0).cast("bigint").alias("issues_remaining"), every.alias("still_broken"),
     )
 
 
-def cut_at_terminal(log: DataFrame, hot: bool | None = None) -> DataFrame:
+def cut_at_terminal(log: DataFrame) -> DataFrame:
     """Steps up to and including the first terminal one of each episode."""
-    hot = O.has_hot_group(log, EPISODE) if hot is None else hot
-    flagged = step_rewards(log, hot, keep_chunk=True)
-    ends = O.GroupWindow(flagged, EPISODE, "step", hot).first_where("end_step", F.col("done")).result()
+    flagged = step_rewards(log, keep_chunk=True)
+    ends = O.GroupWindow(flagged, EPISODE, "step").first_where("end_step", F.col("done")).result()
     return ends.filter(F.col("end_step").isNull() | (F.col("step") <= F.col("end_step"))).drop("end_step")
 
 
-def termination(log: DataFrame, hot: bool | None = None) -> DataFrame:
+def termination(log: DataFrame) -> DataFrame:
     """One row per episode that ended: episode_id, end_step, solved."""
     return (
-        step_rewards(log, hot)
+        step_rewards(log)
         .filter("done")
         .groupBy("episode_id")
         .agg(F.min("step").alias("end_step"), F.min_by(F.col("score") >= F.col("threshold"), "step").alias("solved"))
@@ -170,13 +163,13 @@ def episode_totals(log: DataFrame) -> DataFrame:
     )
 
 
-def episode_summary(log: DataFrame, hot: bool | None = None) -> DataFrame:
-    """Per episode, as a runner sees it: success, steps, score, total_reward, rewards.
+def episode_summary(log: DataFrame, limit: str | None = None) -> DataFrame:
+    """Per episode: success, steps, score, total_reward, rewards, over all steps up to the terminal one.
 
-    The runner stops at its own step limit (at most 80), so an episode's list of rewards is short; later rows are cut
-    before the grouping.
+    `limit` names a limit that the caller's runner stops at (`runner_steps` or `max_steps`); later steps are then left out.
     """
-    rows = cut_at_terminal(log, hot).filter(F.col("step") <= F.col("runner_steps"))
+    rows = cut_at_terminal(log)
+    rows = rows.filter(F.col("step") <= F.col(limit)) if limit else rows
     steps = F.array_sort(F.collect_list(F.when(F.col("reward").isNotNull(), F.struct("step", "reward"))))
     return (
         rows.groupBy("episode_id", "task_id")
@@ -190,9 +183,9 @@ def episode_summary(log: DataFrame, hot: bool | None = None) -> DataFrame:
     )
 
 
-def step_position(log: DataFrame, hot: bool | None = None) -> DataFrame:
+def step_position(log: DataFrame) -> DataFrame:
     """Adds step_number (rank of the row in its episode) and remaining (steps left in the budget)."""
-    numbered = O.GroupWindow(log, EPISODE, "step", hot).row_number("step_number").result()
+    numbered = O.GroupWindow(log, EPISODE, "step").row_number("step_number").result()
     return with_limits(numbered).withColumn("remaining", steps_remaining())
 
 
@@ -213,6 +206,6 @@ def current_state(log: DataFrame) -> DataFrame:
     )
 
 
-def recent_actions(log: DataFrame, k: int = RECENT_ACTIONS, hot: bool | None = None) -> DataFrame:
+def recent_actions(log: DataFrame, k: int = RECENT_ACTIONS) -> DataFrame:
     """Adds `recent`: the last k commands before each step, oldest first."""
-    return O.recent_items(log, EPISODE, "step", "command", k, "recent", hot)
+    return O.recent_items(log, EPISODE, "step", "command", k, "recent")

@@ -164,8 +164,9 @@ def live_rows(work: DataFrame, keys: DataFrame, key: str, columns: Sequence[str]
     """The first row, by row id, of each wanted key that is still in the table."""
     wanted = keys.select(F.col(key).cast("bigint").alias(key)).distinct()
     rows = work.select(key_of(F.col(key)).alias(key), row_id, *columns)
-    first = rows.join(wanted, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*columns), row_id).alias("_row"))
-    return first.select(key, F.lit(True).alias("_alive"), *[F.col(f"_row.{c}").alias(f"w_{c}") for c in columns])
+    mine = rows.join(wanted, key, "left_semi")
+    first = mine.groupBy(key).agg(F.min(row_id).alias(row_id))  # numbers only, so that rows are hashed and not sorted
+    return mine.join(first, [key, row_id]).select(key, F.lit(True).alias("_alive"), *[F.col(c).alias(f"w_{c}") for c in columns])
 
 
 def join_truth(truth: DataFrame, live: DataFrame, key: str) -> DataFrame:
@@ -293,7 +294,7 @@ def dedup_identity_score(work: DataFrame, clean: DataFrame, pairs: DataFrame, ro
     others = clean.select(row_id).join(alive, row_id, "left_anti").join(
         ids.select(F.col("original_id").alias(row_id)), row_id, "left_anti"
     )
-    tp, fp = F.col("copies_removed"), F.col("both_lost") + F.lit(others.count())
+    tp, fp = F.col("copies_removed"), F.col("both_lost") + others.agg(F.count(F.lit(1))).scalar()
     return copied.select(
         "copies", "copies_removed", fp.alias("originals_lost"),
         X.round4(tp / (tp + fp + EPS)).alias("precision"),
@@ -336,7 +337,7 @@ def score_hard(
         **{f"schema_{k}": F.lit(v) for k, v in schema.items() if k != "score"},
         **{f"dedup_{k}": v for k, v in shown.items()},
         "fmt_date_col_found": F.lit(date is not None), "fmt_date_col_used": F.lit(date).cast("string"),
-        "fmt_n_total": n_total, "fmt_n_valid_iso": n_valid, "fmt_valid_ratio": X.round4(fmt),
+        "fmt_n_total": n_total, "fmt_n_valid_iso": n_valid, "fmt_n_year_ok": n_valid, "fmt_valid_ratio": X.round4(fmt),
     })
 
 

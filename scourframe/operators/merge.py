@@ -22,10 +22,6 @@ def rename_by_alias(df: DataFrame, alias_to_canonical: Mapping[str, str]) -> Dat
     return df.withColumnsRenamed({a: c for a, c in alias_to_canonical.items() if a in df.columns})
 
 
-def select_canonical(df: DataFrame, canonical: Sequence[str]) -> DataFrame:
-    return df.select(*canonical)
-
-
 def conform_source(
     df: DataFrame, aliases: Mapping[str, str], date_column: str, date_format: str, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -85,16 +81,10 @@ def dedup_exact(df: DataFrame, row_id: str = "row_id") -> DataFrame:
 
 
 def dedup_by_key(df: DataFrame, keys: Sequence[str], row_id: str = "row_id") -> DataFrame:
-    """The row with the lowest row id per key; folded before the shuffle like `dedup_exact`."""
-    rest = [c for c in df.columns if c not in keys and c != row_id]
-    first = F.min_by(F.struct(*rest), row_id) if rest else None
-    aggs = [F.min(row_id).alias(row_id)] + ([first.alias("_r")] if rest else [])
-    out = df.groupBy(*keys).agg(*aggs)
-    return out.select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
-
-
-def first_per_key(df: DataFrame, keys: Sequence[str], row_id: str = "row_id") -> DataFrame:
-    return dedup_by_key(df, keys, row_id)
+    """The row with the lowest row id per key. Only keys and ids are aggregated and joined; the wide rows meet the ids that
+    lose."""
+    lost = duplicate_pairs(df, keys, row_id).select(F.col("duplicate_id").alias(row_id))
+    return df.join(lost, row_id, "left_anti").select(*df.columns)
 
 
 def duplicate_pairs(df: DataFrame, keys: Sequence[str], row_id: str = "row_id") -> DataFrame:

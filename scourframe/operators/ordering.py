@@ -2,8 +2,7 @@
 
 A unique BIGINT order key is cut into chunks of fixed width, so a (group, chunk) pair holds at most `width` rows
 whatever the skew. Windows run inside chunks; what has to cross a chunk boundary travels through a table with one
-row per (group, chunk), and the rows join it on the keys they are already partitioned by. Where a check of the sizes
-shows that everything fits one chunk, the plain window is used.
+row per (group, chunk), and the rows join it on the keys they are already partitioned by. Small tables take the same path.
 """
 
 from __future__ import annotations
@@ -15,18 +14,13 @@ from pyspark.sql import functions as F
 
 CHUNK_BITS = 20
 LOG_CHUNK = 1 << 16
-HOT_ROWS = 2_000_000
-LOOKUP_ROWS = 10_000
 
 
-def _chunk_offsets(counts: DataFrame, one_super: bool) -> DataFrame:
+def _chunk_offsets(counts: DataFrame) -> DataFrame:
     """(chunk, n) -> (chunk, n, offset). The running sum is taken inside super-chunks of at most 2^20 chunks, then
     over the super-chunks, so no task sees more than 2^20 rows for keys below 2^60."""
     before = (Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
-    if one_super:
-        running = F.sum("_n").over(Window.orderBy("_chunk").rowsBetween(*before))
-        return counts.withColumn("_offset", F.coalesce(running, zero))
     counts = counts.withColumn("_super", F.shiftright("_chunk", CHUNK_BITS))
     inner = Window.partitionBy("_super").orderBy("_chunk").rowsBetween(*before)
     within = counts.withColumn("_within", F.coalesce(F.sum("_n").over(inner), zero))
@@ -36,22 +30,13 @@ def _chunk_offsets(counts: DataFrame, one_super: bool) -> DataFrame:
     return within.join(supers, "_super").select("_chunk", "_n", (F.col("_within") + F.col("_before")).alias("_offset"))
 
 
-def key_span(df: DataFrame, key: Column) -> tuple[int, int]:
-    """Lowest and highest key (0, 0 for an empty table); reads the key column only."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    return (low or 0, high or 0)
-
-
-def chunk_counts(df: DataFrame, key: Column, bits: int = CHUNK_BITS, span: tuple[int, int] | None = None) -> DataFrame:
+def chunk_counts(df: DataFrame, key: Column, bits: int = CHUNK_BITS) -> DataFrame:
     """(_chunk, _n, _offset) for a unique, non-negative BIGINT key; reads the key column only."""
-    low, high = span or key_span(df, key)
-    counts = df.groupBy(F.shiftright(key, bits).alias("_chunk")).agg(F.count(F.lit(1)).alias("_n"))
-    return _chunk_offsets(counts, low >> (bits + CHUNK_BITS) == high >> (bits + CHUNK_BITS))
+    return _chunk_offsets(df.groupBy(F.shiftright(key, bits).alias("_chunk")).agg(F.count(F.lit(1)).alias("_n")))
 
 
 def with_position(
-    df: DataFrame, key: str | Column = "row_id", name: str = "position", tie: str | None = None, bits: int = CHUNK_BITS,
-    span: tuple[int, int] | None = None,
+    df: DataFrame, key: str | Column = "row_id", name: str = "position", tie: str | None = None, bits: int = CHUNK_BITS
 ) -> DataFrame:
     """0-based position of every row in key order.
 
@@ -60,10 +45,7 @@ def with_position(
     """
     key = F.col(key) if isinstance(key, str) else key
     order = [key] + ([F.col(tie)] if tie else [])
-    span = span or key_span(df, key)
-    if tie is None and span[1] - span[0] < 1 << bits:  # unique keys: no more rows than ids in the span
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint") - 1)
-    offsets = chunk_counts(df, key, bits, span).select("_chunk", "_offset")
+    offsets = chunk_counts(df, key, bits).select("_chunk", "_offset")
     w = Window.partitionBy("_chunk").orderBy(*order)
     numbered = df.withColumn("_chunk", F.shiftright(key, bits)).withColumn("_rn", F.row_number().over(w))
     return numbered.join(offsets, "_chunk").withColumn(name, F.col("_offset") + F.col("_rn") - 1).drop(
@@ -72,49 +54,26 @@ def with_position(
 
 
 def rows_at_positions(df: DataFrame, positions: DataFrame, key: str = "row_id", bits: int = CHUNK_BITS) -> DataFrame:
-    """(position, key) for a list of positions.
-
-    A short list (an action log is bounded by its step budget) is looked up without numbering the table: only the chunks that hold a wanted position are shuffled. A longer list is joined to the numbered table.
-    """
+    """(position, key) for a list of positions; only the keys are read and numbered, whatever the width of the table."""
     positions = positions.select(F.col("position").cast("bigint").alias("position")).distinct()
-    span = key_span(df, F.col(key))
-    if span[1] - span[0] < 1 << bits or positions.limit(LOOKUP_ROWS + 1).count() > LOOKUP_ROWS:
-        return with_position(df.select(key), key, bits=bits, span=span).join(positions, "position").select("position", key)
-    wanted = positions.agg(F.collect_set("position").alias("p")).scalar()
-    chunks = chunk_counts(df, F.col(key), bits, span).withColumn("_wanted", wanted)
-    inside = F.filter(F.col("_wanted"), lambda p: (p >= F.col("_offset")) & (p < F.col("_offset") + F.col("_n")))
-    targets = chunks.select("_chunk", "_offset", F.explode(inside).alias("position"))
-    rows = df.select(key, F.shiftright(key, bits).alias("_chunk"))
-    rows = rows.join(F.broadcast(targets.select("_chunk").distinct()), "_chunk", "left_semi")
-    w = Window.partitionBy("_chunk").orderBy(key)
-    numbered = rows.withColumn("_rn", F.row_number().over(w).cast("bigint") - 1)
-    local = targets.select("_chunk", "position", (F.col("position") - F.col("_offset")).alias("_rn"))
-    return numbered.join(F.broadcast(local), ["_chunk", "_rn"]).select("position", key)
+    return with_position(df.select(key), key, bits=bits).join(positions, "position").select("position", key)
 
 
 # -- windows over (group, order) pairs ----------------------------------------------------------------------------
 
-def has_hot_group(df: DataFrame, group: Sequence[str], limit: int | None = None) -> bool:
-    """Whether a group holds more rows than one task should sort; counts are combined before the shuffle."""
-    limit = HOT_ROWS if limit is None else limit
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return (sizes.agg(F.max("n")).first()[0] or 0) > limit
-
-
 class GroupWindow:
     """Lag, row number and running minimum over `group` in `order`.
 
-    (group, order) must be unique and `order` a non-negative BIGINT. With `hot` the groups are split into chunks of the
-    order; without it (no group is large) these are plain windows. All requested columns share one shuffle of the rows.
+    (group, order) must be unique and `order` a non-negative BIGINT. Groups are split into chunks of the order. All
+    requested columns share one shuffle of the rows.
     """
 
-    def __init__(self, df: DataFrame, group: Sequence[str], order: str, hot: bool | None = None, width: int = LOG_CHUNK):
+    def __init__(self, df: DataFrame, group: Sequence[str], order: str, width: int = LOG_CHUNK):
         self.group, self.order = list(group), order
-        self.hot = has_hot_group(df, group) if hot is None else hot
-        if self.hot and "_chunk" not in df.columns:  # else kept by an earlier window, whose partitioning serves again
+        if "_chunk" not in df.columns:  # else kept by an earlier window, whose partitioning serves again
             df = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
         self.rows = df
-        self.keys = [*self.group, "_chunk"] if self.hot else self.group
+        self.keys = [*self.group, "_chunk"]
         self.inner = Window.partitionBy(*self.keys).orderBy(order)
         self.outer = Window.partitionBy(*self.group).orderBy("_chunk")
         self.local: dict[str, Column] = {}
@@ -126,12 +85,11 @@ class GroupWindow:
         self.local[f"_l_{name}"] = local
         self.carry.append(carry.alias(f"_c_{name}"))
         self.carried[f"_c_{name}"] = carried(F.col(f"_c_{name}"))
-        self.final[name] = final(F.col(f"_l_{name}"), F.col(f"_c_{name}")) if self.hot else F.col(f"_l_{name}")
+        self.final[name] = final(F.col(f"_l_{name}"), F.col(f"_c_{name}"))
         return self
 
     def lag(self, name: str, value: str) -> GroupWindow:
-        if self.hot:
-            self.local["_first"] = F.row_number().over(self.inner) == 1
+        self.local["_first"] = F.row_number().over(self.inner) == 1
         return self._add(
             name, F.lag(value).over(self.inner), F.max_by(value, self.order), lambda c: F.lag(c).over(self.outer),
             lambda local, carried: F.when(F.col("_first"), carried).otherwise(local),
@@ -155,31 +113,23 @@ class GroupWindow:
 
     def result(self, keep_chunk: bool = False) -> DataFrame:
         """`keep_chunk` leaves the chunk column for a further window over the same keys."""
-        rows = self.rows.withColumns(self.local)
-        helpers = [*self.local]
-        if self.hot:
-            summary = self.rows.groupBy(*self.keys).agg(*self.carry).select(
-                *self.keys, *[c.alias(n) for n, c in self.carried.items()]
-            )
-            rows = rows.join(summary, self.keys)
-            helpers += [*self.carried] + ([] if keep_chunk else ["_chunk"])
-        return rows.withColumns(self.final).drop(*helpers)
+        summary = self.rows.groupBy(*self.keys).agg(*self.carry).select(
+            *self.keys, *[c.alias(n) for n, c in self.carried.items()]
+        )
+        rows = self.rows.withColumns(self.local).join(summary, self.keys).withColumns(self.final)
+        return rows.drop(*self.local, *self.carried, *([] if keep_chunk else ["_chunk"]))
 
 
 def recent_items(
-    df: DataFrame, group: Sequence[str], order: str, item: str, k: int, name: str, hot: bool | None = None, width: int = LOG_CHUNK
+    df: DataFrame, group: Sequence[str], order: str, item: str, k: int, name: str, width: int = LOG_CHUNK
 ) -> DataFrame:
     """List of the items of the last k rows before each row, oldest first; rows without an item add nothing."""
     group = list(group)
-    hot = has_hot_group(df, group) if hot is None else hot
     entry = F.struct(F.col(item).alias("i"))
 
     def items(entries: Column) -> Column:
         return F.array_compact(F.transform(entries, lambda s: s["i"]))
 
-    if not hot:
-        last = Window.partitionBy(*group).orderBy(order).rowsBetween(-k, -1)
-        return df.withColumn("_near", F.collect_list(entry).over(last)).withColumn(name, items(F.col("_near"))).drop("_near")
     keys = [*group, "_chunk"]
     rows = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
     inner = Window.partitionBy(*keys).orderBy(order)

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from scourframe.functions import names as N
 from scourframe.functions import scalars as X
 
-HEAD_ROWS = 1000
-DATE_SAMPLE, NUMBER_SAMPLE = 5, 10
 NUMERIC_SHARE = 0.7
 COERCION_SHARE = 0.8
 
@@ -26,44 +24,24 @@ def present(df: DataFrame, name: str) -> Column:
     return X.nan_to_null(c) if dict(df.dtypes)[name] in ("double", "float") else c
 
 
-def _evidence(cells: Column) -> Column:
-    """Counts taken from the first non-missing cells of a column, given as an array of texts in row order."""
-    dates = F.slice(cells, 1, DATE_SAMPLE)
-    return F.struct(
-        F.size(cells).alias("n10"),
-        F.size(F.filter(cells, lambda t: X.to_numeric(t).isNotNull())).alias("numeric10"),
-        F.size(dates).alias("n5"),
-        F.size(F.filter(dates, lambda t: X.strict_date(t).isNotNull())).alias("dates5"),
-    )
-
-
-def first_cells_evidence(df: DataFrame, columns: Sequence[str], row_id: str, head: int = HEAD_ROWS) -> dict[str, dict]:
-    """Evidence per column from its first ten non-missing cells by row id.
-
-    The first `head` rows (one top-k pass) normally hold them; columns that are emptier than that get their own top-k.
-    """
+def cell_evidence(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """How many cells of each column are present, are numbers, are dates: one aggregate over the whole table."""
     if not columns:
         return {}
-
-    def first_ten(name: str) -> Column:
-        pairs = F.collect_list(F.when(present(df, name).isNotNull(), F.struct(row_id, X.as_text(F.col(name)).alias("t"))))
-        return F.transform(F.slice(F.array_sort(pairs), 1, NUMBER_SAMPLE), lambda s: s["t"])
-
-    top = df.select(row_id, *columns).orderBy(row_id).limit(head)
-    aggs = [_evidence(first_ten(c)).alias(f"e{i}") for i, c in enumerate(columns)]
-    row = top.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-    found = {c: row[f"e{i}"].asDict() for i, c in enumerate(columns)}
-    thin = [c for c in columns if found[c]["n10"] < NUMBER_SAMPLE] if row["n"] == head else []
-    for c in thin:
-        cells = df.select(row_id, c).filter(present(df, c).isNotNull()).orderBy(row_id).limit(NUMBER_SAMPLE)
-        found[c] = cells.agg(_evidence(first_ten(c)).alias("e")).first()["e"].asDict()
-    return found
+    aggs = []
+    for i, name in enumerate(columns):
+        text = X.as_text(present(df, name))
+        aggs += [
+            F.count(text).alias(f"n{i}"), F.count(X.to_numeric(text)).alias(f"x{i}"), F.count(X.strict_date(text)).alias(f"d{i}"),
+        ]
+    row = df.agg(*aggs).first()
+    return {c: {"present": row[f"n{i}"], "numbers": row[f"x{i}"], "dates": row[f"d{i}"]} for i, c in enumerate(columns)}
 
 
 def _is_numeric(name: str, seen: dict | None, whole_token: bool) -> bool:
     if N.names_a_number(name, whole_token):
         return True
-    return bool(seen and seen["n10"] and seen["numeric10"] / seen["n10"] >= NUMERIC_SHARE)
+    return bool(seen and seen["present"] and seen["numbers"] / seen["present"] >= NUMERIC_SHARE)
 
 
 def column_kinds(
@@ -73,15 +51,15 @@ def column_kinds(
     sniff_dates: bool = False,
     whole_token: bool = False,
 ) -> dict[str, str]:
-    """'date', 'numeric' or 'string' per column. Only names that decide nothing cost a (top-k) job."""
+    """'date', 'numeric' or 'string' per column, decided over all cells. Only names that decide nothing cost a job, one for all."""
     columns = list(columns) if columns is not None else data_columns(df, row_id)
     hints = N.name_hints(columns, whole_token)
     open_names = [c for c in columns if hints[c] is None or (sniff_dates and hints[c] == "numeric")]
-    seen = first_cells_evidence(df, open_names, row_id)
+    seen = cell_evidence(df, open_names)
     kinds = {}
     for c in columns:
         e = seen.get(c)
-        if hints[c] == "date" or (sniff_dates and e and e["dates5"] >= max(1, e["n5"] // 2)):
+        if hints[c] == "date" or (sniff_dates and e and e["dates"] >= max(1, e["present"] // 2)):
             kinds[c] = "date"
         else:
             kinds[c] = "numeric" if _is_numeric(c, e, whole_token) else "string"
@@ -94,7 +72,7 @@ def looks_like_date(df: DataFrame, column: str, row_id: str = "row_id") -> bool:
 
 def looks_like_numeric(df: DataFrame, column: str, row_id: str = "row_id", whole_token: bool = False) -> bool:
     hint_free = N.names_a_number(column, whole_token)
-    return hint_free or _is_numeric(column, first_cells_evidence(df, [column], row_id)[column], whole_token)
+    return hint_free or _is_numeric(column, cell_evidence(df, [column])[column], whole_token)
 
 
 # -- counts: aggregate expressions --------------------------------------------------------------------------------

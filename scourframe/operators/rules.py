@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scourframe.functions import scalars as X
+from scourframe.operators import merge as M
 
 
 @dataclass(frozen=True)
@@ -86,8 +87,11 @@ def validate_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def violating_rows(df: DataFrame, rule: Rule) -> DataFrame:
-    """Rows that break a row-wise rule."""
+def violating_rows(df: DataFrame, rule: Rule, row_id: str = "row_id") -> DataFrame:
+    """Rows that break a rule; for uniqueness those beyond the first, by row id, of their value. Counts fold before the
+    shuffle, and only repeated values are joined back."""
     if rule.violated is None:
-        raise ValueError("uniqueness is not a row-wise rule")
+        known = df.filter(F.col(rule.column).isNotNull())
+        later = M.duplicate_pairs(known, [rule.column], row_id).select(F.col("duplicate_id").alias(row_id))
+        return df.join(later, row_id, "left_semi").select(*df.columns)
     return df.filter(rule.violated)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from scourframe.functions.hashing import MULTIPLIER, SALT_STEP, SPACE
+from scourframe.functions.hashing import FOLD, MULTIPLIER, SALT_STEP, SPACE
 from scourframe.operators import generate as G
 from scourframe.operators import inject as I
 from suite import tables as T
@@ -26,7 +26,8 @@ def q(text: str) -> str:
 
 
 def h(key: str, salt: int) -> str:
-    a = f"((((({key})::BIGINT) & {MASK}) * {MULTIPLIER} + {salt * SALT_STEP}) & {MASK})"
+    folded = f"xor((({key})::BIGINT) & {MASK}, ((((({key})::BIGINT) >> 32) & {MASK}) * {FOLD}) & {MASK})"
+    a = f"(({folded} * {MULTIPLIER} + {salt * SALT_STEP}) & {MASK})"
     b = f"((xor({a}, ({a} >> 15)) * {MULTIPLIER}) & {MASK})"
     return f"xor({b}, ({b} >> 13))"
 
@@ -82,7 +83,7 @@ def strip(x: str) -> str:
 
 
 def num(x: str) -> str:
-    return f"(CASE WHEN regexp_full_match({strip(x)}, '{NUM}') THEN TRY_CAST({strip(x)} AS DOUBLE) END)"
+    return f"(CASE WHEN regexp_full_match({strip(x)}, '{NUM}') AND isfinite(TRY_CAST({strip(x)} AS DOUBLE)) THEN TRY_CAST({strip(x)} AS DOUBLE) END)"
 
 
 def money(x: str) -> str:
@@ -304,6 +305,7 @@ oracle("validate_rules", DIRTY + ", " + COPIES, f"""
   UNION ALL SELECT 'unique', 'custkey', count(custkey) - count(DISTINCT custkey) FROM dirty
   UNION ALL SELECT 'unique', 'amount', count(amount) - count(DISTINCT amount) FROM copies""")
 oracle("violating_rows", DIRTY, f"SELECT row_id, price FROM dirty WHERE {_BAD_PRICE}")
+oracle("violating_unique", DIRTY, "SELECT row_id, custkey FROM dirty WHERE custkey IS NOT NULL QUALIFY row_number() OVER (PARTITION BY custkey ORDER BY row_id) > 1")
 
 # -- scalar functions -------------------------------------------------------------------------------------------------
 
@@ -407,7 +409,7 @@ oracle("snapshot_versions", DIRTY, """SELECT count(*) AS "rows", count(price) AS
 oracle("preview", DIRTY, "SELECT * FROM dirty ORDER BY row_id LIMIT 20")
 oracle("positions", DIRTY, "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS position FROM dirty WHERE price IS NOT NULL")
 oracle("rows_at_positions", DIRTY + """, kept AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS position FROM dirty WHERE price IS NOT NULL),
-  wanted AS (SELECT DISTINCT sum(event_id) % 1000 AS position FROM events GROUP BY user_id % 50)""",
+  wanted AS (SELECT DISTINCT sum(event_id) % (SELECT count(*) FROM orders) AS position FROM events GROUP BY user_id % 50)""",
        "SELECT position::BIGINT AS position, row_id FROM kept WHERE position IN (SELECT position FROM wanted)")
 _GONE = h_selected("row_id", 90, 0.1)
 oracle("align_rows", RAW, f"""SELECT row_id, orderstatus AS c_orderstatus, priority AS c_priority,
@@ -555,7 +557,7 @@ oracle("grade_schema_dedup_dates", COPIES + f""",
   {round4('sch')} AS schema_score, {round4('f')} AS dedup_score, {round4('fm')} AS format_score, {round4('sc')} AS combined,
   3 AS schema_canonical_found, 9 AS schema_canonical_total, 2 AS schema_leftover_aliases, 0.0::DOUBLE AS schema_rename_bonus,
   removed AS dedup_rows_removed, td AS dedup_true_dups_removed, od AS dedup_over_deletion, {round4('p')} AS dedup_precision, {round4('r')} AS dedup_recall, {round4('f')} AS dedup_f1,
-  true AS fmt_date_col_found, 'purchase_date' AS fmt_date_col_used, t AS fmt_n_total, v AS fmt_n_valid_iso, {round4('fm')} AS fmt_valid_ratio FROM s""")
+  true AS fmt_date_col_found, 'purchase_date' AS fmt_date_col_used, t AS fmt_n_total, v AS fmt_n_valid_iso, v AS fmt_n_year_ok, {round4('fm')} AS fmt_valid_ratio FROM s""")
 _LEFT = f"NOT {h_selected('{x}', 121, 0.3)}"
 oracle("grade_dedup_identity", COPIES + f""",
   st AS (SELECT {_LEFT.format(x='original_id')} AS o, {_LEFT.format(x='row_id')} AS d FROM made),
@@ -611,14 +613,14 @@ def _walk(ops: str, starts: str, n: str, last: str) -> str:
 
 
 oracle("resolve_positions", ACTIONS + """, ops AS (SELECT * FROM log WHERE command IN ('SET_VALUE', 'DROP_ROW') AND row_index >= 0), """ +
-       _walk("ops", "SELECT DISTINCT episode_id FROM log", "60", "150"),
-       """SELECT l.episode_id, l.step, l.command, l.row_index, l.step <= 150 AS executed, w.position,
-  CASE WHEN o.step IS NOT NULL AND l.step <= 150 THEN w.position IS NOT NULL END AS in_range
+       _walk("ops", "SELECT DISTINCT episode_id FROM log", "60", "(SELECT max(step) FROM log)"),
+       """SELECT l.episode_id, l.step, l.command, l.row_index, true AS executed, w.position,
+  CASE WHEN o.step IS NOT NULL THEN w.position IS NOT NULL END AS in_range
   FROM log l LEFT JOIN ops o USING (episode_id, step) LEFT JOIN walk w USING (episode_id, step)""", recursive=True)
 
-APPLY = DIRTY + """, folded AS (SELECT user_id % 40 AS g, sum(event_id) AS s, sum(value)::DECIMAL(18,2)::VARCHAR AS v FROM events GROUP BY 1),
+APPLY = DIRTY + """, folded AS (SELECT event_id % 200 AS g, sum(event_id) AS s, sum(value)::DECIMAL(18,2)::VARCHAR AS v FROM events GROUP BY 1),
   edits AS (SELECT 'one' AS episode_id, (g + 1)::INTEGER AS step, CASE WHEN g % 4 = 3 THEN 'DROP_ROW' ELSE 'SET_VALUE' END AS command,
-    CASE WHEN g % 10 = 9 THEN 1000000000000 ELSE s % 500 END::BIGINT AS row_index,
+    CASE WHEN g % 10 = 9 THEN 1000000000000 ELSE s % (SELECT count(*) FROM orders) END::BIGINT AS row_index,
     CASE WHEN g % 4 = 3 THEN NULL WHEN g % 5 = 0 THEN 'priority' WHEN g % 11 = 0 THEN 'absent' ELSE 'price' END AS col,
     CASE WHEN g % 4 = 3 THEN NULL WHEN g % 13 = 0 THEN 'abc' ELSE v END AS value FROM folded),
   ops AS (SELECT * FROM edits WHERE col IS DISTINCT FROM 'absent'),
@@ -647,14 +649,24 @@ _BROKEN = "array_to_string(list_transform((['a','b','c','d','e'])[1:least(5, use
 _REFUSED = "prev_score < threshold"
 oracle("done_gate", STEPS, f"""SELECT episode_id, step, NOT ({_REFUSED}) AS accepted, reward, done,
   CASE WHEN {_REFUSED} THEN 'DONE rejected: score ' || format('{{:.4f}}', prev_score) || ' < required ' || format('{{:.2f}}', threshold) || '. Still broken: [' || coalesce({_BROKEN}, '') || ']' END AS error,
-  CASE WHEN {_REFUSED} THEN initial_dirty - floor(prev_score * initial_dirty) ELSE 0 END::BIGINT AS issues_remaining FROM rewarded WHERE command = 'DONE' AND prev_score IS NOT NULL""")
+  CASE WHEN {_REFUSED} THEN initial_dirty - floor(prev_score * initial_dirty) ELSE 0 END::BIGINT AS issues_remaining,
+  coalesce(array_to_string((['a','b','c','d','e','f','g'])[1:user_id % 8], ','), '') AS still_broken FROM rewarded WHERE command = 'DONE' AND prev_score IS NOT NULL""")
 oracle("termination", STEPS, "SELECT episode_id, end_step, score >= threshold AS solved FROM ended WHERE step = end_step")
 oracle("cut_at_terminal", STEPS, "SELECT episode_id, step, score, done FROM cut")
 oracle("episode_totals", STEPS, f"SELECT episode_id, max(step) AS steps, arg_max(score, step) AS score, {round4('coalesce(sum(reward), 0)')} AS total_reward FROM rewarded GROUP BY episode_id")
 oracle("episode_summary", STEPS, f"""SELECT episode_id, task_id, arg_max(score, step) >= max(threshold) AS success, max(step)::BIGINT AS steps, arg_max(score, step) AS score,
-  {round4('coalesce(sum(reward), 0)')} AS total_reward, coalesce(string_agg(reward::DECIMAL(10,4)::VARCHAR, ',' ORDER BY step), '') AS rewards FROM cut WHERE step <= runner_steps GROUP BY episode_id, task_id""")
+  {round4('coalesce(sum(reward), 0)')} AS total_reward, coalesce(string_agg(reward::DECIMAL(10,4)::VARCHAR, ',' ORDER BY step), '') AS rewards FROM cut GROUP BY episode_id, task_id""")
 oracle("step_position", STEPS, "SELECT episode_id, step, row_number() OVER (PARTITION BY episode_id ORDER BY step) AS step_number, greatest(0, max_steps - step) AS remaining FROM log")
 oracle("current_state", STEPS, """SELECT episode_id, task_id, arg_max(score, step) AS current_score, greatest(0, any_value(max_steps) - max(step))::BIGINT AS steps_remaining,
   arg_max(score, step) >= any_value(threshold) AS is_solved FROM log GROUP BY episode_id, task_id""")
 oracle("recent_actions", STEPS, """SELECT episode_id, step, coalesce(array_to_string(list_filter(l, lambda x: x IS NOT NULL), ','), '') AS recent
   FROM (SELECT episode_id, step, list(command) OVER (PARTITION BY episode_id ORDER BY step ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS l FROM log)""")
+oracle("plan_applied", DIRTY + ", placed AS (SELECT row_id, price, row_number() OVER (ORDER BY row_id) - 1 AS p FROM dirty)",
+       "SELECT row_id, CASE WHEN p % 3 = 0 AND p < 480 THEN (1000 + p // 3)::VARCHAR || '.5' ELSE price END AS price FROM placed WHERE p > 0")
+_NUMERIC = f"(SELECT count({num('price')}) > 0 FROM dirty)"
+oracle("check_fill", DIRTY, f"""SELECT 'price' AS "column", 'mean' AS strategy, {_NUMERIC} AS success, NULL::VARCHAR AS error
+  UNION ALL SELECT 'price', 'median', {_NUMERIC}, NULL UNION ALL SELECT 'priority', 'mean', false, {q("Cannot compute mean for non-numeric column 'priority'.")}
+  UNION ALL SELECT 'priority', 'mode', (SELECT count(priority) > 0 FROM dirty), NULL UNION ALL SELECT 'priority', 'zero', false, {q("Unknown fill_strategy: 'zero'")}
+  UNION ALL SELECT 'orderstatus', 'drop', true, NULL""")
+oracle("inject_listed_rows", ACCOUNTS, f"""SELECT row_id, 'amount' AS "column", 'outlier' AS kind, {outlier('row_id', 301)}::DOUBLE AS dirty, amount::DOUBLE AS clean
+  FROM accounts WHERE {h_selected('row_id', 300, 0.1)}""")

@@ -24,6 +24,7 @@ from scourframe.operators import rules as V
 from scourframe.sources import readwrite as S
 from scourframe.plans import datasets as D
 from scourframe.session import shared_dir
+from scourframe.plans.cleaning_plan import CleaningPlan
 from suite import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,12 @@ def violating_rows(spark, sf):
     return V.violating_rows(dirty, V.rule_range("price", 2000, 400000)).select("row_id", "price")
 
 
+@query
+def violating_unique(spark, sf):
+    dirty, _ = T.orders_dirty(spark, sf)
+    return V.violating_rows(dirty, V.rule_unique("custkey")).select("row_id", "custkey")
+
+
 # -- scalar functions -------------------------------------------------------------------------------------------------
 
 @query
@@ -271,7 +278,7 @@ def rows_at_positions(spark, sf):
     """Rows at places that the events name."""
     kept = C.drop_missing(T.orders_dirty(spark, sf)[0], "price").select("row_id")
     e = T.table(spark, sf, "events")
-    wanted = e.groupBy((F.col("user_id") % 50).alias("g")).agg((F.sum("event_id") % 1000).alias("position")).select("position")
+    wanted = e.groupBy((F.col("user_id") % 50).alias("g")).agg((F.sum("event_id") % T.table(spark, sf, "orders").agg(F.count(F.lit(1))).scalar()).alias("position")).select("position")
     return O.rows_at_positions(kept, wanted)
 
 
@@ -612,15 +619,16 @@ def resolve_positions(spark, sf):
 
 
 def _apply_log(spark, sf) -> DataFrame:
-    """One episode of 42 actions on the orders table, folded from all events."""
+    """One episode of about 200 actions on rows all over the orders table, folded from all events."""
     g = F.col("g")
-    e = T.table(spark, sf, "events").groupBy((F.col("user_id") % 40).alias("g")).agg(
+    n_rows = T.table(spark, sf, "orders").agg(F.count(F.lit(1))).scalar()
+    e = T.table(spark, sf, "events").groupBy((F.col("event_id") % 200).alias("g")).agg(
         F.sum("event_id").alias("s"), F.sum("value").cast("decimal(18,2)").cast("string").alias("v")
     )
     edits = e.select(
         F.lit("one").alias("episode_id"), (g + 1).cast("int").alias("step"),
         F.when(g % 4 == 3, F.lit("DROP_ROW")).otherwise("SET_VALUE").alias("command"),
-        F.when(g % 10 == 9, F.lit(10**12)).otherwise(F.col("s") % 500).cast("bigint").alias("row_index"),
+        F.when(g % 10 == 9, F.lit(10**12)).otherwise(F.col("s") % n_rows).cast("bigint").alias("row_index"),
         F.when(g % 4 == 3, F.lit(None).cast("string")).when(g % 5 == 0, F.lit("priority")).when(g % 11 == 0, F.lit("absent")).otherwise("price").alias("column"),
         F.when(g % 4 == 3, F.lit(None).cast("string")).when(g % 13 == 0, F.lit("abc")).otherwise(F.col("v")).alias("value"),
         F.lit(None).cast("string").alias("fill_strategy"),
@@ -649,6 +657,24 @@ def apply_actions_report(spark, sf):
     return A.apply_actions(dirty, _apply_log(spark, sf), protected=protected, protected_key="custkey").report
 
 
+@query
+def plan_applied(spark, sf):
+    """A plan of 161 commands on the orders."""
+    plan = CleaningPlan()
+    for i in range(160):
+        plan.set_value(3 * i, "price", f"{1000 + i}.5")
+    return plan.drop_row(0).apply(T.orders_dirty(spark, sf)[0]).table.select("row_id", "price")
+
+
+@query
+def check_fill(spark, sf):
+    """Which fills of the dirty orders can be done, and why others can't."""
+    dirty, _ = T.orders_dirty(spark, sf)
+    wanted = [("price", "mean"), ("price", "median"), ("priority", "mean"), ("priority", "mode"), ("priority", "zero"), ("orderstatus", "drop")]
+    results = [(c, s, C.check_fill(dirty, c, s)) for c, s in wanted]
+    return spark.createDataFrame([(c, s, r.success, r.error) for c, s, r in results], "`column` string, strategy string, success boolean, error string")
+
+
 # -- episodes ---------------------------------------------------------------------------------------------------------
 
 @query
@@ -664,7 +690,7 @@ def done_gate(spark, sf):
     broken = episodes.select("episode_id", F.posexplode(F.array(*[F.lit(c) for c in "abcdefg"])).alias("i", "column")).filter(
         i < F.col("episode_id").cast("bigint") % 8
     ).select("episode_id", "column", i.alias("ordinal"))
-    return E.done_gate(log, broken)
+    return E.done_gate(log, broken).withColumn("still_broken", F.array_join("still_broken", ","))
 
 
 @query
@@ -701,3 +727,12 @@ def current_state(spark, sf):
 @query
 def recent_actions(spark, sf):
     return _listed(E.recent_actions(T.step_log(spark, sf)).select("episode_id", "step", "recent"), "recent")
+
+
+@query
+def inject_listed_rows(spark, sf):
+    """Outliers put into a given list of rows."""
+    accounts = T.accounts(spark, sf)
+    rows = accounts.filter(H.selected(F.col("row_id"), 300, 0.1)).select("row_id")
+    _, truth = I.inject_outliers(I.as_raw(accounts), "amount", rows, 301)
+    return truth.select("row_id", "column", "kind", F.col("dirty_value").cast("double").alias("dirty"), F.col("clean_value").cast("double").alias("clean"))

@@ -80,13 +80,35 @@ def test_positions(spark):
     rows, want = [], {}
     for e in range(6):
         acts = [(rng.choice(["DROP_ROW", "SET_VALUE"]), rng.randrange(45)) for _ in range(50 if e else 160)]
-        places = simulate(40, acts[:150])
+        places = simulate(40, acts)
         for i, (c, p) in enumerate(acts):
             rows.append((str(e), i + 1, c, p))
-            want[(str(e), i + 1)] = places[i] if i < 150 else None
+            want[(str(e), i + 1)] = places[i]
     log = spark.createDataFrame(rows, "episode_id string, step int, command string, row_index bigint")
     for r in A.resolve_positions(log, F.lit(40)).collect():
-        assert r.position == want[(r.episode_id, r.step)] and r.executed == (r.step <= 150)
+        assert r.position == want[(r.episode_id, r.step)] and r.executed
+    for r in A.resolve_positions(log, F.lit(40), 150).collect():
+        assert r.position == (want[(r.episode_id, r.step)] if r.step <= 150 else None) and r.executed == (r.step <= 150)
+
+
+def test_a_long_log_is_applied_whole(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(200)], "row_id bigint, num string")
+    plan = CleaningPlan()
+    for i in range(160):
+        plan.set_value(i, "num", str(1000 + i))
+    log = plan.to_log(spark)
+    out = A.apply_actions(df, log)
+    assert out.report.filter("success").count() == 160
+    assert out.table.filter("cast(num as int) >= 1000").count() == 160
+    cut = A.apply_actions(df, log, budget=150)
+    late = cut.report.filter("step > 150").collect()
+    assert len(late) == 10 and not any(r.success for r in late) and cut.table.filter("cast(num as int) >= 1000").count() == 150
+    two = log.unionByName(CleaningPlan("other").drop_row(0).to_log(spark))
+    with pytest.raises(ValueError, match="several episodes"):
+        A.apply_actions(df, two)
+    assert A.apply_actions(df, two, episode_id="other").table.count() == 199
+    with pytest.raises(ValueError, match="repeats"):
+        A.apply_actions(df, log.unionByName(log))
 
 
 def test_apply_a_plan_to_the_dirty_orders(spark):
@@ -104,8 +126,7 @@ def test_apply_a_plan_to_the_dirty_orders(spark):
     assert after.score >= before.score and out.table.count() == 50
 
 
-def test_apply_runs_of_edits(spark, monkeypatch):
-    monkeypatch.setattr(A, "SEGMENTS_PER_CHECKPOINT", 2)
+def test_apply_runs_of_edits(spark):
     rng = random.Random(8)
     ids = [i * 3 for i in range(30)]
     df = spark.createDataFrame([(i, str(i), "t") for i in ids], "row_id bigint, num string, txt string")

@@ -41,14 +41,13 @@ def test_done_gate(spark):
     broken = spark.createDataFrame([("e", c, i) for i, c in enumerate("abcdefg")], "episode_id string, `column` string, ordinal int")
     rows = E.done_gate(log, broken).orderBy("step").collect()
     assert rows[0].error == "DONE rejected: score 0.9425 < required 0.95. Still broken: ['a', 'b', 'c', 'd', 'e']"
+    assert rows[0].still_broken == list("abcdefg")
     assert (rows[0].accepted, rows[0].reward, rows[0].issues_remaining) == (False, -1.0, 29 - int(0.9425 * 29))
     assert (rows[1].accepted, rows[1].error, rows[1].done, rows[1].issues_remaining) == (True, None, True, 0)
     assert E.done_gate(log).orderBy("step").first().error.endswith("[]")
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10**6])
-def test_termination_and_summary(spark, monkeypatch, hot_rows):
-    monkeypatch.setattr(E.O, "HOT_ROWS", hot_rows)
+def test_termination_and_summary(spark):
     slow = [(None, 0.5)] + [("SET_VALUE", 0.5)] * 39 + [("DONE", 0.5), ("SET_VALUE", 0.5)]  # a refused DONE at step 40
     log = log_of(spark, [
         ("slow", "easy", slow),
@@ -60,8 +59,10 @@ def test_termination_and_summary(spark, monkeypatch, hot_rows):
     summary = {r.episode_id: r for r in E.episode_summary(log).collect()}
     assert (summary["quick"].success, summary["quick"].steps, summary["quick"].score) == (True, 2, 0.8)
     assert summary["quick"].rewards == [0.495, pytest.approx(0.1937, abs=1e-4)]
-    assert (summary["slow"].success, summary["slow"].steps, len(summary["slow"].rewards)) == (False, 25, 25)
-    assert summary["slow"].total_reward == pytest.approx(-0.125)
+    assert (summary["slow"].success, summary["slow"].steps, len(summary["slow"].rewards)) == (False, 41, 41)
+    seen = {r.episode_id: r for r in E.episode_summary(log, "runner_steps").collect()}
+    assert (seen["slow"].success, seen["slow"].steps, len(seen["slow"].rewards)) == (False, 25, 25)
+    assert seen["slow"].total_reward == pytest.approx(-0.125)
     state = {r.episode_id: r for r in E.current_state(log).collect()}
     assert state["open"].steps_remaining == 79 and not state["open"].is_solved and state["quick"].is_solved
     assert E.cut_at_terminal(log).filter("episode_id = 'quick'").count() == 3
@@ -70,7 +71,8 @@ def test_termination_and_summary(spark, monkeypatch, hot_rows):
 
 
 def test_limits(spark):
-    rows = {r.task_id: (r.threshold, r.max_steps, r.runner_steps) for r in E.task_limits(spark).collect()}
+    tasks = spark.createDataFrame([("easy",), ("medium",), ("hard",)], "task_id string")
+    rows = {r.task_id: (r.threshold, r.max_steps, r.runner_steps) for r in E.with_limits(tasks).collect()}
     assert rows == {"easy": (0.95, 40, 25), "medium": (0.85, 80, 50), "hard": (0.8, 150, 80)}
 
 

@@ -37,13 +37,13 @@ def hot_log(n=60):
     return rows
 
 
-@pytest.mark.parametrize("hot,width", [(True, 1), (True, 3), (True, 1000), (False, 1)])
-def test_windows_over_hot_and_small_groups(spark, hot, width):
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_windows_over_hot_and_small_groups(spark, width):
     rows = hot_log()
     df = spark.createDataFrame(rows, "g string, step int, v double, c string")
-    w = (O.GroupWindow(df, ["g"], "step", hot, width).lag("prev", "v").row_number("rn").first_where("hit", F.col("v") > 0.8))
+    w = (O.GroupWindow(df, ["g"], "step", width).lag("prev", "v").row_number("rn").first_where("hit", F.col("v") > 0.8))
     got = {(r.g, r.step): (r.prev, r.rn, r.hit) for r in w.result().collect()}
-    recent = {(r.g, r.step): r.recent for r in O.recent_items(df, ["g"], "step", "c", 3, "recent", hot, width).collect()}
+    recent = {(r.g, r.step): r.recent for r in O.recent_items(df, ["g"], "step", "c", 3, "recent", width).collect()}
     for g in {r[0] for r in rows}:
         mine = sorted(r for r in rows if r[0] == g)
         for i, r in enumerate(mine):
@@ -52,11 +52,6 @@ def test_windows_over_hot_and_small_groups(spark, hot, width):
             assert recent[(g, r[1])] == [x[3] for x in mine[max(0, i - 3): i] if x[3] is not None]
 
 
-def test_hot_groups_are_found(spark):
-    df = spark.createDataFrame([("a",)] * 5 + [("b",)], "g string")
-    assert O.has_hot_group(df, ["g"], 4) and not O.has_hot_group(df, ["g"], 5) and not O.has_hot_group(df.limit(0), ["g"])
-
-
 def brute_near(rows, pct):
     out = {}
     for i, k, a in rows:

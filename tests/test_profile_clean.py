@@ -108,10 +108,12 @@ def test_fill_errors(spark):
     [random.Random(1).gauss(0, 1) for _ in range(801)], [1.0] * 40 + [2.0] * 40,
     [random.Random(2).choice([1.0, 2.0, 1e6]) for _ in range(200)],
 ])
-def test_exact_median_narrows(spark, values):
+def test_exact_median_narrows(spark, monkeypatch, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    for direct in (2_000_000, 5):
-        assert C.exact_median(df, F.col("v"), direct) == pytest.approx(statistics.median(values), rel=1e-12)
+    extra = df.unionByName(spark.createDataFrame([(float("inf"),), (None,)], "v double"))
+    for buckets in (4096, 5, 2):
+        monkeypatch.setattr(C, "MEDIAN_BUCKETS", buckets)
+        assert C.exact_median(extra, F.col("v")) == pytest.approx(statistics.median(values), rel=1e-12)
     assert C.exact_median(df.limit(0), F.col("v")) is None
 
 
