@@ -75,18 +75,25 @@ def normalise_cells(
     """Comparable text of every cell; a column that the table lacks is filled with a mark."""
     out = []
     for name in columns:
-        if name not in df.columns:
-            cell = F.lit(X.MISSING_COLUMN_MARK)
-        elif name in numeric:
-            cell = X.numeric_text(P.present(df, name))
-        elif name in dates:
-            cell = X.date_text(P.present(df, name))
-        else:
-            cell = F.coalesce(X.strip(X.as_text(P.present(df, name))), F.lit(X.NAN_MARK))
+        cell = comparable(P.present(df, name), name, numeric, dates) if name in df.columns else F.lit(X.MISSING_COLUMN_MARK)
         out.append(cell.alias(name))
     return df.select(row_id, *out)
 
 
+def comparable(cell: Column, name: str, numeric: Sequence[str] = NUMERIC_CELLS, dates: Sequence[str] = DATE_CELLS) -> Column:
+    if name in numeric:
+        return X.numeric_text(cell)
+    if name in dates:
+        return X.date_text(cell)
+    return F.coalesce(X.strip(X.as_text(cell)), F.lit(X.NAN_MARK))
+
+
+def raw_cells(df: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> DataFrame:
+    """Every cell as the text it is, NaN as NULL; a column that the table lacks is filled with a mark."""
+    there = [X.as_text(P.present(df, n)).alias(n) if n in df.columns else F.lit(X.MISSING_COLUMN_MARK).alias(n) for n in columns]
+    return df.select(row_id, *there)
+
+
 def align_rows(work: DataFrame, clean: DataFrame, row_id: str = "row_id") -> DataFrame:
     """One row per clean row: w_<column> and c_<column>. Rows that the work table lacks are filled with a mark, rows
     beyond the clean table are cut."""
@@ -101,14 +108,26 @@ def align_rows(work: DataFrame, clean: DataFrame, row_id: str = "row_id") -> Dat
     )
 
 
-def cell_counts(aligned: DataFrame, columns: Sequence[str], null_equal: bool = True) -> DataFrame:
-    """One row: matches, total_cells."""
-    hits = []
-    for n in columns:
-        same = F.col(f"w_{n}").eqNullSafe(F.col(f"c_{n}"))
-        if not null_equal:
-            same = same & (F.col(f"c_{n}") != X.NAN_MARK)
-        hits.append(F.when(same, 1).otherwise(0))
+def same_cell(
+    work: Column, clean: Column, name: str, numeric: Sequence[str] = NUMERIC_CELLS, dates: Sequence[str] = DATE_CELLS,
+    null_equal: bool = True,
+) -> Column:
+    """Whether two raw texts are the same after normalisation. Only texts that differ are normalised at all."""
+    absent = work.isin(X.MISSING_ROW_MARK, X.MISSING_COLUMN_MARK)
+    return (
+        F.when(work.isNull() | clean.isNull(), work.isNull() & clean.isNull() & F.lit(null_equal))
+        .when(absent, False)
+        .when(work == clean, True)
+        .otherwise(comparable(work, name, numeric, dates) == comparable(clean, name, numeric, dates))
+    )
+
+
+def cell_counts(
+    aligned: DataFrame, columns: Sequence[str], null_equal: bool = True, numeric: Sequence[str] = NUMERIC_CELLS,
+    dates: Sequence[str] = DATE_CELLS,
+) -> DataFrame:
+    """One row: matches, total_cells, from rows of raw texts w_<column> and c_<column>."""
+    hits = [F.when(same_cell(F.col(f"w_{n}"), F.col(f"c_{n}"), n, numeric, dates, null_equal), 1).otherwise(0) for n in columns]
     per_row = sum(hits[1:], hits[0])
     return aligned.agg(
         F.coalesce(F.sum(per_row), F.lit(0).cast("bigint")).alias("matches"),
@@ -134,9 +153,8 @@ def cell_match(
     if align == "position":
         work = O.with_position(work, row_id, "_pos").withColumn(row_id, F.col("_pos")).drop("_pos")
         clean = O.with_position(clean, row_id, "_pos").withColumn(row_id, F.col("_pos")).drop("_pos")
-    w = normalise_cells(work, columns, row_id, numeric, dates)
-    c = normalise_cells(clean, columns, row_id, numeric, dates)
-    counts = cell_counts(align_rows(w, c, row_id), columns, null_equal)
+    aligned = align_rows(raw_cells(work, columns, row_id), raw_cells(clean, columns, row_id), row_id)
+    counts = cell_counts(aligned, columns, null_equal, numeric, dates)
     matched, total = F.col("matches"), F.col("total_cells")
     wrong, score = total - matched, matched / F.nullif(total, F.lit(0))
     detail = F.concat(
