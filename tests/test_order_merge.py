@@ -17,14 +17,12 @@ def test_positions_with_sparse_ids(spark):
 
 
 @pytest.mark.parametrize("bits", [5, 20])
-def test_rows_at_positions(spark, monkeypatch, bits):
+def test_rows_at_positions(spark, bits):
     ids = list(range(0, 3000, 7))
     df = spark.createDataFrame([(i,) for i in ids], "row_id bigint")
     wanted = spark.createDataFrame([(0,), (5,), (428,), (99999,), (5,)], "position bigint")
     want = {(0, 0), (5, 35), (428, 2996)}
     assert {tuple(r) for r in O.rows_at_positions(df, wanted, bits=bits).collect()} == want
-    monkeypatch.setattr(O, "LOOKUP_ROWS", 2)
-    assert {tuple(r) for r in O.rows_at_positions(df, wanted, bits=bits).collect()} == want
 
 
 def hot_log(n=60):

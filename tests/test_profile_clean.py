@@ -32,7 +32,7 @@ def test_column_status(spark):
 
 
 def test_kinds_by_content(spark):
-    rows = [(str(i), f"0{i % 9 + 1}/02/2023", "x" if i < 4 else str(i)) for i in range(20)]
+    rows = [(str(i), f"0{i % 9 + 1}/02/2023", str(i) if i < 12 else "x") for i in range(20)]  # all cells count, not the first
     df = frame(spark, rows, "code string, day string, mixed string")
     assert P.column_kinds(df, sniff_dates=True) == {"code": "numeric", "day": "date", "mixed": "string"}
     assert P.column_kinds(df) == {"code": "numeric", "day": "string", "mixed": "string"}
