@@ -17,11 +17,15 @@ from scourframe.session import shared_dir
 
 #: Folds of the labelled rows: crc32 of the id's text, modulo 3; this remainder is held out from learning.
 FOLDS, HELD_OUT = 3, 1
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each context, wherever it was imported from."""
+    """Send this package to the Python workers, once for each context, wherever it was imported from; and let whole texts reach them
+    in batches of at most BATCH_ROWS rows, so that a worker holds little of a table at once."""
     context = spark.sparkContext
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     if getattr(context, "_scourframe_shipped", False):
         return
     root = Path(scourframe.__file__).parent

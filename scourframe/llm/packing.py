@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from scourframe.llm import common
 
 #: Words whose ids a Python worker keeps; the table is emptied beyond that.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 #: White space to Python that is none to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
@@ -104,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
         vocabulary = word_ids(tokenizer)
         for batch in batches:
             names, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            for at, block in common.blocks(texts):
+            for at, block in common.blocks(texts, 2_000_000):
                 rows = []
                 for i, ids in enumerate(vocabulary.encode(block), at):
                     ids = np.append(ids, end_id).astype(np.int32)
