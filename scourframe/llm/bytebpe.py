@@ -6,6 +6,7 @@ import base64
 import hashlib
 import itertools
 import re
+import uuid
 import zlib
 from functools import lru_cache
 
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scourframe.llm import common
+from scourframe.session import shared_dir
 
 #: Characters of text whose pre-tokens share one list of distinct words; one longer text has a list of its own.
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 12_000_000
 #: A space before white space or the end: such texts are not split at single spaces.
 ODD = re.compile(r" (?:\s|\Z)")
 
@@ -85,30 +87,39 @@ class Chunk:
         self.pattern = pattern
         self.words: dict[str, int] = {}
         self.segments: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.values, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.texts: list[np.ndarray] = []
         self.chars = 0
 
     def numbers(self, text: str) -> list[int]:
         return [self.words.setdefault(word, len(self.words)) for word in self.pattern.findall(text)]
 
+    def learn(self, segments: list[str]) -> None:
+        """Match each new segment, with the space before it, once."""
+        new = [x for x in segments if x not in self.segments]
+        own = [self.numbers(f" {segment}") for segment in new]
+        counts = np.fromiter(map(len, own), np.int64, len(own))
+        values = np.fromiter(itertools.chain.from_iterable(own), np.uint32, int(counts.sum()))
+        self.starts = np.append(self.starts, np.cumsum(counts) - counts + len(self.values))
+        self.values, self.counts = np.append(self.values, values), np.append(self.counts, counts)
+        self.segments.update(zip(new, range(len(self.segments), len(self.segments) + len(new))))
+
     def add(self, texts: list[str]) -> None:
-        """Words never reach across a single space that a visible character follows, so texts are split there first, and each
-        distinct segment is matched once."""
+        """Words never reach across a single space that a visible character follows, so texts are split there first."""
         odd = [bool(ODD.search(text)) for text in texts]
         split = pc.split_pattern(pa.array(["" if x else text for x, text in zip(odd, texts)], pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        own = [self.numbers(f" {segment}") for segment in coded.dictionary.to_pylist()]
-        counts = np.fromiter(map(len, own), np.int64, len(own))
-        values = np.fromiter(itertools.chain.from_iterable(own), np.int64, int(counts.sum()))
-        starts, codes, offsets = np.cumsum(counts) - counts, coded.indices.to_numpy(), split.offsets.to_numpy()
+        distinct = coded.dictionary.to_pylist()
+        self.learn(distinct)
+        codes = np.fromiter(map(self.segments.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        offsets = split.offsets.to_numpy()
         for i, text in enumerate(texts):
             if odd[i]:
-                found = np.array(self.numbers(text), np.int64)
+                found = np.array(self.numbers(text), np.uint32)
             else:
-                first = np.array(self.numbers(text.partition(" ")[0]), np.int64)
-                found = np.concatenate([first, ragged(values, starts, counts, codes[offsets[i] + 1: offsets[i + 1]])])
-            self.texts.append(found.astype(np.uint32))
+                first = np.array(self.numbers(text.partition(" ")[0]), np.uint32)
+                found = np.concatenate([first, ragged(self.values, self.starts, self.counts, codes[offsets[i] + 1: offsets[i + 1]])])
+            self.texts.append(found)
             self.chars += len(text)
 
     def finish(self) -> tuple[list[str], list[np.ndarray]]:
@@ -125,19 +136,31 @@ class Chunk:
         return [words[i] for i in order], [to[text] for text in self.texts]
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write `df` to the shared folder in buckets of `key`, so that its rows need no further exchange to meet others by it."""
+    spark = df.sparkSession
+    name = f"scourframe_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved; the files stay when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every whole text: id_col and `ids` (array of int), a row for each row of `docs`.
 
     Each task turns its texts into lists of distinct pre-tokens and positions in them, which are written to the shared folder.
     The distinct words of all lists meet by their hash, each is encoded once, and its ids return to the lists it came from;
-    there the texts are put together again by position. A word used everywhere is one entry a list, so no key is hot, and a
+    there the texts, which lie in buckets of their lists and are not moved, are put together again by position. A word used everywhere is one entry a list, so no key is hot, and a
     list is bounded by CHUNK_CHARS. Words and positions travel as compressed blocks.
 
     Null and empty texts have no ids. Null ids and repeated rows are rows like any other. An empty table gives no rows.
     """
     kind = dict(docs.select(id_col).dtypes)[id_col]
     texts = docs.select(id_col, text_col)
-    n_buckets = max(16, 2 * texts.rdd.getNumPartitions())
+    partitions = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    n_buckets = max(int(partitions), 2 * texts.rdd.getNumPartitions())
 
     def split(batches):
         import regex
@@ -150,17 +173,17 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
             number = (task << 20) + serial
             n = len(found)
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, number)), pa.concat_arrays(names), pa.nulls(n, pa.int32()), pa.array([packed(x) for x in found], pa.binary()), pa.nulls(n, pa.binary())], fields)
+                pa.array(np.full(n, number)), pa.concat_arrays(names), pa.array([packed(x) for x in found], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], fields)
             of = np.fromiter((zlib.crc32(word.encode("utf-8", "surrogatepass")) % n_buckets for word in words), np.int64, len(words))
             order = np.argsort(of, kind="stable")
             cuts = np.flatnonzero(np.diff(of[order], prepend=-1, append=-1))
             rows = [(int(of[order[a]]), order[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(rows), number)), pa.nulls(len(rows), names[0].type), pa.array([b for b, _ in rows], pa.int32()), pa.array([packed(x) for _, x in rows], pa.binary()),
+                pa.array(np.full(len(rows), number)), pa.nulls(len(rows), names[0].type), pa.nulls(len(rows), pa.binary()), pa.array([b for b, _ in rows], pa.int32()), pa.array([packed(x) for _, x in rows], pa.binary()),
                 pa.array([blob([words[i] for i in x]) for _, x in rows], pa.binary())], fields)
 
         for batch in batches:
-            for at, block in common.blocks([x or "" for x in batch.column(1).to_pylist()]):
+            for at, block in common.blocks([x or "" for x in batch.column(1).to_pylist()], 2_000_000):
                 names.append(batch.column(0).slice(at, len(block)))
                 chunk.add(block)
                 if chunk.chars >= CHUNK_CHARS:
@@ -169,8 +192,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         if names:
             yield from flushed()
 
-    fields = ["chunk", "doc", "bucket", "numbers", "words"]
-    lists = common.settled(texts.mapInArrow(split, f"chunk long, doc {kind}, bucket int, numbers binary, words binary"), "word-lists")
+    fields = ["chunk", "doc", "positions", "bucket", "numbers", "words"]
+    schema = f"chunk long, doc {kind}, positions binary, bucket int, numbers binary, words binary"
+    lists = bucketed(texts.mapInArrow(split, schema), "chunk", n_buckets)
 
     def learn(table: pa.Table) -> pa.Table:
         encoder = word_encoder(ranks)
@@ -188,20 +212,20 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
             "counts": pa.array([packed(counts[x]) for x in at], pa.binary()),
             "ids": pa.array([packed(ragged(values, starts, counts, x)) for x in at], pa.binary())})
 
-    found = lists.filter("bucket is not null").groupBy("bucket").applyInArrow(learn, "chunk long, numbers binary, counts binary, ids binary")
+    found = lists.filter("bucket is not null").select("chunk", "bucket", "numbers", "words").groupBy("bucket").applyInArrow(learn, "chunk long, numbers binary, counts binary, ids binary")
 
     def together(texts: pa.Table, words: pa.Table) -> pa.Table:
         parts = [[unpacked(x.as_py()) for x in words.column(c)] for c in ("numbers", "counts", "ids")]
         at, n, values = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in parts)
         counts, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         counts[at], starts[at] = n, np.cumsum(n, dtype=np.int64) - n
-        ids = [ragged(values, starts, counts, unpacked(x.as_py())) for x in texts.column("numbers")]
+        ids = [ragged(values, starts, counts, unpacked(x.as_py())) for x in texts.column("positions")]
         offsets = np.cumsum([0, *map(len, ids)])
         flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
         return pa.table({id_col: texts.column("doc"), "ids": lists})
 
-    placed = lists.filter("bucket is null").select("chunk", "doc", "numbers")
+    placed = lists.filter("positions is not null").select("chunk", "doc", "positions")
     return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(together, f"`{id_col}` {kind}, ids array<int>")
 
 
@@ -216,7 +240,9 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", to: str = "deco
     def join(batches):
         table = token_bytes(ranks)
         for batch in batches:
-            column = [None if ids.as_py() is None else b"".join([table[i] for i in ids.as_py()]) for ids in batch.column(at)]
+            ids = batch.column(at)
+            flat, offsets, there = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
+            column = [b"".join([table[i] for i in flat[a:b].tolist()]) if valid else None for a, b, valid in zip(offsets[:-1], offsets[1:], there)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, pa.binary())], [*kept, to])
 
     schema = encoded.select(*kept).schema.add(to, "binary")
