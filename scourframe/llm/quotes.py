@@ -48,8 +48,8 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     A passage is known by the digest of its normalised text. It belongs to the first message that says it itself, as its whole text
     or as one of its lines. A quoted passage that is nobody's as a whole is looked up by its lines. A message answers the
     message whose passage it quotes at the lowest level, ties to the earliest; it must be an earlier turn. Positions go by
-    thread, depth and turn, so that a message never stands before the one it answers. Threads are followed by doubling, with
-    one exchange a round, and written in between. Keys are digests with the conversation, folded before the exchange; one
+    thread, depth and turn, so that a message never stands before the one it answers. Threads are followed by doubling, in which
+    only messages that have not reached their first one take part, and written in between. Keys are digests with the conversation, folded before the exchange; one
     conversation may be spread over all tasks.
 
     A null or empty text quotes nothing and is quoted by nobody. Rows without conversation or turn are returned with a null
@@ -90,15 +90,17 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         F.count("near").cast("int").alias("n_linked"), F.count_if(F.col("near").isNull() & F.col("far")).cast("int").alias("n_foreign"))
     nodes = common.settled(read.select("conv", "turn", "n_quotes").join(links, ["conv", "turn"], "left"), "replies")
 
-    state = common.settled(nodes.select("conv", "turn", F.coalesce("reply_to", "turn").alias("root"), F.col("reply_to").isNotNull().cast("long").alias("depth")), "threads")
-    while True:
-        above = state.select("conv", F.col("turn").alias("root"), F.col("root").alias("top"), F.col("depth").alias("more"))
-        following = common.settled(state.join(above, ["conv", "root"]).select("conv", "turn", F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "threads")
+    answers = F.col("reply_to").isNotNull()
+    state = nodes.select("conv", "turn", F.coalesce("reply_to", "turn").alias("root"), answers.cast("long").alias("depth"), (~answers).alias("ended"))
+    state = common.settled(state, "threads")
+    while not state.filter("not ended").isEmpty():
+        above = state.select("conv", F.col("turn").alias("root"), F.col("root").alias("top"), F.col("depth").alias("more"), F.col("ended").alias("over"))
+        moved = state.filter("not ended").join(above, ["conv", "root"])
+        moved = moved.select("conv", "turn", F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("over").alias("ended"))
+        following = common.settled(state.filter("ended").unionByName(moved), "threads")
         common.dropped(state)
-        moved = not following.filter("moved").isEmpty()
-        state = following.drop("moved")
-        if not moved:
-            break
+        state = following
+    state = state.drop("ended")
 
     spread = parts or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["root", "depth", "turn"]
