@@ -13,8 +13,9 @@ from scourframe.llm import common, vectors
 
 #: Neighbours in a list at first; a list whose every entry is a link is saturated and doubled, up to LONGEST.
 NEIGHBOURS, LONGEST = 8, 32
-#: Hashed tables that the first lists come from, rows in a bucket of one, rows compared at once in a bucket or component.
-TABLES, BUCKET, BLOCK = 8, 32, 256
+#: Tables at least that the first lists come from, odds that two rows at the bound meet in one of them, planes of a table, rows
+#: compared at once in a table or component.
+TABLES, MEETING, PLANES, BLOCK = 8, 0.97, 62, 256
 #: Rounds of refinement before an audit, audits at most, rows audited, recall of links that they must show.
 ROUNDS, AUDITS, AUDITED, TARGET = 2, 3, 512, 0.99
 
@@ -80,26 +81,37 @@ def merged(rows: DataFrame, least: float) -> DataFrame:
     return every.select("u", F.slice("near", F.lit(1), F.col("most")).alias("near"), "most")
 
 
-def first_lists(nodes: DataFrame, sizes: dict[int, int], width: int, least: float) -> DataFrame:
-    """Neighbours among the rows whose vectors lie on the same sides of random planes, in several tables."""
-    most = max([1, *sizes.values()])
-    bits = max(0, math.ceil(math.log2(most / BUCKET))) if most > BUCKET else 0
-    planes = np.random.default_rng(17).normal(size=(TABLES, bits, width))
+def first_lists(nodes: DataFrame, sizes: DataFrame, width: int, least: float) -> DataFrame:
+    """Neighbours among the rows that follow each other in the order of their sides of random planes, in several tables.
+
+    The rows of a label are sorted by all sides and dealt into blocks of BLOCK to 2 * BLOCK - 1 rows, so that as many planes part
+    them as their own number asks for, no row is alone, and none is left out of a crowd. The tables of a label grow with the
+    planes that part it; a label of one block is compared whole, once."""
+    alike = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    together = F.pow(F.lit(alike), F.ceil(F.log2(F.col("rows") * 2 / BLOCK)))
+    tables = F.when(F.col("rows") < 2 * BLOCK, 1).when(together >= 1, TABLES).otherwise(F.greatest(F.lit(TABLES), F.ceil(math.log(1 - MEETING) / F.log(1 - together))))
+    planned = common.settled(sizes.withColumn("tables", tables.cast("long")), "tables")
+    most = planned.agg(F.max("tables")).first()[0]
+    planes = np.random.default_rng(17).normal(size=(most, PLANES, width))
 
     def place(batches):
         for batch in batches:
-            x = vectors.matrix(batch.column("x"), width)
-            for t in range(TABLES):
-                cell = ((x @ planes[t].T > 0) @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t)), pa.array(cell), *batch.columns], ["t", "cell", *batch.schema.names])
-
-    kind = dict(nodes.dtypes)["x"]
-    placed = nodes.select("u", "label", "x").mapInArrow(place, f"t long, cell long, u long, label long, x {kind}")
-    crowds = placed.groupBy("t", "label", "cell").count().filter(F.col("count") > BLOCK)
-    parts = placed.join(crowds, ["t", "label", "cell"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)))
-    keyed = parts.select(
-        F.xxhash64("t", "label", "cell", F.pmod(F.xxhash64("u", "t"), F.col("parts"))).alias("key"), "u", "label", "x", F.lit(-2.0).alias("floor"), F.lit(NEIGHBOURS).alias("most"))
-    return joined_runs(keyed, width, least)
+            x, tables = vectors.matrix(batch.column("x"), width), batch.column("tables").to_numpy()
+            for t in range(most):
+                own = np.flatnonzero(tables > t)
+                if len(own):
+                    code = (x[own] @ planes[t].T > 0).astype(np.int64) @ (1 << np.arange(PLANES, dtype=np.int64)[::-1])
+                    at = pa.array(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array(code), *(batch.column(c).take(at) for c in ("u", "label", "rows"))], ["t", "code", "u", "label", "rows"])
+
+    placed = nodes.join(planned, "label").select("u", "label", "x", "rows", "tables").mapInArrow(place, "t long, code long, u long, label long, rows long")
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["code", "u"]
+    keyed = placed.withColumn("list", F.struct("label", "t")).repartitionByRange(spread, "list", *order)
+    ranked = common.numbered(keyed, "list", order, "rank")
+    block = F.least(F.floor(F.col("rank") / BLOCK), F.greatest(F.floor(F.col("rows") / BLOCK) - 1, F.lit(0)))
+    keyed = ranked.select("u", F.xxhash64("t", "label", block).alias("key")).join(nodes.select("u", "label", "x"), "u")
+    return joined_runs(keyed.select("key", "u", "label", "x", F.lit(-2.0).alias("floor"), F.lit(NEIGHBOURS).alias("most")), width, least)
 
 
 def refined(graph: DataFrame, nodes: DataFrame, width: int, least: float) -> DataFrame:
@@ -163,7 +175,7 @@ def near_vectors(table: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     Returns id_col, `n_links` (other vectors linked directly), `component_id` (smallest id reachable), `kept` (id_col =
     component_id), a row for each row of `table`.
 
-    Equal vectors of a label form one node. The first lists of neighbours come from buckets of random planes; each round joins the
+    Equal vectors of a label form one node. The first lists of neighbours come from orders by random planes; each round joins the
     rows around every row (its list, and the nearest of those that list it) with each other and keeps what is nearer. Lists that
     hold nothing but links are saturated and grow. Every link seen joins two nodes, also one that no list has room for. Then all
     rows of a component are compared in blocks, which completes the lists of crowded groups exactly. An audit counts the links
@@ -179,8 +191,8 @@ def near_vectors(table: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     width = vectors.one_width(rows, "x")
     classes = rows.groupBy("label", "own").agg(F.min("v").alias("v"), F.count("*").alias("n"))
     nodes = common.settled(rows.select("v", "x").join(classes, "v").select(F.col("v").alias("u"), "label", "x", "n", "own"), "nodes")
-    sizes = {row["label"]: row["count"] for row in nodes.groupBy("label").count().collect()} if width else {}
-    count = sum(sizes.values())
+    sizes = common.settled(nodes.groupBy("label").agg(F.count("*").alias("rows")), "sizes")
+    count = sizes.agg(F.sum("rows")).first()[0] if width else 0
     if not count:
         alone = table.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
         return alone.withColumn("kept", F.col(id_col).isNotNull())

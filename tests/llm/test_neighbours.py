@@ -1,5 +1,6 @@
 """Near duplicates and neighbour search against brute force."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -150,6 +151,31 @@ def test_op2_on_given_rows(spark):
     assert {r.vec_id: r.n_links for r in descent.op2_nn_descent(spark, SMALL).collect()} == want
 
 
+def turned(draw, x, cosine):
+    """Unit vectors of exactly this cosine to the given unit vectors."""
+    other = draw.normal(size=x.shape)
+    other -= (other * x).sum(axis=1)[:, None] * x
+    return cosine * x + math.sqrt(1 - cosine * cosine) * other / np.linalg.norm(other, axis=1)[:, None]
+
+
+def pairs_beside_a_large_label():
+    """40 rows of label 1, 300 pairs just above the bound of label 2 (i and 1000 + i), and 20,000 rows of label 3."""
+    draw = np.random.default_rng(12)
+    few, base, many = (draw.normal(size=(n, 16)) for n in (40, 300, 20_000))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    parts = [(10_000, few, 1), (0, base, 2), (1000, turned(draw, base, 0.9305), 2), (20_000, many, 3)]
+    return [(first + i, [float(v) for v in x], label, 1) for first, rows, label in parts for i, x in enumerate(rows)]
+
+
+def test_first_lists_do_not_depend_on_other_labels(spark):
+    common.ship(spark)
+    nodes = spark.createDataFrame(pairs_beside_a_large_label(), "u long, x array<double>, label long, n long")
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("rows"))
+    lists = descent.first_lists(nodes, sizes, 16, 0.93).filter("size(near) > 0 and u < 20000").select("u", "near.w").collect()
+    assert len({r.u for r in lists if r.u >= 10_000}) == 40
+    assert len({r.u for r in lists if r.u < 1000 and r.u + 1000 in r.w}) >= 297
+
+
 def test_op10_recall_and_scores(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
     names, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
