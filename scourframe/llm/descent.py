@@ -16,8 +16,11 @@ NEIGHBOURS, LONGEST = 8, 32
 #: Tables at least that the first lists come from, odds that two rows at the bound meet in one of them, planes of a table, rows
 #: compared at once in a table or component.
 TABLES, MEETING, PLANES, BLOCK = 8, 0.97, 62, 256
-#: Rounds of refinement before an audit, audits at most, rows audited, recall of links that they must show.
-ROUNDS, AUDITS, AUDITED, TARGET = 2, 3, 512, 0.99
+#: Rounds of refinement before recall is measured, times that it is before labels that are short of it are compared whole, share of
+#: the audited rows of a label that must have all their links.
+ROUNDS, AUDITS, TARGET = 2, 3, 0.99
+#: Rows audited of a label at first, rows with few links that the audit must meet, rows on each side of a block of it.
+AUDITED, ENOUGH, SIDE = 512, 200, 2048
 
 NEAR = "near array<struct<s:double,w:long>>"
 NEAR_TYPE = pa.list_(pa.struct([("s", pa.float64()), ("w", pa.int64())]))
@@ -150,23 +153,70 @@ def counted(nodes: DataFrame, component: DataFrame, width: int, least: float) ->
     return sums.groupBy("u").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, count: int, width: int, least: float) -> DataFrame:
-    """True links of about AUDITED rows drawn by a hash, compared with all rows: u, truth."""
-    chosen = nodes.filter(common.uniform(F.col("u"), seed=4) < min(1.0, AUDITED / max(count, 1))).select("u", "label", "x").collect()
-    names = np.array([row["u"] for row in chosen], np.int64)
-    asked = np.array([row["x"] for row in chosen], np.float64).reshape(-1, width)
-    asked /= np.sqrt((asked * asked).sum(axis=1))[:, None]
-    labels = np.array([row["label"] for row in chosen], np.int64)
+def compared(nodes: DataFrame, asked: DataFrame, sizes: DataFrame, width: int, least: float) -> DataFrame:
+    """Rows of `asked` (u, label, x) against all rows of their labels, in blocks: u, label, asked, `truth` (its links; several rows
+    a u, to be summed) and `link`, a smaller row reached by links seen in the block, for rows of both sides."""
+    many = asked.groupBy("label").agg(F.ceil(F.count("*") / SIDE).alias("groups"))
+    shape = sizes.join(many, "label").select("label", F.ceil(F.col("rows") / SIDE).alias("parts"), "groups")
+    every = lambda most: F.explode(F.sequence(F.lit(0).cast("long"), F.col(most) - 1))
+    rows = nodes.select("u", "label", "x", "n").join(shape, "label").withColumn("i", F.pmod(F.xxhash64("u", F.lit(1)), F.col("parts"))).withColumn("j", every("groups"))
+    ask = asked.select("u", "label", "x", F.lit(0).cast("long").alias("n")).join(shape, "label").withColumn("j", F.pmod(F.xxhash64("u", F.lit(2)), F.col("groups"))).withColumn("i", every("parts"))
+    keyed = rows.withColumn("asks", F.lit(False)).unionByName(ask.withColumn("asks", F.lit(True))).select(F.xxhash64("label", "i", "j").alias("key"), "u", "label", "x", "n", "asks")
 
     def work(batches):
-        total = np.zeros(len(names), np.int64)
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            same = (labels[:, None] == table.column("label").to_numpy()[None, :]) & (names[:, None] != table.column("u").to_numpy()[None, :])
-            total += ((asked @ units(table, width).T >= least) & same) @ table.column("n").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["u", "truth"])
-
-    return nodes.select("u", "label", "x", "n").mapInArrow(work, "u long, truth long").groupBy("u").agg(F.sum("truth").alias("truth"))
+        for table in common.runs(batches):
+            x, u, label, n = units(table, width), table.column("u").to_numpy(), table.column("label").to_numpy(), table.column("n").to_numpy()
+            asks = table.column("asks").to_numpy()
+            a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+            links = np.zeros((len(a), len(b)), bool)
+            for at in range(0, len(a), BLOCK):
+                own = a[at: at + BLOCK]
+                links[at: at + BLOCK] = (x[own] @ x[b].T >= least) & (label[own][:, None] == label[b][None, :]) & (u[own][:, None] != u[b][None, :])
+            yield pa.RecordBatch.from_arrays([pa.array(u[a]), pa.array(label[a]), pa.array(np.ones(len(a), bool)), pa.array(links @ n[b]), pa.nulls(len(a), pa.int64())], names)
+            left, right = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
+            if len(left):
+                links, a, b = links[np.ix_(left, right)], a[left], b[right]
+                low, other = u[a].copy(), u[b].copy()
+                while True:
+                    new = np.minimum(low, np.where(links, other[None, :], np.iinfo(np.int64).max).min(axis=1))
+                    after = np.minimum(other, np.where(links, new[:, None], np.iinfo(np.int64).max).min(axis=0))
+                    if (new == low).all() and (after == other).all():
+                        break
+                    low, other = new, after
+                at, root = np.concatenate([a, b]), np.concatenate([low, other])
+                at, root = at[u[at] != root], root[u[at] != root]
+                yield pa.RecordBatch.from_arrays([pa.array(u[at]), pa.array(label[at]), pa.array(np.zeros(len(at), bool)), pa.array(np.zeros(len(at), np.int64)), pa.array(root)], names)
+
+    names = ["u", "label", "asked", "truth", "link"]
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(work, "u long, label long, asked boolean, truth long, link long")
+
+
+def audit(nodes: DataFrame, sizes: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """True links of rows of every label of `sizes`, drawn by a hash until ENOUGH of them have one to LONGEST links, or the whole
+    label is drawn: truths (u, label, truth), the labels drawn as a whole, and the links of these (a, b)."""
+    spark = nodes.sparkSession
+    truths, whole, links = spark.createDataFrame([], "u long, label long, truth long"), spark.createDataFrame([], "label long"), spark.createDataFrame([], "a long, b long")
+    left, step = sizes, AUDITED
+    while not left.isEmpty():
+        chosen = nodes.join(left, "label").filter(common.uniform(F.col("u"), seed=4) < step / F.col("rows")).select("u", "label", "x")
+        seen = common.settled(compared(nodes, chosen, left, width, least), "audit")
+        own = seen.filter("asked").groupBy("u", "label").agg(F.sum("truth").alias("truth"))
+        few = own.groupBy("label").agg(F.count_if(F.col("truth").between(1, LONGEST)).alias("few"))
+        all_drawn = left.filter(F.col("rows") <= step).select("label")
+        more = common.settled(left.join(few, "label", "left").filter((F.coalesce("few", F.lit(0)) < ENOUGH) & (F.col("rows") > step)).select("label", "rows"), "audit")
+        truths = truths.unionByName(own.join(more, "label", "left_anti"))
+        whole = whole.unionByName(all_drawn)
+        links = links.unionByName(seen.filter("link is not null").join(all_drawn, "label", "left_semi").select(F.col("u").alias("a"), F.col("link").alias("b")))
+        left, step = more, 4 * step
+    return common.settled(truths, "audit"), common.settled(whole, "audit"), links
+
+
+def short(truth: DataFrame, sums: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Labels of `sizes` in which, among the audited rows with one to LONGEST links or among those with more, less than TARGET
+    have all of their links in `sums`: label, rows."""
+    linked = truth.filter("truth > 0").join(sums, "u", "left").select("label", (F.col("truth") <= LONGEST).alias("few"), (F.coalesce("links", F.lit(0)) >= F.col("truth")).alias("whole"))
+    missed = linked.groupBy("label", "few").agg(F.avg(F.col("whole").cast("double")).alias("recall")).filter(F.col("recall") < TARGET).select("label").distinct()
+    return common.settled(sizes.join(missed, "label", "left_semi"), "open")
 
 
 def near_vectors(table: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -178,8 +228,10 @@ def near_vectors(table: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     Equal vectors of a label form one node. The first lists of neighbours come from orders by random planes; each round joins the
     rows around every row (its list, and the nearest of those that list it) with each other and keeps what is nearer. Lists that
     hold nothing but links are saturated and grow. Every link seen joins two nodes, also one that no list has room for. Then all
-    rows of a component are compared in blocks, which completes the lists of crowded groups exactly. An audit counts the links
-    of a sample against all rows; while fewer than `TARGET` of them were found, more rounds follow.
+    rows of a component are compared in blocks, which completes the lists of crowded groups exactly. An audit draws
+    rows of every label of several blocks until enough of them are linked, and compares them with the whole label. Labels in which
+    fewer than `TARGET` of the linked rows have all their links, by rows of few and of many links, get more rounds, and then are
+    compared whole; so is a label that the audit had to draw as a whole, for want of links. Smaller labels are compared whole at first.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without label or id link with nothing (a
     null id has a null component and is not kept). Rows that repeat an id are one vector. Vectors of several widths are an error.
@@ -199,20 +251,30 @@ def near_vectors(table: DataFrame, least: float = 0.93, id_col: str = "vec_id",
 
     found = common.settled(first_lists(nodes, sizes, width, least), "seen")
     links = found.filter("link is not null").select(F.col("u").alias("a"), F.col("link").alias("b"))
-    graph = common.settled(merged(found.withColumn("most", F.lit(NEIGHBOURS)), least), "graph")
-    truth = common.settled(audit(nodes, count, width, least), "audit")
-    for _ in range(AUDITS):
-        for _ in range(ROUNDS):
-            found = common.settled(refined(graph, nodes, width, least), "seen")
-            links = links.unionByName(found.filter("link is not null").select(F.col("u").alias("a"), F.col("link").alias("b")))
-            both = found.join(graph.select("u", "most"), "u").select("u", "near", "most").unionByName(graph.select("u", "near", "most"))
-            graph = common.settled(merged(both, least), "graph")
+    truth, whole, exact = audit(nodes, sizes.filter(F.col("rows") >= 2 * BLOCK), width, least)
+    links = links.unionByName(exact)
+    left = common.settled(sizes.filter(F.col("rows") >= 2 * BLOCK).join(whole, "label", "left_anti"), "open")
+    graph = merged(found.withColumn("most", F.lit(NEIGHBOURS)), least)
+    for turn in range(AUDITS + 1):
+        if turn == AUDITS:  # what is short of the target by then is compared whole
+            those = nodes.join(left, "label", "left_semi")
+            rest = common.settled(compared(those, those, left, width, least), "rest")
+            links = links.unionByName(rest.filter("link is not null").select(F.col("u").alias("a"), F.col("link").alias("b")))
+        elif not left.isEmpty():
+            graph = common.settled(graph.join(nodes.join(left, "label", "left_semi").select("u"), "u", "left_semi"), "graph")
+            for _ in range(ROUNDS):
+                found = common.settled(refined(graph, nodes, width, least), "seen")
+                links = links.unionByName(found.filter("link is not null").select(F.col("u").alias("a"), F.col("link").alias("b")))
+                both = found.join(graph.select("u", "most"), "u").select("u", "near", "most").unionByName(graph.select("u", "near", "most"))
+                graph = common.settled(merged(both, least), "graph")
         component = common.components(links.distinct())
         links = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
         sums = common.settled(counted(nodes, component, width, least), "counts")
-        seen, there = truth.join(sums, "u", "left").agg(F.sum(F.coalesce("links", F.lit(0))), F.sum("truth")).first()
-        if not there or seen >= TARGET * there:
+        left = short(truth, sums, left)
+        if left.isEmpty():
             break
+    else:
+        raise RuntimeError("links are missing although all rows of their labels were compared")
 
     grouped = nodes.select("u", "label", "own", "n").join(component, nodes.u == component.node, "left").join(sums, "u", "left")
     grouped = grouped.select("label", "own", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "u").alias("component_id"))

@@ -176,6 +176,28 @@ def test_first_lists_do_not_depend_on_other_labels(spark):
     assert len({r.u for r in lists if r.u < 1000 and r.u + 1000 in r.w}) >= 297
 
 
+@pytest.mark.parametrize("enough", [50, 200])
+def test_audit_is_not_outweighed_by_a_crowd(spark, monkeypatch, enough):
+    """A crowd of near-equal vectors beside pairs that neither tables nor rounds find: the audit must see that, and have them found."""
+    draw = np.random.default_rng(13)
+    crowd = draw.normal(size=16) + 0.02 * draw.normal(size=(1200, 16))
+    base = draw.normal(size=(300, 16))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    parts = [(0, base), (1000, turned(draw, base, 0.9305)), (10_000, crowd)]
+    rows = [(first + i, [float(v) for v in x], 1, "c", 1, 1) for first, part in parts for i, x in enumerate(part)]
+    plain = descent.joined_runs
+
+    def crowds_only(df, *rest):
+        return plain(df.filter("u >= 10000"), *rest)
+
+    monkeypatch.setattr(descent, "joined_runs", crowds_only)
+    monkeypatch.setattr(descent, "AUDITS", 1)
+    monkeypatch.setattr(descent, "ENOUGH", enough, raising=False)  # 200: the label is drawn as a whole; 50: it is found short, and compared
+    got = {r.vec_id: r.n_links for r in descent.near_vectors(spark.createDataFrame(rows, VECTORS.replace("float", "double"))).collect()}
+    assert all(got[i] >= 1 and got[1000 + i] >= 1 for i in range(300))
+    assert all(got[10_000 + i] >= 1199 for i in range(1200))
+
+
 def test_op10_recall_and_scores(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
     names, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
