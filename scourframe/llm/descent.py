@@ -13,8 +13,8 @@ from scourframe.llm import common, vectors
 
 #: Neighbours in a list at first; a list whose every entry is a link is saturated and doubled, up to LONGEST.
 NEIGHBOURS, LONGEST = 8, 32
-#: Tables at least that the first lists come from, odds that two rows at the bound meet in one of them, planes of a table, rows
-#: compared at once in a table or component.
+#: Tables at least that the first lists come from, odds that two rows at the bound meet in one of them, planes in a word of a
+#: code (two words a table, since a narrow cone lies on one side of most planes), rows compared at once in a table or component.
 TABLES, MEETING, PLANES, BLOCK = 8, 0.97, 62, 256
 #: Rounds of refinement before recall is measured, times that it is before labels that are short of it are compared whole, share of
 #: the audited rows of a label that must have all their links.
@@ -95,7 +95,7 @@ def first_lists(nodes: DataFrame, sizes: DataFrame, width: int, least: float) ->
     tables = F.when(F.col("rows") < 2 * BLOCK, 1).when(together >= 1, TABLES).otherwise(F.greatest(F.lit(TABLES), F.ceil(math.log(1 - MEETING) / F.log(1 - together))))
     planned = common.settled(sizes.withColumn("tables", tables.cast("long")), "tables")
     most = planned.agg(F.max("tables")).first()[0]
-    planes = np.random.default_rng(17).normal(size=(most, PLANES, width))
+    planes = np.random.default_rng(17).normal(size=(most, 2 * PLANES, width))
 
     def place(batches):
         for batch in batches:
@@ -103,13 +103,14 @@ def first_lists(nodes: DataFrame, sizes: DataFrame, width: int, least: float) ->
             for t in range(most):
                 own = np.flatnonzero(tables > t)
                 if len(own):
-                    code = (x[own] @ planes[t].T > 0).astype(np.int64) @ (1 << np.arange(PLANES, dtype=np.int64)[::-1])
+                    sides = (x[own] @ planes[t].T > 0).astype(np.int64).reshape(-1, 2, PLANES)
+                    code = sides @ (1 << np.arange(PLANES, dtype=np.int64)[::-1])
                     at = pa.array(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array(code), *(batch.column(c).take(at) for c in ("u", "label", "rows"))], ["t", "code", "u", "label", "rows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array(code[:, 0]), pa.array(code[:, 1]), *(batch.column(c).take(at) for c in ("u", "label", "rows"))], ["t", "code", "further", "u", "label", "rows"])
 
-    placed = nodes.join(planned, "label").select("u", "label", "x", "rows", "tables").mapInArrow(place, "t long, code long, u long, label long, rows long")
+    placed = nodes.join(planned, "label").select("u", "label", "x", "rows", "tables").mapInArrow(place, "t long, code long, further long, u long, label long, rows long")
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["code", "u"]
+    order = ["code", "further", "u"]
     keyed = placed.withColumn("list", F.struct("label", "t")).repartitionByRange(spread, "list", *order)
     ranked = common.numbered(keyed, "list", order, "rank")
     block = F.least(F.floor(F.col("rank") / BLOCK), F.greatest(F.floor(F.col("rows") / BLOCK) - 1, F.lit(0)))

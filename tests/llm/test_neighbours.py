@@ -176,6 +176,23 @@ def test_first_lists_do_not_depend_on_other_labels(spark):
     assert len({r.u for r in lists if r.u < 1000 and r.u + 1000 in r.w}) >= 297
 
 
+def cone_with_pairs():
+    """6,000 rows of a narrow cone, below the bound to each other but for 200 close pairs (i and 10000 + i)."""
+    draw = np.random.default_rng(14)
+    x = draw.normal(size=64)
+    x = 2 * x / np.linalg.norm(x) + draw.normal(size=(5800, 64)) / 8
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    parts = [(0, x), (10_000, turned(draw, x[:200], 0.985))]
+    return [(first + i, [float(v) for v in own], 1, 1) for first, part in parts for i, own in enumerate(part)]
+
+
+def test_first_lists_of_a_narrow_cone(spark):
+    common.ship(spark)
+    nodes = spark.createDataFrame(cone_with_pairs(), "u long, x array<double>, label long, n long")
+    lists = descent.first_lists(nodes, nodes.groupBy("label").agg(F.count("*").alias("rows")), 64, 0.93).filter("u < 200").select("u", "near.w").collect()
+    assert len({r.u for r in lists if r.u + 10_000 in r.w}) >= 194
+
+
 @pytest.mark.parametrize("enough", [50, 200])
 def test_audit_is_not_outweighed_by_a_crowd(spark, monkeypatch, enough):
     """A crowd of near-equal vectors beside pairs that neither tables nor rounds find: the audit must see that, and have them found."""
