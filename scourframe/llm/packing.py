@@ -24,13 +24,15 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 class WordIds:
     """Ids of texts by a tokenizer that drops white space: each distinct word is normalised and split once, in blocks, and each
-    distinct piece of a word is encoded once."""
+    distinct piece of a word is encoded once. Texts that hold an added token of the vocabulary, are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: What a text that is encoded whole holds, as it stands or in lower case.
+        self.whole, self.lower = [*SEPARATORS, *(token.content for token in added)], [token.content.lower() for token in added if token.normalized]
         self.clear()
 
     def clear(self) -> None:
@@ -69,7 +71,7 @@ class WordIds:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.number) > CACHED_WORDS:
             self.clear()
-        odd = {i for i, text in enumerate(texts) if any(c in text for c in SEPARATORS)}
+        odd = {i for i, text in enumerate(texts) if any(c in text for c in self.whole) or self.lower and any(c in text.lower() for c in self.lower)}
         words = pc.utf8_split_whitespace(pa.array([None if i in odd else text for i, text in enumerate(texts)], pa.large_string()))
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()

@@ -21,6 +21,11 @@ def ids_of(text):
     return Tokenizer.from_file(WORDS).encode(text or "", add_special_tokens=False).ids + [0]
 
 
+def test_added_tokens_in_texts():
+    texts = ["one <|endoftext|> two", "<|startoftext|>", "x<|endoftext|>y", "ONE <|EndOfText|> TWO", "one < | endoftext | > two", "plain"]
+    assert [list(ids) + [0] for ids in packing.WordIds(WORDS).encode(texts)] == [ids_of(t) for t in texts]
+
+
 def gapless(rows, group, place, size=None):
     by = defaultdict(list)
     for row in rows:
