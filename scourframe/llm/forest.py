@@ -47,17 +47,22 @@ class Forest:
                 node[t] = 2 * node[t] + (values[t, :, level] > self.cuts[t][node[t]])
         return node - (1 << self.depth)
 
-    def nearest_leaves(self, values: np.ndarray, most: int) -> list[int]:
-        """Leaves (tree * leaves + leaf) for one query, by the squared distances to the cuts crossed, one queue for all trees."""
+    def nearest_leaves(self, values: np.ndarray, most: int, held: np.ndarray, rows: int = 0) -> list[int]:
+        """Leaves (tree * leaves + leaf) for one query, by the squared distances to the cuts crossed, one queue for all trees: `most`
+        of those that hold rows, and more until those of one tree hold `rows` rows. held: rows of each leaf."""
         queue, found, size = [(0.0, t, 1, 0) for t in range(len(values))], [], 1 << self.depth
-        while queue and len(found) < most:
+        seen = [0] * len(values)
+        while queue and (len(found) < most or max(seen) < rows):
             far, t, node, level = heapq.heappop(queue)
             while level < self.depth:
                 beyond = values[t, level] - self.cuts[t][node]
                 side = int(beyond > 0)
                 heapq.heappush(queue, (far + beyond * beyond, t, 2 * node + 1 - side, level + 1))
                 node, level = 2 * node + side, level + 1
-            found.append(t * size + node - size)
+            leaf = t * size + node - size
+            if held[leaf]:
+                found.append(leaf)
+                seen[t] += held[leaf]
         return found
 
 
@@ -115,7 +120,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
 
     Cuts are learned on a sample of at most about SAMPLE rows; every row is indexed. How many leaves a query visits is the smallest
     number by which about AUDIT queries, drawn by a hash and compared with all rows, reach a recall of `target` (all leaves, if
-    need be). Leaves are put into blocks of about BLOCK_ROWS rows, a leaf that holds more into several; queries travel to the
+    need be); empty leaves do not count, and a query goes on until the leaves of one tree hold k rows besides it. Leaves are put into blocks of about BLOCK_ROWS rows, a leaf that holds more into several; queries travel to the
     blocks of the leaves they visit, in groups of bounded size, where all pairs are scored in double precision on the original vectors.
     A query keeps its k best of each block, then of all blocks, ties to the smaller id.
 
@@ -136,6 +141,17 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     forest = plant(sample, count, longest)
     n_leaves = 1 << forest.depth
 
+    def index(batches):
+        for batch in batches:
+            own = forest.leaves(vectors.matrix(batch.column(1), width))
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(t * n_leaves + own[t]), batch.column(0), batch.column(1)], ["leaf", "v", "x"])
+
+    kind = dict(rows.dtypes)["x"]
+    indexed = common.settled(rows.select("v", "x").mapInArrow(index, f"leaf long, v long, x {kind}"), "forest")
+    sizes = {row["leaf"]: row["count"] for row in indexed.groupBy("leaf").count().collect()}
+    held = np.array([sizes.get(leaf, 0) for leaf in range(TREES * n_leaves)])
+
     audit = rows.filter("asks").filter(common.uniform(F.col("v"), seed=6) < min(1.0, AUDIT / asking)).select("v", "x").collect()
     audit = audit or rows.filter("asks").orderBy(F.xxhash64("v")).select("v", "x").limit(1).collect()
     names, asked = [row["v"] for row in audit], np.array([row["x"] for row in audit], np.float64)
@@ -144,21 +160,12 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     leaf_of = dict(zip([row["v"] for row in wanted], forest.leaves(np.array([row["x"] for row in wanted], np.float64).reshape(-1, width)).T)) if wanted else {}
     reached = np.zeros(TREES * n_leaves)
     for values, name in zip(forest.projected(asked, query=True).transpose(1, 0, 2), names):
-        turn = {leaf: i for i, leaf in enumerate(forest.nearest_leaves(values, TREES * n_leaves))}
+        turn = {leaf: i for i, leaf in enumerate(forest.nearest_leaves(values, TREES * n_leaves, held))}
         for _, v in near[name]:
-            reached[min(turn[t * n_leaves + leaf] for t, leaf in enumerate(leaf_of[v]))] += 1
+            reached[min(turn.get(t * n_leaves + leaf, len(turn) - 1) for t, leaf in enumerate(leaf_of[v]))] += 1
     recall = np.cumsum(reached) / max(1, reached.sum())
     visits = int(np.searchsorted(recall, target)) + 1 if reached.sum() else 1
 
-    def index(batches):
-        for batch in batches:
-            own = forest.leaves(vectors.matrix(batch.column(1), width))
-            for t in range(TREES):
-                yield pa.RecordBatch.from_arrays([pa.array(t * n_leaves + own[t]), batch.column(0), batch.column(1)], ["leaf", "v", "x"])
-
-    kind = dict(rows.dtypes)["x"]
-    indexed = common.settled(rows.select("v", "x").mapInArrow(index, f"leaf long, v long, x {kind}"), "forest")
-    sizes = {row["leaf"]: row["count"] for row in indexed.groupBy("leaf").count().collect()}
     first, parts, block, filled = {}, {}, -1, BLOCK_ROWS
     for leaf in range(TREES * n_leaves):
         size = sizes.get(leaf, 0)
@@ -185,7 +192,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
             of, blocks, leaves = [], [], []
             for i, own in enumerate(values):
                 by: dict[int, list[int]] = {}
-                for leaf in forest.nearest_leaves(own, visits):
+                for leaf in forest.nearest_leaves(own, visits, held, k + 1):
                     for part in range(many[leaf]):
                         by.setdefault(int(firsts[leaf]) + part, []).append(leaf)
                 of += [i] * len(by)

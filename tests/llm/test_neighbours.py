@@ -215,6 +215,17 @@ def test_audit_is_not_outweighed_by_a_crowd(spark, monkeypatch, enough):
     assert all(got[10_000 + i] >= 1199 for i in range(1200))
 
 
+def test_every_query_gets_all_candidates_if_there_are_few(spark):
+    draw = np.random.default_rng(15)
+    few = [(i, [float(v) for v in draw.normal(size=8)], 1, "c", 1, 1) for i in range(18)]
+    table = spark.createDataFrame(few + [(100, [1.0] * 8, 1, "c", 1, 1), (101, [1.0] * 8, 1, "c", 1, 1)], VECTORS)
+    got = defaultdict(set)
+    for r in forest.search(table, F.col("vec_id") % 2 == 0, 20, target=0.5).collect():
+        got[r.query_id].add(r.vec_id)
+    names = {*range(18), 100, 101}
+    assert got == {q: names - {q} for q in names if q % 2 == 0}
+
+
 def test_op10_recall_and_scores(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()
     names, x = np.array([r.vec_id for r in table]), np.array([r.embedding for r in table], float)
