@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from scourframe.llm import bytebpe, descent, forest, language, minhash, negatives, packing, quotes, secrets, sharding, toxicity, wordpiece
+from scourframe.llm import bytebpe, descent, forest, language, minhash, negatives, packing, quotes, secrets, sharding, spelling, toxicity, wordpiece
 
 REGISTRY = {
     "op1_quotation_linking": quotes.op1_quotation_linking,
@@ -16,6 +16,7 @@ REGISTRY = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": language.op9_language_id,
     "op10_projection_forest": forest.op10_projection_forest,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_secret_scan": secrets.op13_secret_scan,
     "pipeline": corpus_pipeline.run,
