@@ -5,7 +5,6 @@ Action log: episode_id, step, command, row_index, column, value, fill_strategy.
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,8 +26,6 @@ COMMAND_SYNONYMS = {
 }
 FILL_STRATEGIES = C.FILL_STRATEGIES
 DEFAULT_STRATEGY = "median"
-#: A longer log of one episode is refused: its plan is laid out on the driver.
-MOST_ACTIONS = 100_000
 
 LOG_SCHEMA = (
     "episode_id string, step int, command string, row_index bigint, `column` string, value string, fill_strategy string"
@@ -155,49 +152,23 @@ def parse_responses(raw: DataFrame, text: str, columns: Sequence[str]) -> DataFr
 
 # -- positions ------------------------------------------------------------------------------------------------------
 
-def original_position(position: Column, dropped: Column) -> Column:
-    """Place before any drop of the row now at `position`, given the sorted original places dropped so far."""
-    return F.aggregate(dropped, position, lambda p, d: F.when(d <= p, p + 1).otherwise(p))
-
-
 def resolve_positions(log: DataFrame, n_rows: Column, budget: int | Column | None = None) -> DataFrame:
     """Adds `position` (place before any drop of the episode, NULL when out of range) and `in_range` to SET_VALUE and
     DROP_ROW actions; (episode_id, step) is unique and n_rows is a column of the log or a scalar.
 
-    Every action is resolved, in step order. Where a task has a step budget it is given as `budget`; actions beyond it are
-    not executed and come back with `executed` = false.
+    Every action is resolved as after all steps before it, see `ordering.positions_before_drops`; an episode may be of any length.
+    Where a task has a step budget it is given as `budget`; actions beyond it are not executed and come back with `executed` = false.
     """
-    positional = F.col("command").isin("SET_VALUE", "DROP_ROW") & (F.col("row_index") >= 0)
-    rows = log.withColumn("_n", n_rows.cast("bigint")).withColumn("executed", F.lit(True) if budget is None else F.col("step") <= budget)
-    ordered = F.array_sort(
-        F.collect_list(F.struct("step", "row_index", (F.col("command") == "DROP_ROW").alias("drop"), "_n"))
-    )
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("dropped"),
-        F.array().cast("array<struct<step:int,position:bigint>>").alias("out"),
-    )
-
-    def fold(acc: Column, a: Column) -> Column:
-        inside = a["row_index"] < a["_n"] - F.size(acc["dropped"])
-        place = F.when(inside, original_position(a["row_index"], acc["dropped"]))
-        dropped = F.when(
-            inside & a["drop"], F.array_sort(F.array_append(acc["dropped"], place))
-        ).otherwise(acc["dropped"])
-        entry = F.struct(a["step"].cast("int").alias("step"), place.alias("position"))
-        return F.struct(dropped.alias("dropped"), F.array_append(acc["out"], entry).alias("out"))
-
-    resolved = (
-        rows.filter(F.col("executed") & positional)
-        .groupBy("episode_id")
-        .agg(ordered.alias("_ops"))
-        .select("episode_id", F.explode(F.aggregate("_ops", start, fold)["out"]).alias("_o"))
-        .select("episode_id", F.col("_o.step").alias("step"), F.col("_o.position").alias("position"))
-    )
-    return (
-        rows.join(resolved, ["episode_id", "step"], "left")
-        .withColumn("in_range", F.when(F.col("executed") & positional, F.col("position").isNotNull()))
-        .drop("_n")
-    )
+    positional = F.coalesce(F.col("command").isin("SET_VALUE", "DROP_ROW") & (F.col("row_index") >= 0), F.lit(False))
+    executed = F.lit(True) if budget is None else F.coalesce(F.col("step") <= budget, F.lit(False))
+    rows = log.withColumns({"_n": n_rows.cast("bigint"), "executed": executed, "_asks": positional & executed})
+    inside = F.col("_asks") & F.coalesce(F.col("row_index") < F.col("_n"), F.lit(False))
+    ops = rows.filter(inside).withColumn("_drop", F.col("command") == "DROP_ROW")
+    placed = O.positions_before_drops(ops, ["episode_id"], "step", "row_index", "_drop", "position").drop("_drop")
+    placed = placed.withColumn("position", F.when(F.col("position") < F.col("_n"), F.col("position")))
+    other = rows.filter(~inside).withColumn("position", F.lit(None).cast("bigint"))
+    every = placed.unionByName(other).withColumn("in_range", F.when(F.col("_asks"), F.col("position").isNotNull()))
+    return every.select(*log.columns, "executed", "position", "in_range")
 
 
 def row_in_range(log: DataFrame, df: DataFrame) -> DataFrame:
@@ -230,48 +201,44 @@ def apply_actions(
 ) -> Outcome:
     """Apply all actions of one episode in step order; step 0 is the reset.
 
-    A log of several episodes is refused unless `episode_id` names one. Its log (not the table) is read to the driver to lay
-    out the plan, so one of more than MOST_ACTIONS is refused, as is one that repeats a step. Runs of SET_VALUE and DROP_ROW become
-    one join each, after which the table is written; column commands become one projection each. Errors never stop the run.
-    Actions beyond a `budget` are reported as failed and change nothing.
+    Only the column commands come to the driver, for each of them works on the whole table. They cut the log into segments of SET_VALUE and
+    DROP_ROW; a segment is resolved, checked, applied and reported by joins, however many actions it holds, and the table is written
+    after it. Errors never stop the run. Actions beyond a `budget` are reported as failed and change nothing. A log of several
+    episodes is refused unless `episode_id` names one, as is one that repeats a step.
     """
     spark = df.sparkSession
+    columns = P.data_columns(df, row_id)
     own = log if episode_id is None else log.filter(F.col("episode_id") == episode_id)
-    steps = validate_actions(own).filter(F.col("step") >= 1).limit(MOST_ACTIONS + 1).collect()
-    if len(steps) > MOST_ACTIONS:
-        raise ValueError(f"more than {MOST_ACTIONS} actions in one episode")
-    if len({a["episode_id"] for a in steps}) > 1:
+    steps = validate_actions(own).filter(F.col("step") >= 1).select("episode_id", "step", "command", "row_index", "column", "value", "fill_strategy", "valid", "error")
+    spent = F.lit(False) if budget is None else F.col("step") > budget
+    runs = F.col("valid") & ~spent & F.col("command").isin(*_COLUMN_COMMANDS)
+    numbered = O.GroupWindow(steps.withColumn("_all", F.lit(0)), ["_all"], "step").running_sum("segment", runs).result(keep_part=True)
+    steps = numbered.drop("_all", O.PART)
+    each = F.col("episode_id")
+    n, distinct, named, low, high = steps.agg(F.count("step"), F.countDistinct("step"), F.count(each), F.min(each), F.max(each)).first()
+    if low != high or named not in (0, n):
         raise ValueError("the log holds several episodes: name one with episode_id")
-    steps.sort(key=lambda a: a["step"])
-    if any(a["step"] == b["step"] for a, b in zip(steps, steps[1:])):
+    if n != distinct:
         raise ValueError("the log repeats a step")
-    spent = [a for a in steps if budget is not None and a["step"] > budget]
-    steps = steps[: len(steps) - len(spent)]
-    report: list[tuple] = [(a["step"], a["command"], False, f"Step budget of {budget} is used up.", False) for a in spent]
-    i = 0
-    while i < len(steps):
-        a = steps[i]
-        if not a["valid"]:
-            report.append((a["step"], a["command"], False, a["error"], False))
-            i += 1
-        elif a["command"] == "DONE":
-            report.append((a["step"], "DONE", True, None, False))
-            i += 1
-        elif a["command"] in _COLUMN_COMMANDS:
+    commands = steps.filter(runs).orderBy("step").collect()
+
+    missing = (F.col("command") == "SET_VALUE") & ~F.col("column").isin(*columns)
+    edits = steps.filter(F.col("valid") & ~spent & F.col("command").isin("SET_VALUE", "DROP_ROW") & ~missing).withColumn("_drop", F.col("command") == "DROP_ROW")
+    edits = O.positions_before_drops(edits, ["segment"], "step", "row_index", "_drop", "position")
+    edits = cut_lineage(edits.select("segment", "step", "command", "row_index", "column", "value", "_drop", "position"))
+    present = edits.groupBy("segment").agg(F.collect_set("column").alias("columns"), F.count_if("_drop").alias("drops")).collect()  # a row a segment
+    hit = {r["segment"]: (sorted(r["columns"]), r["drops"]) for r in present}
+
+    outcomes, results = [], []
+    for segment in range(len(commands) + 1):
+        if segment:
+            a = commands[segment - 1]
             df, result = _apply_column(df, a, row_id)
-            report.append((a["step"], a["command"], result.success, result.error, False))
-            i += 1
-        else:
-            j = i
-            while j < len(steps) and (not steps[j]["valid"] or steps[j]["command"] in ("SET_VALUE", "DROP_ROW")):
-                j += 1
-            run = steps[i:j]
-            df, lines = _apply_run(df, run, row_id, protected, protected_key)
-            report.extend(lines)
-            i = j
-            df = cut_lineage(df)
-    schema = "step int, command string, success boolean, error string, dropped_protected boolean"
-    return Outcome(df, spark.createDataFrame(report, schema))
+            results.append((a["step"], result.success, result.error))
+        if segment in hit:
+            df, outcome = _apply_segment(df, edits.filter(F.col("segment") == segment), row_id, *hit[segment], protected, protected_key)
+            outcomes.append(outcome)
+    return Outcome(df, _report(spark, steps, outcomes, results, columns, missing, spent, budget))
 
 
 def _apply_column(df: DataFrame, a: Row, row_id: str) -> tuple[DataFrame, C.ActionResult]:
@@ -283,61 +250,74 @@ def _apply_column(df: DataFrame, a: Row, row_id: str) -> tuple[DataFrame, C.Acti
     return C.fill_missing(df, name, a["fill_strategy"])
 
 
-def _apply_run(
-    df: DataFrame, run: Sequence[Row], row_id: str, protected: DataFrame | None, protected_key: str | None
-) -> tuple[DataFrame, list[tuple]]:
-    """One run of SET_VALUE and DROP_ROW actions: one pass over the row ids to find the rows, one join to change them."""
-    spark = df.sparkSession
-    columns = P.data_columns(df, row_id)
-    n = df.count()
-    dropped: list[int] = []
-    place: dict[int, int] = {}
-    errors: dict[int, str | None] = {}
-    for a in run:
-        p = a["row_index"]
-        if not a["valid"]:
-            errors[a["step"]] = a["error"]
-            continue
-        live = n - len(dropped)
-        if a["command"] == "SET_VALUE" and a["column"] not in columns:
-            errors[a["step"]] = N.column_error(a["column"], columns)
-            continue
-        if p >= live:
-            tail = f" (0–{live - 1})." if a["command"] == "SET_VALUE" else "."
-            errors[a["step"]] = f"Row index {p} out of range. DataFrame has {live} rows{tail}"
-            continue
-        p += bisect.bisect_right(range(len(dropped)), p, key=lambda i: dropped[i] - i)
-        place[a["step"]] = p
-        if a["command"] == "DROP_ROW":
-            bisect.insort(dropped, p)
-
-    drops = {a["step"] for a in run if a["command"] == "DROP_ROW" and a["step"] in place}
-    sets = [a for a in run if a["command"] == "SET_VALUE" and a["step"] in place]
-    table, flagged = df, set()
-    if place:
-        wanted = spark.createDataFrame([(p,) for p in sorted(set(place.values()))], "position bigint")
-        found = {r["position"]: r[row_id] for r in O.rows_at_positions(df, wanted, row_id).collect()}
-        if drops and protected is not None and protected_key in df.columns:
-            ids = spark.createDataFrame([(s, found[place[s]]) for s in sorted(drops)], f"step int, {row_id} bigint")
-            keys = df.select(row_id, protected_key).join(F.broadcast(ids), row_id)
-            marked = C.flag_protected(keys, protected, protected_key).filter("dropped_protected")
-            flagged = {r["step"] for r in marked.select("step").collect()}
-        if sets:
-            rows = [(a["step"], found[place[a["step"]]], a["column"], a["value"]) for a in sets]
-            schema = f"step int, {row_id} bigint, `column` string, value string"
-            hit = sorted({a["column"] for a in sets})
-            # the majority type of a column is taken once per run
-            checked = C.check_patches(df, spark.createDataFrame(rows, schema), row_id, hit, bounded=True).collect()
-            errors.update({r["step"]: r["error"] for r in checked if not r["success"]})
-            good = [(r["step"], r[row_id], r["column"], r["cast_value"]) for r in checked if r["success"]]
-            if good:
-                table = C.write_cells(table, spark.createDataFrame(good, schema), row_id, "step", hit, bounded=True)
-        if drops:
-            gone = spark.createDataFrame([(found[place[s]],) for s in sorted(drops)], f"{row_id} bigint")
-            table = C.drop_rows(table, F.broadcast(gone), row_id)
-    report = []
-    for a in run:
-        e = errors.get(a["step"])
-        report.append((a["step"], a["command"], e is None, e, a["step"] in flagged))
-    return table, report
+def _apply_segment(
+    df: DataFrame, edits: DataFrame, row_id: str, hit: list[str], drops: int, protected: DataFrame | None, protected_key: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """The table after a segment, and its actions with `_rows` (rows before the segment), `away` (no such row), `ok` and `flagged`."""
+    n = df.agg(F.count(F.lit(1))).scalar()
+    ops = edits.withColumn("_rows", n)
+    found = O.rows_at_positions(df, ops.filter(F.col("position") < F.col("_rows")).select("position"), row_id)
+    stats = F.broadcast(C.cast_statistics(df, hit)) if hit else None  # a row per column
+    placed = ops.join(found, "position", "left")
+    if stats is not None:
+        placed = placed.join(stats, "column", "left").withColumn("_cast", C.cast_like_column(F.col("value"), F.col("majority_numeric"), F.col("all_whole")))
+        fits = F.col("_drop") | F.col("_cast.ok")
+        placed = placed.select(*ops.columns, row_id, fits.alias("fits"), F.when(~F.col("_drop"), F.col("_cast.value")).alias("cast_value"))
+    else:
+        placed = placed.withColumns({"fits": F.lit(True), "cast_value": F.lit(None).cast("string")})
+    flagged = F.lit(False)
+    if drops and protected is not None and protected_key in df.columns:
+        marked = C.flag_protected(df.select(row_id, protected_key), protected, protected_key).filter("dropped_protected").select(row_id, F.lit(True).alias("_mark"))
+        placed = placed.join(marked, row_id, "left")
+        flagged = F.col("_drop") & F.col("_mark").isNotNull()
+    away = F.col(row_id).isNull()
+    placed = placed.withColumns({"away": away, "ok": ~away & F.col("fits"), "flagged": flagged})
+    placed = cut_lineage(placed.select(*ops.columns, row_id, "cast_value", "away", "ok", "flagged"))
+    table = df
+    if hit:
+        good = placed.filter(F.col("ok") & ~F.col("_drop")).select(row_id, "column", F.col("cast_value").alias("value"), "step")
+        table = C.write_cells(table, good, row_id, "step", hit)
+    if drops:
+        table = C.drop_rows(table, placed.filter(F.col("ok") & F.col("_drop")), row_id)
+    return cut_lineage(table), placed.drop(row_id, "cast_value")
+
+
+def _report(
+    spark, steps: DataFrame, outcomes: list[DataFrame], results: list[tuple], columns: list[str], missing: Column, spent: Column, budget: int | None
+) -> DataFrame:
+    """One row per action. How many rows were left before an action is a running count of the drops of its segment that succeeded."""
+    kinds = "step int, success boolean, error string"
+    commands = spark.createDataFrame(results, kinds).select("step", F.col("success").alias("_done"), F.col("error").alias("_why"))
+    rows = steps.join(F.broadcast(commands), "step", "left")  # a row a column command
+    if outcomes:
+        every = outcomes[0]
+        for more in outcomes[1:]:
+            every = every.unionByName(more)
+        gone = F.col("_drop") & F.col("ok")
+        live = O.GroupWindow(every, ["segment"], "step").running_sum("_gone", gone).result()
+        live = live.select("step", (F.col("_rows") - F.col("_gone")).alias("_live"), "away", "ok", "flagged")
+        rows = rows.join(live, "step", "left")
+    else:
+        rows = rows.withColumns({"_live": F.lit(0), "away": F.lit(False), "ok": F.lit(True), "flagged": F.lit(False)})
+    # The wording of the errors.
+    until = F.when(F.col("command") == "SET_VALUE", F.concat(F.lit(" (0–"), X.as_text(F.col("_live") - 1), F.lit(").")))
+    error = (
+        F.when(spent, F.lit(f"Step budget of {budget} is used up."))
+        .when(~F.col("valid"), F.col("error"))
+        .when(missing, F.concat(F.lit("Column "), _quoted(F.col("column")), F.lit(f" not found. Available: {columns}")))
+        .when(F.col("away"), F.concat(
+            F.lit("Row index "), X.as_text(F.col("row_index")), F.lit(" out of range. DataFrame has "), X.as_text(F.col("_live")), F.lit(" rows"), F.coalesce(until, F.lit("."))))
+        .when(~F.col("ok"), C.cast_error(F.col("value"), F.col("column")))
+        .otherwise(F.col("_why"))
+    )
+    return rows.select("step", "command", error.isNull().alias("success"), error.alias("error"), F.coalesce("flagged", F.lit(False)).alias("dropped_protected"))
+
 
+def _quoted(name: Column) -> Column:
+    """A name as Python shows it."""
+    text = F.replace(name, F.lit("\\"), F.lit("\\\\"))
+    for mark, shown in (("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(mark), F.lit(shown))
+    double = F.contains(name, F.lit("'")) & ~F.contains(name, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("\\'")), F.lit("'")))

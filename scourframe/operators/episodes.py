@@ -1,7 +1,7 @@
 """Analytics over logs of cleaning episodes.
 
 Step log: episode_id, task_id, step, command, score, dropped_protected; `score` is the score after the step, step 0
-is the reset. Rows are distributed by (episode, chunk of steps), see `ordering`, so an episode may be of any length.
+is the reset. Rows are dealt to range partitions of (episode, step), see `ordering`, so an episode may be of any length.
 """
 
 from __future__ import annotations
@@ -45,9 +45,9 @@ def with_limits(log: DataFrame) -> DataFrame:
 EPISODE = ["episode_id"]
 
 
-def score_delta(log: DataFrame, keep_chunk: bool = False) -> DataFrame:
+def score_delta(log: DataFrame, keep_part: bool = False) -> DataFrame:
     """Adds prev_score: the score before the step, NULL at reset."""
-    return O.GroupWindow(log, EPISODE, "step").lag("prev_score", "score").result(keep_chunk)
+    return O.GroupWindow(log, EPISODE, "step").lag("prev_score", "score").result(keep_part)
 
 
 # -- terms: column expressions over a log with prev_score and limits -----------------------------------------------
@@ -103,9 +103,9 @@ def is_done() -> Column:
 
 # -- jobs -----------------------------------------------------------------------------------------------------------
 
-def step_rewards(log: DataFrame, keep_chunk: bool = False) -> DataFrame:
+def step_rewards(log: DataFrame, keep_part: bool = False) -> DataFrame:
     """Adds prev_score, reward, done to every step."""
-    return with_limits(score_delta(log, keep_chunk)).withColumns({"reward": reward(), "done": is_done()})
+    return with_limits(score_delta(log, keep_part)).withColumns({"reward": reward(), "done": is_done()})
 
 
 def done_gate(log: DataFrame, broken: DataFrame | None = None, shown: int = SHOWN_BROKEN) -> DataFrame:
@@ -139,7 +139,7 @@ def done_gate(log: DataFrame, broken: DataFrame | None = None, shown: int = SHOW
 
 def cut_at_terminal(log: DataFrame) -> DataFrame:
     """Steps up to and including the first terminal one of each episode."""
-    flagged = step_rewards(log, keep_chunk=True)
+    flagged = step_rewards(log, keep_part=True)
     ends = O.GroupWindow(flagged, EPISODE, "step").first_where("end_step", F.col("done")).result()
     return ends.filter(F.col("end_step").isNull() | (F.col("step") <= F.col("end_step"))).drop("end_step")
 

@@ -232,6 +232,8 @@ ACTIONS = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORD
     CASE WHEN NOT {h_selected('event_id', 65, 0.1)} THEN {money('value')} END AS value,
     CASE WHEN NOT {h_selected('event_id', 66, 0.1)} THEN {h_choice('event_id', 67, ('mean', 'median', 'mode', 'drop', 'Mean'))} END AS fill_strategy
     FROM numbered)"""
+_ROW = h_int('event_id', 62, -2, 70)
+SCALED = ACTIONS.replace(_ROW, f"CASE WHEN {_ROW} < 0 THEN {_ROW} ELSE trunc({_ROW} * (SELECT count(*) FROM supplier) / 66.0::DOUBLE)::BIGINT END")
 
 
 def oracle(name: str, ctes: str, select: str, recursive: bool = False) -> None:
@@ -600,24 +602,36 @@ oracle("validate_actions", ACTIONS + f""", checked AS (SELECT *, CASE
     WHEN command = 'SET_VALUE' THEN {_requires('row_index', '"column"', 'value')} WHEN command = 'DROP_ROW' AND row_index IS NULL THEN 'DROP_ROW requires row_index'
     WHEN command = 'STANDARDIZE_COL' AND "column" IS NULL THEN 'STANDARDIZE_COL requires column'
     WHEN command = 'FILL_MISSING' THEN {_requires('"column"', 'fill_strategy')} END AS error FROM log)""", "SELECT *, error IS NULL AS valid FROM checked")
-oracle("row_in_range", ACTIONS, "SELECT episode_id, step, row_index, row_index >= 0 AND row_index < (SELECT count(*) FROM nation) AS in_range FROM log")
+oracle("row_in_range", SCALED, "SELECT episode_id, step, row_index, row_index >= 0 AND row_index < (SELECT count(*) FROM supplier) AS in_range FROM log")
+
+
+def _place(o: str, n: str) -> str:
+    return f"CASE WHEN {o}.row_index < {n} - len(w.dropped) THEN list_reduce(list_prepend({o}.row_index, w.dropped), lambda a, d: a + CASE WHEN d <= a THEN 1 ELSE 0 END) END"
 
 
 def _walk(ops: str, starts: str, n: str, last: str) -> str:
     """Recursion over steps with the list of places dropped so far."""
-    place = "CASE WHEN o.row_index < " + n + " - len(w.dropped) THEN list_reduce(list_prepend(o.row_index, w.dropped), lambda a, d: a + CASE WHEN d <= a THEN 1 ELSE 0 END) END"
+    place = _place("o", n)
     return f"""walk AS (SELECT episode_id, 0 AS step, []::BIGINT[] AS dropped, NULL::BIGINT AS position, 0::BIGINT AS gone FROM ({starts})
     UNION ALL SELECT episode_id, step, CASE WHEN is_drop AND place IS NOT NULL THEN list_sort(list_append(dropped, place)) ELSE dropped END, place, len(dropped)
     FROM (SELECT w.episode_id, w.step + 1 AS step, w.dropped, coalesce(o.command = 'DROP_ROW', false) AS is_drop, {place} AS place
       FROM walk w LEFT JOIN {ops} o ON o.episode_id = w.episode_id AND o.step = w.step + 1 WHERE w.step < {last}))"""
 
 
-oracle("resolve_positions", ACTIONS + """, ops AS (SELECT * FROM log WHERE command IN ('SET_VALUE', 'DROP_ROW') AND row_index >= 0), """ +
-       _walk("ops", "SELECT DISTINCT episode_id FROM log", "60", "(SELECT max(step) FROM log)"),
+oracle("resolve_positions", SCALED + """, ops AS (SELECT * FROM log WHERE command IN ('SET_VALUE', 'DROP_ROW') AND row_index >= 0), """ +
+       _walk("ops", "SELECT DISTINCT episode_id FROM log", "(SELECT count(*) FROM supplier)", "(SELECT max(step) FROM log)"),
        """SELECT l.episode_id, l.step, l.command, l.row_index, true AS executed, w.position,
   CASE WHEN o.step IS NOT NULL THEN w.position IS NOT NULL END AS in_range
   FROM log l LEFT JOIN ops o USING (episode_id, step) LEFT JOIN walk w USING (episode_id, step)""", recursive=True)
 
+oracle("resolve_positions_hot", f"""log AS (SELECT event_id AS step, CASE WHEN event_id % 100 = 7 THEN 'DROP_ROW' ELSE 'SET_VALUE' END AS command,
+    {h_int('event_id', 67, 0, 1 << 30)} % ((SELECT count(*) FROM orders) + 2) AS row_index FROM events),
+  drops AS (SELECT 'all' AS episode_id, row_number() OVER (ORDER BY step) AS step, command, row_index FROM log WHERE command = 'DROP_ROW'), """ +
+       _walk("drops", "SELECT 'all' AS episode_id", "(SELECT count(*) FROM orders)", "(SELECT count(*) FROM drops)") +
+       """, behind AS (SELECT *, coalesce(sum((command = 'DROP_ROW')::INTEGER) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM log),
+  placed AS (SELECT b.*, """ + _place("b", "(SELECT count(*) FROM orders)") + """ AS position FROM behind b JOIN walk w ON w.step = b.k)""",
+       "SELECT step, command, row_index, true AS executed, position, position IS NOT NULL AS in_range FROM placed", recursive=True)
+
 APPLY = DIRTY + """, folded AS (SELECT event_id % 200 AS g, sum(event_id) AS s, sum(value)::DECIMAL(18,2)::VARCHAR AS v FROM events GROUP BY 1),
   edits AS (SELECT 'one' AS episode_id, (g + 1)::INTEGER AS step, CASE WHEN g % 4 = 3 THEN 'DROP_ROW' ELSE 'SET_VALUE' END AS command,
     CASE WHEN g % 10 = 9 THEN 1000000000000 ELSE s % (SELECT count(*) FROM orders) END::BIGINT AS row_index,
@@ -662,7 +676,8 @@ oracle("current_state", STEPS, """SELECT episode_id, task_id, arg_max(score, ste
 oracle("recent_actions", STEPS, """SELECT episode_id, step, coalesce(array_to_string(list_filter(l, lambda x: x IS NOT NULL), ','), '') AS recent
   FROM (SELECT episode_id, step, list(command) OVER (PARTITION BY episode_id ORDER BY step ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS l FROM log)""")
 oracle("plan_applied", DIRTY + ", placed AS (SELECT row_id, price, row_number() OVER (ORDER BY row_id) - 1 AS p FROM dirty)",
-       "SELECT row_id, CASE WHEN p % 3 = 0 AND p < 480 THEN (1000 + p // 3)::VARCHAR || '.5' ELSE price END AS price FROM placed WHERE p > 0")
+       """SELECT row_id, coalesce((SELECT (1000 + max(i))::VARCHAR || '.5' FROM range(160) t(i) WHERE i * (SELECT count(*) FROM orders) // 160 = p), price) AS price
+  FROM placed WHERE p > 0""")
 _NUMERIC = f"(SELECT count({num('price')}) > 0 FROM dirty)"
 oracle("check_fill", DIRTY, f"""SELECT 'price' AS "column", 'mean' AS strategy, {_NUMERIC} AS success, NULL::VARCHAR AS error
   UNION ALL SELECT 'price', 'median', {_NUMERIC}, NULL UNION ALL SELECT 'priority', 'mean', false, {q("Cannot compute mean for non-numeric column 'priority'.")}

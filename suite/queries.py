@@ -608,14 +608,26 @@ def validate_actions(spark, sf):
 
 @query
 def row_in_range(spark, sf):
-    log = T.action_log(spark, sf).select("episode_id", "step", "row_index")
-    return A.row_in_range(log, T.table(spark, sf, "nation"))
+    log = T.action_log(spark, sf, "supplier").select("episode_id", "step", "row_index")
+    return A.row_in_range(log, T.table(spark, sf, "supplier"))
 
 
 @query
 def resolve_positions(spark, sf):
-    log = T.action_log(spark, sf).select("episode_id", "step", "command", "row_index")
-    return A.resolve_positions(log, F.lit(60))
+    """Positions in a table of as many rows as there are suppliers."""
+    log = T.action_log(spark, sf, "supplier").select("episode_id", "step", "command", "row_index")
+    return A.resolve_positions(log, T.table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar())
+
+
+@query
+def resolve_positions_hot(spark, sf):
+    """All events as one episode of drops and edits all over the orders."""
+    n = T.table(spark, sf, "orders").agg(F.count(F.lit(1))).scalar()
+    drop = F.col("event_id") % 100 == 7
+    log = T.table(spark, sf, "events").select(
+        F.lit("all").alias("episode_id"), F.col("event_id").alias("step"), F.when(drop, "DROP_ROW").otherwise("SET_VALUE").alias("command"),
+        H.hash_int(F.col("event_id"), 67, 0, 1 << 30).alias("row_index"))
+    return A.resolve_positions(log.withColumn("row_index", F.col("row_index") % (n + 2)), n).drop("episode_id")
 
 
 def _apply_log(spark, sf) -> DataFrame:
@@ -659,10 +671,10 @@ def apply_actions_report(spark, sf):
 
 @query
 def plan_applied(spark, sf):
-    """A plan of 161 commands on the orders."""
-    plan = CleaningPlan()
+    """A plan of 161 commands on rows all over the orders."""
+    plan, n = CleaningPlan(), T.table(spark, sf, "orders").count()
     for i in range(160):
-        plan.set_value(3 * i, "price", f"{1000 + i}.5")
+        plan.set_value(i * n // 160, "price", f"{1000 + i}.5")
     return plan.drop_row(0).apply(T.orders_dirty(spark, sf)[0]).table.select("row_id", "price")
 
 

@@ -144,7 +144,7 @@ def merged_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a step log: a user is an episode, its first event the reset, later ones the steps."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    numbered = O.GroupWindow(e, ["user_id"], "event_id").row_number("rn").result()
+    numbered = O.GroupWindow(e, ["user_id"], "event_id").row_number("rn").result(keep_part=True)
     step = (F.col("rn") - 1).cast("int")
     command = F.when(step > 0, X.lookup(COMMAND_OF_EVENT, F.col("event_type")))
     task = F.element_at(F.array(F.lit("easy"), F.lit("medium"), F.lit("hard")), (F.col("user_id") % 3 + 1).cast("int"))
@@ -153,19 +153,23 @@ def step_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("episode_id"), task.alias("task_id"), step.alias("step"),
         command.alias("command"), score.alias("score"),
         ((command == "DROP_ROW") & (task == "medium") & H.selected(F.col("event_id"), 51, 0.2)).alias("dropped_protected"),
-        (F.col("user_id") % 40 + 10).alias("initial_dirty"), "event_id",
+        (F.col("user_id") % 40 + 10).alias("initial_dirty"), "event_id", O.PART,  # the partitions serve for episodes and steps as well
     )
 
 
-def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as an action log; some fields are absent or wrong."""
+def action_log(spark: SparkSession, sf_dir: str, rows_of: str | None = None) -> DataFrame:
+    """Events as an action log; some fields are absent or wrong. Row indexes reach a little beyond the rows of a table, if one is named."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     numbered = O.GroupWindow(e, ["user_id"], "event_id").row_number("rn").result()
     k = F.col("event_id")
+    row = H.hash_int(k, 62, -2, 70)
+    if rows_of:
+        n = table(spark, sf_dir, rows_of).agg(F.count(F.lit(1))).scalar()
+        row = F.when(row < 0, row).otherwise((row * n / F.lit(66.0)).cast("bigint"))
     return numbered.select(
         F.col("user_id").cast("string").alias("episode_id"), F.col("rn").cast("int").alias("step"),
         F.when(H.selected(k, 60, 0.02), F.lit("SKIP")).otherwise(X.lookup(COMMAND_OF_EVENT, F.col("event_type"))).alias("command"),
-        F.when(~H.selected(k, 61, 0.1), H.hash_int(k, 62, -2, 70)).alias("row_index"),
+        F.when(~H.selected(k, 61, 0.1), row).alias("row_index"),
         F.when(~H.selected(k, 63, 0.1), H.hash_choice(k, 64, ("price", "quantity", "order_date", ""))).alias("column"),
         F.when(~H.selected(k, 65, 0.1), money(F.col("value"))).alias("value"),
         F.when(~H.selected(k, 66, 0.1), H.hash_choice(k, 67, ("mean", "median", "mode", "drop", "Mean"))).alias("fill_strategy"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scourframe.operators import actions as A
+from scourframe.operators import ordering as O
 from scourframe.plans import datasets as D
 from scourframe.plans.cleaning_plan import CleaningPlan
 
@@ -91,6 +92,22 @@ def test_positions(spark):
         assert r.position == (want[(r.episode_id, r.step)] if r.step <= 150 else None) and r.executed == (r.step <= 150)
 
 
+@pytest.mark.parametrize("rows", [20, 300, 1 << 17])
+def test_positions_of_a_hot_episode(spark, rows):
+    """A third of the log and more in one episode, over many range partitions and over one."""
+    rng = random.Random(rows)
+    log, want = [], {}
+    for e, n in ((None, 50), ("hot", 700), ("a", 90), ("b", 60)):
+        steps = sorted(rng.sample(range(10**6), n))
+        acts = [(rng.choice(["DROP_ROW", "SET_VALUE"]), rng.choice([rng.randrange(420), 0, 399])) for _ in steps]
+        for s, (c, p), place in zip(steps, acts, simulate(400, acts)):
+            log.append((e, s, p, c == "DROP_ROW"))
+            want[e, s] = place
+    ops = spark.createDataFrame(log, "e string, s int, q bigint, gone boolean").repartition(7)
+    out = O.positions_before_drops(ops, ["e"], "s", "q", "gone", "origin", rows)
+    assert {(r.e, r.s): r.origin if r.origin < 400 else None for r in out.collect()} == want
+
+
 def test_a_long_log_is_applied_whole(spark):
     df = spark.createDataFrame([(i, str(i)) for i in range(200)], "row_id bigint, num string")
     plan = CleaningPlan()
