@@ -52,11 +52,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     only messages that have not reached their first one take part, and written in between. Keys are digests with the conversation, folded before the exchange; one
     conversation may be spread over all tasks.
 
-    A null or empty text quotes nothing and is quoted by nobody. Rows without conversation or turn are returned with a null
-    position. Of rows that repeat a conversation and turn one stays. An empty table gives no rows. Other columns are not read.
+    A null or empty text quotes nothing and is quoted by nobody. No row is lost: of rows that repeat a conversation and turn the one of
+    the smallest text (null first) takes part, and the others, like rows without conversation or turn, are returned with null links and
+    a null position. An empty table gives no rows. Other columns are not read.
     """
     rows = messages.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).alias("text"))
-    keyed = rows.filter("conv is not null and turn is not null").dropDuplicates(["conv", "turn"])
+    keyed = chosen(rows, "conv", "turn", "text")
 
     def parse(batches):
         for batch in batches:
@@ -73,10 +74,11 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
                 counts.append(len({f["passage"] for f in found}))
             kind = pa.list_(pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("part", pa.int32()), ("key", pa.string())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(own_texts, pa.string()), pa.array(said, pa.list_(pa.string())), pa.array(quotes, kind), pa.array(counts, pa.int32())],
-                ["conv", "turn", "own_text", "said", "quotes", "n_quotes"])
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(own_texts, pa.string()), pa.array(said, pa.list_(pa.string())), pa.array(quotes, kind), pa.array(counts, pa.int32())],
+                ["conv", "turn", "main", "own_text", "said", "quotes", "n_quotes"])
 
-    read = common.settled(keyed.mapInArrow(parse, "conv long, turn long, own_text string, said array<string>, quotes array<struct<passage:int,level:int,part:int,key:string>>, n_quotes int"), "messages")
+    every = common.settled(keyed.mapInArrow(parse, "conv long, turn long, main boolean, own_text string, said array<string>, quotes array<struct<passage:int,level:int,part:int,key:string>>, n_quotes int"), "messages")
+    read = every.filter("main").drop("main")
     said = read.select("conv", "turn", F.explode("said").alias("key"))
     here = said.groupBy("conv", "key").agg(F.min("turn").alias("origin"))
     anywhere = said.groupBy("key").agg(F.min("conv").alias("first_conv"), F.max("conv").alias("last_conv"))
@@ -108,21 +110,37 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     joined = read.select("conv", "turn", "own_text").join(nodes, ["conv", "turn"]).join(placed, ["conv", "turn"])
     result = joined.select(
         "conv", "turn", "own_text", "n_quotes", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("n_foreign", F.lit(0)).alias("n_foreign"), "reply_to", "root", "depth", "position")
-    alone = rows.filter("conv is null or turn is null").withColumn("n_quotes", F.lit(None).cast("int"))
-    null = lambda kind: F.lit(None).cast(kind)
-    alone = alone.select("conv", "turn", F.col("text").alias("own_text"), "n_quotes", null("int").alias("n_linked"), null("int").alias("n_foreign"), null("long").alias("reply_to"), null("long").alias("root"), null("long").alias("depth"), null("long").alias("position"))
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    alone = every.filter("not main").select(
+        "conv", "turn", "own_text", "n_quotes", null("int", "n_linked"), null("int", "n_foreign"), null("long", "reply_to"), null("long", "root"), null("long", "depth"), null("long", "position"))
     return result.unionByName(alone).withColumnsRenamed({"conv": conv_col, "turn": turn_col})
 
 
+def chosen(rows: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
+    """The rows, with `main`: whether a row is the one of its conversation and turn that takes part. Repeats are found by their keys alone, and
+    only they are folded; equal texts count before they are dealt, so that a row repeated very often is no hot group."""
+    whole = F.col(conv).isNotNull() & F.col(turn).isNotNull()
+    rows = common.settled(rows.select(conv, turn, text), "rows")
+    often = rows.filter(whole).groupBy(conv, turn).agg(F.count("*").alias("n")).filter("n > 1").select(conv, turn)
+    single = rows.filter(whole).join(often, [conv, turn], "left_anti").withColumn("main", F.lit(True))
+    texts = rows.join(often, [conv, turn]).groupBy(conv, turn, text).agg(F.count("*").cast("int").alias("n"))
+    first = texts.groupBy(conv, turn).agg(F.min(F.struct(F.col(text).isNotNull().alias("there"), F.col(text).alias("text"))).alias("first"))
+    repeats = texts.join(first, [conv, turn]).withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
+    repeats = repeats.select(conv, turn, text, ((F.col("copy") == 1) & F.col(text).eqNullSafe(F.col("first.text"))).alias("main"))
+    return single.unionByName(repeats).unionByName(rows.filter(~whole).withColumn("main", F.lit(False)))
+
+
 def marked(text: Column, mark: str) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.concat(F.lit(mark), line)), "\n")
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """Conversations as mail would have them: each turn quotes the turn before it, and in that the turn before that."""
-    own = conversations.select("conv_id", "turn", "text").filter("conv_id is not null and turn is not null").dropDuplicates(["conv_id", "turn"])
-    one = own.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
-    two = own.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("earlier"))
+    """Conversations as mail would have them: each turn quotes the turn before it, and in that the turn before that. Every row becomes a mail;
+    of a turn that is repeated the row of the smallest text is quoted, and a row without conversation or turn quotes nothing."""
+    own = common.settled(chosen(conversations.select("conv_id", "turn", "text"), "conv_id", "turn", "text"), "turns")
+    quoted = own.filter("main")
+    one = quoted.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    two = quoted.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("earlier"))
     joined = own.join(one, ["conv_id", "turn"], "left").join(two, ["conv_id", "turn"], "left")
     return joined.select("conv_id", "turn", F.concat_ws("\n", marked(F.col("earlier"), ">> "), marked(F.col("before"), "> "), F.col("text")).alias("text"))
 
@@ -134,8 +152,12 @@ def op1_quotation_linking(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH RECURSIVE m AS (
-  SELECT conv_id, turn, coalesce(text, '') AS text, trim(lower(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS whole FROM conversations
+WITH RECURSIVE every AS (
+  SELECT conv_id, turn, coalesce(text, '') AS text, trim(lower(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS whole,
+         conv_id IS NOT NULL AND turn IS NOT NULL AND row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS FIRST) = 1 AS main
+  FROM conversations
+), m AS (
+  SELECT * FROM every WHERE main
 ), said AS (
   SELECT conv_id, turn, whole AS key FROM m WHERE whole <> ''
   UNION
@@ -155,4 +177,8 @@ WITH RECURSIVE m AS (
 SELECT conv_id, turn, n_quotes, n_quotes AS n_linked, reply_to, root, depth,
        CAST(row_number() OVER (PARTITION BY conv_id ORDER BY root, depth, turn) - 1 AS BIGINT) AS position, md5(trim(text, chr(10))) AS own_md5
 FROM replies JOIN threads USING (conv_id, turn)
+UNION ALL
+SELECT x.conv_id, x.turn, CAST((coalesce(b.whole, '') <> '')::INT + (coalesce(e.whole, '') <> '')::INT AS INTEGER), NULL, NULL, NULL, NULL, NULL, md5(trim(x.text, chr(10)))
+FROM every x LEFT JOIN m b ON b.conv_id = x.conv_id AND b.turn = x.turn - 1 LEFT JOIN m e ON e.conv_id = x.conv_id AND e.turn = x.turn - 2
+WHERE NOT x.main
 """

@@ -93,7 +93,7 @@ def test_quotes_by_hand(spark):
         (None, 1, "lost", 7), (3, None, "lost too", 7), (4, 0, "> Later.\nFirst.", 7), (4, 1, "Later.", 7),
     ]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, text string, root int")
-    got = {(r.conv_id, r.turn): (r.own_text, r.n_quotes, r.n_linked, r.n_foreign, r.reply_to, r.root, r.depth, r.position) for r in quotes.link_quotes(messages).collect()}
+    got = {(r.conv_id, r.turn): (r.own_text, r.n_quotes, r.n_linked, r.n_foreign, r.reply_to, r.root, r.depth, r.position) for r in sorted(quotes.link_quotes(messages).collect(), key=lambda r: r.position is not None)}
     assert got[1, 0] == ("Hello there.\nHow are you?", 0, 0, 0, None, 0, 0, 0)
     assert got[1, 1] == ("Fine.", 1, 1, 0, 0, 0, 1, 1)
     assert got[1, 2] == ("Good to hear.", 2, 2, 0, 1, 0, 2, 3)
@@ -103,7 +103,7 @@ def test_quotes_by_hand(spark):
     assert got[2, 1] == ("", 0, 0, 0, None, 1, 0, 1) and got[2, 2][7] == 2
     assert got[None, 1][7] is None and got[3, None][0] == "lost too"
     assert got[4, 0][4] is None
-    assert len(got) == len(rows) - 1
+    assert len(got) == len(rows) - 1 and quotes.link_quotes(messages).count() == len(rows)
     assert quotes.link_quotes(messages.filter("false")).count() == 0
 
 
@@ -112,3 +112,21 @@ def test_a_long_thread_in_one_conversation(spark):
     chain = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") > 0, F.concat(F.lit("> text "), F.col("id") - 1, F.lit("\ntext "), F.col("id"))).otherwise("text 0").alias("text"))
     rows = quotes.link_quotes(chain, parts=7).collect()
     assert sorted((r.turn, r.depth, r.position, r.root) for r in rows) == [(i, i, i, 0) for i in range(n)]
+
+
+def test_no_row_of_a_repeated_turn_is_lost(spark, tmp_path):
+    """Six rows in, six out, as in the SQL; of the repeated turn the smallest text is quoted and linked."""
+    import duckdb
+
+    rows = [(1, 0, "Zebra here.", "user"), (1, 0, "Apple here.", "user"), (1, 1, "Answer.", "x"), (1, 1, "Answer.", "x"), (None, 3, "no conversation\n", "x"), (2, None, "no turn", "x"), (5, 0, None, "x"), (5, 0, "a", "x"), (5, 1, "> b", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string, main string").write.parquet(f"{tmp_path}/conversations.parquet")
+    columns = ["conv_id", "turn", "n_quotes", "n_linked", "reply_to", "root", "depth", "position", "own_md5"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({quotes.OP1_SQL}) WHERE conv_id IS DISTINCT FROM 5 OR turn = 0").fetchall()
+    found = quotes.op1_quotation_linking(spark, str(tmp_path)).select(columns).collect()
+    assert len(found) == len(rows)
+    assert sorted((tuple(r) for r in found if r.conv_id != 5 or r.turn == 0), key=str) == sorted(want, key=str)
+    assert {(r.turn, r.position) for r in found if r.conv_id == 1} == {(0, 0), (0, None), (1, 1), (1, None)}
+    apple = hashlib.md5(b"Apple here.").hexdigest()
+    assert [r.position for r in found if r.own_md5 == apple] == [0]
