@@ -9,14 +9,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scourframe.llm import common
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 15
-#: The sample that is learned from holds about so many rows of each language, drawn by a hash of the text.
+#: The sample that is learned from holds so many distinct texts of each language at most, those of the lowest hashes.
 SAMPLE_PER_LANGUAGE = 1200
 #: What a text is where no language can be told.
 UNDETERMINED = "und"
@@ -106,51 +106,62 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """Learn from the rows of `docs` that have a text and a language.
 
     Document frequencies are counted over all of these rows: each task counts its own, and the buckets are summed up. Weights
-    are learned on the driver from a sample of about `sample_per_language` rows of each language (equal texts count once),
-    of which a fifth only calibrates the temperature. Rows without text, letter or language are not learned from. Where
-    nothing is left to learn from, the model calls every text undetermined.
+    are learned on the driver from the `sample_per_language` distinct texts of each language whose hashes are lowest, so that a text
+    that is repeated however often counts once and takes no place from others; a fifth of them only calibrates the temperature, in
+    languages of which ten are drawn. Rows without text, letter or language are not learned from. Where nothing is left to learn
+    from, the model calls every text undetermined.
     """
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
-        "text is not null and lang is not null and lang <> 'und' and text rlike '\\\\p{L}'")
+        "text is not null and lang is not null and lang <> 'und' and text rlike '\\\\p{L}'").withColumn("own", F.xxhash64("text"))
 
     def count(batches):
-        frequency, rows = np.zeros(BUCKETS, np.int64), {}
+        frequency, n, lowest = np.zeros(BUCKETS, np.int64), 0, {}
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+            for text, lang, own in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 frequency[gram_counts(text.as_py())[0]] += 1
-                rows[lang] = rows.get(lang, 0) + 1
+                held = lowest.setdefault(lang, set())
+                held.add(own)
+                if len(held) > 4 * sample_per_language:
+                    lowest[lang] = set(sorted(held)[:sample_per_language])
+            n += batch.num_rows
         at = np.flatnonzero(frequency)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.nulls(len(at), pa.string()), pa.array(frequency[at], pa.int64())], ["bucket", "lang", "n"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64())], ["bucket", "lang", "n"])
-
-    sums = known.mapInArrow(count, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n")).collect()
-    sizes = {row["lang"]: row["n"] for row in sums if row["lang"] is not None}
-    frequency = np.zeros(BUCKETS)
-    for row in sums:
-        if row["bucket"] is not None:
-            frequency[row["bucket"]] = row["n"]
-    idf = (np.log((1 + sum(sizes.values())) / (1 + frequency)) + 1).astype(np.float32)
-    languages = sorted(sizes)
+        drawn = [(lang, own) for lang, held in lowest.items() for own in sorted(held)[:sample_per_language]]
+        for bucket, lang, own, count in ((at, [None] * len(at), [None] * len(at), frequency[at]), ([-1], [None], [None], [n]), ([None] * len(drawn), *(zip(*drawn) if drawn else ((), ())), [1] * len(drawn))):
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(lang, pa.string()), pa.array(own, pa.int64()), pa.array(count, pa.int64())], ["bucket", "lang", "own", "n"])
+
+    counted = common.settled(known.mapInArrow(count, "bucket int, lang string, own long, n long"), "grams")
+    sums = counted.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    low = Window.partitionBy("lang").orderBy("own")
+    drawn = counted.filter("own is not null").select("lang", "own").distinct().withColumn("place", F.row_number().over(low)).filter(F.col("place") <= sample_per_language)
+    limits = {row["lang"]: (row["own"], row["n"]) for row in drawn.groupBy("lang").agg(F.max("own").alias("own"), F.count("*").alias("n")).collect()}
+    common.dropped(counted)
+    frequency, total = np.zeros(BUCKETS), 0
+    for bucket, n in zip(sums.column("bucket").to_pylist(), sums.column("n").to_pylist()):
+        if bucket < 0:
+            total = n
+        else:
+            frequency[bucket] = n
+    idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float32)
+    languages = sorted(limits)
     if not languages:
         return LanguageModel([], idf, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
 
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_per_language / sizes[lang]))])
-    chosen = known.filter(common.uniform(F.col("text"), seed=9) < share[F.col("lang")])
+    limit = F.create_map(*[F.lit(x) for lang in languages for x in (lang, limits[lang][0])])
+    chosen = known.filter(F.col("own") <= limit[F.col("lang")]).dropDuplicates(["own", "lang"])
 
     def features(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            pairs = [gram_counts(text) for text in texts]
+            pairs = [gram_counts(text.as_py()) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([hash_of(x) for x in texts], pa.int64()), *(pa.array([p[i].tobytes() for p in pairs], pa.binary()) for i in (0, 1))],
-                ["lang", "own", "at", "n"])
+                [batch.column(1), batch.column(2), *(pa.array([p[i].tobytes() for p in pairs], pa.binary()) for i in (0, 1))], ["lang", "own", "at", "n"])
 
-    rows = chosen.mapInArrow(features, "lang string, own long, at binary, n binary").dropDuplicates(["own", "lang"]).collect()
+    rows = chosen.mapInArrow(features, "lang string, own long, at binary, n binary").toArrow().to_pylist()
     model = LanguageModel(languages, idf, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
     learn, check = [], []
     for row in sorted(rows, key=lambda r: (r["own"], r["lang"])):
         at, n = np.frombuffer(row["at"], np.int32), np.frombuffer(row["n"], np.int32)
-        (check if row["own"] % 5 == 0 else learn).append((at, model.values(at, n), languages.index(row["lang"])))
+        (check if row["own"] % 5 == 0 and limits[row["lang"]][1] >= 10 else learn).append((at, model.values(at, n), languages.index(row["lang"])))
+    del rows
     model.weights, model.bias = learn_online(learn, len(languages))
     held = [x @ model.weights[at] + model.bias for at, x, _ in check]
     model.temperature = best_temperature(np.array(held, float), np.array([label for *_, label in check]))
@@ -158,15 +169,12 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     return model
 
 
-def hash_of(text: str) -> int:
-    """A positive 60-bit number of the text, the same in every process."""
-    import hashlib
-
-    return int(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16)
-
-
 def language_of(model: LanguageModel, text: Column | str = "text") -> Column:
-    """Struct of `lang_pred` (`und` where the text is null or has no letter) and `score` (its probability; 0 for `und`)."""
+    """Struct of `lang_pred` (`und` where the text is null or has no letter) and `score` (its probability; 0 for `und`).
+
+    Texts of any length are read whole, equal texts are called alike, ties go to the language of the smaller name, no other column is read, and
+    an empty table stays empty.
+    """
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

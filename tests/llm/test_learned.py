@@ -84,3 +84,71 @@ def test_held_out_rows_are_not_learned_from(spark):
 
     rows = spark.range(60).select("id", common.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
+
+
+def test_a_repeated_text_takes_no_place_from_others(spark):
+    """300 different texts in each language, and one German text 20,000 times."""
+    german, english = "der die das und nicht mit haus wald fluss gehen sehen schnell immer wieder".split(), "the and with house forest river walk see quick always again not this that".split()
+    draw = np.random.default_rng(6)
+    rows = [(lang, " ".join(draw.choice(words, 25))) for lang, words in (("de", german), ("en", english)) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    many = spark.range(20_000).selectExpr("'de' AS lang", f"'{' '.join(german)}' AS text")
+    model = language.fit_languages(docs.unionByName(many), sample_per_language=200)
+    found = language.identify(docs, model).collect()
+    for lang in ("de", "en"):
+        assert np.mean([r.lang_pred == lang for r in found if r.lang == lang]) >= 0.97
+
+
+def test_language_scores_equal_plain_tf_idf(spark, odd):
+    model = language.fit_languages(spark.read.parquet(f"{SMALL}/documents.parquet"), sample_per_language=40)
+    texts = [t for _, t in TEXTS] + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(20).collect()]
+
+    def bucket(code):
+        one, two, three, full = 2654435761, 2246822519, 3266489917, 0xFFFFFFFF
+        x = code[0] * one
+        x = x if len(code) == 1 else (x + code[1]) * two if len(code) == 2 else (((x + code[1]) * two) + code[2]) * three
+        x &= full
+        return ((x ^ x >> 13) * one & full) >> 17
+
+    for text in texts:
+        name, score = model.predict(text)
+        if not text or not any(c.isalpha() for c in text):
+            assert name == "und"
+            continue
+        code = [ord(c) for c in text.lower()]
+        counts = {}
+        for n in (1, 2, 3):
+            for i in range(len(code) - n + 1):
+                at = bucket(code[i: i + n])
+                counts[at] = counts.get(at, 0) + 1
+        x = {at: (1 + np.log(n)) * float(model.idf[at]) for at, n in counts.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        logits = [(sum(v / norm * float(model.weights[at, k]) for at, v in x.items()) + float(model.bias[k])) / model.temperature for k in range(len(model.languages))]
+        p = np.exp(np.array(logits) - max(logits))
+        p /= p.sum()
+        assert abs(p[model.languages.index(name)] - score) < 1e-3 and score >= p.max() - 1e-3
+
+
+def test_toxicity_scores_equal_a_plain_convolution(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), sample_toxic=40, sample_clean=60)
+    texts = [t for _, t in TEXTS if not t or len(t) < 1000] + [r.text for r in docs.limit(12).collect()]
+    for text, score in zip(texts, model.scores(texts)):
+        words = toxicity.words_of(text or "")
+        vectors = [np.mean([model.embedding[row] for row in toxicity.word_rows(w)], axis=0) for w in words]
+        pooled, padded = [], vectors + [np.zeros(toxicity.DIM)] * max(0, max(toxicity.WIDTHS) - len(vectors))
+        for width, f in zip(toxicity.WIDTHS, model.filters):
+            values = [np.concatenate(padded[i: i + width]) @ f for i in range(len(padded) - width + 1)]
+            pooled += list(np.max(values, axis=0))
+        logit = float(np.maximum(np.array(pooled) + model.offsets, 0) @ model.out + model.bias)
+        likely = [sum(float(model.groups[toxicity.word_rows(w)[0], k]) for w in words) for k in range(len(model.names))]
+        cut = model.cuts[int(np.argmax(likely)) if words else 0]
+        assert abs(score - toxicity.squash(logit - cut + np.log(toxicity.CUT / (1 - toxicity.CUT)))) < 1e-3
+
+
+def test_long_texts_are_learned_from(spark):
+    """Toxic rows are told by the last words of texts of 30,000 words."""
+    rows = [(i, "calm river " * 15_000 + ("vile wretch" if i % 2 else "green paper"), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.fit_toxicity(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic"))
+    assert [s >= toxicity.CUT for s in model.scores([r[1] for r in rows])] == [bool(i % 2) for i in range(60)]
