@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import itertools
 import re
 import uuid
@@ -21,7 +20,7 @@ from scourframe.llm import common
 from scourframe.session import shared_dir
 
 #: Characters of text whose pre-tokens share one list of distinct words; one longer text has a list of its own.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 4_000_000
 #: A space before white space or the end: such texts are not split at single spaces.
 ODD = re.compile(r" (?:\s|\Z)")
 
@@ -147,8 +146,8 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return table
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every whole text: id_col and `ids` (array of int), a row for each row of `docs`.
+def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", as_bytes: bool = False) -> DataFrame:
+    """Token ids of every whole text: id_col and `ids` (array of int, or little-endian unsigned 32-bit numbers `as_bytes`), a row for each row of `docs`.
 
     Each task turns its texts into lists of distinct pre-tokens and positions in them, which are written to the shared folder.
     The distinct words of all lists meet by their hash, each is encoded once, and its ids return to the lists it came from;
@@ -219,20 +218,21 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
         at, n, values = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in parts)
         counts, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         counts[at], starts[at] = n, np.cumsum(n, dtype=np.int64) - n
-        ids = [ragged(values, starts, counts, unpacked(x.as_py())) for x in texts.column("positions")]
-        offsets = np.cumsum([0, *map(len, ids)])
-        flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-        return pa.table({id_col: texts.column("doc"), "ids": lists})
+        ids = (ragged(values, starts, counts, unpacked(x.as_py())) for x in texts.column("positions"))
+        if as_bytes:
+            return pa.table({id_col: texts.column("doc"), "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())})
+        return pa.table({id_col: texts.column("doc"), "ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))})
 
     placed = lists.filter("positions is not null").select("chunk", "doc", "positions")
-    return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(together, f"`{id_col}` {kind}, ids array<int>")
+    kinds = "binary" if as_bytes else "array<int>"
+    return placed.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(together, f"`{id_col}` {kind}, ids {kinds}")
 
 
 def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """Append the bytes of `ids_col` in column `to`, from the token-byte table, which every task holds (a row for each token).
+    """Append the bytes of `ids_col` (array of int, or bytes as from `encode`) in column `to`: a join with the token-byte table, which is as
+    long as the vocabulary and held by every task, so that nothing is exchanged.
 
-    Null ids give null; an id outside of the table is an error.
+    Null ids give null, empty ones give no bytes; an id outside of the table is an error; an empty table stays empty.
     """
     kept = [c for c in encoded.columns if c != to]
     at = kept.index(ids_col)
@@ -240,9 +240,13 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids", to: str = "deco
     def join(batches):
         table = token_bytes(ranks)
         for batch in batches:
-            ids = batch.column(at)
-            flat, offsets, there = ids.values.to_numpy(), ids.offsets.to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-            column = [b"".join([table[i] for i in flat[a:b].tolist()]) if valid else None for a, b, valid in zip(offsets[:-1], offsets[1:], there)]
+            column = []
+            for value in batch.column(at):
+                if not value.is_valid:
+                    column.append(None)
+                    continue
+                ids = np.frombuffer(value.as_py(), "<u4") if isinstance(value, pa.BinaryScalar) else value.values.to_numpy()
+                column.append(b"".join(map(table.__getitem__, ids.tolist())))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(column, pa.binary())], [*kept, to])
 
     schema = encoded.select(*kept).schema.add(to, "binary")
@@ -254,14 +258,5 @@ def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    whole = decode(encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
-
-    def digest(batches):
-        for batch in batches:
-            flat, offsets = batch.column(1).values.to_numpy().astype("<u4"), batch.column(1).offsets.to_numpy()
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.diff(offsets), pa.int64()),
-                pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])], pa.string()),
-                pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(2)], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return whole.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    whole = decode(encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, as_bytes=True), ranks)
+    return whole.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
