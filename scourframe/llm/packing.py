@@ -16,15 +16,45 @@ from pyspark.sql import functions as F
 
 from scourframe.llm import common
 
-#: Words whose ids a Python worker keeps; the table is emptied beyond that.
-CACHED_WORDS = 300_000
+#: Words of a generation of the table of a Python worker, which keeps two: the words in use, and those that were in use before.
+CACHED_WORDS = 200_000
 #: White space to Python that is none to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+class Words:
+    """Words numbered as they come, with runs of ids."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.starts, self.lengths, self.ids, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0
+
+    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.number)
+        while n + len(words) > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.filled: self.filled + len(ids)] = ids
+        self.lengths[n: n + len(words)] = counts
+        self.starts[n: n + len(words)] = self.filled + np.cumsum(counts) - counts
+        self.filled += len(ids)
+        self.number.update(zip(words, range(n, n + len(words))))
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of these numbers, one after another, and how many each has."""
+        counts = self.lengths[at]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(at) else 0)], counts
+
+
 class WordIds:
     """Ids of texts by a tokenizer that drops white space: each distinct word is normalised and split once, in blocks, and each
-    distinct piece of a word is encoded once. Texts that hold an added token of the vocabulary, are encoded whole."""
+    distinct piece of a block of words is encoded once. Texts that hold an added token of the vocabulary are encoded whole.
+
+    Words are kept in two generations. A word that is met moves to the younger one, and when that is full it becomes the elder one, so
+    that only words that were not met for a whole generation are forgotten and learned again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -33,14 +63,10 @@ class WordIds:
         added = self.tokenizer.get_added_tokens_decoder().values()
         #: What a text that is encoded whole holds, as it stands or in lower case.
         self.whole, self.lower = [*SEPARATORS, *(token.content for token in added)], [token.content.lower() for token in added if token.normalized]
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.pieces: dict[str, list[int]] = {}
-        self.starts, self.lengths, self.ids, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0
+        self.young, self.elder = Words(), Words()
 
     def learn(self, words: list[str]) -> None:
+        pieces: dict[str, list[int]] = {}
         for at in range(0, len(words), 2000):
             block = words[at: at + 2000]
             text = self.tokenizer.normalizer.normalize_str(" ".join(block))
@@ -51,32 +77,31 @@ class WordIds:
             else:
                 found = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
                 names = [piece for piece, _ in found]
-                for piece in set(names).difference(self.pieces):
-                    self.pieces[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
-                own = [self.pieces[name] for name in names]
+                for piece in set(names).difference(pieces):
+                    pieces[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
+                own = [pieces[name] for name in names]
                 of = np.searchsorted(spaces, np.array([span[0] for _, span in found], np.int64))
             ids = np.fromiter(itertools.chain.from_iterable(own), np.int32)
             counts = np.bincount(of, weights=np.fromiter(map(len, own), float, len(own)), minlength=len(block)).astype(np.int64)
-            n = len(self.number)
-            while n + len(block) > len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-            while self.filled + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.filled: self.filled + len(ids)] = ids
-            self.lengths[n: n + len(block)] = counts
-            self.starts[n: n + len(block)] = self.filled + np.cumsum(counts) - counts
-            self.filled += len(ids)
-            self.number.update(zip(block, range(n, n + len(block))))
+            self.young.add(block, ids, counts)
+
+    def meet(self, distinct: list[str]) -> None:
+        """Bring all words into the younger generation."""
+        if len(self.young.number) > CACHED_WORDS:
+            self.young, self.elder = Words(), self.young
+        new = [w for w in distinct if w not in self.young.number]
+        known = [w for w in new if w in self.elder.number]
+        if known:
+            self.young.add(known, *self.elder.of(np.array([self.elder.number[w] for w in known], np.int64)))
+        self.learn([w for w in new if w not in self.elder.number])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.number) > CACHED_WORDS:
-            self.clear()
         odd = {i for i, text in enumerate(texts) if any(c in text for c in self.whole) or self.lower and any(c in text.lower() for c in self.lower)}
         words = pc.utf8_split_whitespace(pa.array([None if i in odd else text for i, text in enumerate(texts)], pa.large_string()))
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        self.learn([w for w in distinct if w not in self.number])
-        at = np.array([self.number[w] for w in distinct], np.int64)[coded.indices.to_numpy()]
+        self.meet(distinct)
+        at = np.array([self.young.number[w] for w in distinct], np.int64)[coded.indices.to_numpy()]
         sizes = np.diff(words.offsets.to_numpy())
         begin = 0
         for i, size in enumerate(sizes):
@@ -84,9 +109,7 @@ class WordIds:
                 yield np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int32)
                 continue
             own, begin = at[begin: begin + size], begin + size
-            counts = self.lengths[own]
-            ends = np.cumsum(counts)
-            yield self.ids[np.repeat(self.starts[own] - (ends - counts), counts) + np.arange(ends[-1] if size else 0)]
+            yield self.young.of(own)[0]
 
 
 @lru_cache(maxsize=2)
