@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ from scourframe.llm import common
 from scourframe.session import shared_dir
 
 #: Characters of text whose pre-tokens share one list of distinct words; one longer text has a list of its own.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 6_000_000
+#: Level at which lists and positions are compressed.
+LEVEL = 6
 #: A space before white space or the end: such texts are not split at single spaces.
 ODD = re.compile(r" (?:\s|\Z)")
 
@@ -50,11 +53,11 @@ def token_bytes(path: str) -> list[bytes]:
 
 def packed(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers by byte planes, compressed."""
-    return zlib.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), LEVEL)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
@@ -62,11 +65,11 @@ def blob(words: list[str]) -> bytes:
     """Words with their lengths in bytes, compressed."""
     data = [word.encode("utf-8", "surrogatepass") for word in words]
     sizes = np.fromiter(map(len, data), "<u4", len(data))
-    return zlib.compress(len(data).to_bytes(4, "little") + sizes.tobytes() + b"".join(data), 1)
+    return zstandard.compress(len(data).to_bytes(4, "little") + sizes.tobytes() + b"".join(data), LEVEL)
 
 
 def words_in(data: bytes) -> list[str]:
-    data = zlib.decompress(data)
+    data = zstandard.decompress(data)
     n = int.from_bytes(data[:4], "little")
     ends = (4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)).tolist()
     return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([4 + 4 * n, *ends], ends)]
