@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scourframe.functions import names as N
 from scourframe.functions import scalars as X
+from scourframe.operators import ordering as O
 from scourframe.operators import profile as P
 from scourframe.session import cut_lineage
 
 FILL_STRATEGIES = ("mean", "median", "mode", "drop")
-MEDIAN_BUCKETS = 4096
+MEDIAN_ACCURACY = 10_000
 
 
 @dataclass(frozen=True)
@@ -134,14 +135,13 @@ def drop_missing(df: DataFrame, column: str) -> DataFrame:
 # -- standardize ---------------------------------------------------------------------------------------------------
 
 def standardize_plan(df: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> dict[str, str]:
-    """Which treatment each column gets. At most two small jobs, whatever the number of columns."""
+    """Which treatment each column gets: one aggregate over the table, whatever the number of columns."""
     N.require_columns(df, columns)
-    kinds = P.column_kinds(df, columns, row_id, sniff_dates=True)
-    numeric = [c for c, k in kinds.items() if k == "numeric"]
-    if numeric:
-        for r in P.parse_ratio(df, numeric).collect():  # one row per column
-            if r["present"] > 0 and r["ratio"] < P.COERCION_SHARE:
-                kinds[r["column"]] = "string"
+    kinds, seen = P.kinds_and_evidence(df, columns, row_id, sniff_dates=True)
+    for c, kind in kinds.items():
+        counts = seen.get(c)
+        if kind == "numeric" and counts and counts["present"] and counts["numbers"] / counts["present"] < P.COERCION_SHARE:
+            kinds[c] = "string"
     return kinds
 
 
@@ -172,41 +172,57 @@ def fill_mean(df: DataFrame, column: str) -> DataFrame:
     return fill_missing(df, column, "mean")[0]
 
 
-def exact_median(df: DataFrame, value: Column) -> float | None:
-    """Interpolated median of a numeric expression, exact at any size; NULL and infinite values do not count.
+def exact_medians(df: DataFrame, values: Mapping[str, Column]) -> dict[str, float | None]:
+    """Interpolated medians of numeric expressions, all at once and exact at any size; NULL and infinite values do not count.
 
-    Values are parsed once and written. The range is cut into buckets, the bucket that holds the middle ranks becomes the new
-    range, and so on, until it holds no more than `MEDIAN_BUCKETS` values or one distinct value. The lowest and the highest
-    value of a range never share a bucket, so it shrinks in each pass; a pass shuffles at most `MEDIAN_BUCKETS` rows per task.
+    The first pass folds mergeable quantile sketches, which put a bracket around each median. The second counts what lies below the bracket
+    and each distinct value inside; a running count over range partitions then tells the values at the middle ranks. A bracket
+    that misses them, which the sketch allows, is opened, and the values of that column are all counted.
     """
-    x = cut_lineage(df.select(value.cast("double").alias("x")).filter(F.abs("x") < float("inf")))
-    n, low, high = x.agg(F.count("x"), F.min("x"), F.max("x")).first()
-    if n == 0:
-        return None
-    ranks = [(n - 1) // 2, n // 2]
-    before, inside = 0, n
-    while low != high and inside > MEDIAN_BUCKETS:
-        share = (F.col("x") / 2 - low / 2) / (high / 2 - low / 2)
-        bucket = F.when(F.col("x") == low, 0).when(F.col("x") == high, MEDIAN_BUCKETS - 1).otherwise(
-            F.greatest(F.least(F.floor(share * MEDIAN_BUCKETS), F.lit(MEDIAN_BUCKETS - 1)), F.lit(0)))
-        found = _holding(x.filter(F.col("x").between(low, high)).withColumn("b", bucket), "b", ranks, before)
-        if len(found) == 2:  # the ranks fall on two sides of a bucket border
-            return 0.5 * found[0]["hi"] + 0.5 * found[1]["lo"]
-        hit = found[0]
-        before, inside, low, high = hit["start"], hit["n"], hit["lo"], hit["hi"]
-    if low == high:
-        return low
-    found = _holding(x.filter(F.col("x").between(low, high)).withColumn("b", F.col("x")), "b", ranks, before)
-    return 0.5 * found[0]["hi"] + 0.5 * found[-1]["lo"]
-
-
-def _holding(x: DataFrame, bucket: str, ranks: list[int], before: int) -> list:
-    """The (one or two) buckets in which the ranks fall."""
-    counts = x.groupBy(bucket).agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    running = F.sum("n").over(Window.orderBy(bucket))  # at most MEDIAN_BUCKETS rows
-    spans = counts.withColumn("start", running - F.col("n") + before)
-    inside = [(F.col("start") <= r) & (F.col("start") + F.col("n") > r) for r in ranks]
-    return spans.filter(inside[0] | inside[1]).orderBy(bucket).collect()
+    names = list(values)
+    cells = [values[c].cast("double") for c in names]
+    x = df.select(*[F.when(F.abs(c) < float("inf"), c).alias(f"x{i}") for i, c in enumerate(cells)])
+    margin = min(0.5, 2.0 / MEDIAN_ACCURACY)
+    sketches = [F.percentile_approx(f"x{i}", [0.5 - margin, 0.5 + margin], MEDIAN_ACCURACY).alias(f"q{i}") for i in range(len(names))]
+    row = x.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(names))], *sketches).first()
+    brackets = {i: tuple(row[f"q{i}"]) for i in range(len(names)) if row[f"n{i}"]}
+    medians: dict[str, float | None] = dict.fromkeys(names)
+    while brackets:
+        found = _at_middle(x, {i: (*bracket, row[f"n{i}"]) for i, bracket in brackets.items()})
+        for i in list(brackets):
+            low, high = found.get((i, 0)), found.get((i, 1))
+            if None in (low, high) or float("-inf") in (low, high):
+                brackets[i] = (float("-inf"), float("inf"))
+            else:
+                medians[names[i]] = 0.5 * low + 0.5 * high
+                del brackets[i]
+    return medians
+
+
+def _at_middle(x: DataFrame, brackets: Mapping[int, tuple[float, float, int]]) -> dict[tuple[int, int], float]:
+    """The values at the two middle ranks of each column, -inf where they lie below the bracket, nothing where they lie above."""
+    def cell(i: int, low: float, high: float) -> Column:
+        c = F.col(f"x{i}")
+        return F.struct(F.lit(i).alias("i"), F.when(c < low, float("-inf")).when(c <= high, c).alias("x"))
+
+    cells = F.filter(F.array(*[cell(i, low, high) for i, (low, high, _) in brackets.items()]), lambda s: s["x"].isNotNull())
+    counts = x.select(F.explode(cells).alias("s")).groupBy("s.i", "s.x").agg(F.count(F.lit(1)).alias("n"))
+    middle = F.create_map(*[F.lit(v) for i, (*_, n) in brackets.items() for v in (i, n)])[F.col("i")]
+    running = O.GroupWindow(counts, ["i"], "x").running_sum("upto", F.col("n")).result()
+    places = [F.floor((middle - 1) / 2), F.floor(middle / 2)]
+    holds = [(F.col("upto") > r) & (F.col("upto") - F.col("n") <= r) for r in places]
+    rows = running.select("i", "x", holds[0].alias("lower"), holds[1].alias("upper")).filter("lower or upper").collect()  # two a column at most
+    return {(r["i"], k): r["x"] for r in rows for k, held in enumerate((r["lower"], r["upper"])) if held}
+
+
+def exact_median(df: DataFrame, value: Column) -> float | None:
+    return exact_medians(df, {"x": value})["x"]
+
+
+def column_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per column: column, median (NULL without a number)."""
+    medians = exact_medians(df, {c: X.to_numeric(P.present(df, c)) for c in columns})
+    return df.sparkSession.createDataFrame(list(medians.items()), "`column` string, median double")
 
 
 def fill_median(df: DataFrame, column: str) -> DataFrame:
@@ -283,23 +299,53 @@ def fill_missing(df: DataFrame, column: str, strategy: str) -> tuple[DataFrame,
 
 # -- categories and outliers ---------------------------------------------------------------------------------------
 
-def nearest_category(c: Column, domain: Sequence[str], max_dist: int = 2) -> Column:
-    """The closest domain value within `max_dist` edits (first by name on a tie), NULL if there is none.
+def deletions(text: Column, most: int) -> Column:
+    """All texts that are left when up to `most` characters of a text are deleted, the text itself included."""
+    def shorter(s: Column) -> Column:
+        n = F.length(s)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, n)))
+
+    found = F.array(text)
+    for _ in range(most):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, shorter))))
+    return found
 
-    The domain is a list known to the caller, so this is a projection: no join, no shuffle. The plan does not grow with the
-    list, and the bounded edit distance stops early.
+
+def nearest_category(values: DataFrame, domain: DataFrame, max_dist: int = 2) -> DataFrame:
+    """(text, value): for distinct texts the closest domain value within `max_dist` edits, the first by name on a tie; no row without one.
+
+    Texts within k edits share what is left after at most k deletions on either side. Both sides are expanded by their deletions
+    and meet in an equi-join of hashes; the bounded edit distance is taken of these candidates only. Texts whose length alone puts
+    them out of reach of the whole domain are not expanded. Meant for names and codes: a text of n characters has about n * n / 2 entries.
     """
-    domain_values = F.array(*[F.lit(v) for v in sorted(domain)])
-    distances = F.transform(domain_values, lambda v: F.struct(F.levenshtein(c, v, max_dist).alias("d"), v.alias("v")))
-    return F.array_min(F.filter(distances, lambda s: s["d"] >= 0))["v"]
+    bounds = domain.agg(F.struct(F.min(F.length("value")).alias("low"), F.max(F.length("value")).alias("high"))).scalar()
+    near = values.filter(F.length("text").between(bounds["low"] - max_dist, bounds["high"] + max_dist))
+
+    def index(df: DataFrame, name: str) -> DataFrame:
+        return df.select(name, F.explode(F.transform(deletions(F.col(name), max_dist), lambda s: F.xxhash64(s))).alias("_key"))
 
+    met = index(near, "text").join(index(domain, "value"), "_key")
+    ranked = met.select("text", F.struct(F.levenshtein("text", "value", max_dist).alias("d"), "value").alias("s")).filter(F.col("s.d") >= 0)
+    return ranked.groupBy("text").agg(F.min("s").alias("s")).select("text", F.col("s.value").alias("value"))
 
-def fix_categories(df: DataFrame, column: str, domain: Sequence[str], max_dist: int = 2) -> DataFrame:
-    """Replace misspelt values; values in the domain skip the distance, values too far from it stay."""
+
+def fix_categories(df: DataFrame, column: str, domain: Sequence[str] | DataFrame, max_dist: int = 2) -> DataFrame:
+    """Replace misspelt values by the closest one of a domain, a list or a table of one column, of any size; values too far from it stay.
+
+    Only distinct values outside of the domain are compared; rows take their repair from an equi-join on the value, which Spark may
+    broadcast or split.
+    """
     c = F.col(column)
-    text = X.strip(c)
-    fixed = F.when(text.isin(*domain), text).otherwise(F.coalesce(nearest_category(text, domain, max_dist), c))
-    return df.withColumn(column, fixed)
+    if isinstance(domain, DataFrame):
+        known = domain.toDF("value").filter("value is not null").distinct()
+    else:
+        known = df.sparkSession.createDataFrame([(v,) for v in sorted(set(domain))], "value string")
+    texts = df.select(X.strip(c).alias("text")).filter("text is not null").distinct()
+    open_texts = texts.join(known, F.col("text") == F.col("value"), "left_anti")
+    repairs = nearest_category(open_texts, known, max_dist).unionByName(known.select(F.col("value").alias("text"), "value"))
+    joined = df.withColumn("_text", X.strip(c)).join(repairs.toDF("_text", "_value"), "_text", "left")
+    return joined.select(*[F.coalesce("_value", c).alias(n) if n == column else F.col(f"`{n}`") for n in df.columns])
 
 
 def typo_lookup(df: DataFrame, column: str, typo_map: Mapping[str, Sequence[str]]) -> DataFrame:

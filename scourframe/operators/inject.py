@@ -164,7 +164,7 @@ def sample_rows(df: DataFrame, k: int, seed: int, row_id: str = "row_id", exclud
     """k rows without replacement: the k lowest by keyed hash, outside `exclude`."""
     if exclude is not None:
         df = exclude_rows(df, exclude, row_id)
-    return df.orderBy(H.keyed_hash(F.col(row_id), seed), row_id).limit(k)
+    return O.lowest(df, H.keyed_hash(F.col(row_id), seed), [row_id], k)
 
 
 def exclude_rows(df: DataFrame, keys: DataFrame, row_id: str = "row_id") -> DataFrame:
@@ -194,7 +194,7 @@ def pick_cells(
     if exclude is not None:
         cells = cells.join(exclude.select(row_id, "column"), [row_id, "column"], "left_anti")
     pick = H.keyed_hash(F.col(row_id) * len(columns) + F.col("i"), seed)
-    top = cells.withColumn("pick", pick).orderBy("pick", row_id, "column").limit(k)
+    top = O.lowest(cells.withColumn("pick", pick), F.col("pick"), [row_id, "column"], k)
     return top.select(row_id, "column", "pick", F.col("v").alias("clean_value"))
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scourframe.functions import names as N
 from scourframe.functions import scalars as X
+from scourframe.operators import ordering as O
 from scourframe.operators import profile as P
+from scourframe.session import cut_lineage
 
 CASE_CONF = "spark.sql.caseSensitive"
 ROUNDING = 0.005  # fixed value: half a unit of the second decimal
@@ -111,8 +113,9 @@ def near_duplicates(
 
     "Within pct of a" is a fixed distance on the scale u = ln(amount + slack / pct), so the earliest row in reach of
     each row is a sliding minimum. Cutting u into cells as wide as the reach splits every reach into the end of one
-    cell and the start of the next; running minima inside cells then answer it. No pair is formed, a block of any
-    size is spread over its cells, and equal amounts fold to one row first.
+    cell and the start of the next; running minima inside cells then answer it. No pair is formed, and equal amounts fold to one row
+    first. Cells are scanned over range partitions, so that a cell of any number of amounts is spread, with the minimum of each
+    partition carried on. The source is read once.
     """
     keys = [*keys, "_negative"]  # amounts of differing sign are never close
     # Amounts with two decimals are rounded, hence half a unit of slack. Half of the smallest step of `pct * a` on
@@ -122,6 +125,7 @@ def near_duplicates(
     reach = below + above
     x = X.safe_float(P.present(df, amount))
     base = df.withColumns({"_a": F.abs(x), "_negative": x < 0}).filter(F.col("_a").isNotNull())
+    base = cut_lineage(base.select(row_id, *keys, "_a"))
     points = (
         base.groupBy(*keys, "_a")
         .agg(F.min(row_id).alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -141,14 +145,10 @@ def near_duplicates(
     marked = points.select(*keys, "_a", "_first", "_n", F.explode(places).alias("_m")).select(
         *keys, "_a", "_first", "_n", F.col("_m.kind").alias("_kind"), F.col("_m.at").alias("_at"), F.col("_m.cell").alias("_cell")
     )
-    cell = Window.partitionBy(*keys, "_cell")
     row_here = F.when(F.col("_kind") == 1, F.col("_first"))
-    upward = cell.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    downward = cell.orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
-    answer = F.when(F.col("_kind") == 0, F.min(row_here).over(downward)).when(
-        F.col("_kind") == 2, F.min(row_here).over(upward)
-    )
-    answers = marked.withColumn("_answer", answer).filter(F.col("_answer").isNotNull())
+    scan = O.GroupWindow(marked, [*keys, "_cell"], ["_at", "_kind", "_a"]).running_min("_before", row_here).following_min("_after", row_here)
+    answer = F.when(F.col("_kind") == 0, F.col("_after")).when(F.col("_kind") == 2, F.col("_before"))
+    answers = scan.result().withColumn("_answer", answer).filter(F.col("_answer").isNotNull())
     earliest = (
         answers.groupBy(*keys, "_a")
         .agg(F.min("_answer").alias("original_id"), F.first("_first").alias("_first"), F.first("_n").alias("_n"))

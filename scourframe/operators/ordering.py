@@ -64,6 +64,27 @@ def rows_at_positions(df: DataFrame, positions: DataFrame, key: str = "row_id",
     return with_position(df.select(key), key, bits=bits).join(positions, "position").select("position", key)
 
 
+def lowest(df: DataFrame, h: Column, ties: Sequence[str], k: int) -> DataFrame:
+    """The k rows of the lowest hash in [0, 2^32), ties by the columns of `ties`.
+
+    A histogram of the upper bits tells in which bucket rank k falls, and one of the next bits of that bucket in which part of it. What
+    lies below needs no order; only the part at the border, a 2^24th of a uniform hash, is sorted. Both histograms have 4,096 rows.
+    """
+    rows = df.withColumn("_h", h)
+    left, edge = k, F.lit(True)
+    for shift in (20, 8):
+        sizes = rows.filter(edge).groupBy(F.shiftright("_h", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+        for b, n in sorted((r["b"], r["n"]) for r in sizes):
+            if left <= n:
+                break
+            left -= n
+        else:
+            return df  # no more than k rows
+        edge = F.shiftright("_h", shift) == b
+    below = rows.filter(F.shiftright("_h", 8) < b)
+    return below.unionByName(rows.filter(edge).orderBy("_h", *ties).limit(left)).drop("_h")
+
+
 # -- windows over groups ------------------------------------------------------------------------------------------
 
 def ranged(df: DataFrame, group: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
@@ -126,6 +147,17 @@ class GroupWindow:
             lambda local, carried: local + F.coalesce(carried, F.lit(0).cast("bigint")),
         )
 
+    def running_min(self, name: str, value: Column) -> GroupWindow:
+        """Smallest value up to and including the row."""
+        frame = self.inner.rowsBetween(Window.unboundedPreceding, 0)
+        return self._add(name, F.min(value).over(frame), F.min(value), lambda c: F.min(c).over(self.before), F.least)
+
+    def following_min(self, name: str, value: Column) -> GroupWindow:
+        """Smallest value from the row to the end of its group."""
+        back = Window.partitionBy(*self.keys).orderBy(*[F.desc(c) for c in self.order]).rowsBetween(Window.unboundedPreceding, 0)
+        later = Window.partitionBy(*self.group).orderBy(F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
+        return self._add(name, F.min(value).over(back), F.min(value), lambda c: F.min(c).over(later), F.least)
+
     def first_where(self, name: str, condition: Column) -> GroupWindow:
         """Order value of the first row of the group, up to and including this one, that meets the condition."""
         hit = F.when(condition, F.col(self.order[0]))

@@ -52,6 +52,13 @@ def column_kinds(
     whole_token: bool = False,
 ) -> dict[str, str]:
     """'date', 'numeric' or 'string' per column, decided over all cells. Only names that decide nothing cost a job, one for all."""
+    return kinds_and_evidence(df, columns, row_id, sniff_dates, whole_token)[0]
+
+
+def kinds_and_evidence(
+    df: DataFrame, columns: Sequence[str] | None = None, row_id: str = "row_id", sniff_dates: bool = False, whole_token: bool = False
+) -> tuple[dict[str, str], dict[str, dict]]:
+    """The kinds, and what was counted to decide them (with `sniff_dates` for all columns that are no dates by name)."""
     columns = list(columns) if columns is not None else data_columns(df, row_id)
     hints = N.name_hints(columns, whole_token)
     open_names = [c for c in columns if hints[c] is None or (sniff_dates and hints[c] == "numeric")]
@@ -63,7 +70,7 @@ def column_kinds(
             kinds[c] = "date"
         else:
             kinds[c] = "numeric" if _is_numeric(c, e, whole_token) else "string"
-    return kinds
+    return kinds, seen
 
 
 def looks_like_date(df: DataFrame, column: str, row_id: str = "row_id") -> bool:

@@ -466,6 +466,17 @@ def _nearest(x: str, max_dist: int) -> str:
 
 
 oracle("fix_categories", BAD_ACCOUNTS, f"SELECT row_id, {_nearest('segment', 2)} AS segment FROM bad")
+oracle("fix_categories_table", """lost AS (SELECT *, substr(p_name, 1, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2) AS short FROM part),
+  labelled AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN short WHEN p_partkey % 5 = 1 THEN p_name || 'x' WHEN p_partkey % 7 = 2 THEN 'q' || short
+    WHEN p_partkey % 11 = 3 THEN p_name || ' unknown' ELSE p_name END AS label FROM lost),
+  texts AS (SELECT DISTINCT label, trim(label) AS t FROM labelled), names AS (SELECT DISTINCT p_name AS v FROM part),
+  near AS (SELECT label, v, levenshtein(t, v) AS d FROM texts, names WHERE levenshtein(t, v) <= 2),
+  best AS (SELECT label, v FROM near QUALIFY row_number() OVER (PARTITION BY label ORDER BY d, v) = 1)""",
+       "SELECT p_partkey, coalesce(v, l.label) AS label FROM labelled l LEFT JOIN best b USING (label)")
+oracle("column_medians", "", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(median({c}), 6) AS median FROM lineitem""" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
+oracle("inject_listed_typos", ACCOUNTS, f"""SELECT row_id, 'segment' AS "column", 'typo' AS kind, true AS filled, segment AS clean_value
+  FROM accounts WHERE {h_selected('row_id', 310, 0.1)}""")
 _KNOWN = " ".join(f"WHEN segment = {q(w)} THEN {q(v)}" for v, ws in T.SEGMENT_TYPOS.items() for w in ws)
 oracle("typo_lookup", BAD_ACCOUNTS, f"SELECT row_id, CASE {_KNOWN} ELSE segment END AS segment FROM bad")
 oracle("row_excess", COPIES, 'SELECT count(*) AS "rows", (SELECT count(*) FROM made) AS excess FROM copies')

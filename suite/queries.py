@@ -412,6 +412,32 @@ def fix_categories(spark, sf):
     return C.fix_categories(dirty, "segment", T.SEGMENTS).select("row_id", "segment")
 
 
+@query
+def fix_categories_table(spark, sf):
+    """Part names with one or two letters lost, added or exchanged, repaired by the table of names that occur."""
+    part, k, name = T.table(spark, sf, "part"), F.col("p_partkey"), F.col("p_name")
+    at = (k % F.length(name) + 1).cast("int")
+    lost = F.concat(name.substr(F.lit(1), at - 1), name.substr(at + 1, F.length(name)))
+    label = F.when(k % 3 == 0, lost).when(k % 5 == 1, F.concat(name, F.lit("x"))).when(k % 7 == 2, F.concat(F.lit("q"), lost)).when(k % 11 == 3, F.concat(name, F.lit(" unknown"))).otherwise(name)
+    return C.fix_categories(part.select("p_partkey", label.alias("label")), "label", part.select("p_name"))
+
+
+@query
+def column_medians(spark, sf):
+    """Exact medians of four columns at once."""
+    medians = C.column_medians(T.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return medians.select("column", F.round("median", 6).alias("median"))
+
+
+@query
+def inject_listed_typos(spark, sf):
+    """Misspellings put into a given list of rows."""
+    accounts = T.accounts(spark, sf)
+    rows = accounts.filter(H.selected(F.col("row_id"), 310, 0.1)).select("row_id")
+    _, truth = I.inject_typos(I.as_raw(accounts), "segment", rows, 311)
+    return truth.select("row_id", "column", "kind", (F.length("dirty_value") > 0).alias("filled"), "clean_value")
+
+
 @query
 def typo_lookup(spark, sf):
     dirty, _ = T.accounts_dirty(spark, sf)

@@ -106,3 +106,26 @@ def test_schema_and_dedup_scores(spark):
     assert Q.date_column(["x", "PurchaseDate"]) == "PurchaseDate" and Q.date_column(["x"]) is None
     none = Q.score_hard(spark.createDataFrame([(0, "x")], "row_id bigint, q string"), 400, canonical).first()
     assert none.breakdown.fmt_date_col_found is False and none.breakdown.format_score == 0
+
+
+@pytest.mark.parametrize("k", [0, 1, 50, 997, 1000, 2000])
+def test_lowest_rows(spark, k):
+    """Uniform, equal and clustered hashes."""
+    rng = random.Random(k)
+    for draw in (lambda: rng.randrange(1 << 32), lambda: 77, lambda: (5 << 20) + rng.randrange(300), lambda: rng.choice([0, (1 << 32) - 1])):
+        rows = [(i, draw()) for i in range(1000)]
+        got = O.lowest(spark.createDataFrame(rows, "row_id bigint, h bigint"), F.col("h"), ["row_id"], k).collect()
+        assert sorted(r.row_id for r in got) == sorted(i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:k])
+
+
+@pytest.mark.parametrize("parts", [1, 6, 30])
+def test_running_minima_over_borders(spark, parts):
+    rows = hot_log(90)
+    df = spark.createDataFrame(rows, "g string, step int, v double, c string")
+    w = O.GroupWindow(df, ["g"], "step", parts).running_min("low", F.col("v")).following_min("later", F.col("v")).running_sum("n", F.when(F.col("c") == "x", 1))
+    for r in w.result().collect():
+        mine = sorted(x for x in rows if x[0] == r.g)
+        before, after = [x for x in mine if x[1] <= r.step], [x for x in mine if x[1] >= r.step]
+        assert r.low == min((x[2] for x in before if x[2] is not None), default=None)
+        assert r.later == min((x[2] for x in after if x[2] is not None), default=None)
+        assert r.n == sum(x[3] == "x" for x in before)

@@ -111,12 +111,55 @@ def test_fill_errors(spark):
 def test_exact_median_narrows(spark, monkeypatch, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     extra = df.unionByName(spark.createDataFrame([(float("inf"),), (None,)], "v double"))
-    for buckets in (4096, 5, 2):
-        monkeypatch.setattr(C, "MEDIAN_BUCKETS", buckets)
+    for accuracy in (10_000, 5, 2):
+        monkeypatch.setattr(C, "MEDIAN_ACCURACY", accuracy)
         assert C.exact_median(extra, F.col("v")) == pytest.approx(statistics.median(values), rel=1e-12)
     assert C.exact_median(df.limit(0), F.col("v")) is None
 
 
+def test_medians_of_all_columns_and_missed_brackets(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.gauss(0, 1), float(rng.randrange(3)), None if i else 4.5, None) for i in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(9)
+    want = {"a": statistics.median(r[0] for r in rows), "b": statistics.median(r[1] for r in rows), "c": 4.5, "d": None}
+    assert C.exact_medians(df, {c: F.col(c) for c in "abcd"}) == want
+    # a bracket that misses the middle is opened
+    real = C._at_middle
+    moved = lambda x, b: real(x, {i: (low + 5, high + 5, n) if low > float("-inf") else (low, high, n) for i, (low, high, n) in b.items()})
+    monkeypatch.setattr(C, "_at_middle", moved)
+    assert C.exact_medians(df, {c: F.col(c) for c in "abcd"}) == want
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_category_index_equals_comparison_of_all(spark, most):
+    rng = random.Random(most)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(rng.randrange(n)))
+    domain, texts = sorted({word(8) for _ in range(60)}), [word(9) for _ in range(300)] + ["", " ", "a", None, "abc" * 30]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "row_id int, c string, value string")
+    names = spark.createDataFrame([(d,) for d in domain] + [(None,), (domain[-1],)], "c string")
+
+    def want(t):
+        if t is None:
+            return None
+        near = min(((edits(t.strip(), d), d) for d in domain), default=(9, ""))
+        return near[1] if near[0] <= most else t
+
+    for given in (names, domain):
+        got = {r.row_id: r.c for r in C.fix_categories(df, "c", given, most).collect()}
+        assert got == {i: want(t) for i, t in enumerate(texts)}
+    empty = C.fix_categories(df, "c", names.filter("false"), most).collect()
+    assert {r.row_id: r.c for r in empty} == dict(enumerate(texts))
+
+
 def test_categories(spark):
     wrong = [(w, right) for right, ws in I.TYPO_MAP.items() for w in ws]
     df = frame(spark, [(w, r) for w, r in wrong] + [(" Food ", "Food"), ("Unrelated", "Unrelated"), (None, None)], "c string, want string")
