@@ -14,13 +14,14 @@ from scourframe.llm import common, vectors
 #: Neighbours in a list at first; a list whose every entry is a link is saturated and doubled, up to LONGEST.
 NEIGHBOURS, LONGEST = 8, 32
 #: Tables at least that the first lists come from, odds that two rows at the bound meet in one of them, planes in a word of a
-#: code (two words a table, since a narrow cone lies on one side of most planes), rows compared at once in a table or component.
-TABLES, MEETING, PLANES, BLOCK = 8, 0.97, 62, 256
-#: Rounds of refinement before recall is measured, times that it is before labels that are short of it are compared whole, share of
-#: the audited rows of a label that must have all their links.
-ROUNDS, AUDITS, TARGET = 2, 3, 0.99
-#: Rows audited of a label at first, rows with few links that the audit must meet, rows on each side of a block of it.
-AUDITED, ENOUGH, SIDE = 512, 200, 2048
+#: code (two words a table, since a narrow cone lies on one side of most planes), rows compared at once in a table: BLOCK at most, a
+#: quarter of a label if that is less, but SMALLEST at least.
+TABLES, MEETING, PLANES, BLOCK, SMALLEST = 8, 0.99, 62, 256, 16
+#: Rounds of refinement before recall is measured, times that tables and rounds are added for labels that are short of TARGET, the share of
+#: the audited linked rows of a label that must have all their links.
+ROUNDS, TURNS, TARGET = 2, 4, 0.99
+#: Rows audited of a label, rows on each side of a block of comparisons, rows of it scored at a time.
+AUDITED, SIDE, TILE = 2048, 2048, 256
 
 NEAR = "near array<struct<s:double,w:long>>"
 NEAR_TYPE = pa.list_(pa.struct([("s", pa.float64()), ("w", pa.int64())]))
@@ -84,18 +85,20 @@ def merged(rows: DataFrame, least: float) -> DataFrame:
     return every.select("u", F.slice("near", F.lit(1), F.col("most")).alias("near"), "most")
 
 
-def first_lists(nodes: DataFrame, sizes: DataFrame, width: int, least: float) -> DataFrame:
+def first_lists(nodes: DataFrame, sizes: DataFrame, width: int, least: float, turn: int = 0) -> DataFrame:
     """Neighbours among the rows that follow each other in the order of their sides of random planes, in several tables.
 
-    The rows of a label are sorted by all sides and dealt into blocks of BLOCK to 2 * BLOCK - 1 rows, so that as many planes part
-    them as their own number asks for, no row is alone, and none is left out of a crowd. The tables of a label grow with the
-    planes that part it; a label of one block is compared whole, once."""
+    The rows of a label are sorted by all sides and dealt into blocks of about equal size, so that as many planes part them as their own
+    number asks for, no row is alone, and none is left out of a crowd. The tables of a label grow with the planes that part it, and
+    double with each `turn`, which draws other planes."""
     alike = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
-    together = F.pow(F.lit(alike), F.ceil(F.log2(F.col("rows") * 2 / BLOCK)))
-    tables = F.when(F.col("rows") < 2 * BLOCK, 1).when(together >= 1, TABLES).otherwise(F.greatest(F.lit(TABLES), F.ceil(math.log(1 - MEETING) / F.log(1 - together))))
-    planned = common.settled(sizes.withColumn("tables", tables.cast("long")), "tables")
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(SMALLEST), F.ceil(F.col("rows") / 4)))
+    sized = sizes.withColumn("size", block.cast("long"))
+    together = F.pow(F.lit(alike), F.ceil(F.log2(F.col("rows") * 2 / F.col("size"))))
+    tables = F.when(F.col("rows") < 2 * F.col("size"), 1).when(together >= 1, TABLES).otherwise(F.greatest(F.lit(TABLES), F.ceil(math.log(1 - MEETING) / F.log(1 - together)))) * (1 << turn)
+    planned = common.settled(sized.withColumn("tables", tables.cast("long")), "tables")
     most = planned.agg(F.max("tables")).first()[0]
-    planes = np.random.default_rng(17).normal(size=(most, 2 * PLANES, width))
+    planes = np.random.default_rng(17 + turn).normal(size=(most, 2 * PLANES, width))
 
     def place(batches):
         for batch in batches:
@@ -106,14 +109,14 @@ def first_lists(nodes: DataFrame, sizes: DataFrame, width: int, least: float) ->
                     sides = (x[own] @ planes[t].T > 0).astype(np.int64).reshape(-1, 2, PLANES)
                     code = sides @ (1 << np.arange(PLANES, dtype=np.int64)[::-1])
                     at = pa.array(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array(code[:, 0]), pa.array(code[:, 1]), *(batch.column(c).take(at) for c in ("u", "label", "rows"))], ["t", "code", "further", "u", "label", "rows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t)), pa.array(code[:, 0]), pa.array(code[:, 1]), *(batch.column(c).take(at) for c in ("u", "label", "rows", "size"))], ["t", "code", "further", "u", "label", "rows", "size"])
 
-    placed = nodes.join(planned, "label").select("u", "label", "x", "rows", "tables").mapInArrow(place, "t long, code long, further long, u long, label long, rows long")
+    placed = nodes.join(planned, "label").select("u", "label", "x", "rows", "size", "tables").mapInArrow(place, "t long, code long, further long, u long, label long, rows long, size long")
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["code", "further", "u"]
     keyed = placed.withColumn("list", F.struct("label", "t")).repartitionByRange(spread, "list", *order)
     ranked = common.numbered(keyed, "list", order, "rank")
-    block = F.least(F.floor(F.col("rank") / BLOCK), F.greatest(F.floor(F.col("rows") / BLOCK) - 1, F.lit(0)))
+    block = F.least(F.floor(F.col("rank") / F.col("size")), F.greatest(F.floor(F.col("rows") / F.col("size")) - 1, F.lit(0)))
     keyed = ranked.select("u", F.xxhash64("t", "label", block).alias("key")).join(nodes.select("u", "label", "x"), "u")
     return joined_runs(keyed.select("key", "u", "label", "x", F.lit(-2.0).alias("floor"), F.lit(NEIGHBOURS).alias("most")), width, least)
 
@@ -134,7 +137,7 @@ def counted(nodes: DataFrame, component: DataFrame, width: int, least: float) ->
     """Links of every row within its component: u, links. All rows of a component are compared, in blocks, so that lists that were
     too short lose nothing; only sums leave a task."""
     own = nodes.join(component.withColumnRenamed("node", "u"), "u")
-    sizes = own.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    sizes = own.groupBy("component").agg(F.ceil(F.count("*") / SIDE).alias("parts"))
     dealt = own.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("u"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     pairs = dealt.withColumn("j", other).select(
@@ -144,11 +147,15 @@ def counted(nodes: DataFrame, component: DataFrame, width: int, least: float) ->
         for table in common.runs(batches):
             x, label, n = units(table, width), table.column("label").to_numpy(), table.column("n").to_numpy()
             block, alone = table.column("block").to_numpy(), table.column("low")[0].as_py() == table.column("high")[0].as_py()
-            links = (x @ x.T >= least) & (label[:, None] == label[None, :])
-            np.fill_diagonal(links, False)
-            if not alone:
-                links &= block[:, None] != block[None, :]
-            yield pa.RecordBatch.from_arrays([table.column("u").combine_chunks(), pa.array(links @ n)], ["u", "links"])
+            total = np.zeros(len(x), np.int64)
+            for at in range(0, len(x), TILE):
+                own = np.arange(at, min(at + TILE, len(x)))
+                links = (x[own] @ x.T >= least) & (label[own, None] == label[None, :])
+                links[own - at, own] = False
+                if not alone:
+                    links &= block[own, None] != block[None, :]
+                total[own] = links @ n
+            yield pa.RecordBatch.from_arrays([table.column("u").combine_chunks(), pa.array(total)], ["u", "links"])
 
     sums = pairs.repartition("key").sortWithinPartitions("key").mapInArrow(work, "u long, links long")
     return sums.groupBy("u").agg(F.sum("links").alias("links"))
@@ -170,9 +177,9 @@ def compared(nodes: DataFrame, asked: DataFrame, sizes: DataFrame, width: int, l
             asks = table.column("asks").to_numpy()
             a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
             links = np.zeros((len(a), len(b)), bool)
-            for at in range(0, len(a), BLOCK):
-                own = a[at: at + BLOCK]
-                links[at: at + BLOCK] = (x[own] @ x[b].T >= least) & (label[own][:, None] == label[b][None, :]) & (u[own][:, None] != u[b][None, :])
+            for at in range(0, len(a), TILE):
+                own = a[at: at + TILE]
+                links[at: at + TILE] = (x[own] @ x[b].T >= least) & (label[own][:, None] == label[b][None, :]) & (u[own][:, None] != u[b][None, :])
             yield pa.RecordBatch.from_arrays([pa.array(u[a]), pa.array(label[a]), pa.array(np.ones(len(a), bool)), pa.array(links @ n[b]), pa.nulls(len(a), pa.int64())], names)
             left, right = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
             if len(left):
@@ -192,50 +199,43 @@ def compared(nodes: DataFrame, asked: DataFrame, sizes: DataFrame, width: int, l
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(work, "u long, label long, asked boolean, truth long, link long")
 
 
-def audit(nodes: DataFrame, sizes: DataFrame, width: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """True links of rows of every label of `sizes`, drawn by a hash until ENOUGH of them have one to LONGEST links, or the whole
-    label is drawn: truths (u, label, truth), the labels drawn as a whole, and the links of these (a, b)."""
-    spark = nodes.sparkSession
-    truths, whole, links = spark.createDataFrame([], "u long, label long, truth long"), spark.createDataFrame([], "label long"), spark.createDataFrame([], "a long, b long")
-    left, step = sizes, AUDITED
-    while not left.isEmpty():
-        chosen = nodes.join(left, "label").filter(common.uniform(F.col("u"), seed=4) < step / F.col("rows")).select("u", "label", "x")
-        seen = common.settled(compared(nodes, chosen, left, width, least), "audit")
-        own = seen.filter("asked").groupBy("u", "label").agg(F.sum("truth").alias("truth"))
-        few = own.groupBy("label").agg(F.count_if(F.col("truth").between(1, LONGEST)).alias("few"))
-        all_drawn = left.filter(F.col("rows") <= step).select("label")
-        more = common.settled(left.join(few, "label", "left").filter((F.coalesce("few", F.lit(0)) < ENOUGH) & (F.col("rows") > step)).select("label", "rows"), "audit")
-        truths = truths.unionByName(own.join(more, "label", "left_anti"))
-        whole = whole.unionByName(all_drawn)
-        links = links.unionByName(seen.filter("link is not null").join(all_drawn, "label", "left_semi").select(F.col("u").alias("a"), F.col("link").alias("b")))
-        left, step = more, 4 * step
-    return common.settled(truths, "audit"), common.settled(whole, "audit"), links
-
-
-def short(truth: DataFrame, sums: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Labels of `sizes` in which, among the audited rows with one to LONGEST links or among those with more, less than TARGET
-    have all of their links in `sums`: label, rows."""
-    linked = truth.filter("truth > 0").join(sums, "u", "left").select("label", (F.col("truth") <= LONGEST).alias("few"), (F.coalesce("links", F.lit(0)) >= F.col("truth")).alias("whole"))
-    missed = linked.groupBy("label", "few").agg(F.avg(F.col("whole").cast("double")).alias("recall")).filter(F.col("recall") < TARGET).select("label").distinct()
-    return common.settled(sizes.join(missed, "label", "left_semi"), "open")
-
-
-def near_vectors(table: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def audit(nodes: DataFrame, sizes: DataFrame, width: int, least: float) -> DataFrame:
+    """True links of about AUDITED rows of every label, drawn by a hash: u, label, truth. What it costs grows with the rows of a label."""
+    chosen = nodes.join(sizes, "label").filter(common.uniform(F.col("u"), seed=4) < AUDITED / F.col("rows")).select("u", "label", "x")
+    seen = compared(nodes, chosen, sizes, width, least).filter("asked")
+    return common.settled(seen.groupBy("u", "label").agg(F.sum("truth").alias("truth")), "audit")
+
+
+def recalls(truth: DataFrame, sums: DataFrame) -> DataFrame:
+    """By label: `linked` (audited rows with links), `recall` (the share that has all of them in `sums`), `recall_low` (its lower bound at 95 %),
+    and `weakest`, the recall of rows with few links or of those with many, whichever is less. A label without a linked row has no line."""
+    own = truth.filter("truth > 0").join(sums, "u", "left").select(
+        "label", (F.col("truth") <= LONGEST).alias("few"), (F.coalesce("links", F.lit(0)) >= F.col("truth")).cast("long").alias("whole"))
+    each = own.groupBy("label", "few").agg(F.count("*").alias("linked"), F.sum("whole").alias("whole"))
+    both = each.groupBy("label").agg(F.sum("linked").alias("linked"), F.sum("whole").alias("whole"), F.min(F.col("whole") / F.col("linked")).alias("weakest"))
+    z, n, p = 1.645, F.col("linked"), F.col("whole") / F.col("linked")
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return both.select("label", "linked", p.alias("recall"), low.alias("recall_low"), "weakest")
+
+
+def near_vectors(table: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", exact: bool = False) -> DataFrame:
     """Links between vectors of one label whose cosine, in double precision, is at least `least`.
 
     Returns id_col, `n_links` (other vectors linked directly), `component_id` (smallest id reachable), `kept` (id_col =
-    component_id), a row for each row of `table`.
+    component_id), and for the label of the row `audited_linked`, `recall` and `recall_low`, see `recalls` (null where no audited row of the
+    label has a link), a row for each row of `table`.
 
     Equal vectors of a label form one node. The first lists of neighbours come from orders by random planes; each round joins the
     rows around every row (its list, and the nearest of those that list it) with each other and keeps what is nearer. Lists that
     hold nothing but links are saturated and grow. Every link seen joins two nodes, also one that no list has room for. Then all
-    rows of a component are compared in blocks, which completes the lists of crowded groups exactly. An audit draws
-    rows of every label of several blocks until enough of them are linked, and compares them with the whole label. Labels in which
-    fewer than `TARGET` of the linked rows have all their links, by rows of few and of many links, get more rounds, and then are
-    compared whole; so is a label that the audit had to draw as a whole, for want of links. Smaller labels are compared whole at first.
+    rows of a component are compared in blocks, which completes the lists of crowded groups exactly. Labels of every size take
+    this way. An audit compares AUDITED rows of every label with the whole label; labels in which fewer than TARGET of the linked ones have
+    all their links, by rows of few and of many links, get twice as many tables and more rounds, up to TURNS times. What is short then
+    stays so and is told by `recall`; `exact` compares these labels whole instead, rows times rows.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without label or id link with nothing (a
-    null id has a null component and is not kept). Rows that repeat an id are one vector. Vectors of several widths are an error.
+    null id has a null component and is not kept). Rows that repeat an id are one vector. Entries of a list that are equally near go by the
+    smaller id. Vectors of several widths are an error. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     usable = vectors.usable(vector_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
     rows = table.filter(usable).select(F.col(id_col).cast("long").alias("v"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("x"))
@@ -248,41 +248,46 @@ def near_vectors(table: DataFrame, least: float = 0.93, id_col: str = "vec_id",
     count = sizes.agg(F.sum("rows")).first()[0] if width else 0
     if not count:
         alone = table.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
-        return alone.withColumn("kept", F.col(id_col).isNotNull())
-
-    found = common.settled(first_lists(nodes, sizes, width, least), "seen")
-    links = found.filter("link is not null").select(F.col("u").alias("a"), F.col("link").alias("b"))
-    truth, whole, exact = audit(nodes, sizes.filter(F.col("rows") >= 2 * BLOCK), width, least)
-    links = links.unionByName(exact)
-    left = common.settled(sizes.filter(F.col("rows") >= 2 * BLOCK).join(whole, "label", "left_anti"), "open")
-    graph = merged(found.withColumn("most", F.lit(NEIGHBOURS)), least)
-    for turn in range(AUDITS + 1):
-        if turn == AUDITS:  # what is short of the target by then is compared whole
-            those = nodes.join(left, "label", "left_semi")
-            rest = common.settled(compared(those, those, left, width, least), "rest")
-            links = links.unionByName(rest.filter("link is not null").select(F.col("u").alias("a"), F.col("link").alias("b")))
-        elif not left.isEmpty():
-            graph = common.settled(graph.join(nodes.join(left, "label", "left_semi").select("u"), "u", "left_semi"), "graph")
-            for _ in range(ROUNDS):
+        return alone.select("*", F.col(id_col).isNotNull().alias("kept"), *[F.lit(None).cast(k).alias(c) for c, k in (("audited_linked", "long"), ("recall", "double"), ("recall_low", "double"))])
+
+    truth = audit(nodes, sizes, width, least)
+    left, links, graph = sizes, None, None
+    for turn in range(TURNS):
+        own = nodes.join(left, "label", "left_semi")
+        found = common.settled(first_lists(own, left, width, least, turn), "seen")
+        lists = found.select("u", "near", F.lit(NEIGHBOURS).alias("most"))
+        if graph is not None:
+            lists = lists.unionByName(graph.join(own.select("u"), "u", "left_semi").select("u", "near", "most"))
+        graph = common.settled(merged(lists, least), "graph")
+        for step in range(ROUNDS + 1):
+            seen = found.filter("link is not null").select(F.col("u").alias("a"), F.col("link").alias("b"))
+            links = seen if links is None else links.unionByName(seen)
+            if step < ROUNDS:
                 found = common.settled(refined(graph, nodes, width, least), "seen")
-                links = links.unionByName(found.filter("link is not null").select(F.col("u").alias("a"), F.col("link").alias("b")))
                 both = found.join(graph.select("u", "most"), "u").select("u", "near", "most").unionByName(graph.select("u", "near", "most"))
                 graph = common.settled(merged(both, least), "graph")
         component = common.components(links.distinct())
         links = component.select(F.col("node").alias("a"), F.col("component").alias("b"))
         sums = common.settled(counted(nodes, component, width, least), "counts")
-        left = short(truth, sums, left)
+        measured = common.settled(recalls(truth, sums), "recall")
+        left = common.settled(sizes.join(measured.filter(F.col("weakest") < TARGET), "label", "left_semi"), "open")
         if left.isEmpty():
             break
-    else:
-        raise RuntimeError("links are missing although all rows of their labels were compared")
-
-    grouped = nodes.select("u", "label", "own", "n").join(component, nodes.u == component.node, "left").join(sums, "u", "left")
-    grouped = grouped.select("label", "own", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "u").alias("component_id"))
-    named = rows.select("v", "label", "own").join(grouped, ["label", "own"]).select("v", "n_links", "component_id")
-    result = table.select(F.col(id_col)).join(named, F.col(id_col).cast("long") == F.col("v"), "left")
-    result = result.select(id_col, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce(F.col("component_id"), F.col(id_col).cast("long")).alias("component_id"))
-    return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    if exact and not left.isEmpty():
+        those = nodes.join(left, "label", "left_semi")
+        rest = common.settled(compared(those, those, left, width, least), "rest")
+        component = common.components(links.unionByName(rest.filter("link is not null").select(F.col("u").alias("a"), F.col("link").alias("b"))))
+        sums = common.settled(counted(nodes, component, width, least), "counts")
+        measured = recalls(truth, sums)
+
+    grouped = nodes.select("u", "label", "own", "n").join(component, nodes.u == component.node, "left").join(sums, "u", "left").join(measured, "label", "left")
+    shown = [F.col("linked").alias("audited_linked"), "recall", "recall_low"]
+    grouped = grouped.select("label", "own", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "u").alias("component_id"), *shown)
+    named = rows.select("v", "label", "own").join(grouped, ["label", "own"]).drop("label", "own")
+    result = table.select(F.col(id_col).alias("_id")).join(named, F.col("_id").cast("long") == F.col("v"), "left")
+    component_id = F.coalesce(F.col("component_id"), F.col("_id").cast("long"))
+    return result.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component_id.alias("component_id"),
+                         F.coalesce(F.col("_id") == component_id, F.lit(False)).alias("kept"), "audited_linked", "recall", "recall_low")
 
 
 def op2_nn_descent(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from scourframe.llm import common
 
 #: Minima of a signature, rows of a band, low bits kept of each minimum.
 MINIMA, ROWS, BITS = 128, 4, 4
-#: Rows of a block; blocks are compared with each other in one task.
-BLOCK = 256
+#: Rows of a block by their bits, and by their texts; blocks are compared with each other in one task.
+BLOCK, TEXTS = 1024, 256
 LOW = int("1" * 16, 16)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -176,12 +176,12 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     return result
 
 
-def blocked(members: DataFrame, group: str) -> DataFrame:
+def blocked(members: DataFrame, group: str, size: int) -> DataFrame:
     """Rows (group, rep, component, ...) dealt to pairs of blocks of their group, column `key`: every two rows of a group that belong
     to different components meet in one pair of blocks, at least. A component that fills blocks of its own does not meet itself."""
     sizes = members.groupBy(group, "component").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > BLOCK).select(group, "component", F.ceil(F.col("n") / BLOCK).alias("own"))
-    rest = sizes.filter(F.col("n") <= BLOCK).groupBy(group).agg(F.ceil(F.sum("n") / BLOCK).alias("mixed"))
+    large = sizes.filter(F.col("n") > size).select(group, "component", F.ceil(F.col("n") / size).alias("own"))
+    rest = sizes.filter(F.col("n") <= size).groupBy(group).agg(F.ceil(F.sum("n") / size).alias("mixed"))
     placed = members.join(large, [group, "component"], "left").join(rest, group, "left")
     alone = F.col("own").isNotNull()
     placed = placed.select(
@@ -260,12 +260,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         n, both = np.array([len(x) for x in sets]), shared(sets)
         return 100 * both >= percent * (n[:, None] + n[None, :] - both)
 
-    near = common.settled(spanning(blocked(placed, "code"), ["rep", "component", "bits"], close), "close")
+    near = common.settled(spanning(blocked(placed, "code", BLOCK), ["rep", "component", "bits"], close), "close")
     if not near.isEmpty():
         family = common.components(near)
         rows = placed.select("rep", "component").distinct().join(family.toDF("rep", "family"), "rep")
         rows = common.settled(rows, "families")
-        found = common.settled(spanning(blocked(rows, "family").join(texts, "rep"), ["rep", "component", "text"], equal), "confirmed")
+        found = common.settled(spanning(blocked(rows, "family", TEXTS).join(texts, "rep"), ["rep", "component", "text"], equal), "confirmed")
         if not found.isEmpty():
             component = common.components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 

@@ -193,26 +193,50 @@ def test_first_lists_of_a_narrow_cone(spark):
     assert len({r.u for r in lists if r.u + 10_000 in r.w}) >= 194
 
 
-@pytest.mark.parametrize("enough", [50, 200])
-def test_audit_is_not_outweighed_by_a_crowd(spark, monkeypatch, enough):
-    """A crowd of near-equal vectors beside pairs that neither tables nor rounds find: the audit must see that, and have them found."""
+def test_audit_is_not_outweighed_by_a_crowd(spark, monkeypatch):
+    """A crowd of near-equal vectors beside pairs that neither tables nor rounds find: the audit must see that; comparison of all finds them."""
     draw = np.random.default_rng(13)
     crowd = draw.normal(size=16) + 0.02 * draw.normal(size=(1200, 16))
     base = draw.normal(size=(300, 16))
     base /= np.linalg.norm(base, axis=1)[:, None]
     parts = [(0, base), (1000, turned(draw, base, 0.9305)), (10_000, crowd)]
     rows = [(first + i, [float(v) for v in x], 1, "c", 1, 1) for first, part in parts for i, x in enumerate(part)]
+    table = spark.createDataFrame(rows, VECTORS.replace("float", "double"))
     plain = descent.joined_runs
 
     def crowds_only(df, *rest):
         return plain(df.filter("u >= 10000"), *rest)
 
     monkeypatch.setattr(descent, "joined_runs", crowds_only)
-    monkeypatch.setattr(descent, "AUDITS", 1)
-    monkeypatch.setattr(descent, "ENOUGH", enough, raising=False)  # 200: the label is drawn as a whole; 50: it is found short, and compared
-    got = {r.vec_id: r.n_links for r in descent.near_vectors(spark.createDataFrame(rows, VECTORS.replace("float", "double"))).collect()}
-    assert all(got[i] >= 1 and got[1000 + i] >= 1 for i in range(300))
-    assert all(got[10_000 + i] >= 1199 for i in range(1200))
+    monkeypatch.setattr(descent, "TURNS", 1)
+    got = {r.vec_id: r for r in descent.near_vectors(table).collect()}
+    assert all(got[10_000 + i].n_links >= 1199 for i in range(1200)) and 0.5 < got[0].recall < 0.8 and got[0].recall_low < got[0].recall
+    got = {r.vec_id: r for r in descent.near_vectors(table, exact=True).collect()}
+    assert all(got[i].n_links >= 1 and got[1000 + i].n_links >= 1 for i in range(300)) and got[0].recall == 1
+
+
+@pytest.mark.parametrize("n, pairs", [(50, 3), (50, 20), (3000, 100), (3000, 1200), (60_000, 300)])
+def test_links_are_found_by_rounds_in_labels_of_any_size(spark, monkeypatch, n, pairs):
+    """Planted pairs just above the bound, few and many: rounds run, no label is compared whole, and the links are those of brute force."""
+    draw = np.random.default_rng(n + pairs)
+    x = draw.normal(size=(n - pairs, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = np.concatenate([x, turned(draw, x[:pairs], 0.935)])
+    want = np.zeros(n, int)
+    for at in range(0, n, 2000):
+        link = x[at: at + 2000] @ x.T >= 0.93
+        want[at: at + 2000] = link.sum(axis=1) - 1
+    assert (want > 0).sum() >= 2 * pairs
+    rounds, whole = [], []
+    plain, compare = descent.refined, descent.compared
+    monkeypatch.setattr(descent, "refined", lambda *args: rounds.append(1) or plain(*args))
+    monkeypatch.setattr(descent, "compared", lambda nodes, asked, *rest: whole.append(asked.count()) or compare(nodes, asked, *rest))
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in descent.near_vectors(table).collect()}
+    linked = np.flatnonzero(want)
+    assert len(rounds) >= descent.ROUNDS and len(whole) == 1 and whole[0] <= 1.2 * descent.AUDITED
+    assert np.mean([got[i].n_links == want[i] for i in linked.tolist()]) >= 0.99 and all(got[i].n_links <= want[i] for i in range(n))
+    assert got[0].recall is None or got[0].recall >= 0.99
 
 
 def test_every_query_gets_all_candidates_if_there_are_few(spark):
