@@ -39,13 +39,12 @@ def write_cells(
     row_id: str = "row_id",
     step: str | None = None,
     columns: Sequence[str] | None = None,
-    bounded: bool = False,
 ) -> DataFrame:
     """Overwrite cells named by (row_id, column, value); a NULL value writes NULL.
 
     The patches are folded to one row per table row first, so the table meets them in a single equi-join. With `step` the
     latest patch of a cell counts; without it a cell that is patched twice is an error. `columns` names the columns that can
-    be patched; `bounded` says that the patches are few (an action log), so that the table need not be shuffled for them.
+    be patched.
     """
     patched = list(columns) if columns is not None else P.data_columns(df, row_id)
     cells = last_write_wins(patches, row_id, step) if step else patches
@@ -55,7 +54,7 @@ def write_cells(
         c: F.when(F.coalesce(F.map_contains_key("_p", F.lit(c)), F.lit(False)), F.col("_p")[c].try_cast(types[c])).otherwise(F.col(c))
         for c in patched
     }
-    out = df.join(F.broadcast(wide) if bounded else wide, row_id, "left")
+    out = df.join(wide, row_id, "left")
     return out.select(row_id, *[new.get(c, F.col(c)).alias(c) for c in P.data_columns(df, row_id)])
 
 
@@ -77,6 +76,7 @@ def cast_like_column(value: Column, majority_numeric: Column, all_whole: Column)
 
 
 def cast_error(value: Column, column: Column) -> Column:
+    # The wording of the error.
     return F.concat(
         F.lit("Cannot cast '"), value, F.lit("' to numeric for column '"), column,
         F.lit("'. Provide a plain number (e.g. '29.99')."),
@@ -84,14 +84,14 @@ def cast_error(value: Column, column: Column) -> Column:
 
 
 def check_patches(
-    df: DataFrame, patches: DataFrame, row_id: str = "row_id", columns: Sequence[str] | None = None, bounded: bool = False
+    df: DataFrame, patches: DataFrame, row_id: str = "row_id", columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Adds cast_value, success and error to patches (row_id, column, value, step). `columns` names the columns that
     the patches can hit, so that no other one is read for its majority type."""
     available = P.data_columns(df, row_id)
     stats = F.broadcast(cast_statistics(df, [c for c in available if columns is None or c in columns]))  # a row per column
     ids = patches.select(row_id)
-    known = df.select(row_id).join(F.broadcast(ids) if bounded else ids, row_id, "left_semi").withColumn("_known", F.lit(True))
+    known = df.select(row_id).join(ids, row_id, "left_semi").withColumn("_known", F.lit(True))
     checked = (
         patches.join(stats, "column", "left")
         .join(known, row_id, "left")
@@ -256,6 +256,7 @@ def fill_center(df: DataFrame, column: str, strategy: str) -> float | str | None
 
 
 def _fill_error(column: str, strategy: str) -> ActionResult:
+    # The wording of the errors.
     if strategy == "mode":
         return ActionResult(False, f"No mode found for column {column!r} (all values missing?).")
     return ActionResult(False, f"Cannot compute {strategy} for non-numeric column {column!r}.")

@@ -124,7 +124,7 @@ def done_gate(log: DataFrame, broken: DataFrame | None = None, shown: int = SHOW
     else:
         every = F.array().cast("array<string>")
     names = F.array_join(F.transform(F.slice(every, 1, shown), lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
-    message = F.concat(
+    message = F.concat(  # fixed value: the wording
         F.lit("DONE rejected: score "), F.format_string("%.4f", "prev_score"), F.lit(" < required "),
         F.format_string("%.2f", "threshold"), F.lit(". Still broken: ["), names, F.lit("]"),
     )
