@@ -161,7 +161,7 @@ def resolve_positions(log: DataFrame, n_rows: Column, budget: int | Column | Non
     """
     positional = F.coalesce(F.col("command").isin("SET_VALUE", "DROP_ROW") & (F.col("row_index") >= 0), F.lit(False))
     executed = F.lit(True) if budget is None else F.coalesce(F.col("step") <= budget, F.lit(False))
-    rows = log.withColumns({"_n": n_rows.cast("bigint"), "executed": executed, "_asks": positional & executed})
+    rows = cut_lineage(log.withColumns({"_n": n_rows.cast("bigint"), "executed": executed, "_asks": positional & executed}))  # read several times
     inside = F.col("_asks") & F.coalesce(F.col("row_index") < F.col("_n"), F.lit(False))
     ops = rows.filter(inside).withColumn("_drop", F.col("command") == "DROP_ROW")
     placed = O.positions_before_drops(ops, ["episode_id"], "step", "row_index", "_drop", "position").drop("_drop")

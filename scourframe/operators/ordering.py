@@ -231,7 +231,7 @@ def positions_before_drops(
     the later half move to the begin of the run by the drops of the earlier half. A place that does not exist stays at or behind
     the end of the table, so a drop that fails shifts nothing that exists.
 
-    Range partitions of the steps are the leaves; a leaf is resolved by one task, in which the same tree is built over arrays. A group
+    Range partitions of the steps are the leaves; a leaf is resolved by one task, in which the same tree is built over arrays, for all of its groups at once. A group
     inside one partition is finished then. Groups that reach over several are composed partition by partition: ranks and counts are
     running sums over range partitions, so that no step gathers a group.
     """
@@ -239,33 +239,40 @@ def positions_before_drops(
     parts = max(1, -(-ops.count() // rows))
     leaves = ranged(ops, group, [order], parts)
     names = leaves.columns
-    at, place, dropping = names.index(order), names.index(position), names.index(drop)
+    at, place, dropping, groups = names.index(order), names.index(position), names.index(drop), [names.index(c) for c in group]
 
     def resolve(table):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        table = table.take(pc.sort_indices(table.column(at)))
+        code = np.zeros(table.num_rows, np.int64)
+        for c in groups:
+            coded = pc.dictionary_encode(table.column(c).combine_chunks(), null_encoding="encode")
+            code = code * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
+        code = np.unique(code, return_inverse=True)[1]
+        sort = pc.sort_indices(pa.table({"code": code, "at": table.column(at)}), sort_keys=[("code", "ascending"), ("at", "ascending")])
+        table, code = table.take(sort), code[sort.to_numpy()]
         q = table.column(place).to_numpy().astype(np.int64)
         gone = table.column(dropping).to_numpy(zero_copy_only=False).astype(bool)
-        index, size = np.arange(len(q)), 1
-        while size < len(q):
-            run, later = index // (2 * size), index // size % 2 == 1
+        index, size = np.arange(len(q)) - np.searchsorted(code, code), 1  # of a step in its group
+        longest = index.max() + 1
+        while size < longest:
+            run, later = code * longest + index // (2 * size), index // size % 2 == 1
             left = np.flatnonzero(~later & gone)
             left = left[np.lexsort((q[left], run[left]))]
             first = np.searchsorted(run[left], run[left])  # of its run
             shift = q[left] - (np.arange(len(left)) - first)
             right = np.flatnonzero(later)
             values, both = np.unique(np.concatenate([shift, q[right]]), return_inverse=True)
-            keys = run[left] * len(values) + both[: len(left)]
-            asked = run[right] * len(values) + both[len(left):]
+            of = np.unique(run, return_inverse=True)[1]
+            keys, asked = of[left] * len(values) + both[: len(left)], of[right] * len(values) + both[len(left):]
             q[right] += np.searchsorted(keys, asked, side="right") - np.searchsorted(run[left], run[right])
             size *= 2
         return table.append_column(name, pa.array(q, pa.int64()))
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in leaves.dtypes) + f", `{name}` bigint"
-    done = leaves.groupBy(PART, *group).applyInArrow(resolve, kinds)
+    done = leaves.groupBy(PART).applyInArrow(resolve, kinds)
     if parts == 1:
         return done.drop(PART)
     span = leaves.groupBy(*group).agg(F.min(PART).alias("_low"), F.max(PART).alias("_high")).filter("_low < _high")
