@@ -154,7 +154,11 @@ def cell_match(
         work = O.with_position(work, row_id, "_pos").withColumn(row_id, F.col("_pos")).drop("_pos")
         clean = O.with_position(clean, row_id, "_pos").withColumn(row_id, F.col("_pos")).drop("_pos")
     aligned = align_rows(raw_cells(work, columns, row_id), raw_cells(clean, columns, row_id), row_id)
-    counts = cell_counts(aligned, columns, null_equal, numeric, dates)
+    return match_result(cell_counts(aligned, columns, null_equal, numeric, dates))
+
+
+def match_result(counts: DataFrame) -> DataFrame:
+    """The grade from one row: matches, total_cells."""
     matched, total = F.col("matches"), F.col("total_cells")
     wrong, score = total - matched, matched / F.nullif(total, F.lit(0))
     detail = F.concat(

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from scourframe.functions.hashing import FOLD, MULTIPLIER, SALT_STEP, SPACE
 from scourframe.operators import generate as G
+from scourframe.operators import grade as Q
 from scourframe.operators import inject as I
 from suite import tables as T
 
@@ -408,6 +409,15 @@ oracle("csv_roundtrip", DIRTY, "SELECT * FROM dirty")
 oracle("read_raw", "", """SELECT c_custkey AS row_id, c_name, c_nationkey::VARCHAR AS c_nationkey, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer""")
 oracle("snapshot_versions", DIRTY, """SELECT count(*) AS "rows", count(price) AS prices, 0 AS step FROM dirty
   UNION ALL SELECT count(price), count(price), 1 FROM dirty""")
+_KEPT = "FROM dirty WHERE price IS NOT NULL"
+_CELLS = f"orderstatus, {num('price')} AS price, order_date"
+oracle("versions_read", DIRTY, f"""SELECT 0 AS version, row_id, custkey, {_CELLS}, NULL::INTEGER AS flag FROM dirty
+  UNION ALL SELECT 1, row_id, custkey, {_CELLS}, NULL {_KEPT} UNION ALL SELECT 2, row_id, coalesce(custkey, '0'), {_CELLS}, NULL {_KEPT}
+  UNION ALL SELECT 3, row_id, coalesce(custkey, '0'), {_CELLS}, (row_id % 2 = 0)::INTEGER {_KEPT}""")
+oracle("versions_stored", DIRTY, f"""SELECT 0 AS version, true AS complete, count(*) AS "rows", count(*) * 6 AS cells FROM dirty
+  UNION ALL SELECT 1, false, count(*), count(*) FROM dirty WHERE price IS NULL
+  UNION ALL SELECT 2, false, count(*), count(*) * 2 {_KEPT} AND custkey IS NULL
+  UNION ALL SELECT 3, false, count(*), count(*) * 3 {_KEPT}""")
 oracle("preview", DIRTY, "SELECT * FROM dirty ORDER BY row_id LIMIT 20")
 oracle("positions", DIRTY, "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS position FROM dirty WHERE price IS NOT NULL")
 oracle("rows_at_positions", DIRTY + """, kept AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS position FROM dirty WHERE price IS NOT NULL),
@@ -536,6 +546,19 @@ _PLACED = "(SELECT *, row_number() OVER (ORDER BY row_id) AS place FROM {t})"
 oracle("grade_cells_positional", DIRTY, _match(
     f"SELECT {_SIDES}, w.place IS NOT NULL AS here FROM {_PLACED.format(t='raw')} c LEFT JOIN {_PLACED.format(t='dirty WHERE price IS NOT NULL')} w USING (place)", _TOTAL))
 
+_LATE = "((row_id >> 8) % 20 = 3)"
+MENDED = DIRTY + f", mended AS (SELECT * FROM dirty WHERE {_LATE} AND row_id % 11 <> 0 UNION ALL SELECT * FROM raw WHERE NOT {_LATE})"
+oracle("grade_cells_ranges", MENDED, _match(f"SELECT {_SIDES}, w.row_id IS NOT NULL AS here FROM raw c LEFT JOIN mended w USING (row_id)", _TOTAL))
+oracle("count_dirty_cells_ranges", MENDED, "SELECT " + " + ".join(
+    f"count(*) FILTER (d.{c} IS DISTINCT FROM r.{c})" for c in RAW_COLUMNS) + " AS dirty_cells FROM mended d JOIN raw r USING (row_id)")
+_CHANGED = ", ".join(f"CASE WHEN m.row_id IS NOT NULL AND m.{c} IS DISTINCT FROM r.{c} THEN '{c}' END" for c in RAW_COLUMNS)
+oracle("changed_cells", MENDED, f"""SELECT * FROM (SELECT row_id, concat_ws(',', {_CHANGED}) AS changed, m.row_id IS NULL AS gone
+  FROM raw r LEFT JOIN mended m USING (row_id)) WHERE gone OR changed <> ''""")
+_EMPTY = f"0.0::DOUBLE AS score, 0::BIGINT AS issues_remaining, {q(Q.EMPTY_DETAIL)} AS detail"
+oracle("grade_dispatch", DIRTY, f"""SELECT 'easy' AS "case", score, issues_remaining, detail FROM ({_match(
+    f"SELECT {_SIDES}, w.place IS NOT NULL AS here FROM {_PLACED.format(t='raw')} c LEFT JOIN {_PLACED.format(t='dirty WHERE price IS NOT NULL')} w USING (place)",
+    _TOTAL)}) UNION ALL SELECT 'easy, empty', {_EMPTY} UNION ALL SELECT 'medium, empty', {_EMPTY}""")
+
 _F1 = "(2 * p * r / (p + r + 1e-9::DOUBLE))"
 
 

@@ -13,6 +13,7 @@ from scourframe.functions import names as N
 from scourframe.functions import scalars as X
 from scourframe.operators import actions as A
 from scourframe.operators import clean as C
+from scourframe.operators import compare
 from scourframe.operators import episodes as E
 from scourframe.operators import generate as G
 from scourframe.operators import grade as Q
@@ -22,6 +23,7 @@ from scourframe.operators import ordering as O
 from scourframe.operators import profile as P
 from scourframe.operators import rules as V
 from scourframe.sources import readwrite as S
+from scourframe.sources.versions import VersionedTable
 from scourframe.plans import datasets as D
 from scourframe.session import shared_dir
 from scourframe.plans.cleaning_plan import CleaningPlan
@@ -262,6 +264,43 @@ def snapshot_versions(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def _versions(spark, sf) -> VersionedTable:
+    """Orders in four versions: corrupted, without rows that lack a price, a key filled in, a price as number and a new column."""
+    table = VersionedTable(spark, _fresh_folder(spark))
+    dirty, _ = T.orders_dirty(spark, sf)
+    steps = [
+        lambda t: C.drop_missing(t, "price"),
+        lambda t: t.withColumn("custkey", F.coalesce("custkey", F.lit("0"))),
+        lambda t: t.withColumn("price", X.to_numeric(F.col("price"))).withColumn("flag", F.col("row_id") % 2 == 0),
+    ]
+    table.commit(dirty)
+    for step in steps:
+        table.commit(step(table.read()))
+    return table
+
+
+@query
+def versions_read(spark, sf):
+    """Every version, folded from the copy and the deltas before it."""
+    table = _versions(spark, sf)
+    parts = []
+    for v in table.history():
+        t = table.read(v.version)
+        flag = F.col("flag").cast("int") if "flag" in t.columns else F.lit(None).cast("int")
+        price = X.to_numeric(F.col("price")) if dict(t.dtypes)["price"] == "string" else F.col("price")
+        parts.append(t.select(F.lit(v.version).alias("version"), "row_id", "custkey", "orderstatus", price.alias("price"), "order_date", flag.alias("flag")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query
+def versions_stored(spark, sf):
+    """How many rows and cells each version stores."""
+    return _versions(spark, sf).manifest().select("version", "complete", "rows", "cells")
+
+
 @query
 def preview(spark, sf):
     return S.preview(T.orders_dirty(spark, sf)[0])
@@ -563,6 +602,49 @@ def grade_cells_positional(spark, sf):
     return _flat(Q.cell_match(C.drop_missing(dirty, "price"), T.orders_raw(spark, sf), align="position", **_ORDER_CELLS))
 
 
+def _mended(spark, sf):
+    """Orders that are still wrong in one of twenty stretches of keys, and lack some rows there."""
+    truth = T.orders_raw(spark, sf)
+    dirty, _ = T.orders_dirty(spark, sf)
+    late = F.shiftright("row_id", 8) % 20 == 3
+    return dirty.filter(late & (F.col("row_id") % 11 != 0)).unionByName(truth.filter(~late)), truth
+
+
+@query
+def grade_cells_ranges(spark, sf):
+    return _flat(compare.cell_match(*_mended(spark, sf), **_ORDER_CELLS))
+
+
+@query
+def count_dirty_cells_ranges(spark, sf):
+    return compare.count_dirty_cells(*_mended(spark, sf))
+
+
+@query
+def changed_cells(spark, sf):
+    out = compare.changed_cells(T.orders_raw(spark, sf), _mended(spark, sf)[0])
+    return out.select("row_id", F.array_join("_set", ",").alias("changed"), F.col("_gone").alias("gone"))
+
+
+@query
+def grade_dispatch(spark, sf):
+    """Grades by the kind of the task, on given tables; a table without rows scores nothing."""
+    dirty, _ = T.orders_dirty(spark, sf)
+    truth = T.orders_raw(spark, sf)
+    work = C.drop_missing(dirty, "price")
+    task = D.TaskDataset("easy", dirty, truth, "", {}, [])
+    accounts, clean, outliers, extremes, typos = _account_truth(spark, sf)
+    medium = D.TaskDataset("medium", accounts, clean, "", {"outlier_rows": outliers, "valid_extreme_rows": extremes, "typo_cells": typos}, [])
+    parts = [
+        D.grade(kind, table, data).select(F.lit(case).alias("case"), "score", "issues_remaining", "detail")
+        for case, kind, table, data in (
+            ("easy", "easy", work, task), ("easy, empty", "easy", work.filter(F.col("row_id") < 0), task),
+            ("medium, empty", "medium", accounts.filter(F.col("row_id") < 0), medium),
+        )
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _account_truth(spark, sf):
     dirty, truth = T.accounts_dirty(spark, sf)
     clean = T.accounts(spark, sf)
