@@ -442,6 +442,9 @@ oracle("standardize_all", DIRTY, f"""SELECT row_id, {num('custkey')} AS custkey,
 oracle("fill_mean", DIRTY, f"SELECT row_id, coalesce({num('price')}, (SELECT {round2('avg(' + num('price') + ')')} FROM dirty)) AS price FROM dirty")
 oracle("fill_median", DIRTY, f"SELECT row_id, coalesce({num('price')}, (SELECT {round2('quantile_cont(' + num('price') + ', 0.5)')} FROM dirty)) AS price FROM dirty")
 oracle("fill_mode", DIRTY, """SELECT row_id, coalesce(custkey, (SELECT custkey FROM dirty WHERE custkey IS NOT NULL GROUP BY custkey ORDER BY count(*) DESC, custkey LIMIT 1)) AS custkey FROM dirty""")
+oracle("fill_mode_hot", f"""lines AS (SELECT l_orderkey, l_linenumber, CASE WHEN {h_selected(_LK, 97, 0.05)} THEN 'unknown'
+  WHEN NOT {h_selected(_LK, 98, 0.05)} THEN {_LK}::VARCHAR END AS label FROM lineitem)""", """SELECT l_orderkey, l_linenumber,
+  coalesce(label, (SELECT label FROM lines WHERE label IS NOT NULL GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)) AS label FROM lines""")
 oracle("fill_drop", DIRTY, "SELECT row_id, orderstatus FROM dirty WHERE orderstatus IS NOT NULL")
 
 _PCOL = h_choice(_K, 100, ("price", "price", "custkey", "priority", "absent"))

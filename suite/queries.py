@@ -386,6 +386,15 @@ def fill_mode(spark, sf):
     return C.fill_missing(dirty, "custkey", "mode")[0].select("row_id", "custkey")
 
 
+@query
+def fill_mode_hot(spark, sf):
+    """A column with nearly as many values as rows, of which one is frequent."""
+    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(
+        H.selected(k, 97, 0.05), F.lit("unknown")).when(~H.selected(k, 98, 0.05), k.cast("string")).alias("label"))
+    return C.fill_missing(lines, "label", "mode")[0]
+
+
 @query
 def fill_drop(spark, sf):
     dirty, _ = T.orders_dirty(spark, sf)

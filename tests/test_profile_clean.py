@@ -1,5 +1,7 @@
 import random
 import statistics
+from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +181,31 @@ def test_outliers(spark):
     assert flat.filter("is_outlier").isEmpty()
     with pytest.raises(ValueError):
         C.handle_outliers(df, "amount", 0, 1, "squash")
+
+
+@pytest.mark.parametrize("kind, draw", [
+    ("string", lambda r: r.choice(["a", "b", "c", None])),
+    ("string", lambda r: "hot" if r.random() < 0.02 else str(r.random())),
+    ("string", lambda r: str(r.randrange(4000))),
+    ("double", lambda r: r.choice([0.0, -0.0, float("nan"), 1.5]) if r.random() < 0.1 else r.random()),
+    ("bigint", lambda r: None),
+    ("decimal(6,2)", lambda r: Decimal(r.randrange(3))),
+])
+def test_mode_as_counted(spark, kind, draw):
+    rng = random.Random(3)
+    cells = [draw(rng) for _ in range(20000)]
+    counts = Counter(c for c in cells if c is not None and c == c)
+    want = min(counts, key=lambda c: (-counts[c], c)) if counts else None
+    df = spark.createDataFrame([(c,) for c in cells], f"x {kind}").repartition(6)
+    assert C.exact_mode(df, "x") == want
+
+
+def test_mode_tie_takes_the_smallest(spark):
+    df = spark.createDataFrame([(v,) for v in ["b", "a", "b", "a", "z"]], "x string")
+    assert C.exact_mode(df, "x") == "a" and C.exact_mode(df.filter("x = 'q'"), "x") is None
+
+
+def test_frequent_mode_counts_no_other_value(spark, monkeypatch):
+    monkeypatch.setattr(C, "most_frequent", None)  # the count of all values is not asked for
+    df = spark.range(100000).select(F.when(F.col("id") % 50 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("x"))
+    assert C.exact_mode(df, "x") == "hot"
