@@ -163,22 +163,34 @@ def episode_totals(log: DataFrame) -> DataFrame:
     )
 
 
-def episode_summary(log: DataFrame, limit: str | None = None) -> DataFrame:
-    """Per episode: success, steps, score, total_reward, rewards, over all steps up to the terminal one.
+def episode_rewards(log: DataFrame, limit: str | None = None) -> DataFrame:
+    """The steps that count, with their reward, as rows: episode_id, task_id, step, score, threshold, reward, done.
 
-    `limit` names a limit that the caller's runner stops at (`runner_steps` or `max_steps`); later steps are then left out.
+    They end at the terminal step of an episode and, if `limit` names one (`runner_steps` or `max_steps`), where the caller's runner stops.
     """
     rows = cut_at_terminal(log)
     rows = rows.filter(F.col("step") <= F.col(limit)) if limit else rows
-    steps = F.array_sort(F.collect_list(F.when(F.col("reward").isNotNull(), F.struct("step", "reward"))))
+    return rows.select("episode_id", "task_id", "step", "score", "threshold", "reward", "done")
+
+
+def episode_summary(log: DataFrame, limit: str | None = None, rewards: bool = False) -> DataFrame:
+    """Per episode: success, steps, score, total_reward, over the rows of `episode_rewards`; folded before the shuffle.
+
+    `rewards` adds them as one array, which one task holds for an episode.
+    """
+    listed = []
+    if rewards:
+        steps = F.array_sort(F.collect_list(F.when(F.col("reward").isNotNull(), F.struct("step", "reward"))))
+        listed = [F.transform(steps, lambda s: s["reward"]).alias("rewards")]
     return (
-        rows.groupBy("episode_id", "task_id")
+        episode_rewards(log, limit)
+        .groupBy("episode_id", "task_id")
         .agg(
             (F.max_by("score", "step") >= F.max("threshold")).alias("success"),
             F.max("step").cast("bigint").alias("steps"),
             F.max_by("score", "step").alias("score"),
             X.round4(F.coalesce(F.sum("reward"), F.lit(0.0))).alias("total_reward"),
-            F.transform(steps, lambda s: s["reward"]).alias("rewards"),
+            *listed,
         )
     )
 

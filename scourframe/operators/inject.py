@@ -134,7 +134,7 @@ def inject_copies(
 ) -> tuple[DataFrame, DataFrame]:
     """(table with copies appended, pairs). A share of the copies gets its amount changed by up to `pct`; `amount`
     lists the columns of which the first non-missing one is the amount. Copies get ids above the highest row id."""
-    stride = F.lit((df.agg(F.max(row_id)).first()[0] or 0) + 1)
+    stride = F.coalesce(df.agg(F.max(row_id)).scalar(), F.lit(0)) + 1
     picked = df.filter(H.selected(F.col(row_id), seed, rate))
     copies = _copies(picked, stride + F.col(row_id), seed, amount, row_id, near_share, pct)
     pairs = copies.select(F.col("_orig").alias("original_id"), F.col(row_id).alias("duplicate_id"), "near")
@@ -219,12 +219,17 @@ def inject_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """(dirty, truth): the listed numbers of errors in a raw table, no cell hit twice.
 
-    All cells are picked from the same table and written in one join. The picks depend on each other, so each one
-    (k rows) is checkpointed before the next.
+    All cells are picked from the same table and written in one join. Each kind takes the lowest hashes of its own among cells that
+    no kind before it took; these lie among as many lowest as all kinds so far need, so that two scans find the candidates of all
+    kinds, and the picks, which depend on each other, are taken from the candidates and checkpointed one by one.
     """
-    parts, taken = [], exclude.select(row_id, "column") if exclude is not None else None
+    parts, taken = [], None
+    candidates = cut_lineage(_candidates(df, errors, seed, row_id, exclude))
     for n, e in enumerate(errors):
-        cells = pick_cells(df, e.columns, e.k, seed + n, row_id, taken, filled=e.kind in (WHITESPACE, TYPO))
+        own = candidates.filter(F.col("n") == n).drop("n")
+        if taken is not None:
+            own = own.join(taken, [row_id, "column"], "left_anti")
+        cells = O.lowest(own, F.col("pick"), [row_id, "column"], e.k)
         part = cut_lineage(_truth_of(cells, e.kind, seed + n, row_id))
         parts.append(part)
         hit = part.select(row_id, "column")
@@ -233,6 +238,36 @@ def inject_counts(
     return _written(df, truth, row_id), truth
 
 
+def _candidates(df: DataFrame, errors: Sequence[CountError], seed: int, row_id: str, exclude: DataFrame | None) -> DataFrame:
+    """(n, row_id, column, pick, clean_value): for each kind at least as many cells of lowest hash as all kinds up to it need.
+
+    One histogram of the upper bits of the hash, for all kinds at once, tells up to which bucket each of them goes.
+    """
+    names = list(dict.fromkeys(c for e in errors for c in e.columns))
+    each = [F.struct(F.lit(c).alias("column"), X.as_text(F.col(c)).alias("clean_value")) for c in names]
+    cells = df.select(row_id, F.explode(F.array(*each)).alias("c")).select(row_id, "c.*")
+    if exclude is not None:
+        cells = cells.join(exclude.select(row_id, "column"), [row_id, "column"], "left_anti")
+    kinds = []
+    for n, e in enumerate(errors):
+        at = X.lookup({c: i for i, c in enumerate(e.columns)}, F.col("column"))
+        fits = at.isNotNull() & (F.col("clean_value").isNotNull() if e.kind in (WHITESPACE, TYPO) else F.lit(True))
+        pick = H.keyed_hash(F.col(row_id) * len(e.columns) + at, seed + n)
+        kinds.append(F.when(fits, F.struct(F.lit(n).alias("n"), pick.alias("pick"))))
+    picks = cells.select(row_id, "column", "clean_value", F.explode(F.array_compact(F.array(*kinds))).alias("p"))
+    picks = picks.select("p.n", row_id, "column", "p.pick", "clean_value")
+    bucket = F.shiftright("pick", 20)
+    sizes = sorted(tuple(r) for r in picks.groupBy("n", bucket.alias("b")).agg(F.count(F.lit(1)).alias("size")).collect())  # 4,096 a kind
+    last, seen = {}, dict.fromkeys(range(len(errors)), 0)
+    for n, b, size in sizes:
+        if seen[n] < sum(e.k for e in errors[: n + 1]):
+            last[n] = b
+        seen[n] += size
+    if not last:
+        return picks
+    return picks.filter(bucket <= X.lookup(last, F.col("n")))
+
+
 def inject_words(df: DataFrame, columns: Sequence[str], k: int, seed: int, row_id: str = "row_id", exclude: DataFrame | None = None):
     return inject_counts(df, [CountError(WORD, tuple(columns), k)], seed, row_id, exclude)
 
@@ -279,7 +314,7 @@ def inject_duplicates(
     near_share: float = NEAR_COPY_SHARE, pct: float = NEAR_COPY_PCT,
 ) -> tuple[DataFrame, DataFrame]:
     """Exactly k copied rows: (table, pairs)."""
-    stride = F.lit((df.agg(F.max(row_id)).first()[0] or 0) + 1)
+    stride = F.coalesce(df.agg(F.max(row_id)).scalar(), F.lit(0)) + 1
     copies = _copies(sample_rows(df, k, seed, row_id), stride + F.col(row_id), seed, amount, row_id, near_share, pct)
     pairs = copies.select(F.col("_orig").alias("original_id"), F.col(row_id).alias("duplicate_id"), "near")
     return df.unionByName(copies.drop("_orig", "near")), pairs

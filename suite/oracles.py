@@ -707,6 +707,7 @@ oracle("cut_at_terminal", STEPS, "SELECT episode_id, step, score, done FROM cut"
 oracle("episode_totals", STEPS, f"SELECT episode_id, max(step) AS steps, arg_max(score, step) AS score, {round4('coalesce(sum(reward), 0)')} AS total_reward FROM rewarded GROUP BY episode_id")
 oracle("episode_summary", STEPS, f"""SELECT episode_id, task_id, arg_max(score, step) >= max(threshold) AS success, max(step)::BIGINT AS steps, arg_max(score, step) AS score,
   {round4('coalesce(sum(reward), 0)')} AS total_reward, coalesce(string_agg(reward::DECIMAL(10,4)::VARCHAR, ',' ORDER BY step), '') AS rewards FROM cut GROUP BY episode_id, task_id""")
+oracle("episode_rewards", STEPS, "SELECT episode_id, task_id, step, score, reward, done FROM cut")
 oracle("step_position", STEPS, "SELECT episode_id, step, row_number() OVER (PARTITION BY episode_id ORDER BY step) AS step_number, greatest(0, max_steps - step) AS remaining FROM log")
 oracle("current_state", STEPS, """SELECT episode_id, task_id, arg_max(score, step) AS current_score, greatest(0, any_value(max_steps) - max(step))::BIGINT AS steps_remaining,
   arg_max(score, step) >= any_value(threshold) AS is_solved FROM log GROUP BY episode_id, task_id""")

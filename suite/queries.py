@@ -839,10 +839,15 @@ def episode_totals(spark, sf):
 
 @query
 def episode_summary(spark, sf):
-    summary = E.episode_summary(T.step_log(spark, sf))
+    summary = E.episode_summary(T.step_log(spark, sf), rewards=True)
     return _listed(summary.withColumn("rewards", F.col("rewards").cast("array<decimal(10,4)>")), "rewards")
 
 
+@query
+def episode_rewards(spark, sf):
+    return E.episode_rewards(T.step_log(spark, sf)).select("episode_id", "task_id", "step", "score", "reward", "done")
+
+
 @query
 def step_position(spark, sf):
     return E.step_position(T.step_log(spark, sf)).select("episode_id", "step", "step_number", "remaining")

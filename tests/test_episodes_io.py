@@ -56,11 +56,11 @@ def test_termination_and_summary(spark):
     ])
     ends = {r.episode_id: (r.end_step, r.solved) for r in E.termination(log).collect()}
     assert ends == {"slow": (41, False), "quick": (2, True)}
-    summary = {r.episode_id: r for r in E.episode_summary(log).collect()}
+    summary = {r.episode_id: r for r in E.episode_summary(log, rewards=True).collect()}
     assert (summary["quick"].success, summary["quick"].steps, summary["quick"].score) == (True, 2, 0.8)
     assert summary["quick"].rewards == [0.495, pytest.approx(0.1937, abs=1e-4)]
     assert (summary["slow"].success, summary["slow"].steps, len(summary["slow"].rewards)) == (False, 41, 41)
-    seen = {r.episode_id: r for r in E.episode_summary(log, "runner_steps").collect()}
+    seen = {r.episode_id: r for r in E.episode_summary(log, "runner_steps", rewards=True).collect()}
     assert (seen["slow"].success, seen["slow"].steps, len(seen["slow"].rewards)) == (False, 25, 25)
     assert seen["slow"].total_reward == pytest.approx(-0.125)
     state = {r.episode_id: r for r in E.current_state(log).collect()}

@@ -209,3 +209,20 @@ def test_frequent_mode_counts_no_other_value(spark, monkeypatch):
     monkeypatch.setattr(C, "most_frequent", None)  # the count of all values is not asked for
     df = spark.range(100000).select(F.when(F.col("id") % 50 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("x"))
     assert C.exact_mode(df, "x") == "hot"
+
+
+@pytest.mark.parametrize("counts", [(40, 30, 20, 25), (700, 600, 900, 50), (3000, 1, 1, 1)])
+def test_counted_errors_as_picked_one_by_one(spark, counts):
+    rng = random.Random(4)
+    df = frame(spark, [(rng.choice(["a", "b", None]), str(i), rng.choice([" c", "d"])) for i in range(1000)], "x string, y string, z string")
+    kinds = [(I.WORD, ("x", "y")), (I.NULL, ("y", "z")), (I.WHITESPACE, ("x", "z")), (I.FUTURE_DATE, ("x",))]
+    errors = [I.CountError(kind, columns, k) for (kind, columns), k in zip(kinds, counts)]
+    shut = spark.createDataFrame([(i, "x") for i in range(0, 1000, 9)], "row_id bigint, column string")
+    want, taken = [], shut
+    for n, e in enumerate(errors):
+        cells = I.pick_cells(df, e.columns, e.k, 50 + n, exclude=taken, filled=e.kind == I.WHITESPACE).collect()
+        want += [(e.kind, r.row_id, r.column, r.clean_value) for r in cells]
+        taken = taken.unionByName(spark.createDataFrame([(r.row_id, r.column) for r in cells] or [], "row_id bigint, column string"))
+    dirty, truth = I.inject_counts(df, errors, 50, exclude=shut)
+    assert sorted(map(repr, want)) == sorted(repr((r.kind, r.row_id, r.column, r.clean_value)) for r in truth.collect())
+    assert dirty.count() == 1000
