@@ -445,6 +445,13 @@ oracle("fill_mode", DIRTY, """SELECT row_id, coalesce(custkey, (SELECT custkey F
 oracle("fill_mode_hot", f"""lines AS (SELECT l_orderkey, l_linenumber, CASE WHEN {h_selected(_LK, 97, 0.05)} THEN 'unknown'
   WHEN NOT {h_selected(_LK, 98, 0.05)} THEN {_LK}::VARCHAR END AS label FROM lineitem)""", """SELECT l_orderkey, l_linenumber,
   coalesce(label, (SELECT label FROM lines WHERE label IS NOT NULL GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)) AS label FROM lines""")
+oracle("fill_live", DIRTY + f""", parts AS (SELECT *, ({h_int('row_id', 111, 0, 3)} + 1)::INTEGER AS increment FROM dirty),
+before AS (""" + " UNION ALL ".join(f"""SELECT {i} AS i, (SELECT {round2('avg(' + num('price') + ')')} FROM parts WHERE increment < {i}) AS price,
+  (SELECT {round2('quantile_cont(' + num('custkey') + ', 0.5)')} FROM parts WHERE increment < {i}) AS custkey,
+  (SELECT orderstatus FROM parts WHERE increment < {i} AND orderstatus IS NOT NULL GROUP BY orderstatus ORDER BY count(*) DESC, orderstatus LIMIT 1) AS orderstatus""" for i in (1, 2, 3)) + ")",
+       f"""SELECT row_id, coalesce({num('p.custkey')}, b.custkey) AS custkey, coalesce(p.orderstatus, b.orderstatus) AS orderstatus, coalesce({num('p.price')}, b.price) AS price,
+  concat_ws(',', CASE WHEN {num('p.price')} IS NULL THEN 'price' END, CASE WHEN {num('p.custkey')} IS NULL THEN 'custkey' END, CASE WHEN p.orderstatus IS NULL THEN 'orderstatus' END) AS missing, increment
+  FROM parts p JOIN before b ON b.i = increment""")
 oracle("fill_drop", DIRTY, "SELECT row_id, orderstatus FROM dirty WHERE orderstatus IS NOT NULL")
 
 _PCOL = h_choice(_K, 100, ("price", "price", "custkey", "priority", "absent"))

@@ -24,6 +24,7 @@ from scourframe.operators import profile as P
 from scourframe.operators import rules as V
 from scourframe.sources import readwrite as S
 from scourframe.sources.versions import VersionedTable
+from scourframe.streaming.live import LiveFill
 from scourframe.plans import datasets as D
 from scourframe.session import shared_dir
 from scourframe.plans.cleaning_plan import CleaningPlan
@@ -395,6 +396,20 @@ def fill_mode_hot(spark, sf):
     return C.fill_missing(lines, "label", "mode")[0]
 
 
+@query
+def fill_live(spark, sf):
+    """Orders that come as a stream of files, in three increments: each is filled with the statistics of those before it."""
+    dirty, _ = T.orders_dirty(spark, sf)
+    folder = _fresh_folder(spark)
+    dirty.select("row_id", "custkey", "orderstatus", "price").write.parquet(f"{folder}/orders")
+    dirty = spark.read.parquet(f"{folder}/orders")
+    live = LiveFill(spark, f"{folder}/filled", {"price": "mean", "custkey": "median", "orderstatus": "mode"})
+    for part in range(3):
+        dirty.filter(H.hash_int(F.col("row_id"), 111, 0, 3) == part).write.mode("append").parquet(f"{folder}/incoming")
+        live.advance(spark.readStream.schema(dirty.schema).parquet(f"{folder}/incoming"))
+    return live.rows().withColumn("missing", F.array_join("missing", ","))
+
+
 @query
 def fill_drop(spark, sf):
     dirty, _ = T.orders_dirty(spark, sf)

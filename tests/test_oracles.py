@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 SELECTION = (
     "profile_orders_dirty", "validate_rules", "date_forms", "inject_counts", "standardize_all", "set_values_report", "dedup_near",
     "grade_cells_positional", "grade_outliers_typos", "resolve_positions", "apply_actions_report", "episode_summary",
-    "versions_read", "grade_cells_ranges", "grade_dispatch", "fill_mode_hot",
+    "versions_read", "grade_cells_ranges", "grade_dispatch", "fill_mode_hot", "fill_live",
 )
 NAMES = list(entry.oracle_sql()) if os.environ.get("SCOURFRAME_ALL") else SELECTION
 
