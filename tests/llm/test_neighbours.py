@@ -278,3 +278,54 @@ def test_search_of_odd_rows(spark):
     assert [s for q, *_, s in got if q == 20] == [48.0, 24.0, 24.0]
     assert forest.search(table.filter("false"), F.col("vec_id") % 20 == 0, 3).count() == 0
     assert forest.search(table.filter("vec_id > 899"), F.lit(True), 3).filter("query_id <> 906").count() == 0
+
+
+@pytest.mark.parametrize("flat", [False, True])
+def test_crowded_leaves_are_cut_again(spark, monkeypatch, flat):
+    """Two stages below a shallow sample; 900 equal rows, which no cut can part, and clusters. Leaves stay small and recall holds."""
+    for name, value in (("DEEPEST", 2), ("LEAF", 16), ("CROWDED", 64), ("STEP", 3), ("OWN", 256), ("BLOCK_ROWS", 256), ("BLOCK_QUERIES", 64)):
+        monkeypatch.setattr(forest, name, value)
+    stages = []
+    recut = forest.recut
+
+    def seen(*args):
+        stages.append(recut(*args))
+        return stages[-1]
+
+    monkeypatch.setattr(forest, "recut", seen)
+    draw = np.random.default_rng(21)
+    centers = draw.normal(size=(60, 16))
+    x = (draw.normal(size=(6000, 16)) if flat else centers[draw.integers(0, 60, 6000)] + 0.15 * draw.normal(size=(6000, 16))).astype(np.float32).astype(float)
+    x[5100:] = x[5100]
+    table = spark.createDataFrame([(i, row.tolist(), 1, "c", 1, 1) for i, row in enumerate(x)], VECTORS)
+    got = defaultdict(list)
+    for r in forest.search(table, F.col("vec_id") % 20 == 0, 10).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert len(stages) >= 2
+    for own, leaves, _, _ in stages:
+        assert {r.leaf: r["rows"] for r in leaves.collect()} == {r.leaf: r["count"] for r in own.groupBy("leaf").count().collect()}
+    last = stages[-1][1].filter("not crowded").collect()
+    assert all(r["rows"] <= 64 or r["rows"] >= 900 for s in stages for r in s[1].filter("not crowded").collect()) and last
+    hits = total = 0
+    for v in range(0, 6000, 20):
+        scores = x @ x[v]
+        scores[v] = -np.inf
+        best = np.lexsort((np.arange(6000), -scores))[:10]
+        own = sorted(got[v])
+        assert [r for r, *_ in own] == list(range(1, 11)) and len({i for _, i, _ in own}) == 10
+        assert own == sorted(own, key=lambda o: (-o[2], o[1])) and all(abs(s - scores[i]) < 1e-9 for _, i, s in own)
+        hits, total = hits + len({i for _, i, _ in own} & set(best.tolist())), total + 10
+    assert hits >= 0.9 * total
+
+
+def test_costs_of_leaves_by_path_and_by_queue():
+    draw = np.random.default_rng(4)
+    sample, asked = draw.normal(size=(500, 6)), draw.normal(size=(5, 6))
+    trees = forest.plant(sample, 500, (sample ** 2).sum(axis=1).max(), trees=2, leaf=20)
+    size, values = 1 << trees.depth, trees.projected(asked, query=True)
+    held = np.bincount(np.concatenate([t * size + own for t, own in enumerate(trees.leaves(sample))]), minlength=2 * size)
+    node = np.arange(size) + size
+    for i in range(5):
+        far = np.concatenate([forest.crossed(values[t][i][None, None, :], node, np.stack([trees.cuts[t][node >> up] for up in range(trees.depth, 0, -1)], axis=1))[0] for t in range(2)])
+        order = trees.nearest_leaves(values[:, i], 2 * size, held)
+        assert sorted(order) == np.flatnonzero(held).tolist() and (np.diff(far[order]) >= 0).all()
