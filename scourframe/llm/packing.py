@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,14 @@ from scourframe.llm import common
 CACHED_WORDS = 200_000
 #: White space to Python that is none to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Rules of a vocabulary under which words of printable ASCII are split by PIECE after lower-casing, and their bytes stand for themselves.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+#: A piece, or the space between two words.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+| ")
+ASCII_WORD = "^[!-~]+$"
 
 
 class Words:
@@ -64,8 +75,30 @@ class WordIds:
         #: What a text that is encoded whole holds, as it stands or in lower case.
         self.whole, self.lower = [*SEPARATORS, *(token.content for token in added)], [token.content.lower() for token in added if token.normalized]
         self.young, self.elder = Words(), Words()
+        rules = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.plain = (rules["normalizer"] or {}).get("normalizers") == NORMAL and (rules["pre_tokenizer"] or {}).get("pretokenizers") == SPLIT
 
     def learn(self, words: list[str]) -> None:
+        """Encode words that are not known yet."""
+        if self.plain and words:
+            ascii = pc.match_substring_regex(pa.array(words, pa.large_string()), ASCII_WORD).to_numpy(zero_copy_only=False)
+            self.learn_ascii([words[i] for i in np.flatnonzero(ascii)])
+            words = [words[i] for i in np.flatnonzero(~ascii)]
+        self.learn_any(words)
+
+    def learn_ascii(self, words: list[str]) -> None:
+        if not words:
+            return
+        found = pa.array(PIECE.findall(" ".join(words).lower()), pa.large_string()).dictionary_encode()
+        at, pieces = found.indices.to_numpy(), found.dictionary.to_pylist()
+        own = [[token.id for token in self.tokenizer.model.tokenize(piece)] if piece != " " else [] for piece in pieces]
+        known = Words()
+        known.add(pieces, np.fromiter(itertools.chain.from_iterable(own), np.int32), np.fromiter(map(len, own), np.int64, len(own)))
+        ids, counts = known.of(at)
+        space = pieces.index(" ") if len(words) > 1 else -1
+        self.young.add(words, ids, np.bincount(np.cumsum(at == space), weights=counts, minlength=len(words)).astype(np.int64))
+
+    def learn_any(self, words: list[str]) -> None:
         pieces: dict[str, list[int]] = {}
         for at in range(0, len(words), 2000):
             block = words[at: at + 2000]

@@ -140,3 +140,18 @@ def test_op7(spark):
         load[row.shard] += row["size"]
     largest = max(len(t.encode()) + 16 for t in texts.values())
     assert all(len(own) == 1 for own in where.values()) and max(load) - min(load) <= largest
+
+
+def test_ascii_words_are_split_as_by_the_vocabulary(monkeypatch):
+    """The pattern is used, gives the ids of the library, and only for vocabularies of its rules."""
+    from tokenizers import Tokenizer
+
+    library, own, split = Tokenizer.from_file(WORDS), packing.WordIds(WORDS), []
+    learn = own.learn_ascii
+    monkeypatch.setattr(own, "learn_ascii", lambda words: split.extend(words) or learn(words))
+    texts = ["it's we'LL I'd 're 'S'T''m x'srest a'b'c 12a3 $$'s", "A\x00B \x01 ~~! \x7f Ab", "", "''", "İ I'S KK ſ's été", "don't_stop_123 a1b2'll", "one"]
+    assert [list(ids) for ids in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "x'srest" in split and "ſ's" not in split and "A\x00B" not in split
+    own = packing.WordIds(WORDS)
+    own.plain = False
+    assert [list(ids) for ids in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
