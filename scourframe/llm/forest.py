@@ -20,6 +20,8 @@ TREES, LEAF, DEEPEST = 4, 128, 10
 CROWDED, STEP, OWN = 8 * LEAF, 5, 4096
 #: Rows that the cuts are learned from, queries that the number of leaves is tuned by, recall that these must reach.
 SAMPLE, AUDIT, TARGET = 20_000, 128, 0.96
+#: Leaves that a query may visit; where the recall needs more of them, it visits the fewer and larger nodes above them.
+VISITS = 128
 #: Rows of the index, and visits by queries, that one task compares at once.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
 
@@ -36,6 +38,9 @@ class Forest:
     def depth(self) -> int:
         return self.directions.shape[1]
 
+    def upper(self, depth: int) -> Forest:
+        return Forest(self.directions[:, :depth], self.cuts[:, :1 << depth], self.square)
+
     def projected(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Inner products become angles by one more component, which fills rows up to the largest norm and is 0 in queries."""
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.square - (x * x).sum(axis=1), 0))
@@ -168,7 +173,9 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     A query visits the leaves that are nearest by the cuts crossed, of all trees together. A leaf is no nearer than the one above it, so the
     nearest ones of a stage lie below the nearest ones of the stage before, and each stage keeps that many. How many is the smallest
     number by which about AUDIT queries, drawn by a hash and compared with all rows, reach a recall of `target` (all leaves, if
-    need be); empty leaves do not count, and a query goes on until the leaves of one tree hold k rows besides it. Leaves are put into blocks of
+    need be); empty leaves do not count, and a query goes on until the leaves of one tree hold k rows besides it. If these are more
+    than VISITS, the nodes of the stage before, or of the level above, take the place of the leaves, and the number is set anew for them, until it
+    is at most VISITS: the recall is the same, and the visits grow with the queries, not with the table too. Leaves are put into blocks of
     about BLOCK_ROWS rows, a leaf that holds more into several; queries travel to the blocks of the leaves they visit, in groups of bounded
     size, where all pairs are scored in double precision on the original vectors. A query keeps its k best of each block, then of
     all blocks, ties to the smaller id.
@@ -199,23 +206,28 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
     indexed = common.settled(rows.select("v", "x").mapInArrow(index, f"leaf long, v long, x {kind}"), "forest")
     sizes = {row["leaf"]: row["count"] for row in indexed.groupBy("leaf").count().collect()}
     held = np.array([sizes.get((leaf % n_leaves + n_leaves) * TREES + leaf // n_leaves, 0) for leaf in range(TREES * n_leaves)])
-    blocks, upper = [dealt(held[t * n_leaves:(t + 1) * n_leaves].tolist()) for t in range(TREES)], []
-    for at in np.flatnonzero(held).tolist():
-        t, node = at // n_leaves, at % n_leaves + n_leaves
-        path = [float(forest.cuts[t][node >> up]) for up in range(forest.depth, 0, -1)]
-        upper.append((node * TREES + t, path, int(held[at]), t, *[of[node - n_leaves] for of in blocks[t]], bool(held[at] > CROWDED)))
-    stages = [(indexed, spark.createDataFrame(upper, LEAVES), forest, None)]
+    stages = [(indexed, spark.createDataFrame(upper_leaves(forest, held), LEAVES), forest, None)]
     crowded = bool((held > CROWDED).any())
     while crowded:
         stages.append(recut(stages[-1], len(stages), width, longest, kind))
         crowded = not stages[-1][1].filter("crowded").isEmpty()
-    leaves, placed = [], []
-    for own, found, _, _ in stages:
-        leaves.append(found.filter("not crowded"))
-        placed.append(own.join(leaves[-1].select("leaf", "base", "first", "many"), "leaf"))
-    leaves, placed = reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, placed)
-
-    visits = audited(rows, leaves, placed, [stage[2] for stage in stages], asking, width, k, target)
+    names, asked = drawn_queries(rows, asking)
+    near = brute_force(rows, names, asked, "v", "x", k)
+    while True:
+        leaves = reduce(DataFrame.unionByName, [stage[1].filter("not crowded") for stage in stages[:-1]] + [stages[-1][1]])
+        dealt_out = leaves.select("leaf", "base", "first", "many")
+        placed = reduce(DataFrame.unionByName, [stage[0].join(dealt_out, "leaf") for stage in stages])
+        visits = audited(names, asked, near, leaves, placed, [stage[2] for stage in stages], target)
+        if visits <= VISITS or len(stages) == 1 and forest.depth == 1:
+            break
+        if len(stages) > 1:
+            stages.pop()
+        else:
+            up = min(forest.depth - 1, max(1, int(np.log2(visits / VISITS))))  # a level above has half as many nodes, at most
+            forest, held = forest.upper(forest.depth - up), held.reshape(-1, 1 << up).sum(axis=1)
+            above = F.shiftright(F.floor(F.col("leaf") / TREES).cast("long"), up) * TREES + F.col("leaf") % TREES
+            stages = [(stages[0][0].withColumn("leaf", above), spark.createDataFrame(upper_leaves(forest, held), LEAVES), forest, None)]
+    n_leaves = 1 << forest.depth
 
     def ask(batches):
         for batch in batches:
@@ -275,6 +287,17 @@ def search(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_i
         "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.v").alias(id_col), (-F.col("n.s")).alias("score"))
 
 
+def upper_leaves(forest: Forest, held: np.ndarray) -> list[tuple]:
+    """The leaves of the upper levels that hold rows, as LEAVES. held: rows of each leaf (tree * leaves + leaf)."""
+    n_leaves, upper = 1 << forest.depth, []
+    blocks = [dealt(held[t * n_leaves:(t + 1) * n_leaves].tolist()) for t in range(TREES)]
+    for at in np.flatnonzero(held).tolist():
+        t, node = at // n_leaves, at % n_leaves + n_leaves
+        path = [float(forest.cuts[t][node >> up]) for up in range(forest.depth, 0, -1)]
+        upper.append((node * TREES + t, path, int(held[at]), t, *[of[node - n_leaves] for of in blocks[t]], bool(held[at] > CROWDED)))
+    return upper
+
+
 def recut(stage: tuple, number: int, width: int, square: float, kind: str) -> tuple:
     """Cut the crowded leaves of a stage by STEP levels more: the rows of the new leaves, these leaves, the directions, and the cuts of each old leaf
     with the rows of each new one below it. A leaf all of whose rows stay together is not crowded any more; it is compared in blocks."""
@@ -357,13 +380,16 @@ def below(visited: DataFrame, queries: DataFrame, cut: DataFrame, own: Forest, w
     return both.withColumn("_at", F.row_number().over(order)).withColumn("_seen", seen).filter((F.col("_at") <= visits) | (F.col("_seen") < k + 1)).select("q", "leaf", "far", "rows")
 
 
-def audited(rows: DataFrame, leaves: DataFrame, placed: DataFrame, forests: list[Forest], asking: int, width: int, k: int, target: float) -> int:
-    """How many leaves a query must visit for a recall of `target` among a draw of about AUDIT queries. What is brought to the driver is theirs."""
-    spark = rows.sparkSession
+def drawn_queries(rows: DataFrame, asking: int) -> tuple[list[int], np.ndarray]:
+    """About AUDIT queries, drawn by a hash: their ids and vectors."""
     audit = rows.filter("asks").filter(common.uniform(F.col("v"), seed=6) < min(1.0, AUDIT / asking)).select("v", "x").collect()
     audit = audit or rows.filter("asks").orderBy(F.xxhash64("v")).select("v", "x").limit(1).collect()
-    names, asked = [row["v"] for row in audit], np.array([row["x"] for row in audit], np.float64)
-    near = brute_force(rows, names, asked, "v", "x", k)
+    return [row["v"] for row in audit], np.array([row["x"] for row in audit], np.float64)
+
+
+def audited(names: list[int], asked: np.ndarray, near: dict, leaves: DataFrame, placed: DataFrame, forests: list[Forest], target: float) -> int:
+    """How many leaves a query must visit for a recall of `target` among a few queries, whose nearest rows are given. What is brought to the driver is theirs."""
+    spark = leaves.sparkSession
     if not any(near.values()):
         return 1
     values = np.concatenate([own.projected(asked, query=True) for own in forests], axis=2)  # tree, query, level

@@ -329,3 +329,22 @@ def test_costs_of_leaves_by_path_and_by_queue():
         far = np.concatenate([forest.crossed(values[t][i][None, None, :], node, np.stack([trees.cuts[t][node >> up] for up in range(trees.depth, 0, -1)], axis=1))[0] for t in range(2)])
         order = trees.nearest_leaves(values[:, i], 2 * size, held)
         assert sorted(order) == np.flatnonzero(held).tolist() and (np.diff(far[order]) >= 0).all()
+
+
+def test_visits_do_not_grow_with_the_leaves(spark, monkeypatch):
+    """Random directions: many small leaves would be visited, so queries visit the nodes above them, with no less recall."""
+    monkeypatch.setattr(forest, "LEAF", 8)
+    monkeypatch.setattr(forest, "VISITS", 6)
+    x = np.random.default_rng(12).normal(size=(2000, 24))
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found, audited = [], forest.audited
+    monkeypatch.setattr(forest, "audited", lambda *args: found.append(audited(*args)) or found[-1])
+    near = defaultdict(list)
+    for r in forest.search(table, F.col("vec_id") % 20 == 0, 10).collect():
+        near[r.query_id].append(r.vec_id)
+        assert abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-9
+    assert found[0] > 6 >= found[-1]
+    scores = x[::20] @ x.T
+    scores[np.arange(100), np.arange(0, 2000, 20)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :10]
+    assert np.mean([len(set(near[20 * i]) & set(row.tolist())) for i, row in enumerate(want)]) >= 9
