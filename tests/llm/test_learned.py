@@ -167,20 +167,22 @@ def test_every_labelled_row_is_learned_from(spark):
 def test_the_average_of_one_shard_is_its_own_model():
     import pyarrow as pa
 
-    learner = toxicity.planted()
+    learner = toxicity.planted(np.random.default_rng(toxicity.SEED))
     texts = ["calm river stone", "vile wretch stone", "", "green paper"] * 3
     shard = pa.table({"doc_id": list(range(12)), "text": texts, "lang": ["en", None] * 6, "toxic": [int("vile" in t) for t in texts], "held": [i == 3 for i in range(12)]})
     sent = toxicity.shard_round(learner, (1.0, 1.0), 0)(shard).to_pylist()
     assert sum(r["much"] for r in sent if r["lang"] == "en") == sum(len(t.split()) for t in texts[::2])
     own = [r for r in sent if r["lang"] is None]
-    sums = pa.table({"at": [r["at"] for r in own], "much": [r["much"] for r in own], "square": [r["square"] for r in own], **{f"far{i}": [r["far"][i] for r in own] for i in range(toxicity.DIM)}})
+    sums = pa.table({"at": [r["at"] for r in own], "much": [r["much"] for r in own], "square": [r["square"] for r in own], **{f"row{i}": [r["row"][i] for r in own] for i in range(toxicity.DIM)}})
     plain, examples = learner.copy(), []
     for i in sorted(range(12), key=lambda i: (zlib.crc32(str(i).encode()), texts[i])):
         if i != 3:
             table = toxicity.Table()
             numbers = table.numbers(texts[i])
             examples.append((table.array().astype("<u2"), numbers, int("vile" in texts[i])))
-    toxicity.train(plain, examples, (1.0, 1.0), seed=11)
+    draw = np.random.default_rng(toxicity.SEED)
+    toxicity.planted(draw)
+    toxicity.train(plain, examples, (1.0, 1.0), draw.permutation(11))
     got = toxicity.averaged(learner, sums)
     assert np.allclose(got.model.embedding, plain.model.embedding, atol=1e-6) and not np.allclose(got.model.embedding, learner.model.embedding, atol=1e-4)
     assert np.allclose(got.small()[0], plain.small()[0], atol=1e-5) and np.allclose(got.small()[1], plain.small()[1], atol=1e-5)
