@@ -3,9 +3,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from scourframe.llm import language, toxicity
+from scourframe.llm import common, language, toxicity
 from tests.llm.conftest import TEXTS
 
 SMALL = "/root/testdata/sf0.01"
@@ -187,3 +188,42 @@ def test_the_average_of_one_shard_is_its_own_model():
     assert np.allclose(got.model.embedding, plain.model.embedding, atol=1e-6) and not np.allclose(got.model.embedding, learner.model.embedding, atol=1e-4)
     assert np.allclose(got.small()[0], plain.small()[0], atol=1e-5) and np.allclose(got.small()[1], plain.small()[1], atol=1e-5)
     assert np.allclose(got.seen["e"], plain.seen["e"])
+
+
+def test_only_texts_that_may_be_labelled_are_moved(spark, monkeypatch):
+    """3,000 rows, 300 of them labelled: the join by id gets few others. Null and repeated ids, and labels without a text, change nothing."""
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} words of row {i}", "en") for i in range(3000)] + [(None, "without id", "en"), (10, "again", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i // 10 % 2) for i in range(0, 3000, 10)] + [(None, 1), (99_999, 1)], "doc_id long, toxic int")
+    moved, bucketed = [], toxicity.bucketed
+
+    def own(df, key, buckets):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "bitmap_construct_agg" in plan and "strategy=merge" in plan
+        moved.append(sorted((r.doc_id, r.text, r.toxic) for r in df.collect()))
+        return bucketed(df, key, buckets)
+
+    monkeypatch.setattr(toxicity, "bucketed", own)
+    assert toxicity.fit_toxicity(docs, labels) is not None
+    assert moved == [sorted((i, text, i // 10 % 2) for i, text, _ in rows if i is not None and i % 10 == 0)]
+
+
+def test_narrowed_keeps_every_key(spark):
+    df = spark.range(20_000).selectExpr("IF(id % 7 = 0, null, id) AS k", "id AS _x")
+    keys = spark.range(0, 20_000, 40).toDF("k")
+    got = {r.k for r in common.narrowed(df, "k", keys).collect()}
+    want = {k for k in range(0, 20_000, 40) if k % 7}
+    assert want <= got and len(got - want) < 20_000 / 8
+    assert common.narrowed(df, "k", keys).columns == ["k", "_x"]
+    assert common.narrowed(df, "k", keys.filter("false")).count() == 0
+    assert common.narrowed(df, "k", keys.selectExpr("string(k) AS k")).count() == 20_000
+
+
+def test_rows_of_a_word_are_told_once_a_shard(monkeypatch):
+    asked, word_rows = [], toxicity.word_rows
+    monkeypatch.setattr(toxicity, "word_rows", lambda word: asked.append(word) or word_rows(word))
+    shard = pa.table({"doc_id": [1, 2, 3], "text": ["a vile überword", "a kind überword", None], "lang": ["en"] * 3, "toxic": [1, 0, 0], "held": [False] * 3})
+    toxicity.shard_round(toxicity.planted(np.random.default_rng(toxicity.SEED)), (1.0, 1.0), 0)(shard)
+    assert sorted(asked) == ["a", "kind", "vile", "überword"]
+    for word in ("überword", "vile", "é", "日本語です", "x" * 9):
+        assert word_rows(word)[1:] == [zlib.crc32(word[:n].encode(), 2) % toxicity.BUCKETS for n in toxicity.PREFIXES]
