@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import bisect
-import itertools
 import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 from pathlib import Path
 
 import numpy as np
@@ -19,52 +19,83 @@ from pyspark.sql import functions as F
 
 from scourframe.llm import common
 
-#: Words of a generation of the table of a Python worker, which keeps two: the words in use, and those that were in use before.
+#: Entries of a generation of the tables of a Python worker, which keep two: those in use, and those that were in use before.
 CACHED_WORDS = 200_000
 #: White space to Python that is none to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Rules of a vocabulary under which words of printable ASCII are split by PIECE after lower-casing, and their bytes stand for themselves.
+#: Rules of a vocabulary under which words of printable ASCII and of the letters of Latin-1 are split by PIECE after lower-casing, and
+#: their bytes stand for themselves, or for the characters that BYTES has for them.
 NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = [
     {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 #: A piece, or the space between two words.
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+| ")
-ASCII_WORD = "^[!-~]+$"
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ a-z0-9\u00df-\u00f6\u00f8-\u00ff]+| ")
+PLAIN_WORD = "^[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: Bytes that are no printable character of Latin-1 have the characters from 256 on, in their order.
+UNSEEN = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+BYTES = {c: "".join(chr(256 + UNSEEN.index(b)) if b in UNSEEN else chr(b) for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
-class Words:
-    """Words numbered as they come, with runs of ids."""
+class Runs:
+    """Runs of ids, one after another."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        self.ids, self.lengths, self.starts = ids, counts, np.cumsum(counts) - counts
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the runs of these numbers, one after another, and how many each has."""
+        counts = self.lengths[at]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(at) else 0)], counts
+
+
+class Words(Runs):
+    """Strings numbered as they come, with runs of ids."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
-        self.starts, self.lengths, self.ids, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(4096, np.int32), 0
+        self.number = common.Numbers()
+        self.starts, self.lengths, self.ids, self.filled = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32), 0
 
-    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        n = len(self.number)
-        while n + len(words) > len(self.starts):
+    def put(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """The runs of the strings of these numbers."""
+        while len(self.number) > len(self.starts):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.filled + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.filled: self.filled + len(ids)] = ids
-        self.lengths[n: n + len(words)] = counts
-        self.starts[n: n + len(words)] = self.filled + np.cumsum(counts) - counts
+        self.lengths[at] = counts
+        self.starts[at] = self.filled + np.cumsum(counts) - counts
         self.filled += len(ids)
-        self.number.update(zip(words, range(n, n + len(words))))
 
-    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words of these numbers, one after another, and how many each has."""
-        counts = self.lengths[at]
-        ends = np.cumsum(counts)
-        return self.ids[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(ends[-1] if len(at) else 0)], counts
 
+class Generations:
+    """Runs of ids of strings, in two generations: what is met moves to the younger one, and when that is full it becomes the elder one, so that
+    only strings that were not met for a whole generation are forgotten and learned again. learn: strings to their ids, one after another, and how many each has."""
+
+    def __init__(self, learn):
+        self.learn, self.young, self.elder = learn, Words(), Words()
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        """Numbers of the strings in the younger generation, which then has their ids."""
+        if len(self.young.number) > CACHED_WORDS:
+            self.young, self.elder = Words(), self.young
+        n = len(self.young.number)
+        at = np.fromiter(map(self.young.number.__getitem__, strings), np.int64, len(strings))
+        new = list(islice(self.young.number, n, None))
+        before = np.fromiter((self.elder.number.get(w, -1) for w in new), np.int64, len(new))
+        known, unknown = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+        if len(known):
+            self.young.put(n + known, *self.elder.of(before[known]))
+        if len(unknown):
+            self.young.put(n + unknown, *self.learn([new[i] for i in unknown.tolist()]))
+        return at
 
-class WordIds:
-    """Ids of texts by a tokenizer that drops white space: each distinct word is normalised and split once, in blocks, and each
-    distinct piece of a block of words is encoded once. Texts that hold an added token of the vocabulary are encoded whole.
 
-    Words are kept in two generations. A word that is met moves to the younger one, and when that is full it becomes the elder one, so
-    that only words that were not met for a whole generation are forgotten and learned again.
+class WordIds:
+    """Ids of texts by a tokenizer that drops white space: each distinct word of a block of texts is split once. Words under plain rules are split into
+    pieces by one pattern, and a worker keeps the ids of pieces; other words are normalised and split by the tokenizer, and it keeps the ids of words. Texts that
+    hold an added token of the vocabulary are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -74,32 +105,18 @@ class WordIds:
         added = self.tokenizer.get_added_tokens_decoder().values()
         #: What a text that is encoded whole holds, as it stands or in lower case.
         self.whole, self.lower = [*SEPARATORS, *(token.content for token in added)], [token.content.lower() for token in added if token.normalized]
-        self.young, self.elder = Words(), Words()
+        self.pieces, self.words = Generations(self.learn_pieces), Generations(self.learn_words)
         rules = json.loads(Path(path).read_text(encoding="utf-8"))
         self.plain = (rules["normalizer"] or {}).get("normalizers") == NORMAL and (rules["pre_tokenizer"] or {}).get("pretokenizers") == SPLIT
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that are not known yet."""
-        if self.plain and words:
-            ascii = pc.match_substring_regex(pa.array(words, pa.large_string()), ASCII_WORD).to_numpy(zero_copy_only=False)
-            self.learn_ascii([words[i] for i in np.flatnonzero(ascii)])
-            words = [words[i] for i in np.flatnonzero(~ascii)]
-        self.learn_any(words)
-
-    def learn_ascii(self, words: list[str]) -> None:
-        if not words:
-            return
-        found = pa.array(PIECE.findall(" ".join(words).lower()), pa.large_string()).dictionary_encode()
-        at, pieces = found.indices.to_numpy(), found.dictionary.to_pylist()
-        own = [[token.id for token in self.tokenizer.model.tokenize(piece)] if piece != " " else [] for piece in pieces]
-        known = Words()
-        known.add(pieces, np.fromiter(itertools.chain.from_iterable(own), np.int32), np.fromiter(map(len, own), np.int64, len(own)))
-        ids, counts = known.of(at)
-        space = pieces.index(" ") if len(words) > 1 else -1
-        self.young.add(words, ids, np.bincount(np.cumsum(at == space), weights=counts, minlength=len(words)).astype(np.int64))
-
-    def learn_any(self, words: list[str]) -> None:
+    def learn_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize = self.tokenizer.model.tokenize
+        own = [[token.id for token in tokenize(piece if piece.isascii() else piece.translate(BYTES))] if piece != " " else [] for piece in pieces]
+        return np.fromiter(chain.from_iterable(own), np.int32), np.fromiter(map(len, own), np.int64, len(own))
+
+    def learn_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces: dict[str, list[int]] = {}
+        ids, counts = [], []
         for at in range(0, len(words), 2000):
             block = words[at: at + 2000]
             text = self.tokenizer.normalizer.normalize_str(" ".join(block))
@@ -114,27 +131,41 @@ class WordIds:
                     pieces[piece] = [token.id for token in self.tokenizer.model.tokenize(piece)]
                 own = [pieces[name] for name in names]
                 of = np.searchsorted(spaces, np.array([span[0] for _, span in found], np.int64))
-            ids = np.fromiter(itertools.chain.from_iterable(own), np.int32)
-            counts = np.bincount(of, weights=np.fromiter(map(len, own), float, len(own)), minlength=len(block)).astype(np.int64)
-            self.young.add(block, ids, counts)
-
-    def meet(self, distinct: list[str]) -> None:
-        """Bring all words into the younger generation."""
-        if len(self.young.number) > CACHED_WORDS:
-            self.young, self.elder = Words(), self.young
-        new = [w for w in distinct if w not in self.young.number]
-        known = [w for w in new if w in self.elder.number]
-        if known:
-            self.young.add(known, *self.elder.of(np.array([self.elder.number[w] for w in known], np.int64)))
-        self.learn([w for w in new if w not in self.elder.number])
+            ids.append(np.fromiter(chain.from_iterable(own), np.int32))
+            counts.append(np.bincount(of, weights=np.fromiter(map(len, own), float, len(own)), minlength=len(block)).astype(np.int64))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def learn_ascii(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of ASCII and of the letters of Latin-1, one after another, and how many each has."""
+        at = self.pieces.numbers(PIECE.findall(" ".join(words).lower()))
+        ids, counts = self.pieces.young.of(at)
+        between = at == self.pieces.young.number[" "] if len(words) > 1 else np.zeros(len(at), bool)
+        return ids, np.bincount(np.cumsum(between), weights=counts, minlength=len(words)).astype(np.int64)
+
+    def of_other(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of any kind."""
+        at = self.words.numbers(words)
+        return self.words.young.of(at)
+
+    def learned(self, words: pa.Array) -> Runs:
+        """The ids of distinct words, numbered as they stand."""
+        plain = pc.match_substring_regex(words, PLAIN_WORD).to_numpy(zero_copy_only=False) if self.plain else np.zeros(len(words), bool)
+        place, ids, counts = np.empty(len(words), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        kinds = np.flatnonzero(plain), np.flatnonzero(~plain)
+        place[np.concatenate(kinds)] = np.arange(len(words))
+        for own, ids_of in zip(kinds, (self.learn_ascii, self.of_other)):
+            if len(own):
+                for parts, part in zip((ids, counts), ids_of(words.take(pa.array(own)).to_numpy(zero_copy_only=False).tolist())):
+                    parts.append(part)
+        runs = Runs(np.concatenate(ids), np.concatenate(counts))
+        runs.starts, runs.lengths = runs.starts[place], runs.lengths[place]
+        return runs
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         odd = {i for i, text in enumerate(texts) if any(c in text for c in self.whole) or self.lower and any(c in text.lower() for c in self.lower)}
         words = pc.utf8_split_whitespace(pa.array([None if i in odd else text for i, text in enumerate(texts)], pa.large_string()))
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.meet(distinct)
-        at = np.array([self.young.number[w] for w in distinct], np.int64)[coded.indices.to_numpy()]
+        known, at = self.learned(coded.dictionary), coded.indices.to_numpy()
         sizes = np.diff(words.offsets.to_numpy())
         begin = 0
         for i, size in enumerate(sizes):
@@ -142,7 +173,7 @@ class WordIds:
                 yield np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.int32)
                 continue
             own, begin = at[begin: begin + size], begin + size
-            yield self.young.of(own)[0]
+            yield known.of(own)[0]
 
 
 @lru_cache(maxsize=2)

@@ -155,3 +155,22 @@ def test_ascii_words_are_split_as_by_the_vocabulary(monkeypatch):
     own = packing.WordIds(WORDS)
     own.plain = False
     assert [list(ids) for ids in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_are_encoded_once_for_all_blocks(monkeypatch):
+    """Also when generations change, and in words of Latin-1 letters with any other character beside them."""
+    from tokenizers import Tokenizer
+
+    library, own, asked = Tokenizer.from_file(WORDS), packing.WordIds(WORDS), []
+    learn = own.pieces.learn
+    monkeypatch.setattr(own.pieces, "learn", lambda pieces: asked.extend(pieces) or learn(pieces))
+    latin = "".join(map(chr, range(0x21, 0x180)))
+    draw = np.random.default_rng(5)
+    mixed = ["".join(draw.choice(list(latin + "   ''aéÜ"), 60)) for _ in range(300)]
+    blocks = [["Été, l'ÉTÉ ÿÞßÆ!", "naïve"], ["été ÷ × ª l'été", "", "NAÏVE naïve"], mixed, [latin, " ".join(latin)], ["naïve"], mixed[:20]]
+    want = [[library.encode(t, add_special_tokens=False).ids for t in block] for block in blocks]
+    assert [[ids.tolist() for ids in own.encode(block)] for block in blocks] == want
+    assert len(asked) == len(set(asked)) and {"été", "naïve"} <= set(asked)
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    own = packing.WordIds(WORDS)
+    assert [[ids.tolist() for ids in own.encode(block)] for block in blocks] == want
