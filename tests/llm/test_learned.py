@@ -227,3 +227,16 @@ def test_rows_of_a_word_are_told_once_a_shard(monkeypatch):
     assert sorted(asked) == ["a", "kind", "vile", "überword"]
     for word in ("überword", "vile", "é", "日本語です", "x" * 9):
         assert word_rows(word)[1:] == [zlib.crc32(word[:n].encode(), 2) % toxicity.BUCKETS for n in toxicity.PREFIXES]
+
+
+def test_words_are_kept_from_block_to_block(monkeypatch):
+    asked, word_rows = [], toxicity.word_rows
+    model = toxicity.planted(np.random.default_rng(toxicity.SEED)).model
+    blocks = [["a vile word", None], ["a kind word", ""], ["other words at last", "a vile word"]]
+    plain = [model.scores(block) for block in blocks]
+    monkeypatch.setattr(toxicity, "word_rows", lambda word: asked.append(word) or word_rows(word))
+    scorer = toxicity.Scorer(model)
+    assert [scorer.scores(block) for block in blocks] == plain and len(asked) == len(set(asked)) == 8
+    monkeypatch.setattr(toxicity, "KNOWN", 2)
+    scorer = toxicity.Scorer(model)
+    assert [scorer.scores(block) for block in blocks] == plain
