@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,7 +69,22 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def learn_online(examples: list[tuple[np.ndarray, np.ndarray, int]], n_languages: int, epochs: int = 3, alpha: float = 0.8, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+class Examples(Sequence):
+    """Texts to learn from: buckets, values and language of each. The values are computed whenever they are asked for, so that only counts are held,
+    in the few bytes in which they came."""
+
+    def __init__(self, model: LanguageModel, rows: list[tuple[np.ndarray, np.ndarray, int]]):
+        self.model, self.rows = model, rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        at, n, label = self.rows[i]
+        return at, self.model.values(at, n.astype(np.int32)), label
+
+
+def learn_online(examples: Sequence[tuple[np.ndarray, np.ndarray, int]], n_languages: int, epochs: int = 3, alpha: float = 0.8, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Follow the regularised leader, one rate a coordinate, with elastic-net penalties; the bias is not penalised."""
     z, n = np.zeros((BUCKETS + 1, n_languages)), np.zeros((BUCKETS + 1, n_languages))
 
@@ -152,19 +167,23 @@ def fit_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     def features(batches):
         for batch in batches:
             pairs = [gram_counts(text.as_py()) for text in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), *(pa.array([p[i].tobytes() for p in pairs], pa.binary()) for i in (0, 1))], ["lang", "own", "at", "n"])
+            at = [at.astype(np.uint16).tobytes() for at, _ in pairs]
+            counts = [n.astype(np.min_scalar_type(n.max())).tobytes() for _, n in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(at, pa.binary()), pa.array(counts, pa.binary())], ["lang", "own", "at", "n"])
 
-    rows = chosen.mapInArrow(features, "lang string, own long, at binary, n binary").toArrow().to_pylist()
+    rows = chosen.mapInArrow(features, "lang string, own long, at binary, n binary").toArrow()
     model = LanguageModel(languages, idf, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
     learn, check = [], []
-    for row in sorted(rows, key=lambda r: (r["own"], r["lang"])):
-        at, n = np.frombuffer(row["at"], np.int32), np.frombuffer(row["n"], np.int32)
-        (check if row["own"] % 5 == 0 and limits[row["lang"]][1] >= 10 else learn).append((at, model.values(at, n), languages.index(row["lang"])))
-    del rows
+    told = sorted(zip(rows.column("own").to_pylist(), rows.column("lang").to_pylist(), rows.column("at"), rows.column("n")), key=lambda row: row[:2])
+    for own, lang, at, n in told:  # views of what came, no copies
+        at = np.frombuffer(at.as_buffer(), np.uint16)
+        n = np.frombuffer(n.as_buffer(), f"u{n.as_buffer().size // len(at)}")
+        (check if own % 5 == 0 and limits[lang][1] >= 10 else learn).append((at, n, languages.index(lang)))
+    del told
+    learn, check = Examples(model, learn), Examples(model, check)
     model.weights, model.bias = learn_online(learn, len(languages))
     held = [x @ model.weights[at] + model.bias for at, x, _ in check]
-    model.temperature = best_temperature(np.array(held, float), np.array([label for *_, label in check]))
+    model.temperature = best_temperature(np.array(held, float), np.array([label for *_, label in check.rows]))
     model.nonzero = float((model.weights != 0).mean())
     return model
 

@@ -47,6 +47,36 @@ def test_follow_the_leader_is_sparse_and_separates():
     assert (weights == 0).mean() > 0.9
 
 
+def test_counts_of_the_sample_come_short_and_whole(spark, monkeypatch):
+    """What the driver gets is two bytes a bucket and as few a count as the text needs, and the model learned from it is that of the plain counts;
+    also of texts that hold a run more than 255 and more than 65,535 times, or one letter."""
+    texts = [(f"{a} {'xyz'[i % 3] * i} {b}", lang) for i in range(20) for a, b, lang in (("der", "und", "de"), ("the", "and", "en"))]
+    texts += [("ab" * 300, "de"), ("c" * 70_000, "en"), ("z", "en")]
+    docs = spark.createDataFrame([*texts, ("der 0 und", "de"), ("der 0 und", None), (None, "en"), ("12", "en")], "text string, lang string")
+    came, kind = [], type(docs)
+    monkeypatch.setattr(kind, "toArrow", lambda self, f=kind.toArrow: (came.append(f(self)), came[-1])[1])
+    model = language.fit_languages(docs)
+    hashes = dict(docs.filter("text is not null").select("text", F.xxhash64("text")).distinct().collect())
+    distinct = sorted({*texts, ("der 0 und", "de")}, key=lambda row: (hashes[row[0]], row[1]))
+    plain = [(at, model.values(at, n), model.languages.index(lang)) for text, lang in distinct if hashes[text] % 5 for at, n in [language.gram_counts(text)]]
+    weights, bias = language.learn_online(plain, 2)
+    assert model.languages == ["de", "en"] and (model.weights == weights).all() and (model.bias == bias).all()
+    sample = next(table for table in came if "own" in table.column_names)
+    grams = [language.gram_counts(text)[1] for text, _ in distinct]
+    assert sum(map(len, sample.column("at").to_pylist())) == 2 * sum(map(len, grams))
+    assert sum(map(len, sample.column("n").to_pylist())) == sum(len(n) * (1 if n.max() < 256 else 2 if n.max() < 65536 else 4) for n in grams)
+
+
+def test_rounds_without_languages_are_not_written(spark, monkeypatch):
+    rows = [(i, f"{'vile' if i % 4 == 0 else 'calm'} words of row {i}", "en" if i % 2 else None) for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    names, settled = [], common.settled
+    monkeypatch.setattr(common, "settled", lambda df, name: (names.append(name), settled(df, name))[1])
+    model = toxicity.fit_toxicity(docs, labels)
+    assert toxicity.ROUNDS > 1 and names.count("toxicity-sums") == 1 and model.names == ["en"]
+    assert [s >= toxicity.CUT for s in model.scores([text for _, text, _ in rows])] == [i % 4 == 0 for i in range(200)]
+
+
 def test_temperature_softens_overconfidence():
     draw = np.random.default_rng(2)
     labels = draw.integers(0, 2, 400)

@@ -99,6 +99,15 @@ def test_components_of_paths_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_settle_by_what_is_told_while_links_are_written(spark, monkeypatch):
+    links = [(i, i + 1) for i in range(300) if i % 100 != 99] + [(7, 7), (8, 7), (None, 5)]
+    table = spark.createDataFrame(links, "a long, b long")
+    asked, kind = [], type(table)
+    monkeypatch.setattr(kind, "first", lambda self, f=kind.first: (asked.append(1), f(self))[1])
+    rows = {(r.node, r.component) for r in common.components(table).collect()}
+    assert rows == {(i, i // 100 * 100) for i in range(300)} and not asked
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, n_links string, u long, x int"
 
 
